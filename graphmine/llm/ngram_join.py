@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .components import components
-from .shared import SLICES, IdFilter, combine_slices, save, slices_of
+from .shared import SLICES, IdFilter, combine_slices, save, shuffle_width, slices_of
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
 TABLE_BITS = 20
@@ -97,6 +97,11 @@ def _common(profile: DataFrame) -> np.ndarray:
     return np.packbits(counts > mean + 6 * np.sqrt(mean) + 32)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Two bytes for each number if they suffice, else four."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
     def scan(batches):
         marks = np.unpackbits(common).astype(bool)
@@ -120,7 +125,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets
                     mine = by[cut[i] : cut[i + 1]]
                     if len(mine):
                         own, local = np.unique(row[mine], return_inverse=True)
-                        out.append((order, i, nodes[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), place[mine].astype(np.uint32).tobytes()))
+                        out.append((order, i, nodes[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), _narrow(local), _narrow(place[mine])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 5, strict=True)], ["ord", "bucket", "nodes", "sizes", "keys", "rows", "places"])
             held.clear()
@@ -162,7 +167,9 @@ _PAIR = "x long, y long, nx int, ny int, ord int, c int, px int, py int, star bo
 
 def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
     order = table.column("ord")[0].as_py()
-    get = {c: [np.frombuffer(b.as_py(), t) for b in table.column(c)] for c, t in (("nodes", np.int64), ("sizes", np.uint32), ("keys", np.uint32), ("rows", np.uint32), ("places", np.uint32))}
+    get = {c: [np.frombuffer(b.as_py(), t) for b in table.column(c)] for c, t in (("nodes", np.int64), ("sizes", np.uint32), ("keys", np.uint32))}
+    for c in ("rows", "places"):
+        get[c] = [np.frombuffer(b.as_py(), f"u{len(b.as_py()) // len(k)}").astype(np.int64) for b, k in zip(table.column(c), get["keys"], strict=True)]
     base = np.repeat(np.cumsum([0] + [len(x) for x in get["nodes"]])[:-1], [len(x) for x in get["rows"]])
     nodes, sizes, key, row, place = (np.concatenate(get[c]) for c in ("nodes", "sizes", "keys", "rows", "places"))
     node, back = np.unique(nodes, return_inverse=True)
@@ -278,8 +285,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(sets, pa.binary())], ["node", "set"])
 
     # one row for each class: copies of a class that several tasks met are equal
-    sets = docs.mapInArrow(scan, "node long, set binary").join(ids, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-    sets = save(sets, "sets")
+    sets = docs.mapInArrow(scan, "node long, set binary").repartition(shuffle_width(docs.sparkSession), "node").groupBy("node").agg(F.first("set").alias("set"))
     joined = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
 
     def compare(batches):
