@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .token_ids import token_id_files
+from .toxicity import toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -33,11 +34,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents")).rows
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
+        "op10_toxicity": op10_toxicity,
     }
 
 
