@@ -33,7 +33,7 @@ ORDER, DECAY, ALPHABET = 4, 0.55, 32
 #: Longer strings are scored by windows of so many characters.
 WINDOW, STEP = 10, 4
 #: Labelled texts of each class that the training takes at most.
-TRAIN_TEXTS = 2500
+TRAIN_TEXTS = 1500
 LANDMARKS = 160
 
 _FOLD = np.zeros(0x10000, np.uint8)
@@ -193,25 +193,30 @@ def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit:
     texts, marked ones counting less, while it is many times rarer in clean ones. Copies of a text
     share all its strings, but few texts beside them do.
     """
-    code, offs = _folded(words)
-    word = np.repeat(np.arange(len(words)), np.diff(offs))
-    place = np.arange(len(code)) - offs[word]
-    size = np.diff(offs)[word]
-    grams, owners = [], []
-    for n in (3, 4, 5, 6):
-        ok = np.flatnonzero(place + n <= size)
-        g = np.zeros(len(ok), np.int64)
-        for j in range(n):
-            g = g * ALPHABET + code[ok + j]
-        grams.append(g * 8 + n)
-        owners.append(word[ok])
-    gram, owner = np.concatenate(grams), np.concatenate(owners)
-    bad = np.zeros(len(words), bool)
-    bad[pair_word[fit[pair_text] & (y[pair_text] == 1)]] = True
-    here = np.unique(gram[bad[owner]])
-    at = np.minimum(np.searchsorted(here, gram), max(len(here) - 1, 0))
-    known = here[at] == gram
-    link = np.unique(owner[known] * np.int64(len(here)) + at[known])
+    def grams(own: np.ndarray):
+        """(gram, word) of the strings with these numbers, some at a time."""
+        for lo in range(0, len(own), 10_000):
+            part = own[lo : lo + 10_000]
+            code, offs = _folded([words[i] for i in part])
+            word = np.repeat(np.arange(len(part)), np.diff(offs))
+            left = offs[word + 1] - np.arange(len(code))
+            for n in (3, 4, 5, 6):
+                ok = np.flatnonzero(left >= n)
+                g = np.zeros(len(ok), np.int64)
+                for j in range(n):
+                    g = g * ALPHABET + code[ok + j]
+                yield g * 8 + n, part[word[ok]]
+
+    bad = np.unique(pair_word[fit[pair_text] & (y[pair_text] == 1)])
+    here = np.unique(np.concatenate([np.unique(g) for g, _ in grams(bad)]))
+    links = []
+    for g, word in grams(np.arange(len(words))):
+        at = np.minimum(np.searchsorted(here, g), len(here) - 1)
+        known = here[at] == g
+        links.append(np.unique(word[known] * np.int64(len(here)) + at[known]))
+    link = np.concatenate(links)
+    del links
+    link.sort()
     l_word, l_gram = link // len(here), link % len(here)
     w_at = np.searchsorted(l_word, np.arange(len(words) + 1))
     seen = np.zeros((2, len(here)))
@@ -219,8 +224,8 @@ def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit:
     for c in (0, 1):
         mine = fit[pair_text] & (y[pair_text] == c)
         t, w = pair_text[mine], pair_word[mine]
-        for lo in range(0, len(t), 400_000):
-            hi = min(len(t), lo + 400_000)
+        for lo in range(0, len(t), 100_000):
+            hi = min(len(t), lo + 100_000)
             # whole texts at a time
             while hi < len(t) and t[hi] == t[hi - 1]:
                 hi += 1
@@ -386,10 +391,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for c in (0, 1):
         part = known.where(F.col("y") == c).orderBy(order, "doc_id").limit(max_texts)
         some = part if some is None else some.union(part)
-    # at most 2 * max_texts ids: a proven bound for the broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["y"]))
-    return train([r["text"] or "" for r in rows], [r["y"] for r in rows])
+    # at most 2 * max_texts ids: a proven bound for the broadcast, and for the one task that trains
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")
+
+    def learn(table: pa.Table) -> pa.Table:
+        got = sorted(zip(table.column(0).to_pylist(), (t or "" for t in table.column(1).to_pylist()), table.column(2).to_pylist(), strict=True))
+        model = train([t for _, t, _ in got], [c for _, _, c in got])
+        used = np.flatnonzero(model.weights)
+        return pa.table({"codes": pa.array([used.astype("<i4").tobytes()], pa.binary()), "weights": pa.array([model.weights[used].astype("<f4").tobytes()], pa.binary()), "bias": [float(model.bias)], "curve": pa.array([model.curve.astype("<f8").tobytes()], pa.binary())})
+
+    found = rows.groupBy(F.lit(0)).applyInArrow(learn, "codes binary, weights binary, bias double, curve binary").collect()
+    model = Model(np.zeros(ALPHABET**ORDER, np.float32), 0.0, np.r_[np.zeros(N_FEATURES), -3.0])
+    for r in found:
+        model.weights[np.frombuffer(r["codes"], "<i4")] = np.frombuffer(r["weights"], "<f4")
+        model.bias, model.curve = r["bias"], np.frombuffer(r["curve"], "<f8").copy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
