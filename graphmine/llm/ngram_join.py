@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .components import components
-from .shared import SLICES, IdFilter, combine_slices, save, shuffle_width, slices_of
+from .shared import SLICES, IdFilter, combine_slices, save, slices_of
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
 TABLE_BITS = 20
 #: A prefix shingle of more classes than this gives a star instead of pairs.
-GROUP = 64
+GROUP = 256
 #: Prefix shingles a bucket holds about.
 BUCKET_ROWS = 4_000_000
+#: Bytes of sets in a task of the verification, about, and of one cluster there at most.
+BUCKET_BYTES, CLUSTER_BYTES = 16 << 20, 32 << 20
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 _SEEN = 1 << 20
 
@@ -260,13 +262,25 @@ def _candidates(found: DataFrame, percent: int) -> DataFrame:
     for o in range(len(ORDERS)):
         most = F.col(f"c{o}") + F.least(F.col("nx") - F.col(f"px{o}") - 1, F.col("ny") - F.col(f"py{o}") - 1)
         fits = fits & F.coalesce((100 + percent) * most >= percent * (F.col("nx") + F.col("ny")), F.lit(False))
-    return pairs.where(F.col("star") | F.col("lx").isNotNull() | F.col("ly").isNotNull() | fits).select("x", "y")
+    return pairs.where(F.col("star") | F.col("lx").isNotNull() | F.col("ly").isNotNull() | fits).select("x", "y", "nx", "ny")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are as similar as asked."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    wanted = IdFilter.of(ids, "node", ids.count())
+    """The pairs (x, y) whose whole sets are as similar as asked.
+
+    The sets of a cluster of candidates meet in one task, each sent there once, as
+    long as the cluster has at most CLUSTER_BYTES; those of larger clusters are joined
+    to their pairs.
+    """
+    ids = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("nx").alias("n")), F.struct(F.col("y").alias("node"), F.col("ny").alias("n")))).alias("s")).select("s.*").distinct()
+    clusters = components(pairs, "x", "y").withColumnRenamed("id", "node")
+    sized = ids.join(clusters, "node").groupBy("component").agg(F.sum("n").alias("n"))
+    total = sized.agg(F.sum("n"), F.count("*")).first()
+    if not total[1]:
+        return save(pairs.select("x", "y"), "links")
+    buckets = max(24, -(-5 * total[0] // BUCKET_BYTES))
+    home = save(clusters.join(sized, "component").select("node", F.when(5 * F.col("n") <= CLUSTER_BYTES, F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int")).alias("bucket")), "home")
+    wanted = IdFilter.of(home, "node", ids.count())
 
     def scan(batches):
         seen: set[int] = set()
@@ -284,21 +298,40 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                     sets = [v[o[i] : o[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for i in at]
                     yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(sets, pa.binary())], ["node", "set"])
 
-    # one row for each class: copies of a class that several tasks met are equal
-    sets = docs.mapInArrow(scan, "node long, set binary").repartition(shuffle_width(docs.sparkSession), "node").groupBy("node").agg(F.first("set").alias("set"))
-    joined = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
+    sets = docs.mapInArrow(scan, "node long, set binary").join(home, "node")
+    near = pairs.join(home.select(F.col("node").alias("x"), F.col("bucket").alias("place")), "x").select("x", "y", "place")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = dict(zip(right.column("node").to_pylist(), right.column("set"), strict=True))
+        x, y = left.column("x").to_pylist(), left.column("y").to_pylist()
+        keep = np.zeros(len(x), bool)
+        by = sorted(range(len(x)), key=lambda i: x[i])
+        last, a = None, None
+        for i in by:
+            if x[i] != last:
+                last, a = x[i], _unpack(own[x[i]].as_buffer())
+            keep[i] = _similar(a, _unpack(own[y[i]].as_buffer()), percent)
+        return left.select(["x", "y"]).filter(pa.array(keep))
+
+    small = near.where("place is not null").groupBy("place").cogroup(sets.where("bucket is not null").groupBy("bucket")).applyInArrow(compare, "x long, y long")
+    links = save(small, "links")
+    if not home.where("bucket is null").isEmpty():
+        big = sets.where("bucket is null").groupBy("node").agg(F.first("set").alias("set"))
+        joined = near.where("place is null").join(big.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(big.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
+
+        def compare_rows(batches):
+            for batch in batches:
+                keep = [_similar(_unpack(a.as_buffer()), _unpack(b.as_buffer()), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["x", "y"])
+
+        links = links.union(save(joined.select("x", "y", "sx", "sy").mapInArrow(compare_rows, "x long, y long"), "links"))
+    return links
 
-    def compare(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sx, sy = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                a, b = _unpack(sx[i].as_buffer()), _unpack(sy[i].as_buffer())
-                c = len(np.intersect1d(a, b, assume_unique=True))
-                keep[i] = 100 * c >= percent * (len(a) + len(b) - c)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["x", "y"])
 
-    return save(joined.select("x", "y", "sx", "sy").mapInArrow(compare, "x long, y long"), "links")
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    c = int((b[at] == a).sum())
+    return 100 * c >= percent * (len(a) + len(b) - c)
 
 
 def _unpack(blob) -> np.ndarray:
@@ -335,7 +368,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         some = save(labelled.join(main, "gid"), "mixed")
         # the members outside a group's main component meet all its members of other components
         other = some.where("component <> main").select("gid", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        cross = some.join(other, "gid").where((F.col("component") != F.col("cy")) & (F.least("n", "ny") * 100 >= percent * F.greatest("n", "ny"))).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
+        cross = some.join(other, "gid").where((F.col("component") != F.col("cy")) & (F.least("n", "ny") * 100 >= percent * F.greatest("n", "ny"))).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y"), F.when(F.col("node") < F.col("y"), F.col("n")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("node") < F.col("y"), F.col("ny")).otherwise(F.col("n")).alias("ny")).distinct()
         cross = save(cross, "cross")
         if not cross.isEmpty():
             links = links.union(_verify(text, cross, k, percent))
