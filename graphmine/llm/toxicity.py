@@ -400,7 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         used = np.flatnonzero(model.weights)
         return pa.table({"codes": pa.array([used.astype("<i4").tobytes()], pa.binary()), "weights": pa.array([model.weights[used].astype("<f4").tobytes()], pa.binary()), "bias": [float(model.bias)], "curve": pa.array([model.curve.astype("<f8").tobytes()], pa.binary())})
 
-    found = rows.groupBy(F.lit(0)).applyInArrow(learn, "codes binary, weights binary, bias double, curve binary").collect()
+    found = rows.groupBy(F.lit("all")).applyInArrow(learn, "codes binary, weights binary, bias double, curve binary").collect()
     model = Model(np.zeros(ALPHABET**ORDER, np.float32), 0.0, np.r_[np.zeros(N_FEATURES), -3.0])
     for r in found:
         model.weights[np.frombuffer(r["codes"], "<i4")] = np.frombuffer(r["weights"], "<f4")
