@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .suffix_dedup import passage_report
 from .token_ids import token_id_files
 from .toxicity import toxicity
 
@@ -34,6 +35,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents")).rows
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_ids": op1_token_ids,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
@@ -66,7 +72,26 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.
 """
 
 
+_OP9 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, p - 1 AS p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM w WHERE len(w) >= 50)
+), r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS late FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1
+), k AS (SELECT doc_id, p, 'repeated' AS kind FROM r UNION ALL SELECT doc_id, p, 'removed' FROM r WHERE late
+), s AS (
+  SELECT doc_id, kind, p, CASE WHEN p > lag(p) OVER (PARTITION BY kind, doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM k
+), i AS (SELECT doc_id, kind, p, sum(new) OVER (PARTITION BY kind, doc_id ORDER BY p) AS island FROM s
+), j AS (SELECT doc_id, kind, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, kind, island
+), t AS (SELECT doc_id, kind, sum(b - a)::BIGINT AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM j GROUP BY doc_id, kind)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(x.n, 0) AS n_repeated, coalesce(y.n, 0) AS n_removed, coalesce(x.spans, '') AS repeated, coalesce(y.spans, '') AS removed
+FROM w LEFT JOIN t x ON x.doc_id = w.doc_id AND x.kind = 'repeated' LEFT JOIN t y ON y.doc_id = w.doc_id AND y.kind = 'removed'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_ngram_join": _OP8,
+        "op9_suffix_dedup": _OP9,
     }
