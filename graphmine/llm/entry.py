@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .piece_bpe import piece_digests
 from .secrets import secrets_report
 from .suffix_dedup import passage_report
 from .token_ids import token_id_files
@@ -28,6 +29,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_secrets": op5_secrets,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
