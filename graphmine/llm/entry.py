@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann_forest import nearest
+from .embedding_dedup import embedding_dedup
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .piece_bpe import piece_digests
@@ -29,6 +31,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -37,6 +43,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")).drop("n_loss")
 
@@ -56,8 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_secrets": op5_secrets,
+        "op6_nearest": op6_nearest,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
         "op9_suffix_dedup": op9_suffix_dedup,
