@@ -13,11 +13,11 @@ The jobs:
    class, of which one copy goes on), and a count table of fixed size that tells
    very common shingles. Both orders put these last.
 2. `_prefixes` deals the prefix shingles to buckets by hash, as packed arrays.
-3. `_bucket_pairs` finds in each bucket the pairs that share a shingle. A shingle
-   that over GROUP classes share gives a star around a random member instead of
-   all pairs; stars are verified first, and then only pairs of such a shingle
-   that still lie in different components are looked at, so no link is lost.
+3. `_bucket_pairs` finds in each bucket the pairs that share a shingle. Classes that
+   hang together by shingles that over GROUP of them share make up a cluster instead.
 4. `_verify` compares the whole sets of the pairs that are left.
+5. `_compare_clusters` compares the classes of a cluster in blocks, without a row for a
+   pair: only links that span its components leave a task.
 
 Shingles are compared by 64-bit hashes, in verification by 40 bits of them.
 """
@@ -36,9 +36,11 @@ from .components import components
 from .shared import SLICES, IdFilter, combine_slices, save, slices_of
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
-TABLE_BITS = 20
-#: A prefix shingle of more classes than this gives a star instead of pairs.
+TABLE_BITS = 22
+#: Classes that share a prefix shingle with more than this many form a cluster, compared as a whole.
 GROUP = 256
+#: Classes of a cluster that are compared with as many others in a task.
+BLOCK = 2048
 #: Prefix shingles a bucket holds about.
 BUCKET_ROWS = 4_000_000
 #: Bytes of sets in a task of the verification, about, and of one cluster there at most.
@@ -96,7 +98,7 @@ def _common(profile: DataFrame) -> np.ndarray:
     if not len(counts):
         return np.zeros(1 << TABLE_BITS - 3, np.uint8)
     mean = counts.mean()
-    return np.packbits(counts > mean + 6 * np.sqrt(mean) + 32)
+    return np.packbits(counts > mean + 4 * np.sqrt(mean) + 24)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -164,7 +166,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets
     return docs.mapInArrow(scan, "ord int, bucket int, nodes binary, sizes binary, keys binary, rows binary, places binary")
 
 
-_PAIR = "x long, y long, nx int, ny int, ord int, c int, px int, py int, star boolean, gid long"
+_PAIR = "x long, y long, nx int, ny int, ord int, c int, px int, py int, root long"
 
 
 def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
@@ -185,102 +187,78 @@ def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
     key, doc, place = key[keep], doc[keep], place[keep]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
-    left, right, is_star, groups = [], [], [], []
+    left, right = [], []
     for g in np.unique(count[(count >= 2) & (count <= GROUP)]):
         at = first[count == g]
         i, j = np.triu_indices(g, 1)
         left.append((at[:, None] + i).ravel())
         right.append((at[:, None] + j).ravel())
-        is_star.append(np.zeros(len(left[-1]), bool))
-    known = set()
-    for at, g in zip(first[count > GROUP], count[count > GROUP], strict=True):
-        members = np.arange(at, at + g)
-        own = doc[members]
-        sign = int(tb.mix(node[own].view(np.uint64)).sum(dtype=np.uint64))
-        if sign in known:
-            continue
-        known.add(sign)
-        centre = members[np.argmin(tb.mix(node[own].view(np.uint64) ^ np.uint64(key[at])))]
-        rest = members[members != centre]
-        left.append(np.full(len(rest), centre))
-        right.append(rest)
-        is_star.append(np.ones(len(rest), bool))
-        if order == 0:
-            groups.append((np.uint64(sign).astype(np.int64), np.unique(own)))
+    # classes of large groups, each with the smallest one that it hangs together with here
+    big = count > GROUP
+    at = np.repeat(first[big], count[big])
+    member = at + np.arange(len(at)) - np.repeat(np.cumsum(count[big]) - count[big], count[big])
+    root = np.arange(len(node))
+    p, q = doc[at], doc[member]
+    while len(p):
+        low = np.minimum(root[p], root[q])
+        new = root.copy()
+        np.minimum.at(new, root[p], low)
+        np.minimum.at(new, root[q], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    large = np.unique(np.concatenate([p, q]))
     a = np.concatenate(left) if left else np.zeros(0, np.int64)
     b = np.concatenate(right) if right else np.zeros(0, np.int64)
-    star = np.concatenate(is_star) if is_star else np.zeros(0, bool)
     swap = doc[a] > doc[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     x, y = doc[a], doc[b]
     nx, ny = size[x], size[y]
     most = np.minimum(place[a], place[b]) + np.minimum(nx - place[a], ny - place[b])
     fit = (x != y) & (np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
-    x, y, px, py, star = x[fit], y[fit], place[a][fit], place[b][fit], star[fit]
+    x, y, px, py = x[fit], y[fit], place[a][fit], place[b][fit]
     by = np.lexsort((y, x))
-    x, y, px, py, star = x[by], y[by], px[by], py[by], star[by]
+    x, y, px, py = x[by], y[by], px[by], py[by]
     new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
-    out = [[], [], [], [], [], [], []]
-    if len(new):
-        out = [x[new], y[new], np.diff(np.append(new, len(x))), np.maximum.reduceat(px, new), np.maximum.reduceat(py, new), np.maximum.reduceat(star, new)]
-        x, y = out[0], out[1]
-    else:
-        out = [np.zeros(0, np.int64)] * 6
-        x = y = out[0]
-    m = sum(len(g[1]) for g in groups)
-    more = np.concatenate([g[1] for g in groups]) if groups else np.zeros(0, np.int64)
-    gid = np.repeat(np.array([g[0] for g in groups], np.int64), [len(g[1]) for g in groups]) if groups else np.zeros(0, np.int64)
-    k, nulls = len(x), np.arange(len(x) + m)
+    total, px, py = np.diff(np.append(new, len(x))), np.maximum.reduceat(px, new) if len(new) else px, np.maximum.reduceat(py, new) if len(new) else py
+    x, y = x[new], y[new]
+    k, m = len(x), len(large)
+    pair, none = np.arange(k + m) < k, np.zeros(m, np.int64)
     both = lambda p, q, t: pa.array(np.concatenate([p, q]), t)
-    none = np.zeros(m, np.int64)
     return pa.table(
         {
-            "x": both(node[x], node[more], pa.int64()),
-            "y": pa.array(np.concatenate([node[y], none]), pa.int64(), mask=nulls >= k),
-            "nx": both(size[x], size[more], pa.int32()),
+            "x": both(node[x], node[large], pa.int64()),
+            "y": pa.array(np.concatenate([node[y], none]), pa.int64(), mask=~pair),
+            "nx": both(size[x], size[large], pa.int32()),
             "ny": both(size[y], none, pa.int32()),
             "ord": pa.array(np.full(k + m, order), pa.int32()),
-            "c": both(out[2], none, pa.int32()),
-            "px": both(out[3], none, pa.int32()),
-            "py": both(out[4], none, pa.int32()),
-            "star": pa.array(np.concatenate([np.asarray(out[5], bool), none.astype(bool)])),
-            "gid": pa.array(np.concatenate([np.zeros(k, np.int64), gid]), pa.int64(), mask=nulls < k),
+            "c": both(total, none, pa.int32()),
+            "px": both(px, none, pa.int32()),
+            "py": both(py, none, pa.int32()),
+            "root": pa.array(np.concatenate([np.zeros(k, np.int64), node[root[large]]]), pa.int64(), mask=pair),
         }
     )
 
 
-def _candidates(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs that both orders allow; a pair with a class of a large group only needs one of them, since such groups hold no counts."""
+def _candidates(found: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Pairs that both orders allow, without those of one cluster, which are compared there."""
     aggs = []
     for o in range(len(ORDERS)):
         when = lambda c, o=o: F.when(F.col("ord") == o, F.col(c))
         aggs += [F.sum(when("c")).alias(f"c{o}"), F.max(when("px")).alias(f"px{o}"), F.max(when("py")).alias(f"py{o}")]
-    pairs = found.where("gid is null").groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.max("star").alias("star"), *aggs)
-    large = found.where("gid is not null").select("x").distinct()
-    pairs = pairs.join(large.withColumn("lx", F.lit(True)), "x", "left").join(large.select(F.col("x").alias("y"), F.lit(True).alias("ly")), "y", "left")
+    pairs = found.where("root is null").groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), *aggs)
     fits = F.lit(True)
     for o in range(len(ORDERS)):
         most = F.col(f"c{o}") + F.least(F.col("nx") - F.col(f"px{o}") - 1, F.col("ny") - F.col(f"py{o}") - 1)
         fits = fits & F.coalesce((100 + percent) * most >= percent * (F.col("nx") + F.col("ny")), F.lit(False))
-    return pairs.where(F.col("star") | F.col("lx").isNotNull() | F.col("ly").isNotNull() | fits).select("x", "y", "nx", "ny")
+    pairs = pairs.where(fits).select("x", "y", "nx", "ny")
+    pairs = pairs.join(clusters.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left").join(clusters.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
+    return pairs.where(F.coalesce(F.col("cx") != F.col("cy"), F.lit(True))).select("x", "y", "nx", "ny")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are as similar as asked.
-
-    The sets of a cluster of candidates meet in one task, each sent there once, as
-    long as the cluster has at most CLUSTER_BYTES; those of larger clusters are joined
-    to their pairs.
-    """
-    ids = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("nx").alias("n")), F.struct(F.col("y").alias("node"), F.col("ny").alias("n")))).alias("s")).select("s.*").distinct()
-    clusters = components(pairs, "x", "y").withColumnRenamed("id", "node")
-    sized = ids.join(clusters, "node").groupBy("component").agg(F.sum("n").alias("n"))
-    total = sized.agg(F.sum("n"), F.count("*")).first()
-    if not total[1]:
-        return save(pairs.select("x", "y"), "links")
-    buckets = max(24, -(-5 * total[0] // BUCKET_BYTES))
-    home = save(clusters.join(sized, "component").select("node", F.when(5 * F.col("n") <= CLUSTER_BYTES, F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int")).alias("bucket")), "home")
-    wanted = IdFilter.of(home, "node", ids.count())
+def _scan_sets(docs: DataFrame, k: int, wanted: IdFilter) -> DataFrame:
+    """(node, set): the packed sets of the wanted classes; a class that several tasks meet comes several times."""
 
     def scan(batches):
         seen: set[int] = set()
@@ -298,7 +276,82 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                     sets = [v[o[i] : o[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for i in at]
                     yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(sets, pa.binary())], ["node", "set"])
 
-    sets = docs.mapInArrow(scan, "node long, set binary").join(home, "node")
+    return docs.mapInArrow(scan, "node long, set binary")
+
+
+def _compare_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (x, y) that span the components within each cluster.
+
+    A cluster is dealt into blocks of about BLOCK classes; each pair of blocks meets in a task,
+    which counts all overlaps by a matrix product over the shingles that occur twice there.
+    """
+    size = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    home = clusters.join(size, "component").select(F.col("id").alias("node"), "component", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    home = save(home.select("node", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")), "home")
+    wanted = IdFilter.of(home, "node", clusters.count())
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        own = table.column("own").to_numpy()[first]
+        sets = table.column("set").take(pa.array(first))
+        values = [_unpack(b.as_buffer()) for b in sets]
+        n = np.array([len(v) for v in values])
+        flat = np.concatenate(values)
+        row = np.repeat(np.arange(len(node)), n)
+        _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        keep = count[back] > 1
+        row, col = row[keep], number[back[keep]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        width = int(number[-1]) + 1
+        overlap = np.zeros((len(node), len(node)), np.float32)
+        step = max(1, (48 << 20) // (4 * len(node)))
+        for lo in range(0, width, step):
+            s, e = np.searchsorted(col, [lo, lo + step])
+            part = np.zeros((len(node), min(step, width - lo)), np.float32)
+            part[row[s:e], col[s:e] - lo] = 1
+            overlap += part @ part.T
+        left, right = [], []
+        for i in range(len(node)):
+            c = overlap[i, i + 1 :]
+            ok = (100 + percent) * c >= percent * (n[i] + n[i + 1 :])
+            right.append(np.flatnonzero(ok) + i + 1)
+            left.append(np.full(len(right[-1]), i))
+        p, q = np.concatenate(left), np.concatenate(right)
+        root = np.arange(len(node))
+        while len(p):
+            low = np.minimum(root[p], root[q])
+            new = root.copy()
+            np.minimum.at(new, root[p], low)
+            np.minimum.at(new, root[q], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        moved = root != np.arange(len(node))
+        return pa.table({"x": node[root[moved]], "y": node[moved]})
+
+    sets = _scan_sets(docs, k, wanted).join(home, "node")
+    return save(sets.groupBy("component", "a", "b").applyInArrow(compare, "x long, y long"), "links")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets are as similar as asked.
+
+    The sets of a cluster of candidates meet in one task, each sent there once, as
+    long as the cluster has at most CLUSTER_BYTES; those of larger clusters are joined
+    to their pairs.
+    """
+    ids = pairs.select(F.col("x").alias("node"), F.col("nx").alias("n")).union(pairs.select(F.col("y").alias("node"), F.col("ny").alias("n"))).distinct()
+    clusters = components(pairs, "x", "y").withColumnRenamed("id", "node")
+    sized = ids.join(clusters, "node").groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("nodes"))
+    total = sized.agg(F.sum("n"), F.sum("nodes")).first()
+    if not total[1]:
+        return save(pairs.select("x", "y"), "links")
+    buckets = max(24, -(-5 * total[0] // BUCKET_BYTES))
+    home = save(clusters.join(sized, "component").select("node", F.when(5 * F.col("n") <= CLUSTER_BYTES, F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int")).alias("bucket")), "home")
+    sets = _scan_sets(docs, k, IdFilter.of(home, "node", total[1])).join(home, "node")
     near = pairs.join(home.select(F.col("node").alias("x"), F.col("bucket").alias("place")), "x").select("x", "y", "place")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -359,19 +412,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs.select("text")
     packed = _prefixes(text, k, percent, _common(profile), buckets)
     found = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _bucket_pairs(t, percent), _PAIR), "found")
-    links = _verify(text, save(_candidates(found, percent), "pairs"), k, percent)
-    groups = found.where("gid is not null").select("gid", F.col("x").alias("node"), F.col("nx").alias("n")).distinct()
-    if not groups.isEmpty():
-        near = components(links, "x", "y")
-        labelled = groups.join(near.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        main = labelled.groupBy("gid", "component").count().groupBy("gid").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        some = save(labelled.join(main, "gid"), "mixed")
-        # the members outside a group's main component meet all its members of other components
-        other = some.where("component <> main").select("gid", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        cross = some.join(other, "gid").where((F.col("component") != F.col("cy")) & (F.least("n", "ny") * 100 >= percent * F.greatest("n", "ny"))).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y"), F.when(F.col("node") < F.col("y"), F.col("n")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("node") < F.col("y"), F.col("ny")).otherwise(F.col("n")).alias("ny")).distinct()
-        cross = save(cross, "cross")
-        if not cross.isEmpty():
-            links = links.union(_verify(text, cross, k, percent))
+    clusters = components(found.where("root is not null"), "x", "root")
+    links = _verify(text, save(_candidates(found, clusters, percent), "pairs"), k, percent)
+    if not clusters.isEmpty():
+        links = links.union(_compare_clusters(text, save(clusters, "clusters"), k, percent))
     near = components(links, "x", "y")
     # smallest doc_id of each class, then of each component
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
