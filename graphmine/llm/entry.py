@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann_forest import nearest
 from .embedding_dedup import embedding_dedup
+from .html_extract import main_text
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .piece_bpe import piece_digests
@@ -35,6 +36,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_html_extract": op3_html_extract,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_secrets": op5_secrets,
         "op6_nearest": op6_nearest,
