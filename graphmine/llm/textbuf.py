@@ -65,14 +65,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers that are kept; those of a longer text are made each time.
+_KEPT = 2 * CHUNK_BYTES
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, 2 * len(_powers[0]), CHUNK_BYTES)
-        for k, base in enumerate((_RADIX, _RADIX_INV)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    if n <= len(_powers[0]):
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_RADIX, _RADIX_INV):
+        p = np.full(max(n, _KEPT), base, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    if len(made[0]) <= _KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:

@@ -33,7 +33,7 @@ ORDER, DECAY, ALPHABET = 4, 0.55, 32
 #: Longer strings are scored by windows of so many characters.
 WINDOW, STEP = 10, 4
 #: Labelled texts of each class that the training takes at most.
-TRAIN_TEXTS = 1500
+TRAIN_TEXTS = 1000
 LANDMARKS = 160
 
 _FOLD = np.zeros(0x10000, np.uint8)
@@ -154,11 +154,21 @@ def strings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _texts_to_strings(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct strings; and for each string met its number there and its text."""
-    raw = [(t or "").encode() for t in texts]
-    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    s, e, text = strings(data, offs)
-    _, first, back = np.unique(tb.span_hashes(data, s, e), return_index=True, return_inverse=True)
-    return [data[a:b].tobytes().decode() for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)], back, text
+    number: dict[int, int] = {}
+    words: list[str] = []
+    back, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, _, data, offs in tb.chunks(pa.array([t or "" for t in texts], pa.string())):
+        s, e, text = strings(data, offs)
+        keys, first, at = np.unique(tb.span_hashes(data, s, e), return_index=True, return_inverse=True)
+        place = np.zeros(len(keys), np.int64)
+        for i, (key, a, b) in enumerate(zip(keys.tolist(), s[first].tolist(), e[first].tolist(), strict=True)):
+            if key not in number:
+                number[key] = len(words)
+                words.append(data[a:b].tobytes().decode())
+            place[i] = number[key]
+        back.append(place[at])
+        owner.append(lo + text)
+    return words, np.concatenate(back), np.concatenate(owner)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20, seed: int = 7) -> np.ndarray:
@@ -189,7 +199,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20, seed:
 def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit: np.ndarray, y: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Pieces of strings that tell which strings of toxic texts are toxic, and the strings that hold one.
 
-    Chosen one by one, each the piece of 3 to 6 letters that marks the most toxic
+    Chosen one by one, each the piece of 4 to 6 letters (edges count) that marks the most toxic
     texts, marked ones counting less, while it is many times rarer in clean ones. Copies of a text
     share all its strings, but few texts beside them do.
     """
@@ -200,7 +210,7 @@ def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit:
             code, offs = _folded([words[i] for i in part])
             word = np.repeat(np.arange(len(part)), np.diff(offs))
             left = offs[word + 1] - np.arange(len(code))
-            for n in (3, 4, 5, 6):
+            for n in (4, 5, 6):
                 ok = np.flatnonzero(left >= n)
                 g = np.zeros(len(ok), np.int64)
                 for j in range(n):
@@ -217,10 +227,14 @@ def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit:
     link = np.concatenate(links)
     del links
     link.sort()
-    l_word, l_gram = link // len(here), link % len(here)
+    l_word, l_gram = (link // len(here)).astype(np.int32), (link % len(here)).astype(np.int32)
+    del link
     w_at = np.searchsorted(l_word, np.arange(len(words) + 1))
     seen = np.zeros((2, len(here)))
     kept = {}
+    texts = np.flatnonzero(fit & (y == 1))
+    row = np.full(len(y), -1, np.int64)
+    row[texts] = np.arange(len(texts))
     for c in (0, 1):
         mine = fit[pair_text] & (y[pair_text] == c)
         t, w = pair_text[mine], pair_word[mine]
@@ -236,7 +250,7 @@ def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit:
             both = np.unique(np.repeat(t[lo:hi], n) * np.int64(len(here)) + g)
             seen[c] += np.bincount(both % len(here), minlength=len(here))
             if c:
-                kept[lo] = both
+                kept[lo] = (row[both // len(here)].astype(np.int32), (both % len(here)).astype(np.int32))
     n0, n1 = (max(1, int((fit & (y == c)).sum())) for c in (0, 1))
     ratio = (seen[1] + 0.05) / n1 / ((seen[0] + 0.5) / n0)
     some = np.flatnonzero((seen[1] >= 2) & (ratio >= 4))
@@ -246,13 +260,11 @@ def _stems(words: list[str], pair_text: np.ndarray, pair_word: np.ndarray, fit:
         return [], holds
     number = np.full(len(here), -1, np.int64)
     number[some] = np.arange(len(some))
-    texts = np.flatnonzero(fit & (y == 1))
-    row = np.full(len(y), -1, np.int64)
-    row[texts] = np.arange(len(texts))
     marked = np.zeros((len(texts), len(some)), bool)
-    for both in kept.values():
-        g = number[both % len(here)]
-        marked[row[(both // len(here))[g >= 0]], g[g >= 0]] = True
+    for t, own in kept.values():
+        g = number[own]
+        marked[t[g >= 0], g[g >= 0]] = True
+    kept.clear()
     worth = np.ones(len(texts), np.float32)
     least = max(1.5, 0.006 * len(texts))
     marked = marked.astype(np.float32)

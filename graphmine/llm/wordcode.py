@@ -24,7 +24,7 @@ class WordTable:
     """code(data, starts, ends) gives the ids of spans in a row and each one's count."""
 
     #: Spans that are kept; then the table starts anew.
-    LIMIT = 1_500_000
+    LIMIT = 800_000
 
     def __init__(self, code: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype=np.int32):
         self.code, self.dtype = code, dtype
