@@ -67,7 +67,8 @@ def _sets(column, k: int):
 
 def _nodes(v: np.ndarray, o: np.ndarray) -> np.ndarray:
     """One hash for each set; it depends on the set alone."""
-    sums = np.concatenate([[0], np.cumsum(tb.mix(v + np.uint64(0x51ED270B)), dtype=np.uint64)]).astype(np.uint64)
+    sums = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(tb.mix(v + np.uint64(0x51ED270B)), out=sums[1:])
     return tb.mix(sums[o[1:]] - sums[o[:-1]] + np.diff(o).astype(np.uint64)).view(np.int64)
 
 
