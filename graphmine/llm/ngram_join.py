@@ -42,7 +42,7 @@ GROUP = 256
 #: Classes of a cluster that are compared with as many others in a task.
 BLOCK = 2048
 #: Prefix shingles a bucket holds about.
-BUCKET_ROWS = 4_000_000
+BUCKET_ROWS = 1_500_000
 #: Bytes of sets in a task of the verification, about, and of one cluster there at most.
 BUCKET_BYTES, CLUSTER_BYTES = 16 << 20, 32 << 20
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
@@ -74,7 +74,7 @@ def _nodes(v: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches):
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << TABLE_BITS, np.int32)
         any_rows = False
         for batch in batches:
             any_rows = True
@@ -82,7 +82,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             for _, _, v, o in _sets(batch.column(1), k):
                 nodes.append(_nodes(v, o))
                 sizes.append(np.diff(o))
-                table += np.bincount((v >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
+                np.add.at(table, (v >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
             n = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
             node = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, mask=n == 0), pa.array(n), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "node", "n", "slice", "counts"])
@@ -159,7 +159,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets
                     orders.append((v[by][head], r[head], place[head]))
                 held.append((node, n, orders))
                 pending += len(orders[0][0])
-                if pending >= 1_000_000:
+                if pending >= 500_000:
                     yield from flush()
                     pending = 0
         yield from flush()
