@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphmine.functions import add_layer, content_id, cosine, decay_weight, hub_id, id_number, keyed_hash, keyed_uniform, list_key, name_is_valid, pattern_id, scaled_distance, strip_layer, truth
-from graphmine.operators import clean, graph, patterns, rank, registry, sampling, vectors
-from graphmine.sources import index_lists, model_runs
+from graphmine.operators import clean, graph, models, patterns, rank, registry, sampling, vectors
+from graphmine.sources import hub_vectors, index_lists, model_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -209,6 +209,21 @@ def training_records(t):
     return sampling.training_records(sample, sampling.unrelated_sample(items, edges_of(t), SEED), sampling.split_targets(t("part"), "p_partkey", SEED))
 
 
+_SAMPLED = (
+    f"{P}, {H}, dd AS (SELECT target, item, 1 - sim AS dist FROM d), st AS (SELECT target, quantile_cont(dist, 0.1) AS lo, quantile_cont(dist, 0.9) AS hi FROM dd GROUP BY target), "
+    "l AS (SELECT dd.target, o.hub, dd.item, dist, CASE WHEN k.item IS NULL THEN 'NL' ELSE 'KL' END AS label FROM dd JOIN h o ON o.item = dd.target LEFT JOIN h k ON k.hub = o.hub AND k.item = dd.item), "
+    "ls AS (SELECT target, hub, label, count(*) AS n, min(dist) AS d_min, avg(dist) AS d_mean, median(dist) AS d_median FROM l GROUP BY ALL)"
+)
+
+
+@query(f"WITH {_SAMPLED} SELECT target, hub, label, n, round(d_min, 6) AS d_min, round(d_mean, 6) AS d_mean, round(d_median, 6) AS d_median FROM ls")
+def pool_stats(t):
+    h, d = hub_pairs(t), _distances(t)
+    rows = sampling.known_split(d.select("target", "item", "distance"), h, h)
+    out = rows.groupBy("target", "hub", "label").agg(F.count("*").alias("n"), F.min("distance").alias("d_min"), F.avg("distance").alias("d_mean"), F.percentile("distance", F.lit(0.5)).alias("d_median"))
+    return out.select("target", "hub", "label", "n", *[r6(F.col(c), c) for c in ("d_min", "d_mean", "d_median")])
+
+
 @query("SELECT o_custkey, round(0.7 * exp(-2.0 * s) + 1.0 - 0.7, 6) AS w FROM (SELECT o_custkey, CASE WHEN hi = lo THEN 0 ELSE greatest(0, least(1, (m - lo) / (hi - lo))) END AS s FROM (SELECT o_custkey, avg(o_totalprice) AS m, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1))")
 def decay_weights(t):
     a = t("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
@@ -529,6 +544,42 @@ def batch_summary(t):
     return runs.groupBy("model_id").agg(F.count("*").alias("runs"), F.count_if(F.col("value") > 0).alias("with_score"), F.max_by("event_id", F.col("value") * 1000000 + F.col("event_id") / 1000000).alias("best"))
 
 
+@query("SELECT o_orderkey, l_partkey, 'stale' AS state FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate UNION SELECT o_orderkey, l_partkey, 'current' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate <= l_shipdate")
+def stale_items(t):
+    rows = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select("o_orderkey", "l_partkey", F.when(F.col("o_orderdate") > F.col("l_shipdate"), "stale").otherwise("current").alias("state")).distinct()
+
+
+@query("SELECT s_suppkey, s_nationkey::FLOAT AS a, s_acctbal::FLOAT AS b FROM supplier")
+def hub_vector_columns(t):
+    v = hub_vectors(t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey")
+    return v.select("s_suppkey", F.col("vector")[0].alias("a"), F.col("vector")[1].alias("b"))
+
+
+@query()
+def embed_items(t):
+    def hashed(texts):
+        import zlib
+
+        out = []
+        for text in texts:
+            v = [0.0] * 32
+            for w in text.split():
+                v[zlib.crc32(w.encode()) % 32] += 1.0
+            out.append(v)
+        return out
+
+    return vectors.embed_items(t("documents"), "doc_id", "text", hashed, 32)
+
+
+@query()
+def score_candidates(t):
+    e = t("embeddings")
+    ctx = vectors.mean_pool(e, "label", "embedding").groupBy(F.col("label").alias("context")).agg(F.sort_array(F.collect_list(F.struct("position", "mean"))).alias("p")).select("context", F.transform("p", lambda x: x["mean"]).alias("vector"))
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return models.score_candidates(ctx, rows, {"relu": models.Encoder.of_size(64, 1), "silu": models.Encoder.of_size(64, 2, "silu")}, 64)
+
+
 def flagship(t) -> DataFrame:
     """For each item its nearest items by weighted Jaccard distance, with the label of each hub."""
     h = hub_pairs(t)
