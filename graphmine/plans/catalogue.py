@@ -196,7 +196,17 @@ def stratified_sample(t):
     return sampling.stratified(t("documents"), "source", "doc_id", 0.1, 3, SEED).select("doc_id", "source")
 
 
-@query()
+def _slot(*parts: str) -> str:
+    return f"('0x' || substr({hash_sql(*parts)}, 1, 12))::BIGINT"
+
+
+@query(
+    f"WITH {E}, n AS (SELECT count(*) AS n FROM part), s AS (SELECT p_partkey AS item, {_slot('p_partkey')} % (SELECT n FROM n) AS slot FROM part), "
+    f"w AS (SELECT p_partkey AS target, j, {_slot('p_partkey', 'j')} % (SELECT n FROM n) AS slot FROM part, (SELECT unnest(range(1, 65)) AS j)), "
+    "d AS (SELECT target, s.item, min(j) AS j FROM w JOIN s USING (slot) WHERE s.item <> target GROUP BY ALL), "
+    "f AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e b USING (feature) WHERE a.item = d.target AND b.item = d.item)) "
+    "SELECT target, item FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY j, item) AS r FROM f) WHERE r <= 32"
+)
 def unrelated_sample(t):
     return sampling.unrelated_sample(t("part").select(F.col("p_partkey").alias("item")), edges_of(t), SEED)
 
