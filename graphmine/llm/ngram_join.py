@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .components import components
-from .shared import SLICES, IdFilter, combine_slices, save, slices_of
+from .shared import SLICES, IdFilter, combine_slices, release, save, slices_of, tidy
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
 TABLE_BITS = 22
@@ -42,7 +42,7 @@ GROUP = 256
 #: Classes of a cluster that are compared with as many others in a task.
 BLOCK = 2048
 #: Prefix shingles a bucket holds about.
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 600_000
 #: Bytes of sets in a task of the verification, about, and of one cluster there at most.
 BUCKET_BYTES, CLUSTER_BYTES = 16 << 20, 32 << 20
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
@@ -90,7 +90,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             blobs = slices_of(np.minimum(table, 65535).astype(np.uint16))
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "node", "n", "slice", "counts"])
 
-    return save(docs.mapInArrow(scan, "doc_id long, node long, n int, slice int, counts binary"), "profile")
+    return save(docs.mapInArrow(tidy(scan), "doc_id long, node long, n int, slice int, counts binary"), "profile")
 
 
 def _common(profile: DataFrame) -> np.ndarray:
@@ -102,6 +102,11 @@ def _common(profile: DataFrame) -> np.ndarray:
     return np.packbits(counts > mean + 4 * np.sqrt(mean) + 24)
 
 
+def _released(table: pa.Table) -> pa.Table:
+    release()
+    return table
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Two bytes for each number if they suffice, else four."""
     return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
@@ -164,7 +169,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets
                     pending = 0
         yield from flush()
 
-    return docs.mapInArrow(scan, "ord int, bucket int, nodes binary, sizes binary, keys binary, rows binary, places binary")
+    return docs.mapInArrow(tidy(scan), "ord int, bucket int, nodes binary, sizes binary, keys binary, rows binary, places binary")
 
 
 _PAIR = "x long, y long, nx int, ny int, ord int, c int, px int, py int, root long"
@@ -277,7 +282,7 @@ def _scan_sets(docs: DataFrame, k: int, wanted: IdFilter) -> DataFrame:
                     sets = [v[o[i] : o[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for i in at]
                     yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.mapInArrow(scan, "node long, set binary")
+    return docs.mapInArrow(tidy(scan), "node long, set binary")
 
 
 def _compare_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
@@ -331,7 +336,7 @@ def _compare_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int
                 break
             root = new
         moved = root != np.arange(len(node))
-        return pa.table({"x": node[root[moved]], "y": node[moved]})
+        return _released(pa.table({"x": node[root[moved]], "y": node[moved]}))
 
     sets = _scan_sets(docs, k, wanted).join(home, "node")
     return save(sets.groupBy("component", "a", "b").applyInArrow(compare, "x long, y long"), "links")
@@ -365,7 +370,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             if x[i] != last:
                 last, a = x[i], _unpack(own[x[i]].as_buffer())
             keep[i] = _similar(a, _unpack(own[y[i]].as_buffer()), percent)
-        return left.select(["x", "y"]).filter(pa.array(keep))
+        return _released(left.select(["x", "y"]).filter(pa.array(keep)))
 
     small = near.where("place is not null").groupBy("place").cogroup(sets.where("bucket is not null").groupBy("bucket")).applyInArrow(compare, "x long, y long")
     links = save(small, "links")
@@ -412,7 +417,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(12, -(-total * (100 - percent) // 100 // BUCKET_ROWS))
     text = docs.select("text")
     packed = _prefixes(text, k, percent, _common(profile), buckets)
-    found = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _bucket_pairs(t, percent), _PAIR), "found")
+    found = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_bucket_pairs(t, percent)), _PAIR), "found")
     clusters = components(found.where("root is not null"), "x", "root")
     links = _verify(text, save(_candidates(found, clusters, percent), "pairs"), k, percent)
     if not clusters.isEmpty():

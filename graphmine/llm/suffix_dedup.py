@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .shared import IdFilter, save
+from .shared import IdFilter, save, tidy
 
 K = 10
 #: Words and windows that a task holds before it hands them on.
-HOLD = 1_500_000
+HOLD = 800_000
 _ROOT = 0xD1342543DE82EF95
 _ROOT_INV = pow(_ROOT, -1, 1 << 64)
 
@@ -130,7 +130,7 @@ def _seeds(docs: DataFrame, min_words: int, k: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return save(docs.mapInArrow(scan, "doc_id long, uid long, n_words long, bucket int, one binary, more binary"), "seeds")
+    return save(docs.mapInArrow(tidy(scan), "doc_id long, uid long, n_words long, bucket int, one binary, more binary"), "seeds")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -196,7 +196,7 @@ def _windows(docs: DataFrame, min_words: int, k: int, wanted: IdFilter, buckets:
         if held:
             yield from flush()
 
-    return save(docs.mapInArrow(scan, _HIT), "windows")
+    return save(docs.mapInArrow(tidy(scan), _HIT), "windows")
 
 
 def _home(uid: np.ndarray, buckets: int) -> np.ndarray:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
+from .shared import release, tidy
 from .wordcode import WordTable
 
 ORDER, DECAY, ALPHABET = 4, 0.55, 32
@@ -410,6 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         got = sorted(zip(table.column(0).to_pylist(), (t or "" for t in table.column(1).to_pylist()), table.column(2).to_pylist(), strict=True))
         model = train([t for _, t, _ in got], [c for _, _, c in got])
         used = np.flatnonzero(model.weights)
+        release()
         return pa.table({"codes": pa.array([used.astype("<i4").tobytes()], pa.binary()), "weights": pa.array([model.weights[used].astype("<f4").tobytes()], pa.binary()), "bias": [float(model.bias)], "curve": pa.array([model.curve.astype("<f8").tobytes()], pa.binary())})
 
     found = rows.groupBy(F.lit("all")).applyInArrow(learn, "codes binary, weights binary, bias double, curve binary").collect()
@@ -443,7 +445,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*cols, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(tidy(scan), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
