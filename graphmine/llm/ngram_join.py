@@ -129,10 +129,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets
                 place = np.concatenate([h[2][order][2] for h in held])
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                some, cut = np.unique(bucket[by], return_index=True)
                 out = []
-                for i in range(buckets):
-                    mine = by[cut[i] : cut[i + 1]]
+                for i, mine in zip(some.tolist(), np.split(by, cut[1:]), strict=True):
                     if len(mine):
                         own, local = np.unique(row[mine], return_inverse=True)
                         out.append((order, i, nodes[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), _narrow(local), _narrow(place[mine])))

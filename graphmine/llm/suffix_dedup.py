@@ -105,10 +105,10 @@ def _seeds(docs: DataFrame, min_words: int, k: int, buckets: int) -> DataFrame:
             held.clear()
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            one = [key[by[cut[i] : cut[i + 1]]][count[by[cut[i] : cut[i + 1]]] == 1].tobytes() for i in some]
-            more = [key[by[cut[i] : cut[i + 1]]][count[by[cut[i] : cut[i + 1]]] > 1].tobytes() for i in some]
+            some, cut = np.unique(bucket[by], return_index=True)
+            cut = np.append(cut, len(by))
+            one = [key[by[a:b]][count[by[a:b]] == 1].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            more = [key[by[a:b]][count[by[a:b]] > 1].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             m = len(some)
             return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(some, pa.int32()), pa.array(one, pa.binary()), pa.array(more, pa.binary())], ["doc_id", "uid", "n_words", "bucket", "one", "more"])
 
@@ -147,11 +147,11 @@ _HIT = "kind int, bucket int, doc binary, uid binary, at binary, hash binary, ag
 
 def _pack(kind: int, bucket: np.ndarray, buckets: int, cols: list[np.ndarray]) -> pa.RecordBatch | None:
     by = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-    if not some:
+    some, cut = np.unique(bucket[by], return_index=True)
+    if not len(some):
         return None
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), *(pa.array([c[by[cut[i] : cut[i + 1]]].tobytes() for i in some], pa.binary()) for c in cols)], [c.split()[0] for c in _HIT.split(", ")])
+    cut = np.append(cut, len(by))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), *(pa.array([c[by[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for c in cols)], [c.split()[0] for c in _HIT.split(", ")])
 
 
 def _windows(docs: DataFrame, min_words: int, k: int, wanted: IdFilter, buckets: int) -> DataFrame:
@@ -264,7 +264,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col:
     if min_words < k:
         raise ValueError("a passage must have at least k words")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = _seeds(docs, min_words, k, 48)
+    profile = _seeds(docs, min_words, k, max(48, docs.count() // 10_000))
     rows = profile.where("bucket is null").select("doc_id", "uid", "n_words")
     seeds = save(profile.where("bucket is not null").groupBy("bucket").applyInArrow(_repeated, "seed long"), "repeated")
     total = rows.agg(F.sum("n_words")).first()[0] or 0
