@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
+from .shared import tidy
 
 KINDS = ("assign", "access", "hex", "model")
 # fixed values: the base patterns
@@ -312,7 +313,7 @@ def redact(docs: DataFrame, net: Network | None = None, mark: str = "[SECRET]",
     at = cols.index(text_col)
 
     def scan(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             texts = None
             for lo, _, data, offs in tb.chunks(batch.column(at)):
                 for i, spans in enumerate(find(data, offs, shared.value)):
@@ -329,4 +330,4 @@ def redact(docs: DataFrame, net: Network | None = None, mark: str = "[SECRET]",
                 columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, cols)
 
-    return docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(tidy(scan), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

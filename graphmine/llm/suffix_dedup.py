@@ -224,6 +224,13 @@ def _compare(table: pa.Table, buckets: int) -> pa.Table:
     return pa.Table.from_batches([out] if out is not None else [], schema)
 
 
+def _parts(batches, rows: int = 500):
+    """The batches in parts of few rows, so that few texts are copied at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _islands(uid: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uid, start, end) of the unions of [at, at + size), for sorted uid and at."""
     if not len(uid):
@@ -297,16 +304,16 @@ def remove_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col: st
     key, body = cols.index(id_col), cols.index(text_col)
 
     def name(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             doc = _ids(batch.column(key).cast(pa.int64()))
             uid = [_uids(doc[lo:hi], data, offs) for lo, hi, data, offs in tb.chunks(batch.column(body))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(uid) if uid else doc[:0])], [*cols, "_uid"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(name, schema + ", _uid long").join(cut.withColumnRenamed("uid", "_uid"), "_uid", "left").select(*cols, "removed_start", "removed_end")
+    marked = docs.mapInArrow(tidy(name), schema + ", _uid long").join(cut.withColumnRenamed("uid", "_uid"), "_uid", "left").select(*cols, "removed_start", "removed_end")
 
     def trim(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             text = batch.column(body)
             out = None
             for i, (a, b) in enumerate(zip(batch.column(len(cols)), batch.column(len(cols) + 1), strict=True)):
@@ -324,4 +331,4 @@ def remove_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col: st
                 columns[body] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, cols)
 
-    return marked.mapInArrow(trim, schema)
+    return marked.mapInArrow(tidy(trim), schema)
