@@ -1,8 +1,8 @@
-"""Secret scan: three fixed patterns, and a character convolutional network over every other candidate.
+"""Secret scan: three fixed patterns, and a character convolutional network over every candidate.
 
-A candidate is a maximal run of 14 or more characters of A-Z, a-z, 0-9 and +/_.=- that
-holds a digit, wherever it stands. The network sees it (of long ones the head and tail)
-with the text on both sides: one-hot characters, a convolution, maxima and means over the
+A candidate is a maximal run of 12 or more characters of A-Z, a-z, 0-9 and +/_.=-, wherever
+it stands, also where a pattern matches in it. The network sees it (a long one through
+windows that overlap, of which the likeliest counts) with the text on both sides: one-hot characters, a convolution, maxima and means over the
 left context, the candidate and the right context, a hidden layer. It is trained on
 labelled findings that `labelled_findings` makes from a seed: published formats of
 keys and tokens among words, against addresses, numbers, versions, paths, identifiers
@@ -31,15 +31,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
-CANDIDATE_LEAST = 14
+CANDIDATE_LEAST = 12
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 
 LEFT, BODY, RIGHT = 16, 48, 6
+STRIDE = 16
+#: Windows that are scored at once.
+BLOCK = 8192
 WIDTH, FILTERS, HIDDEN, CODES = 5, 24, 24, 99
 _CODE = np.full(256, 97, np.int64)  # other bytes
 _CODE[32:127] = np.arange(1, 96)
@@ -47,18 +48,22 @@ _CODE[[9, 10, 13]] = 96
 PAD = 0
 
 
-def window(data: np.ndarray, lo: int, hi: int, start: int, end: int) -> np.ndarray:
-    """Codes of the candidate data[start:end] of the text data[lo:hi], and of its surroundings."""
-    out = np.full(LEFT + BODY + RIGHT, PAD, np.int64)
-    a = max(lo, start - LEFT)
-    out[LEFT - (start - a) : LEFT] = _CODE[data[a:start]]
-    body = data[start:end]
-    if len(body) > BODY:
-        body = np.concatenate([body[: BODY - 16], body[-16:]])
-    out[LEFT : LEFT + len(body)] = _CODE[body]
-    b = min(hi, end + RIGHT)
-    out[LEFT + BODY : LEFT + BODY + b - end] = _CODE[data[end:b]]
-    return out
+def windows(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) of the windows of each run s:e: itself up to BODY characters, else pieces of BODY, STRIDE apart, the last at its end."""
+    more = np.maximum(0, -(-(e - s - BODY) // STRIDE))
+    run = np.repeat(np.arange(len(s)), more + 1)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    start = np.minimum(s[run] + k * STRIDE, np.maximum(s, e - BODY)[run])
+    return run, start, np.minimum(start + BODY, e[run])
+
+
+def codes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Codes of the windows data[start:end] of the texts data[lo:hi], and of their surroundings."""
+    at = np.concatenate([start[:, None] + np.arange(-LEFT, BODY), end[:, None] + np.arange(RIGHT)], axis=1)
+    least = np.concatenate([np.repeat(lo[:, None], LEFT, 1), np.repeat(start[:, None], BODY, 1), np.repeat(end[:, None], RIGHT, 1)], axis=1)
+    most = np.concatenate([np.repeat(start[:, None], LEFT, 1), np.repeat(end[:, None], BODY, 1), np.repeat(hi[:, None], RIGHT, 1)], axis=1)
+    inside = (at >= least) & (at < most)
+    return np.where(inside, _CODE[data[np.where(inside, at, 0)]], PAD)
 
 
 _AREAS = ((0, LEFT), (LEFT, LEFT + BODY), (LEFT + BODY, LEFT + BODY + RIGHT))
@@ -98,9 +103,12 @@ class Network:
 
 
 def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
-    """n labelled findings (text before, candidate, text after, 1 if it is a secret), half of each label."""
+    """n labelled findings (text before, value, text after, 1 if it is a secret), half of each label; a value may stand within a longer run."""
     rng = np.random.default_rng(seed)
     syllables = ["an", "the", "re", "on", "ti", "en", "er", "st", "ou", "cion", "mente", "que", "ung", "lich", "keit", "ment", "eau", "os", "ver", "ing", "ly", "la", "do", "ar"]
+    syllables = [*syllables, "ble", "wh", "nd", "ed", "her", "zu", "ich", "aux"] * 20
+    syllables += [c + v + z for c in ("b", "ch", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "pf", "qu", "r", "sch", "st", "t", "th", "tr", "v", "w", "z") for v in ("a", "e", "i", "o", "u", "ie", "eau") for z in ("", "n", "r", "s", "ch", "ft", "ld", "nd", "ng", "ns", "pf", "sch", "th", "tz", "ux", "x")]
+    syllables += ["sch", "tz", "pf", "th", "ch", "ndr", "bl"] * 6
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     hexa, alnum = digits + "abcdef", lower + lower.upper() + digits
 
@@ -117,12 +125,13 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         return " ".join(word() for _ in range(k))
 
     def secret() -> tuple[str, str]:
-        k = int(rng.integers(0, 12))
+        k = int(rng.integers(0, 16))
         value = [
             lambda: draw(hexa, pick_n(32, 40, 64)), lambda: draw(alnum, int(rng.integers(20, 49))), lambda: draw(alnum + "+/", int(rng.integers(24, 60))) + pick("", "=", "=="),
             lambda: "ghp_" + draw(alnum, 36), lambda: pick("xoxb-", "xoxp-") + draw(digits, 11) + "-" + draw(alnum, 24), lambda: "AIza" + draw(alnum + "_-", 35),
             lambda: "sk_live_" + draw(alnum, 24), lambda: "eyJ" + draw(alnum, 30) + "." + draw(alnum + "_-", 40) + "." + draw(alnum + "_-", 30), lambda: "AKIA" + draw(lower.upper() + digits, 16),
             lambda: "glpat-" + draw(alnum + "_-", 20), lambda: draw(hexa.upper(), 32), lambda: "SG." + draw(alnum + "_-", 22) + "." + draw(alnum + "_-", 43),
+            lambda: draw(alnum[:52], int(rng.integers(20, 49))), lambda: draw(hexa, 32) + "-" + draw(hexa, 8) + "-" + draw(hexa, 8), lambda: pick("key-", "sk-", "pk_") + draw(hexa, pick_n(16, 24, 32)), lambda: draw(alnum, int(rng.integers(12, 20))),
         ][k]()
         name = pick("token", "secret", "api key", "Authorization", "auth", "key", "password", "credential", "client_secret", "access", "")
         lead = pick(f"{name} = ", f"{name}: ", f'"{name}": "', f"{name} ", f"--{name} ", "") if name else ""
@@ -131,34 +140,57 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     def pick_n(*options: int) -> int:
         return options[int(rng.integers(0, len(options)))]
 
+    def cased(text: str) -> str:
+        return pick(text, text, text.capitalize(), text.upper())
+
+    def around(value: str) -> tuple[str, str]:
+        """What may stand before and after a value in the same run."""
+        way = "/".join(word() for _ in range(rng.integers(1, 12)))
+        return [lambda: (f"{word()}=", f".{word()}={word()}"), lambda: (way + "/", f"/{word()}.html"), lambda: (f"/{way}/{word()}=", ""), lambda: (f"{word()}={word()}.token=", f".{way}")][int(rng.integers(0, 4))]()
+
     def benign() -> tuple[str, str]:
-        k = int(rng.integers(0, 13))
+        k = int(rng.integers(0, 20))
         value = [
             lambda: ".".join(str(x) for x in rng.integers(10, 256, 4)) + pick("", "/24", ".in-addr.arpa"), lambda: draw(digits, int(rng.integers(14, 20))), lambda: "-".join(draw(digits, 4) for _ in range(4)),
             lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}", lambda: "/".join(word() for _ in range(4)) + f"/{rng.integers(1, 999)}.html", lambda: word(2, 4) + "." + word(2, 3) + f"{rng.integers(1, 999)}.example.com",
             lambda: "_".join(word() for _ in range(3)) + f"_{rng.integers(1, 99)}", lambda: word(3, 6) + str(rng.integers(1, 9999)), lambda: "v" + ".".join(str(x) for x in rng.integers(0, 30, 3)) + "-" + word(2, 3) + "." + str(rng.integers(1, 9)),
             lambda: "-" * int(rng.integers(8, 20)) + str(rng.integers(1, 999)) + "-" * 8, lambda: "+" + draw(digits, 2) + "-" + draw(digits, 3) + "-" + draw(digits, 4) + "-" + draw(digits, 4), lambda: "".join(word(1, 2).capitalize() for _ in range(4)) + str(rng.integers(1, 99)),
             lambda: "-".join(word(1, 2) for _ in range(4)) + "-" + str(rng.integers(1, 9999)),
+            lambda: cased(word(4, 8)), lambda: cased(word(4, 7)) + pick(".", "-", "="), lambda: cased(word(2, 5)) + pick("-", ".", "...", "--") + cased(word(2, 5)), lambda: pick("-", "=", "_", ".") * int(rng.integers(12, 60)),
+            lambda: "/".join(cased(word()) for _ in range(rng.integers(4, 20))), lambda: pick("&", ".", "/").replace("&", ".").join(f"{word()}={word()}" for _ in range(rng.integers(2, 9))), lambda: cased(word(4, 8)),
         ][k]()
         if len(value) < CANDIDATE_LEAST:
-            value += "." + word(4, 5) + str(rng.integers(0, 9))
+            value += "." + word(4, 5) + word(4, 5)
         return pick("", "", "at ", "no. ", "see ", "from ", "is "), value
 
     out = []
     for i in range(n):
         lead, value = secret() if i % 2 else benign()
         mark = pick("", "", "### ", "$$$ ", "%%% ", "(")
-        out.append((words(int(rng.integers(0, 6))) + pick(" ", "\n", ". ") + mark + lead, value, pick("", " ", ".", '"', "\n", "###", ")") + words(int(rng.integers(0, 3))), i % 2))
+        ahead, behind = around(value) if rng.integers(0, 5) == 0 else ("", "")
+        out.append((words(int(rng.integers(0, 6))) + pick(" ", "\n", ". ") + mark + lead + ahead, value, behind + pick("", " ", ".", '"', "\n", "###", ")") + words(int(rng.integers(0, 3))), i % 2))
     return out
 
 
-def _examples(findings: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    rows = []
-    for before, value, after, _ in findings:
+def _windows_of(findings: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, label, finding) of each window of the findings' runs; one that holds part of a secret, but less than 16 characters of it, is left out."""
+    rows, label, owner = [], [], []
+    for n, (before, value, after, secret) in enumerate(findings):
         a, b, c = before.encode(), value.encode(), after.encode()
         data = np.frombuffer(a + b + c, np.uint8)
-        rows.append(window(data, 0, len(data), len(a), len(a) + len(b)))
-    return np.array(rows), np.array([f[3] for f in findings])
+        s, e = _runs(_TOKEN[data], np.array([0, len(data)]), 1)
+        own = np.flatnonzero((s < len(a) + len(b)) & (e > len(a)))
+        _, start, end = windows(s[own], e[own])
+        shared = np.minimum(end, len(a) + len(b)) - np.maximum(start, len(a))
+        keep = (shared >= min(16, len(b))) | (shared <= 0) if secret else np.ones(len(start), bool)
+        rows.append(codes(data, np.zeros(len(start), np.int64), np.full(len(start), len(data)), start, end)[keep])
+        label.append(((shared > 0) & bool(secret)).astype(np.int64)[keep])
+        owner.append(np.full(int(keep.sum()), n))
+    return np.concatenate(rows), np.concatenate(label), np.concatenate(owner)
+
+
+def _examples(findings: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return _windows_of(findings)[:2]
 
 
 def train(n: int = 3000, epochs: int = 4, recall: float = 0.99, seed: int = 17) -> Network:
@@ -198,8 +230,11 @@ def train(n: int = 3000, epochs: int = 4, recall: float = 0.99, seed: int = 17)
                 v[p] = 0.999 * v[p] + 0.001 * np.square(g[p])
                 change = 0.004 * (m[p] / (1 - 0.9**step)) / (np.sqrt(v[p] / (1 - 0.999**step)) + 1e-8)
                 setattr(net, p, getattr(net, p) - (float(change) if p == "b2" else change.astype(f32)))
-    xv, yv = _examples(labelled_findings(n // 3, seed + 1))
-    z = net.logits(xv).astype(np.float64)
+    held = labelled_findings(n // 3, seed + 1)
+    xv, _, owner = _windows_of(held)
+    yv = np.array([f[3] for f in held])
+    z = np.full(len(held), -np.inf)
+    np.maximum.at(z, owner, net.logits(xv).astype(np.float64))
     for _ in range(50):  # Platt's curve by Newton steps
         p = 1 / (1 + np.exp(-np.clip(net.slope * z + net.bias, -60, 60)))
         t = np.where(yv == 1, (yv.sum() + 1) / (yv.sum() + 2), 1 / (len(yv) - yv.sum() + 2))
@@ -208,8 +243,10 @@ def train(n: int = 3000, epochs: int = 4, recall: float = 0.99, seed: int = 17)
         hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum()]])
         move = np.linalg.solve(hess, grad)
         net.slope, net.bias = net.slope - np.clip(move[0], -1, 1), net.bias - np.clip(move[1], -1, 1)
-    own = np.sort(net.probability(xv)[yv == 1])
-    net.threshold = float(max(0.5, own[int((1 - recall) * len(own))]))
+    found = np.zeros(len(held))
+    np.maximum.at(found, owner, net.probability(xv))
+    own = np.sort(found[yv == 1])
+    net.threshold = float(own[int((1 - recall) * len(own))])
     return net
 
 
@@ -243,9 +280,6 @@ def find(data: np.ndarray, offs: np.ndarray, net: Network) -> list[list[tuple[in
     add(2, s, e)
     raw = data.tobytes()
     low = tb.LOWER[data].tobytes()
-    covered = np.zeros(len(data) + 1, np.int64)
-    np.add.at(covered, s, 1)
-    np.add.at(covered, e, -1)
     for kind, hints, where in ((0, [k.encode() for k in KEYWORDS], low), (1, [b"AKIA"], raw)):
         texts = set()
         for hint in hints:
@@ -257,26 +291,19 @@ def find(data: np.ndarray, offs: np.ndarray, net: Network) -> list[list[tuple[in
                 at = where.find(hint, int(offs[i + 1]))
         for i in sorted(texts):
             text = raw[offs[i] : offs[i + 1]].decode()
-            place = None
             for match in (ASSIGN if kind == 0 else ACCESS).finditer(text):
                 a, b = match.span()
                 if (len(match[2]) if kind == 0 else b - a) >= (ASSIGN_LEAST if kind == 0 else ACCESS_LEAST):
                     out[i].append((a, kind, b))
-                    if place is None:
-                        place = np.append(np.flatnonzero(begun[offs[i] : offs[i + 1]]), offs[i + 1] - offs[i]) + offs[i]
-                    covered[place[a]] += 1
-                    covered[place[b]] -= 1
-    inside = np.cumsum(covered[:-1]) > 0
     s, e = _runs(_TOKEN[data], offs, CANDIDATE_LEAST)
-    digit = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    taken = np.concatenate([[0], np.cumsum(inside)])
-    ok = (digit[e] > digit[s]) & (taken[e] == taken[s])
-    s, e = s[ok], e[ok]
-    if len(s):
-        t = text_of(s)
-        x = np.array([window(data, int(offs[i]), int(offs[i + 1]), int(a), int(b)) for i, a, b in zip(t, s, e, strict=True)])
-        hit = net.probability(x) >= net.threshold
-        add(3, s[hit], e[hit])
+    t = text_of(s)
+    run, start, end = windows(s, e)
+    best = np.zeros(len(s))
+    for lo in range(0, len(run), BLOCK):
+        r, a, b = run[lo : lo + BLOCK], start[lo : lo + BLOCK], end[lo : lo + BLOCK]
+        np.maximum.at(best, r, net.probability(codes(data, offs[t[r]], offs[t[r] + 1], a, b)))
+    hit = best >= net.threshold
+    add(3, s[hit], e[hit])
     for spans in out:
         spans.sort()
     return out

@@ -207,6 +207,40 @@ def test_secrets(spark, docs, empty):
     assert hit[y == 1].mean() >= 0.9 and hit[y == 0].mean() <= 0.1
 
 
+def test_secrets_within_runs():
+    """Keys that go on after a base match, stand deep in a long run or hold no digit are covered as a whole."""
+    net, rng = secrets.train(1200, 3), np.random.default_rng(4)
+    draw = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
+    hexa, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    made = {
+        "goes on": lambda: ("see ", f"{draw(hexa, 32)}-{draw(hexa, 8)}-{draw(hexa, 8)}", " there"),
+        "prefixed": lambda: ("see ", "key-" + draw(hexa, 16), " there"),
+        "deep": lambda: ("see /home/someone/project/modules/configuration/", "ghp_" + draw(letters + hexa, 36), "/further/down/the/same/path/index.html there"),
+        "letters": lambda: ("see ", draw(letters, 32), " there"),
+    }
+    for name, make in made.items():
+        found = 0
+        for _ in range(100):
+            before, key, after = make()
+            data = np.frombuffer((before + key + after).encode(), np.uint8)
+            spans = secrets.find(data, np.array([0, len(data)]), net)[0]
+            found += any(a <= len(before) and b >= len(before) + len(key) for a, _, b in spans)
+        assert found >= 95, name
+    s, e = np.array([0, 5, 100]), np.array([3, 53, 100 + 1000])
+    run, start, end = secrets.windows(s, e)
+    assert (end - start <= secrets.BODY).all() and np.bincount(run).tolist()[:2] == [1, 1]
+    assert (start[2], end[-1]) == (100, 1100) and (np.diff(start[2:]) <= secrets.STRIDE).all()
+
+
+def test_secrets_threshold_keeps_recall():
+    for seed in (3, 17):
+        net = secrets.train(600, 2, recall=0.99, seed=seed)
+        codes, _, owner = secrets._windows_of(held := secrets.labelled_findings(200, seed + 1))
+        best = np.zeros(200)
+        np.maximum.at(best, owner, net.probability(codes))
+        assert (best[[i for i, f in enumerate(held) if f[3]]] >= net.threshold).mean() >= 0.99
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(6)
     rows, labels = [], []
