@@ -148,6 +148,12 @@ def _distances(t):
     return graph.shared_feature_pairs(edges, graph.feature_weights(edges), D)
 
 
+def _candidate_distances(t):
+    """Distances on the pairs of rare features and on the sampled pairs of common ones."""
+    edges, sizes = edges_of(t), t("part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("size"))
+    return graph.weighted_jaccard(graph.candidates(edges, sizes, D, K, SEED), edges, graph.feature_weights(edges))
+
+
 @query(f"WITH {P} SELECT target, item, round(sim, 6) AS similarity FROM d")
 def weighted_jaccard(t):
     return _distances(t).select("target", "item", r6(F.col("similarity"), "similarity"))
@@ -213,7 +219,7 @@ def unrelated_sample(t):
 
 @query()
 def training_records(t):
-    h, d = hub_pairs(t), _distances(t)
+    h, d = hub_pairs(t), _candidate_distances(t)
     sample = sampling.labelled_sample(sampling.known_split(d, h, h), sampling.distance_stats(d), SEED)
     items = t("part").select(F.col("p_partkey").alias("item"))
     return sampling.training_records(sample, sampling.unrelated_sample(items, edges_of(t), SEED), sampling.split_targets(t("part"), "p_partkey", SEED))
@@ -593,4 +599,4 @@ def score_candidates(t):
 def flagship(t) -> DataFrame:
     """For each item its nearest items by weighted Jaccard distance, with the label of each hub."""
     h = hub_pairs(t)
-    return sampling.known_split(_distances(t), h, h)
+    return sampling.known_split(_candidate_distances(t), h, h)

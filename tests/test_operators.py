@@ -33,6 +33,18 @@ def test_candidates_bound(spark, edges):
     assert got == {("a", "b"), ("b", "a"), ("c", "a")}
 
 
+def test_distances_keep_common_features(spark):
+    """The flagship's pairs are those of candidates_sampled, with each common feature sampled and not left out."""
+    from graphmine.plans import catalogue
+
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    want = {tuple(r) for r in catalogue.QUERIES["candidates_sampled"](spark, "/root/testdata/sf0.001").collect()}
+    own = {r["item"] for r in catalogue.hub_pairs(t).select("item").distinct().collect()}
+    got = {tuple(r) for r in catalogue.flagship(t).select("target", "item").distinct().collect()}
+    assert got == {p for p in want if p[0] in own}
+    assert len(got) > catalogue._distances(t).count()
+
+
 def test_minimal_sets(spark):
     rows = [("1", ["p"], 1), ("2", ["p", "q"], 2), ("3", ["q", "r"], 2), ("4", ["p", "q", "r"], 3), ("5", ["q", "r"], 2)]
     got = {r["id"] for r in graph.minimal_sets(spark.createDataFrame(rows, "id string, elems array<string>, size int")).collect()}
