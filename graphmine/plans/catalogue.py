@@ -214,7 +214,7 @@ def _slot(*parts: str) -> str:
     "SELECT target, item FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY j, item) AS r FROM f) WHERE r <= 32"
 )
 def unrelated_sample(t):
-    return sampling.unrelated_sample(t("part").select(F.col("p_partkey").alias("item")), edges_of(t), SEED)
+    return sampling.unrelated_drawn(t("part").select(F.col("p_partkey").alias("item")), edges_of(t), SEED)
 
 
 @query()

@@ -66,6 +66,21 @@ def test_unrelated_share_no_feature(spark, edges):
     assert got and all({"d"} & set(p) for p in got)
 
 
+def test_unrelated_are_k_where_k_exist(spark):
+    """Targets related to most items still get k others, or all that exist."""
+    rows = [(i, f) for i in range(200) for f in (["big"] if i < 190 else [f"own{i}"])] + [(i, "wide") for i in (0, 195, 196, 197)]
+    edges = spark.createDataFrame(rows, "item long, feature string")
+    features = {}
+    for i, f in rows:
+        features.setdefault(i, set()).add(f)
+    got = {}
+    for r in sampling.unrelated_sample(edges.select("item"), edges, 5, k=8, draw=4, rounds=2).collect():
+        got.setdefault(r["target"], set()).add(r["item"])
+    for i in features:
+        free = {j for j in features if j != i and not features[i] & features[j]}
+        assert got[i] <= free and len(got[i]) == min(8, len(free)), i
+
+
 def test_rank_metrics(spark):
     rows = spark.createDataFrame([("c", i, 1.0 / i) for i in range(1, 5)], "context string, id int, score double")
     held = spark.createDataFrame([("c", 2), ("c", 9)], "context string, id int")
