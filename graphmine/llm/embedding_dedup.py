@@ -6,12 +6,12 @@ many directions.
 
 * Groups of `per_table` directions, each cut into intervals at a random offset, deal the vectors to
   cells, so that only vectors that share a cell of at least one table meet.
-* In a cell the vectors are sorted by one value. Around each query lies its window, and
-  for each pair in there the directions are counted in which the values differ by at
+* In a cell the vectors are sorted by one value, and a query meets the ones whose value lies within
+  its reach. For each pair in there the directions are counted in which the values differ by at
   most the window's half width. Pairs that reach the calibrated count are verified
   in double precision on the original vectors.
 
-The number of tables and the count follow from the asked recall at the threshold (closer
+The number of tables, the count and the reach follow from the asked recall at the threshold, each with a third of the misses (closer
 pairs are found more surely still). A pair that meets in several tables counts in the
 first one. Equal vectors form one class, of which one copy goes on.
 """
@@ -19,6 +19,7 @@ first one. Equal vectors form one class, of which one copy goes on.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -94,28 +95,29 @@ def _normal(z: float) -> float:
     return 0.5 * (1 + math.erf(z / math.sqrt(2)))
 
 
-def plan(n: int, threshold: float, recall: float) -> tuple[int, int, int]:
-    """(directions per table, tables, least count) for n vectors."""
+def plan(n: int, threshold: float, recall: float) -> tuple[int, int, int, float]:
+    """(directions per table, tables, least count, reach in the sorted value) for n vectors."""
+    miss = (1 - recall) / 3  # of the tables, of the count and of the reach
     d = math.sqrt(max(2 - 2 * threshold, 1e-6))
     per_table = max(2, round(math.log2(max(n, 4) / CELL_ROWS)) if n > CELL_ROWS else 2)
     r = CELL_WIDTH / d
     same = 2 * _normal(r) - 1 - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
-    tables = max(4, math.ceil(math.log((1 - recall) / 2) / math.log(1 - same**per_table)))
+    tables = max(4, math.ceil(math.log(miss) / math.log(1 - same**per_table)))
     p = 2 * _normal(HALF_WINDOW / d) - 1
     tail, least = 0.0, COUNTED
     for c in range(COUNTED, -1, -1):
         tail += math.comb(COUNTED, c) * p**c * (1 - p) ** (COUNTED - c)
         least = c
-        if tail >= 1 - (1 - recall) / 2:
+        if tail >= 1 - miss:
             break
-    return per_table, tables, least
+    return per_table, tables, least, d * NormalDist().inv_cdf(1 - miss / 2)
 
 
-def _links_of_cell(x: np.ndarray, value: np.ndarray, keys: np.ndarray, table: int, side: np.ndarray, least: int, threshold: float):
+def _links_of_cell(x: np.ndarray, value: np.ndarray, keys: np.ndarray, table: int, side: np.ndarray, least: int, threshold: float, reach: float):
     """Pairs (i, j) of the rows of one cell, i before j in the order of a value, that are linked and meet in no earlier table. side: two blocks that only meet each other (0, 1), or one (2)."""
     order = np.argsort(value[:, 0], kind="stable")
     v = value[order]
-    stop = np.searchsorted(v[:, 0], v[:, 0] + HALF_WINDOW, "right")
+    stop = np.searchsorted(v[:, 0], v[:, 0] + reach, "right")
     found = []
     for lo in range(0, len(order), 256):
         hi = min(lo + 256, len(order))
@@ -178,7 +180,7 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
     dims = heads.select((F.length("vec") / 8).cast("int").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return table.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    per_table, tables, least = plan(n, threshold, recall)
+    per_table, tables, least, reach = plan(n, threshold, recall)
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(dims["d"], per_table * tables + COUNTED))
     offset = rng.uniform(0, CELL_WIDTH, per_table * tables)
@@ -239,7 +241,7 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
             if b - a < 2:
                 continue
             own = order[a:b]
-            i, j = _links_of_cell(x[own], value[own], keys[own], int(tab[own[0]]), side[own], least, threshold)
+            i, j = _links_of_cell(x[own], value[own], keys[own], int(tab[own[0]]), side[own], least, threshold, reach)
             if len(i):
                 links[own] += np.bincount(i, size[own][j], len(own)).astype(np.int64) + np.bincount(j, size[own][i], len(own)).astype(np.int64)
                 root[own] = own[_roots(len(own), i, j)]

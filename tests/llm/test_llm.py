@@ -308,6 +308,19 @@ def test_embedding_dedup(vectors):
     assert embedding_dedup.embedding_dedup(table.limit(0)).count() == 0
 
 
+def test_embedding_recall_in_a_dense_cell():
+    """Pairs just over the threshold in one cell of several thousand rows are met."""
+    rng, n, d, cosine = np.random.default_rng(8), 3000, 64, 0.905
+    one = embedding_dedup.unit(rng.normal(size=(n, d)))
+    other = rng.normal(size=(n, d))
+    other = embedding_dedup.unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    x = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * other])
+    _, _, least, reach = embedding_dedup.plan(2 * n, 0.9, 0.998)
+    i, j = embedding_dedup._links_of_cell(x, x @ rng.normal(size=(d, embedding_dedup.COUNTED)), np.zeros((2 * n, 1), np.uint64), 0, np.full(2 * n, 2), least, 0.9, reach)
+    met = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert sum((k, k + n) in met for k in range(n)) >= 0.998 * n
+
+
 def test_nearest(vectors):
     table, x = vectors
     u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
