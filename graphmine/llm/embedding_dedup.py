@@ -36,8 +36,10 @@ CELL_WIDTH, HALF_WINDOW = 2.0, 1.0
 COUNTED = 16
 #: Vectors a cell has about; directions of a table follow from it.
 CELL_ROWS = 600
-#: A cell of more vectors is dealt over SPLIT * (SPLIT + 1) / 2 tasks.
-LARGE_CELL, SPLIT = 6000, 8
+#: A cell of more vectors is dealt to blocks of about BLOCK vectors, of which each two meet in a place.
+LARGE_CELL, BLOCK = 6000, 3000
+#: Placements of a task, about, and those that are made at once.
+TASK_ROWS, MADE = 40_000, 50_000
 
 
 def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +148,24 @@ def _links_of_cell(x: np.ndarray, value: np.ndarray, keys: np.ndarray, table: in
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def placements(keys: np.ndarray, cls: np.ndarray, parts: np.ndarray):
+    """Yield (row, table, place, side) of the rows' cells, at most MADE at once.
+
+    keys and parts: rows x tables, a cell and the number of its blocks; cls picks a row's block. A row
+    of a cell with several blocks meets each block in one place, so any two rows of the cell meet in one.
+    """
+    flat, tables = parts.ravel(), parts.shape[1]
+    ends = np.cumsum(flat)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, MADE):
+        at = np.arange(lo, min(lo + MADE, int(ends[-1])))
+        cell = np.searchsorted(ends, at, "right")
+        p = flat[cell].astype(np.uint64)
+        other = (at - (ends[cell] - flat[cell])).astype(np.uint64)
+        own = tb.mix(cls.view(np.uint64)[cell // tables]) % p
+        a, b = np.minimum(own, other), np.maximum(own, other)
+        yield cell // tables, cell % tables, tb.mix(keys.ravel()[cell] + a * p + b), np.where(a == b, 2, (own == b).astype(np.int64))
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row reachable from each of n rows."""
     label = np.arange(n)
@@ -185,7 +205,6 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
     base = rng.normal(size=(dims["d"], per_table * tables + COUNTED))
     offset = rng.uniform(0, CELL_WIDTH, per_table * tables)
     shared = spark.sparkContext.broadcast((base, offset))  # a size that grows with the number of tables only
-    buckets = max(24, n * tables // 40_000)
 
     def keyed(vecs):
         x, rows = _matrix(vecs)
@@ -206,34 +225,60 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], ["cell"])
 
     sizes = heads.select("vec").mapInArrow(cells, "cell long").groupBy("cell").count().where(f"count > {LARGE_CELL}")
-    sizes = save(sizes, "cells")
-    large = IdFilter.of(sizes, "cell", sizes.count())
+    sizes = save(sizes.select("cell", "count", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts")), "cells")
+    total = sizes.agg(F.count("*").alias("cells"), F.coalesce(F.sum(F.col("count") * (F.col("parts") - 1)), F.lit(0)).alias("more")).first()
+    buckets = max(24, (n * tables + total["more"]) // TASK_ROWS)
+    large = IdFilter.of(sizes, "cell", total["cells"])
+
+    def wide(batches):
+        """(class, tab, cell) of the rows' cells that may be large."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                rows, _, _, keys = keyed(part.column(1))
+                row, tab = np.nonzero(large(keys.ravel().view(np.int64)).reshape(keys.shape))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(tab), pa.array(keys[row, tab].view(np.int64))], ["class", "tab", "cell"])
+
+    dealt = heads.withColumn("blocks", F.lit(None).cast("array<long>"))
+    if total["cells"]:
+        blocks = heads.select("class", "vec").mapInArrow(wide, "class long, tab long, cell long").join(sizes.select("cell", "parts"), "cell")
+        # table and number of blocks in one number
+        dealt = heads.join(blocks.groupBy("class").agg(F.collect_list(F.col("parts") * tables + F.col("tab")).alias("blocks")), "class", "left")
 
     def deal(batches):
+        """One row for each vector and bucket, with its places there."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 rows, u, value, keys = keyed(part.column(1))
                 if not len(rows):
                     continue
-                big = large(keys.ravel().view(np.int64)).reshape(keys.shape)
-                row, tab = np.nonzero(np.ones(keys.shape, bool))
-                wide = big[row, tab]
-                own = (tb.mix(part.column(0).take(pa.array(rows)).to_numpy().view(np.uint64)) % np.uint64(SPLIT)).astype(np.int64)
-                # a row of a large cell meets each block once
-                other = np.concatenate([np.full(int((~wide).sum()), -1), np.tile(np.arange(SPLIT), int(wide.sum()))])
-                row, tab = np.concatenate([row[~wide], np.repeat(row[wide], SPLIT)]), np.concatenate([tab[~wide], np.repeat(tab[wide], SPLIT)])
-                a, b = np.where(other < 0, 0, np.minimum(own[row], other)), np.where(other < 0, 0, np.maximum(own[row], other))
-                side = np.where((other < 0) | (a == b), 2, (own[row] == b).astype(np.int64))
-                place = tb.mix(keys[row, tab] + (a * SPLIT + b).astype(np.uint64))
-                bucket = (place % np.uint64(buckets)).astype(np.int32)
-                take = pa.array(rows[row])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(place.view(np.int64)), pa.array(tab.astype(np.int32)), pa.array(side.astype(np.int32)), part.column(0).take(take), part.column(2).take(take), tb.binaries(u[row], np.arange(len(row) + 1) * u.shape[1]), tb.binaries(value[row], np.arange(len(row) + 1) * COUNTED), tb.binaries(keys[row], np.arange(len(row) + 1) * tables)], ["bucket", "place", "tab", "side", "class", "size", "x", "v", "k"])
+                parts = np.ones((part.num_rows, tables), np.int64)
+                listed = part.column(3)
+                packed = listed.flatten().to_numpy(zero_copy_only=False)
+                count = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                parts[np.repeat(np.arange(part.num_rows), count), packed % tables] = packed // tables
+                cls = part.column(0).take(pa.array(rows)).to_numpy()
+                for row, tab, place, side in placements(keys, cls, parts[rows]):
+                    bucket = (place % np.uint64(buckets)).astype(np.int64)
+                    order = np.lexsort((bucket, row))
+                    row, bucket, place, code = row[order], bucket[order], place[order], (4 * tab + side)[order]
+                    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+                    offs = np.append(first, len(row))
+                    # a vector may be repeated for many buckets
+                    for at in range(0, len(first), 5000):
+                        r, o = row[first[at : at + 5000]], offs[at : at + 5001]
+                        take = pa.array(rows[r])
+                        bins = [tb.binaries(x[r], np.arange(len(r) + 1) * x.shape[1]) for x in (u, value, keys)]
+                        places = [tb.binaries(x[o[0] : o[-1]], o - o[0]) for x in (place, code)]
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket[first[at : at + 5000]].astype(np.int32)), part.column(0).take(take), part.column(2).take(take), *bins, *places], ["bucket", "class", "size", "x", "v", "k", "place", "code"])
 
     def link(got: pa.Table) -> pa.Table:
-        place, tab, side, cls, size = (got.column(c).to_numpy() for c in ("place", "tab", "side", "class", "size"))
-        shape = lambda c, t: tb.unbinaries(got.column(c), t)[0].reshape(len(place), -1)
+        cls, size = (got.column(c).to_numpy() for c in ("class", "size"))
+        shape = lambda c, t: tb.unbinaries(got.column(c), t)[0].reshape(len(cls), -1)
         x, value, keys = shape("x", np.float64), shape("v", np.float64), shape("k", np.uint64)
+        place, offs = tb.unbinaries(got.column("place"), np.uint64)
+        code, row = tb.unbinaries(got.column("code"), np.int64)[0], np.repeat(np.arange(len(cls)), np.diff(offs))
         order = np.argsort(place, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1], [True]]))
         links, root, seen = np.zeros(len(place), np.int64), np.arange(len(place)), np.zeros(len(place), bool)
@@ -241,14 +286,16 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
             if b - a < 2:
                 continue
             own = order[a:b]
-            i, j = _links_of_cell(x[own], value[own], keys[own], int(tab[own[0]]), side[own], least, threshold, reach)
+            r = row[own]
+            i, j = _links_of_cell(x[r], value[r], keys[r], int(code[own[0]] // 4), code[own] % 4, least, threshold, reach)
             if len(i):
-                links[own] += np.bincount(i, size[own][j], len(own)).astype(np.int64) + np.bincount(j, size[own][i], len(own)).astype(np.int64)
+                links[own] += np.bincount(i, size[r][j], len(own)).astype(np.int64) + np.bincount(j, size[r][i], len(own)).astype(np.int64)
                 root[own] = own[_roots(len(own), i, j)]
                 seen[own[i]] = seen[own[j]] = True
-        return pa.table({"class": cls[seen], "links": links[seen], "other": cls[root[seen]]})
+        return pa.table({"class": cls[row[seen]], "links": links[seen], "other": cls[row[root[seen]]]})
 
-    found = save(heads.mapInArrow(lambda it: deal(b.select(["class", "vec", "size"]) for b in it), "bucket int, place long, tab int, side int, class long, size long, x binary, v binary, k binary").groupBy("bucket").applyInArrow(link, "class long, links long, other long"), "found")
+    rows_of = "bucket int, class long, size long, x binary, v binary, k binary, place binary, code binary"
+    found = save(dealt.select("class", "vec", "size", "blocks").mapInArrow(deal, rows_of).groupBy("bucket").applyInArrow(link, "class long, links long, other long"), "found")
     near = components(found, "class", "other")
     counted = found.groupBy("class").agg(F.sum("links").alias("links"))
     named = classes.join(near.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

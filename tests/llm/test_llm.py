@@ -321,6 +321,27 @@ def test_embedding_recall_in_a_dense_cell():
     assert sum((k, k + n) in met for k in range(n)) >= 0.998 * n
 
 
+def test_embedding_blocks_are_bounded(vectors, monkeypatch):
+    """A large cell goes to blocks by its size: each two rows meet once, in a place of bounded size."""
+    m = 40_000
+    cls = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, m)
+    parts = np.full((m, 1), -(-m // embedding_dedup.BLOCK), np.int64)
+    row, _, place, side = (np.concatenate(c) for c in zip(*embedding_dedup.placements(np.full((m, 1), 7, np.uint64), cls, parts), strict=True))
+    n, two = np.unique(place, return_counts=True)
+    assert two.max() <= 2.3 * embedding_dedup.BLOCK
+    some, met = np.arange(60), np.zeros((60, 60), int)
+    for p in n:
+        here = np.flatnonzero((place == p) & (row < 60))
+        r, s = row[here], side[here]
+        met[np.ix_(r, r)] += (s[:, None] == 2) | (s[:, None] != s[None])
+    assert (met[some[:, None] != some] == 1).all()
+    table, _ = vectors
+    want = {tuple(r) for r in embedding_dedup.embedding_dedup(table).collect()}
+    monkeypatch.setattr(embedding_dedup, "LARGE_CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
+    assert {tuple(r) for r in embedding_dedup.embedding_dedup(table).collect()} == want
+
+
 def test_nearest(vectors):
     table, x = vectors
     u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
