@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Contexts that are scored in one pass over the candidates.
+CONTEXTS = 1000
+
+
 @dataclass
 class Encoder:
     """Layer norm, then three linear layers with an activation between them."""
@@ -36,10 +43,20 @@ class Encoder:
 def score_candidates(contexts: DataFrame, candidates: DataFrame, models: dict[str, Encoder], dim: int) -> DataFrame:
     """(model_id, context, id, score): dot product of each candidate with each encoded context.
 
-    contexts (context, vector) are few, one for each hub, and are encoded once a model; the
-    candidates (id, vector) stream through in batches. A model that fails gives no row.
+    contexts (context, vector), one for each hub, are encoded once a model, CONTEXTS at a time; the
+    candidates (id, vector) stream through in batches for each. A model that fails gives no row.
     """
-    few = contexts.limit(1000).collect()  # a fixed bound: hubs
+    rows = contexts.toLocalIterator()
+    parts = [_scores(few, contexts, candidates, models, dim) for few in _chunks(rows, CONTEXTS)]
+    return reduce(DataFrame.union, parts) if parts else _scores([], contexts, candidates, models, dim)
+
+
+def _chunks(rows: Iterator, size: int) -> Iterator[list]:
+    while few := list(islice(rows, size)):
+        yield few
+
+
+def _scores(few: list, contexts: DataFrame, candidates: DataFrame, models: dict[str, Encoder], dim: int) -> DataFrame:
     names, matrix = [], []
     for model, encoder in models.items():
         x = np.array([r["vector"] for r in few], float).reshape(-1, dim)

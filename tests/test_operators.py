@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmine import functions as fn
 from graphmine import sources
-from graphmine.operators import clean, graph, patterns, rank, registry, sampling, vectors
+from graphmine.operators import clean, graph, models, patterns, rank, registry, sampling, vectors
 from graphmine.streaming import upsert_stream
 
 
@@ -143,6 +143,14 @@ def test_vectors(spark):
     assert sorted(r["id"] for r in got) == [1, 3]
 
 
+def test_scores_of_all_contexts(spark):
+    contexts = spark.range(1003).select(F.col("id").alias("context"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    rows = spark.createDataFrame([(7, [1.0, 2.0]), (8, [0.5, -1.0])], "id long, vector array<double>")
+    got = models.score_candidates(contexts, rows, {"m": models.Encoder.of_size(2, 1)}, 2).select("context", "id").collect()
+    assert len(got) == 2006 and {tuple(r) for r in got} == {(c, i) for c in range(1003) for i in (7, 8)}
+    assert models.score_candidates(contexts.limit(0), rows, {"m": models.Encoder.of_size(2, 1)}, 2).isEmpty()
+
+
 def test_stream(spark, tmp_path):
     for i, rows in enumerate(([(1, "a", 1)], [(1, "b", 2), (2, "c", 2)])):
         spark.createDataFrame(rows, "k int, v string, t int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
