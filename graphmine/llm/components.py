@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import drop_saved, save, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,10 +32,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges with a null end and loops are ignored; an empty table gives no row.
     """
+    spark, before = edges.sparkSession, saved()
     now = save(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
         now = save(_small_star(_large_star(now)), "edges")
+        drop_saved(spark, before, now)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (got["n"], got["h"]):
             break

@@ -3,21 +3,25 @@
 A document is the set of its distinct k-word shingles. Any global order of the
 shingles gives a filter: two sets with a Jaccard similarity of t share one of
 the first n - ceil(t n) + 1 shingles of each (their prefixes). Here a pair must
-pass under two independent orders, and under each order the number and places of the
-shared prefix shingles must still allow the needed overlap; the pairs that pass
-both are verified on the whole sets.
+share one under each of two orders. Both put frequent shingles last, by the level of
+their count, and differ in the order within a level.
 
 The jobs:
 
-1. `_profile` reads the texts: each row's set size and set hash (equal sets form one
-   class, of which one copy goes on), and a count table of fixed size that tells
-   very common shingles. Both orders put these last.
-2. `_prefixes` deals the prefix shingles to buckets by hash, as packed arrays.
-3. `_bucket_pairs` finds in each bucket the pairs that share a shingle. Classes that
-   hang together by shingles that over GROUP of them share make up a cluster instead.
-4. `_verify` compares the whole sets of the pairs that are left.
-5. `_compare_clusters` compares the classes of a cluster in blocks, without a row for a
-   pair: only links that span its components leave a task.
+1. `_profile` reads the texts once: each row's set size and set hash (equal sets form one
+   class, of which one copy goes on), the classes' sets as packed 40-bit hashes, and a
+   count table of fixed size for the levels.
+2. `_stars` merges what is plainly alike: classes with the same lowest shingle under one of
+   a few random orders are compared with one of them. The links found make components;
+   what follows looks only for links between these, so a group of near copies
+   makes no pair for each two of its members.
+3. `_prefixes` deals the prefix shingles of each order to buckets, as packed arrays, and
+   `_live` keeps those that classes of different components share.
+4. `_pairs` meets these classes by shingle and order. Before a pair becomes a row, the sizes
+   must fit, and so must the distance of the two sets' parity sketches, a lower bound of the
+   number of shingles that only one of them has: neither test loses a link. Pairs found
+   under both orders are left.
+5. `_verify` compares the whole sets of these pairs.
 
 Shingles are compared by 64-bit hashes, in verification by 40 bits of them.
 """
@@ -37,15 +41,23 @@ from .shared import SLICES, IdFilter, combine_slices, release, save, slices_of,
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
 TABLE_BITS = 22
-#: Classes that share a prefix shingle with more than this many form a cluster, compared as a whole.
-GROUP = 256
-#: Classes of a cluster that are compared with as many others in a task.
-BLOCK = 2048
-#: Prefix shingles a bucket holds about.
-BUCKET_ROWS = 600_000
-#: Bytes of sets in a task of the verification, about, and of one cluster there at most.
-BUCKET_BYTES, CLUSTER_BYTES = 16 << 20, 32 << 20
+#: Levels of the counts.
+LEVELS = 15
+#: Prefix shingles that a bucket holds about; a shingle of more classes is dealt to several.
+BUCKET_ROWS = 1_000_000
+#: Classes of one shingle that meet in one place.
+BLOCK = 4096
+#: Postings that meet in a task of the pair search, about.
+MEET_ROWS = 100_000
+#: Pairs that are held at once.
+STEP = 400_000
+#: Bytes of sets in a task of the verification, about, and pairs of one class there at most.
+BUCKET_BYTES, FAN = 16 << 20, 256
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+STARS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
+_SKETCH = np.uint64(0x452821E638D01377)
+#: Bits of the largest sketch.
+_WIDE = 1024
 _SEEN = 1 << 20
 
 
@@ -58,7 +70,7 @@ class Joined:
 
 
 def _sets(column, k: int):
-    """(first row, sizes, distinct shingle hashes, offsets) of chunks of texts."""
+    """(first row, last row, distinct shingle hashes, offsets) of chunks of texts."""
     for lo, hi, data, offs in tb.chunks(column):
         s, e, w = tb.words(data, offs)
         v, o = tb.distinct_in_rows(*tb.shingle_hashes(tb.span_hashes(data, s, e, lower=True), w, k))
@@ -72,318 +84,307 @@ def _nodes(v: np.ndarray, o: np.ndarray) -> np.ndarray:
     return tb.mix(sums[o[1:]] - sums[o[:-1]] + np.diff(o).astype(np.uint64)).view(np.int64)
 
 
+def _pack(v: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of each hash, as bytes."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, 3:])
+
+
+def _unpack(data: np.ndarray) -> np.ndarray:
+    eight = np.zeros((len(data) // 5, 8), np.uint8)
+    eight[:, 3:] = data.reshape(-1, 5)
+    return eight.view(np.uint64).ravel()
+
+
+def _sketches(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, how many shingles fall on each of m places, modulo 2, as packed bits; m is a power of two that follows the set's size."""
+    m = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, _WIDE)
+    base = np.concatenate([[0], np.cumsum(m)])
+    place = (tb.mix(v ^ _SKETCH) & np.repeat(m - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(base[:-1], n)
+    return np.packbits(np.bincount(place, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little"), base // 8
+
+
+_PROFILE = "doc_id long, node long, n int, set binary, sketch binary, lows array<long>, slice int, counts binary"
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
+    """A row for each document; the first of each class in a task brings the set, its sketch and its lowest shingles. Rows with a slice hold counts."""
+
     def scan(batches):
-        table = np.zeros(1 << TABLE_BITS, np.int32)
-        any_rows = False
+        table = np.zeros(1 << TABLE_BITS, np.uint32)
+        seen: set[int] = set()
+        names = [c.split()[0] for c in _PROFILE.split(", ")]
         for batch in batches:
-            any_rows = True
-            nodes, sizes = [], []
-            for _, _, v, o in _sets(batch.column(1), k):
-                nodes.append(_nodes(v, o))
-                sizes.append(np.diff(o))
+            for lo, hi, v, o in _sets(batch.column(1), k):
+                node, n = _nodes(v, o), np.diff(o)
+                fresh = np.zeros(hi - lo, bool)
+                for i in np.flatnonzero(n):
+                    if (key := int(node[i])) not in seen:
+                        fresh[i] = True
+                        if len(seen) < _SEEN:
+                            seen.add(key)
+                packed = _pack(v)
+                v, n1 = _unpack(packed.ravel())[np.repeat(fresh, n)], n[fresh]
                 np.add.at(table, (v >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
-            n = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
-            node = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, mask=n == 0), pa.array(n), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "node", "n", "slice", "counts"])
-        if any_rows and table.any():
+                cols: list = [batch.column(0).slice(lo, hi - lo), pa.array(node, mask=n == 0), pa.array(n.astype(np.int32))]
+                bits, at = _sketches(v, n1)
+                first = np.cumsum(n1) - n1
+                lows = np.stack([np.minimum.reduceat(tb.mix(v ^ np.uint64(s)), first) for s in STARS], 1) if len(n1) else np.zeros((0, len(STARS)), np.uint64)
+                where = pa.array(np.cumsum(fresh) - 1, mask=~fresh)
+                for values in (tb.binaries(_pack(v).ravel(), np.concatenate([[0], 5 * np.cumsum(n1)])), tb.binaries(bits, at), pa.FixedSizeListArray.from_arrays(pa.array(lows.view(np.int64).ravel()), len(STARS)).cast(pa.list_(pa.int64()))):
+                    cols.append(values.take(where))
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+        if table.any():
             blobs = slices_of(np.minimum(table, 65535).astype(np.uint16))
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "node", "n", "slice", "counts"])
+            empty = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return save(docs.mapInArrow(tidy(scan), "doc_id long, node long, n int, slice int, counts binary"), "profile")
+    return save(docs.mapInArrow(tidy(scan), _PROFILE), "profile")
 
 
-def _common(profile: DataFrame) -> np.ndarray:
-    """Marks of the count table's entries that stand out, as one bit each."""
+def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each entry of the count table, and the number of parts that its shingles are dealt to (as 1 beyond it)."""
     counts = combine_slices(profile.where("slice is not null"), "slice", "counts", "uint16", "sum")
     if not len(counts):
-        return np.zeros(1 << TABLE_BITS - 3, np.uint8)
+        return np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(0, np.int64)
     mean = counts.mean()
-    return np.packbits(counts > mean + 4 * np.sqrt(mean) + 24)
+    above = np.maximum(counts.astype(np.float32) - np.float32(mean), 0) / np.float32(2 * np.sqrt(mean) + 2)
+    hot = np.flatnonzero(counts > BUCKET_ROWS)
+    return np.minimum(2 * np.log2(1 + above), LEVELS).astype(np.uint8), np.stack([hot, -(-counts[hot].astype(np.int64) // BUCKET_ROWS)], 1)
 
 
-def _released(table: pa.Table) -> pa.Table:
-    release()
-    return table
-
+def _stars(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y, nx, ny): each class y with the least class x of those that share one of its lowest shingles."""
+    heads = sets.select("node", "n", F.posexplode("lows").alias("i", "low"))
+    least = heads.groupBy("i", "low").agg(F.min(F.struct("node", "n")).alias("x"), F.max("node").alias("last")).where("last <> x.node").drop("last")
+    pairs = heads.join(least, ["i", "low"]).where(F.col("node") != F.col("x.node"))
+    pairs = pairs.select("x.node", F.col("node").alias("y"), F.col("x.n").alias("nx"), F.col("n").alias("ny")).withColumnRenamed("node", "x")
+    return pairs.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).distinct()
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Two bytes for each number if they suffice, else four."""
-    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
 
+def _prefixes(sets: DataFrame, percent: int, levels, buckets: int) -> DataFrame:
+    """Packed postings by order and bucket: classes, their components, and the places and keys of their prefix shingles."""
 
-def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
     def scan(batches):
-        marks = np.unpackbits(common).astype(bool)
-        seen: set[int] = set()
+        level, hot = levels.value
+        parts = dict(hot.tolist())
         held: list = []
 
         def flush():
-            if not held:
-                return
-            nodes, sizes = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            node, comp = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             base = np.cumsum([0] + [len(h[0]) for h in held])
             for order in range(len(ORDERS)):
                 key = np.concatenate([h[2][order][0] for h in held])
                 row = np.concatenate([h[2][order][1] + b for h, b in zip(held, base, strict=False)])
-                place = np.concatenate([h[2][order][2] for h in held])
+                key, row = _split(key, row, node, parts)
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 some, cut = np.unique(bucket[by], return_index=True)
                 out = []
                 for i, mine in zip(some.tolist(), np.split(by, cut[1:]), strict=True):
-                    if len(mine):
-                        own, local = np.unique(row[mine], return_inverse=True)
-                        out.append((order, i, nodes[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), _narrow(local), _narrow(place[mine])))
+                    own, local = np.unique(row[mine], return_inverse=True)
+                    kind = np.uint16 if len(own) < 1 << 16 else np.uint32
+                    out.append((order, i, node[own].tobytes(), comp[own].tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), local.astype(kind).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 5, strict=True)], ["ord", "bucket", "nodes", "sizes", "keys", "rows", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 4, strict=True)], ["ord", "bucket", "nodes", "comps", "keys", "rows"])
             held.clear()
 
         pending = 0
         for batch in batches:
-            for _, _, v, o in _sets(batch.column(0), k):
-                node, n = _nodes(v, o), np.diff(o)
-                fresh = np.zeros(len(n), bool)
-                for i in np.flatnonzero(n):
-                    if (key := int(node[i])) not in seen:
-                        fresh[i] = True
-                        if len(seen) < _SEEN:
-                            seen.add(key)
-                row = np.repeat(np.arange(len(n)), n)
-                mine = fresh[row]
-                v, row = v[mine], row[mine]
+            node, comp, blob = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            size = np.array([len(b.as_buffer()) for b in blob]) // 5
+            for lo, hi in _steps(size, 1 << 18):
+                data, at = tb.unbinaries(blob.slice(lo, hi - lo), np.uint8)
+                v, n = _unpack(data), np.diff(at) // 5
+                row = np.repeat(np.arange(hi - lo), n)
+                first = np.cumsum(n) - n
                 length = n - -(-n * percent // 100) + 1
                 orders = []
                 for salt in ORDERS:
-                    rank = tb.mix(v ^ np.uint64(salt))
-                    by = np.lexsort((rank, marks[v >> np.uint64(64 - TABLE_BITS)], row))
-                    r = row[by]
-                    place = np.arange(len(r)) - np.searchsorted(r, r)
-                    head = place < length[r]
-                    orders.append((v[by][head], r[head], place[head]))
-                held.append((node, n, orders))
+                    rank = tb.mix(v ^ np.uint64(salt)) >> np.uint64(4) | level[v >> np.uint64(64 - TABLE_BITS)].astype(np.uint64) << np.uint64(60)
+                    by = np.argsort(rank)
+                    by = by[np.argsort(row[by].astype(np.uint16) if hi - lo < 1 << 16 else row[by], kind="stable")]
+                    head = np.arange(len(by)) - first[row] < length[row]
+                    orders.append((v[by[head]], row[head]))
+                held.append((node[lo:hi], comp[lo:hi], orders))
                 pending += len(orders[0][0])
                 if pending >= 500_000:
                     yield from flush()
                     pending = 0
-        yield from flush()
-
-    return docs.mapInArrow(tidy(scan), "ord int, bucket int, nodes binary, sizes binary, keys binary, rows binary, places binary")
-
-
-_PAIR = "x long, y long, nx int, ny int, ord int, c int, px int, py int, root long"
-
-
-def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
-    order = table.column("ord")[0].as_py()
-    get = {c: [np.frombuffer(b.as_py(), t) for b in table.column(c)] for c, t in (("nodes", np.int64), ("sizes", np.uint32), ("keys", np.uint32))}
-    for c in ("rows", "places"):
-        get[c] = [np.frombuffer(b.as_py(), f"u{len(b.as_py()) // len(k)}").astype(np.int64) for b, k in zip(table.column(c), get["keys"], strict=True)]
-    base = np.repeat(np.cumsum([0] + [len(x) for x in get["nodes"]])[:-1], [len(x) for x in get["rows"]])
-    nodes, sizes, key, row, place = (np.concatenate(get[c]) for c in ("nodes", "sizes", "keys", "rows", "places"))
-    node, back = np.unique(nodes, return_inverse=True)
-    size = np.zeros(len(node), np.int64)
-    size[back] = sizes
-    doc = back[row + base]
-    by = np.lexsort((place, doc, key))
-    key, doc, place = key[by], doc[by], place[by].astype(np.int64)
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-    key, doc, place = key[keep], doc[keep], place[keep]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        if held:
+            yield from flush()
+
+    return sets.select("node", "comp", "set").mapInArrow(tidy(scan), "ord int, bucket int, nodes binary, comps binary, keys binary, rows binary")
+
+
+def _steps(size: np.ndarray, most: int):
+    """Consecutive ranges of rows with about `most` in sum; a larger row is alone."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _split(key: np.ndarray, row: np.ndarray, node: np.ndarray, parts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys to deal by. A shingle of very many classes is dealt in parts by class, and each two parts meet under a key of their own."""
+    keys, rows = [], []
+    rest = np.ones(len(key), bool)
+    if parts:
+        entry = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        for e, p in parts.items():
+            mine = np.flatnonzero(entry == e)
+            if len(mine):
+                rest[mine] = False
+                part = (tb.mix(node[row[mine]].view(np.uint64)) % np.uint64(p)).astype(np.int64)
+                for other in range(p):
+                    both = np.minimum(part, other) * p + np.maximum(part, other) + 1
+                    keys.append(tb.mix(key[mine] ^ tb.mix(both.astype(np.uint64))))
+                    rows.append(row[mine])
+    return np.concatenate([tb.mix(key[rest]), *keys]), np.concatenate([row[rest], *rows])
+
+
+def _live(table: pa.Table) -> pa.Table:
+    """The postings (order, key, class) of a bucket's shingles that classes of different components share.
+
+    A shingle of over BLOCK classes goes in blocks by component; two blocks meet under a key
+    of their own, and those that hold one and the same component don't.
+    """
+    get = {c: [np.frombuffer(b.as_py(), t) for b in table.column(c)] for c, t in (("nodes", np.int64), ("comps", np.int64), ("keys", np.uint32))}
+    rows = [np.frombuffer(b.as_py(), f"u{len(b.as_py()) // len(k)}").astype(np.int64) for b, k in zip(table.column("rows"), get["keys"], strict=True)]
+    base = np.cumsum([0] + [len(x) for x in get["nodes"]])
+    node, at, back = np.unique(np.concatenate(get["nodes"]), return_index=True, return_inverse=True)
+    comp = np.concatenate(get["comps"])[at]
+    _, comp = np.unique(comp, return_inverse=True)
+    # classes in the order of their components, so that a shingle's classes are sorted alike
+    turn = np.argsort(comp, kind="stable")
+    node, comp, place = node[turn], comp[turn], np.argsort(turn)
+    both = np.concatenate(get["keys"]).astype(np.uint64) << np.uint64(32) | place[back[np.concatenate([r + b for r, b in zip(rows, base, strict=False)])]].astype(np.uint64)
+    both = np.unique(both)
+    key, doc = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, len(key)))
-    left, right = [], []
-    for g in np.unique(count[(count >= 2) & (count <= GROUP)]):
-        at = first[count == g]
-        i, j = np.triu_indices(g, 1)
-        left.append((at[:, None] + i).ravel())
-        right.append((at[:, None] + j).ravel())
-    # classes of large groups, each with the smallest one that it hangs together with here
-    big = count > GROUP
-    at = np.repeat(first[big], count[big])
-    member = at + np.arange(len(at)) - np.repeat(np.cumsum(count[big]) - count[big], count[big])
-    root = np.arange(len(node))
-    p, q = doc[at], doc[member]
-    while len(p):
-        low = np.minimum(root[p], root[q])
-        new = root.copy()
-        np.minimum.at(new, root[p], low)
-        np.minimum.at(new, root[q], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    large = np.unique(np.concatenate([p, q]))
-    a = np.concatenate(left) if left else np.zeros(0, np.int64)
-    b = np.concatenate(right) if right else np.zeros(0, np.int64)
-    swap = doc[a] > doc[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    x, y = doc[a], doc[b]
-    nx, ny = size[x], size[y]
-    most = np.minimum(place[a], place[b]) + np.minimum(nx - place[a], ny - place[b])
-    fit = (x != y) & (np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
-    x, y, px, py = x[fit], y[fit], place[a][fit], place[b][fit]
-    by = np.lexsort((y, x))
-    x, y, px, py = x[by], y[by], px[by], py[by]
-    new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
-    total, px, py = np.diff(np.append(new, len(x))), np.maximum.reduceat(px, new) if len(new) else px, np.maximum.reduceat(py, new) if len(new) else py
-    x, y = x[new], y[new]
-    k, m = len(x), len(large)
-    pair, none = np.arange(k + m) < k, np.zeros(m, np.int64)
-    both = lambda p, q, t: pa.array(np.concatenate([p, q]), t)
-    return pa.table(
-        {
-            "x": both(node[x], node[large], pa.int64()),
-            "y": pa.array(np.concatenate([node[y], none]), pa.int64(), mask=~pair),
-            "nx": both(size[x], size[large], pa.int32()),
-            "ny": both(size[y], none, pa.int32()),
-            "ord": pa.array(np.full(k + m, order), pa.int32()),
-            "c": both(total, none, pa.int32()),
-            "px": both(px, none, pa.int32()),
-            "py": both(py, none, pa.int32()),
-            "root": pa.array(np.concatenate([np.zeros(k, np.int64), node[root[large]]]), pa.int64(), mask=pair),
-        }
-    )
-
-
-def _candidates(found: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Pairs that both orders allow, without those of one cluster, which are compared there."""
-    aggs = []
-    for o in range(len(ORDERS)):
-        when = lambda c, o=o: F.when(F.col("ord") == o, F.col(c))
-        aggs += [F.sum(when("c")).alias(f"c{o}"), F.max(when("px")).alias(f"px{o}"), F.max(when("py")).alias(f"py{o}")]
-    pairs = found.where("root is null").groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), *aggs)
-    fits = F.lit(True)
-    for o in range(len(ORDERS)):
-        most = F.col(f"c{o}") + F.least(F.col("nx") - F.col(f"px{o}") - 1, F.col("ny") - F.col(f"py{o}") - 1)
-        fits = fits & F.coalesce((100 + percent) * most >= percent * (F.col("nx") + F.col("ny")), F.lit(False))
-    pairs = pairs.where(fits).select("x", "y", "nx", "ny")
-    pairs = pairs.join(clusters.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left").join(clusters.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
-    return pairs.where(F.coalesce(F.col("cx") != F.col("cy"), F.lit(True))).select("x", "y", "nx", "ny")
-
-
-def _scan_sets(docs: DataFrame, k: int, wanted: IdFilter) -> DataFrame:
-    """(node, set): the packed sets of the wanted classes; a class that several tasks meet comes several times."""
-
-    def scan(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, v, o in _sets(batch.column(0), k):
-                node, n = _nodes(v, o), np.diff(o)
-                keep = wanted(node) & (n > 0)
-                for i in np.flatnonzero(keep):
-                    if (key := int(node[i])) in seen:
-                        keep[i] = False
-                    elif len(seen) < _SEEN:
-                        seen.add(key)
-                at = np.flatnonzero(keep)
-                if len(at):
-                    sets = [v[o[i] : o[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for i in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(sets, pa.binary())], ["node", "set"])
+    several = comp[doc[first]] != comp[doc[first + count - 1]]
+    keep = np.repeat(several & (count <= BLOCK), count)
+    bucket = np.uint64(table.column("bucket")[0].as_py())
+    keys, docs = [tb.mix(key[keep] << np.uint64(31) ^ bucket)], [doc[keep]]
+    for f, c in zip(first[several & (count > BLOCK)].tolist(), count[several & (count > BLOCK)].tolist(), strict=True):
+        members = doc[f : f + c]
+        blocks = np.array_split(members, -(-c // BLOCK))
+        ends = [(comp[b[0]], comp[b[-1]]) for b in blocks]
+        for i, a in enumerate(blocks):
+            for j in range(i, len(blocks)):
+                if ends[i][0] != ends[j][1]:
+                    meet = np.concatenate([a, blocks[j]]) if i < j else a
+                    keys.append(np.full(len(meet), tb.mix(tb.mix(np.array([key[f] << np.uint64(31) ^ bucket])) + np.uint64(i * len(blocks) + j + 1))[0]))
+                    docs.append(meet)
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    return pa.table({"ord": pa.array(np.full(len(key), table.column("ord")[0].as_py(), np.int32)), "key": pa.array(key.view(np.int64)), "node": pa.array(node[doc])})
+
+
+def _near(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs (x, y) of classes of different components that share a key, whose sizes and sketches allow the similarity."""
+    key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "comp", "n"))
+    node, at, doc = np.unique(node, return_index=True, return_inverse=True)
+    comp, n = comp[at], n[at].astype(np.int64)
+    data, offs = tb.unbinaries(table.column("sketch").combine_chunks().take(pa.array(at)), np.uint8)
+    m = np.diff(offs) * 8
+    # each sketch at its own width and folded to all smaller ones
+    sketch, wider = {}, None
+    for size in (_WIDE >> i for i in range(_WIDE.bit_length() - 6)):
+        at_size = np.zeros((len(node), size // 64), np.uint64) if wider is None else wider[:, : size // 64] ^ wider[:, size // 64 :]
+        mine = m == size
+        at_size[mine] = data[(offs[:-1][mine][:, None] + np.arange(size // 8)).ravel()].view(np.uint64).reshape(-1, size // 64)
+        sketch[size] = wider = at_size
+    by = np.lexsort((n[doc], key))
+    key, doc = key[by], doc[by]
+    size = n[doc]
+    # the last posting of each one's key whose set isn't too large
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    wide = int(size.max()) + 1
+    last = np.searchsorted(group * wide + size, group * wide + np.minimum(100 * size // percent, wide - 1), "right")
+    many = last - np.arange(len(key)) - 1
+    found = [np.zeros((2, 0), np.int64)]
+    for lo, hi in _steps(many, STEP):
+        i = np.repeat(np.arange(lo, hi), many[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+        x, y = doc[i], doc[j]
+        apart = comp[x] != comp[y]
+        x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        one = np.unique(x * len(node) + y)
+        x, y = one // len(node), one % len(node)
+        level = np.minimum(m[x], m[y])
+        ok = np.zeros(len(x), bool)
+        for lev in np.unique(level):
+            mine = np.flatnonzero(level == lev)
+            apart = np.bitwise_count(sketch[lev][x[mine]] ^ sketch[lev][y[mine]]).sum(1, dtype=np.int64)
+            ok[mine] = (100 + percent) * apart <= (100 - percent) * (n[x[mine]] + n[y[mine]])
+        found.append(np.stack([x[ok], y[ok]]))
+    x, y = np.concatenate(found, 1)
+    one = np.unique(x * len(node) + y)
+    x, y = one // max(1, len(node)), one % max(1, len(node))
+    return pa.table({"x": pa.array(node[x]), "y": pa.array(node[y]), "nx": pa.array(n[x].astype(np.int32)), "ny": pa.array(n[y].astype(np.int32)), "ord": pa.array(np.full(len(x), table.column("ord")[0].as_py(), np.int32))})
+
+
+def _pairs(sets: DataFrame, links: DataFrame, percent: int, profile: DataFrame, total: int) -> DataFrame:
+    """Pairs (x, y, nx, ny) of classes of different components that both orders, the sizes and the sketches allow."""
+    spark = sets.sparkSession
+    comps = components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp"))
+    buckets = max(12, -(-total * (100 - percent) // 100 // BUCKET_ROWS))
+    named = sets.select("node", "set").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    packed = _prefixes(named, percent, spark.sparkContext.broadcast(_levels(profile)), buckets)
+    live = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_live(t)), "ord int, key long, node long"), "live")
+    # a class with no such shingle under one of the orders has no partner
+    both = live.groupBy("node").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("node")
+    info = sets.select("node", "n", "sketch").dropDuplicates(["node"]).join(both, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    places = max(12, live.count() // MEET_ROWS)
+    met = live.join(info, "node").withColumn("place", F.pmod(F.xxhash64("key"), F.lit(places)))
+    found = save(met.groupBy("ord", "place").applyInArrow(lambda t: _released(_near(t, percent)), "x long, y long, nx int, ny int, ord int"), "found")
+    return found.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").drop("a", "b")
 
-    return docs.mapInArrow(tidy(scan), "node long, set binary")
 
+def _released(table: pa.Table) -> pa.Table:
+    release()
+    return table
 
-def _compare_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (x, y) that span the components within each cluster.
 
-    A cluster is dealt into blocks of about BLOCK classes; each pair of blocks meets in a task,
-    which counts all overlaps by a matrix product over the shingles that occur twice there.
-    """
-    size = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    home = clusters.join(size, "component").select(F.col("id").alias("node"), "component", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    home = save(home.select("node", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")), "home")
-    wanted = IdFilter.of(home, "node", clusters.count())
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        own = table.column("own").to_numpy()[first]
-        sets = table.column("set").take(pa.array(first))
-        values = [_unpack(b.as_buffer()) for b in sets]
-        n = np.array([len(v) for v in values])
-        flat = np.concatenate(values)
-        row = np.repeat(np.arange(len(node)), n)
-        _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-        number = np.cumsum(count > 1) - 1
-        keep = count[back] > 1
-        row, col = row[keep], number[back[keep]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        width = int(number[-1]) + 1
-        overlap = np.zeros((len(node), len(node)), np.float32)
-        step = max(1, (48 << 20) // (4 * len(node)))
-        for lo in range(0, width, step):
-            s, e = np.searchsorted(col, [lo, lo + step])
-            part = np.zeros((len(node), min(step, width - lo)), np.float32)
-            part[row[s:e], col[s:e] - lo] = 1
-            overlap += part @ part.T
-        left, right = [], []
-        for i in range(len(node)):
-            c = overlap[i, i + 1 :]
-            ok = (100 + percent) * c >= percent * (n[i] + n[i + 1 :])
-            right.append(np.flatnonzero(ok) + i + 1)
-            left.append(np.full(len(right[-1]), i))
-        p, q = np.concatenate(left), np.concatenate(right)
-        root = np.arange(len(node))
-        while len(p):
-            low = np.minimum(root[p], root[q])
-            new = root.copy()
-            np.minimum.at(new, root[p], low)
-            np.minimum.at(new, root[q], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        moved = root != np.arange(len(node))
-        return _released(pa.table({"x": node[root[moved]], "y": node[moved]}))
-
-    sets = _scan_sets(docs, k, wanted).join(home, "node")
-    return save(sets.groupBy("component", "a", "b").applyInArrow(compare, "x long, y long"), "links")
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose whole sets are as similar as asked.
 
-    The sets of a cluster of candidates meet in one task, each sent there once, as
-    long as the cluster has at most CLUSTER_BYTES; those of larger clusters are joined
-    to their pairs.
+    The pairs of a class x are dealt to places, at most about FAN of them to one, and the sets
+    of a place's classes are sent there once each.
     """
-    ids = pairs.select(F.col("x").alias("node"), F.col("nx").alias("n")).union(pairs.select(F.col("y").alias("node"), F.col("ny").alias("n"))).distinct()
-    clusters = components(pairs, "x", "y").withColumnRenamed("id", "node")
-    sized = ids.join(clusters, "node").groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("nodes"))
-    total = sized.agg(F.sum("n"), F.sum("nodes")).first()
-    if not total[1]:
-        return save(pairs.select("x", "y"), "links")
-    buckets = max(24, -(-5 * total[0] // BUCKET_BYTES))
-    home = save(clusters.join(sized, "component").select("node", F.when(5 * F.col("n") <= CLUSTER_BYTES, F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int")).alias("bucket")), "home")
-    sets = _scan_sets(docs, k, IdFilter.of(home, "node", total[1])).join(home, "node")
-    near = pairs.join(home.select(F.col("node").alias("x"), F.col("bucket").alias("place")), "x").select("x", "y", "place")
+    pairs = save(pairs, "pairs")
+    size, = pairs.agg(F.sum((F.col("nx") + F.col("ny")).cast("long"))).first()
+    if not size:
+        return pairs.select("x", "y")
+    places = max(24, -(-5 * size // BUCKET_BYTES))
+    degree = pairs.groupBy("x").agg(F.ceil(F.count("*") / FAN).alias("parts"))
+    place = F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(places)).cast("int")
+    dealt = save(pairs.join(degree, "x").select("x", "y", place.alias("place")), "dealt")
+    ends = dealt.select(F.col("x").alias("node"), F.col("place").alias("home")).union(dealt.select(F.col("y").alias("node"), F.col("place").alias("home"))).distinct()
+    wanted = IdFilter.of(ends, "node", ends.count())
+
+    def choose(batches):
+        for batch in batches:
+            keep = wanted(batch.column(0).to_numpy())
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    mine = sets.select("node", "set").mapInArrow(tidy(choose), "node long, set binary").join(ends, "node")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         own = dict(zip(right.column("node").to_pylist(), right.column("set"), strict=True))
         x, y = left.column("x").to_pylist(), left.column("y").to_pylist()
         keep = np.zeros(len(x), bool)
-        by = sorted(range(len(x)), key=lambda i: x[i])
         last, a = None, None
-        for i in by:
+        for i in sorted(range(len(x)), key=lambda i: x[i]):
             if x[i] != last:
-                last, a = x[i], _unpack(own[x[i]].as_buffer())
-            keep[i] = _similar(a, _unpack(own[y[i]].as_buffer()), percent)
+                last, a = x[i], _unpack(np.frombuffer(own[x[i]].as_buffer(), np.uint8))
+            keep[i] = _similar(a, _unpack(np.frombuffer(own[y[i]].as_buffer(), np.uint8)), percent)
         return _released(left.select(["x", "y"]).filter(pa.array(keep)))
 
-    small = near.where("place is not null").groupBy("place").cogroup(sets.where("bucket is not null").groupBy("bucket")).applyInArrow(compare, "x long, y long")
-    links = save(small, "links")
-    if not home.where("bucket is null").isEmpty():
-        big = sets.where("bucket is null").groupBy("node").agg(F.first("set").alias("set"))
-        joined = near.where("place is null").join(big.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(big.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
-
-        def compare_rows(batches):
-            for batch in batches:
-                keep = [_similar(_unpack(a.as_buffer()), _unpack(b.as_buffer()), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["x", "y"])
-
-        links = links.union(save(joined.select("x", "y", "sx", "sy").mapInArrow(compare_rows, "x long, y long"), "links"))
-    return links
+    return save(dealt.groupBy("place").cogroup(mine.groupBy("home")).applyInArrow(compare, "x long, y long"), "links")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -392,13 +393,6 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * c >= percent * (len(a) + len(b) - c)
 
 
-def _unpack(blob) -> np.ndarray:
-    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    eight = np.zeros((len(five), 8), np.uint8)
-    eight[:, :5] = five
-    return np.sort(eight.view(np.uint64).ravel())
-
-
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> Joined:
     """Link all pairs of documents whose k-word shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -412,15 +406,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = _profile(docs, k)
     rows = profile.where("slice is null").select("doc_id", "node", "n")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(12, -(-total * (100 - percent) // 100 // BUCKET_ROWS))
-    text = docs.select("text")
-    packed = _prefixes(text, k, percent, _common(profile), buckets)
-    found = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_bucket_pairs(t, percent)), _PAIR), "found")
-    clusters = components(found.where("root is not null"), "x", "root")
-    links = _verify(text, save(_candidates(found, clusters, percent), "pairs"), k, percent)
-    if not clusters.isEmpty():
-        links = links.union(_compare_clusters(text, save(clusters, "clusters"), k, percent))
+    sets = profile.where("set is not null").select("node", "n", "set", "sketch", "lows")
+    total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    links = _verify(sets, _stars(sets, percent), percent)
+    links = links.union(_verify(sets, _pairs(sets, links, percent, profile, total), percent))
     near = components(links, "x", "y")
     # smallest doc_id of each class, then of each component
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -14,17 +14,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary one in local mode, as in tests; elsewhere an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphmine-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
+#: Tables written by save() and still there, oldest first.
+_saved: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphmine-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphmine-{name}-{uuid.uuid4().hex}"
+    _saved.append(path)
+    return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +42,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved() -> int:
+    """A mark for drop_saved: the number of tables so far."""
+    return len(_saved)
+
+
+def drop_saved(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables saved after the mark, but for those that `keep` read. Call it only when nothing else reads them."""
+    stay = {f.rsplit("/", 1)[0].split("graphmine-", 1)[1] for df in keep for f in df.inputFiles()}
+    gone = [p for p in _saved[since:] if p.split("graphmine-", 1)[1] not in stay]
+    _saved[since:] = [p for p in _saved[since:] if p not in gone]
+    sc = spark.sparkContext
+    for path in gone:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release() -> None:
     """Give memory that a Python worker has freed back to the system; workers serve many stages."""
     gc.collect()
@@ -88,10 +112,10 @@ def combine_slices(df: DataFrame, slice_col: str, blob_col: str, dtype: str, how
 
 
 class IdFilter:
-    """A Bloom filter of long ids with at most 32 MB; it may keep an id too many, never drops one."""
+    """A Bloom filter of long ids, broadcast with at most 32 MB; it may keep an id too many, never drops one."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, shared):
+        self.shared = shared
 
     @staticmethod
     def _places(ids: np.ndarray, size: int) -> np.ndarray:
@@ -116,9 +140,10 @@ class IdFilter:
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "blob": pa.array(slices_of(bits), pa.binary())})
 
         bits = combine_slices(ids.select(column).mapInArrow(build, "slice int, blob binary"), "slice", "blob", "uint8", "or")
-        return cls(bits if len(bits) else np.zeros(size // 8, np.uint8))
+        return cls(ids.sparkSession.sparkContext.broadcast(bits if len(bits) else np.zeros(size // 8, np.uint8)))
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        at = self._places(ids, 8 * len(self.bits))
-        hit = self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+        bits = self.shared.value
+        at = self._places(ids, 8 * len(bits))
+        hit = bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
         return hit.reshape(4, -1).all(axis=0)

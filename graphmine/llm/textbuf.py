@@ -7,6 +7,7 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,8 @@ import pyarrow.compute as pc
 #: Bytes of text that are handled at once; one longer text is a chunk alone.
 CHUNK_BYTES = 1 << 20
 
-_RNG = np.random.default_rng(20240229)
-_BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_RADIX = 0x9E3779B97F4A7C15
-_RADIX_INV = pow(_RADIX, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE_CODE_LOWER = _BYTE_CODE[LOWER]
 
 #: Word separators: space, and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
@@ -65,30 +59,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Powers that are kept; those of a longer text are made each time.
-_KEPT = 2 * CHUNK_BYTES
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= len(_powers[0]):
-        return _powers[0][:n], _powers[1][:n]
-    made = []
-    for base in (_RADIX, _RADIX_INV):
-        p = np.full(max(n, _KEPT), base, np.uint64)
-        p[0] = 1
-        made.append(np.cumprod(p, dtype=np.uint64))
-    if len(made[0]) <= _KEPT:
-        _powers[:] = made
-    return made[0][:n], made[1][:n]
+#: Spans up to this many bytes are hashed eight bytes at a time in numpy; longer ones by BLAKE2.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    p, inv = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_CODE_LOWER if lower else _BYTE_CODE)[data] * p[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand.
+
+    Each step mixes eight bytes into all bits of the state, so that unequal spans
+    agree by chance only, whatever their structure.
+    """
+    if lower:
+        data = LOWER[data]
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded.data, strides=(1,))
+    h = mix(mix(n.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93)) ^ (eight[starts] & _MASKS[np.minimum(n, 8)]))
+    done, more = 8, np.flatnonzero(n > 8)
+    while len(more) and done < _SHORT:
+        part = eight[starts[more] + done] & _MASKS[np.minimum(n[more] - done, 8)]
+        h[more] = mix(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ part)
+        done += 8
+        more = more[n[more] > done]
+    for i in more:
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +127,11 @@ def shingle_hashes(word_hash: np.ndarray, word_offs: np.ndarray, k: int) -> tupl
 def distinct_in_rows(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order."""
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    order = np.lexsort((values, row))
+    order = np.argsort(values)
+    if len(offs) <= 1 << 16:  # a stable sort of two-byte numbers takes linear time
+        order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(row[order], kind="stable")]
     v, r = values[order], row[order]
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])

@@ -21,24 +21,41 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
 
 
 class WordTable:
-    """code(data, starts, ends) gives the ids of spans in a row and each one's count."""
+    """code(data, starts, ends) gives the ids of spans in a row and each one's count.
+
+    Spans are found by a hash; their bytes are then compared with the kept ones, and
+    a span whose hash belongs to other bytes is coded by itself.
+    """
 
     #: Spans that are kept; then the table starts anew.
     LIMIT = 800_000
 
     def __init__(self, code: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype=np.int32):
-        self.code, self.dtype = code, dtype
+        self.code, self.dtype, self.hash = code, dtype, tb.span_hashes
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, self.dtype), 0
+        self.keys = np.zeros(0, np.uint64)
+        #: Where each key's ids and bytes lie in the pools, and how many there are.
+        self.at, self.size, self.byte_at, self.byte_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.bytes = _Pool(self.dtype), _Pool(np.uint8)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray) -> None:
+        ids, size = self.code(data, starts, ends)
+        text, offs = gather(data, starts, ends - starts)
+        at = self.ids.add(ids) + np.cumsum(size) - size
+        byte_at = self.bytes.add(text) + offs[:-1]
+        keys = np.concatenate([self.keys, key])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        for name, more in (("at", at), ("size", size), ("byte_at", byte_at), ("byte_size", ends - starts)):
+            setattr(self, name, np.concatenate([getattr(self, name), more])[order])
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all spans in a row, and their n + 1 offsets."""
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        key, first, back = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        key, first, back = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(key) > self.LIMIT:
             self._clear()
         if len(self.keys):
@@ -47,17 +64,45 @@ class WordTable:
         else:
             new = np.ones(len(key), bool)
         if new.any():
-            ids, size = self.code(data, starts[first[new]], ends[first[new]])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            at = self.used + np.concatenate([[0], np.cumsum(size)])[:-1]
-            self.used += len(ids)
-            keys = np.concatenate([self.keys, key[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            self._learn(data, starts[first[new]], ends[first[new]], key[new])
         where = np.searchsorted(self.keys, key)[back]
-        return gather(self.pool, self.at[where], self.size[where])
+        other = self._unequal(data, starts, ends, where)
+        if not len(other):
+            return gather(self.ids.values, self.at[where], self.size[where])
+        size = self.size[where].copy()
+        own, size[other] = self.code(data, starts[other], ends[other])
+        pool = np.concatenate([self.ids.values[: self.ids.used], own])
+        at = self.at[where].copy()
+        at[other] = self.ids.used + np.cumsum(size[other]) - size[other]
+        return gather(pool, at, size)
+
+    def _unequal(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Spans whose bytes aren't those kept under their hash."""
+        n = ends - starts
+        same = self.byte_size[where] == n
+        mine, kept = np.flatnonzero(same), where[same]
+        a, offs = gather(data, starts[mine], n[mine])
+        b, _ = gather(self.bytes.values, self.byte_at[kept], n[mine])
+        if len(mine) == len(n) and np.array_equal(a, b):
+            return mine[:0]
+        wrong = np.concatenate([[0], np.cumsum(a != b)])
+        same[mine] = wrong[offs[1:]] == wrong[offs[:-1]]
+        return np.flatnonzero(~same)
+
+
+class _Pool:
+    """An array that grows by doubling."""
+
+    def __init__(self, dtype):
+        self.values, self.used = np.zeros(1 << 16, dtype), 0
+
+    def add(self, more: np.ndarray) -> int:
+        at = self.used
+        while at + len(more) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[at : at + len(more)] = more
+        self.used = at + len(more)
+        return at
 
 
 _CONTROL = np.zeros(256, bool)

@@ -66,20 +66,79 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.ngram_join(docs).rows.count() == docs.count()
 
 
-def test_ngram_clusters(spark, monkeypatch):
-    """Large groups, compared in blocks, give the same components as pairs do."""
-    base = words(60, 5).split(" ")
-    rows = [(i, " ".join([*base[: i % 50], f"n{i}", *base[i % 50 + 1 :]]), "k", 1) for i in range(60)]
-    table = spark.createDataFrame(rows, DOCS)
-    want = sorted(tuple(r) for r in ngram_join.ngram_join(table).rows.collect())
-    links = ngram_join._compare_clusters(table.select("text"), spark.createDataFrame([(int(n), 1) for n in _nodes(rows)], "id long, component long"), 5, 75)
-    assert links.count() == len(rows) - len({r[2] for r in want})
-
-
-def _nodes(rows):
-    import pyarrow as pa
+def components_of(rows, percent=75):
+    """Brute force: doc_id, set size and the component's smallest id of each row."""
+    sets = [sets_of(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and group[i] != group[j]:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return [(d, len(s), least[group[i]]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 8, "STEP": 50, "FAN": 4, "BUCKET_ROWS": 200, "MEET_ROWS": 20}])
+def test_ngram_groups(spark, monkeypatch, limits):
+    """Groups of near copies around the limit of similarity, with all ways of dealing hot shingles."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(6):
+        base = words(int(rng.integers(30, 90)), 70 + g, 50000).split(" ")
+        for _ in range(40):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                own[int(rng.integers(0, len(own)))] = f"n{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(None, rows[0][1]), (7, "a b c"), (7, "A b  c"), (8, None)]
+    want = sorted(components_of(rows), key=str)
+    assert len({w[2] for w in want}) > 12
+    got = ngram_join.ngram_join(spark.createDataFrame([(i, t, "k", 1) for i, t in rows], DOCS))
+    assert sorted((tuple(r) for r in got.rows.collect()), key=str) == want
+
+
+def alike_words():
+    """Two different words of 1024 letters that hash alike under a polynomial modulo 2 ** 64."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_hash_alike(spark):
+    """Ids, links and passages follow the bytes of words."""
+    from tokenizers import Tokenizer
 
-    return np.concatenate([ngram_join._nodes(v, o) for _, _, v, o in ngram_join._sets(pa.array([r[1] for r in rows]), 5)])
+    a, b = alike_words()
+    coder = Tokenizer.from_file(BPE)
+    table = spark.createDataFrame([(1, a, "k", 1), (2, b, "k", 1), (3, f"p q r {a} s t u", "k", 1), (4, f"p q r {b} s t u", "k", 1)], DOCS)
+    rows = {r["doc_id"]: r for r in token_ids.token_id_files(table, BPE).collect()}
+    packed = {r["doc_id"]: r for r in packing.pack_documents(table, BPE).where("start = 0").collect()}
+    for key, text in ((1, a), (2, b)):
+        ids = np.array([*coder.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert rows[key]["ids_crc32"] == zlib.crc32(ids.tobytes())
+        assert packed[key]["doc_tokens"] == len(ids)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(table).rows.collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    long = spark.createDataFrame([(1, f"{words(25, 1)} {a} {words(25, 2)}", "k", 1), (2, f"{words(25, 1)} {b} {words(25, 2)}", "k", 1)], DOCS)
+    assert {r["n_repeated"] for r in suffix_dedup.passage_report(long).collect()} == {0}
+
+
+def test_equal_hashes_are_told_apart():
+    """With one hash for all spans, each is still coded by its own bytes."""
+    spans = ["the", " quick", "  ", "a", "aa", " quick", "the", "\u00e9t\u00e9"]
+    data = np.frombuffer("".join(spans).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in spans])])
+    for table in (wordcode.ByteBpe(BPE).table, piece_bpe.PieceBpe(PIECES).table):
+        ids, at = table(data, offs[:-1], offs[1:])
+        table._clear()
+        table.hash = lambda data, starts, ends: np.zeros(len(starts), np.uint64)
+        for _ in range(2):
+            got, got_at = table(data, offs[:-1], offs[1:])
+            assert np.array_equal(got, ids) and np.array_equal(got_at, at)
 
 
 def passages(rows, n=50):
