@@ -1,20 +1,25 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees.
 
 Each inner node of a tree splits by a random direction, the difference of two drawn
-vectors, at the median. The trees are fitted on a bounded sample; every vector is then
-put into its leaf of each tree. A query walks all trees through one shared priority
-queue: a branch's priority is the smallest margin on the way to it, negative on
-the far side of a split, and leaves are taken in that order until the leaves taken hold
-the asked share of all vectors. The candidates there are ranked exactly.
-
-As priorities only fall on the way down, the queue takes leaves in the order of
-their own priorities; these are computed for many queries at once, level by level. The
-share is calibrated: on sampled queries against the sample, the smallest of SHARES that
-finds `recall` of the true neighbours.
+vectors, at the median. The trees are fitted on a bounded sample. Below a leaf of the sample
+come further splits, as many as the table's size asks for, so that a leaf holds a bounded
+number of vectors at any size: each is a random direction, cut at the median of the
+leaf's sampled vectors. Every vector is put into its leaf of each tree.
+
+A query walks all trees through one shared priority queue: a branch's priority is the
+smallest margin on the way to it, negative on the far side of a split. The first `visits`
+leaves that leave the queue are searched, and the candidates there are ranked exactly.
+
+`visits` is calibrated: the true neighbours of sampled queries among all vectors are found by
+brute force, and the smallest number of leaves is taken that meets `recall` of them.
+
+Vectors of one length form an index of their own.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,26 +29,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbuf as tb
-from .embedding_dedup import _matrix, clean_vectors, unit
+from .embedding_dedup import by_length, clean_vectors, unit
 from .shared import save
 
-#: Vectors the trees are fitted on at most, trees, and sampled vectors a leaf has about.
+#: Vectors the trees are fitted on at most, trees, and vectors a leaf has about.
 SAMPLE, TREES, LEAF = 20_000, 6, 40
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
+#: Sampled queries of the calibration, and leaves that it lets one of them visit at most.
+QUERIES, MOST_VISITS = 100, 50_000
 
 
 @dataclass
 class Forest:
-    """Nodes of all trees in one array, parents first: direction, cut, children (below 0: leaf -1 - child)."""
+    """Nodes of all trees in one array: direction, cut, children (below 0: leaf -1 - child). Below each leaf: `deep` splits of all its vectors."""
 
     roots: np.ndarray
     direction: np.ndarray
     cut: np.ndarray
     child: np.ndarray
-    n_leaves: int
+    deep_direction: np.ndarray
+    deep_cut: np.ndarray
+    visits: int = 0
+
+    @property
+    def deep(self) -> int:
+        return self.deep_direction.shape[1]
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row in each tree."""
+        """The leaf of each row in each tree: the tree's leaf, and a bit for each split below it."""
         out = np.zeros((len(x), len(self.roots)), np.int64)
         for t, root in enumerate(self.roots):
             at = np.full(len(x), root)
@@ -53,30 +65,52 @@ class Forest:
                 right = (np.einsum("nd,nd->n", x[live], self.direction[node]) >= self.cut[node]).astype(np.int64)
                 at[live] = self.child[node, right]
                 live = live[at[live] >= 0]
-            out[:, t] = -1 - at
+            leaf = -1 - at
+            code = leaf << self.deep
+            for j in range(self.deep):
+                code |= (np.einsum("nd,nd->n", x, self.deep_direction[leaf, j]) >= self.deep_cut[leaf, j]).astype(np.int64) << j
+            out[:, t] = code
         return out
 
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """The priority of each leaf for each row."""
-        out = np.full((len(x), self.n_leaves), -np.inf, np.float32)
-        margin = (x @ self.direction.T - self.cut).astype(np.float32) if len(self.cut) else np.zeros((len(x), 0), np.float32)
-        way = np.full((len(x), len(self.cut)), np.inf, np.float32)
-        for root in self.roots:
-            if root < 0:
-                out[:, -1 - root] = np.inf
-        for node in range(len(self.cut)):
-            for side, sign in ((0, -1), (1, 1)):
-                to, p = self.child[node, side], np.minimum(way[:, node], sign * margin[:, node])
-                if to >= 0:
-                    way[:, to] = p
-                else:
-                    out[:, -1 - to] = p
-        return out
+    def queue(self, x: np.ndarray, margin: np.ndarray):
+        """Yield the leaves for one vector in the order of the shared queue; margin: its margin at each node."""
+        heap = [(-math.inf, i, int(root), 0, None) for i, root in enumerate(self.roots)]
+        heapq.heapify(heap)
+        turn = len(heap)
+        while heap:
+            p, _, at, flips, near = heapq.heappop(heap)
+            if at >= 0:
+                for side, sign in ((0, -1.0), (1, 1.0)):
+                    turn += 1
+                    heapq.heappush(heap, (max(p, -sign * margin[at]), turn, int(self.child[at, side]), 0, None))
+                continue
+            leaf = -1 - at
+            if near is None:
+                m = self.deep_direction[leaf] @ x - self.deep_cut[leaf]
+                order = np.argsort(np.abs(m), kind="stable")
+                near = (int(((m >= 0).astype(np.int64) << np.arange(self.deep)).sum()), np.abs(m)[order].tolist(), [1 << int(j) for j in order])
+            home, size, bit = near
+            if not flips:
+                yield leaf << self.deep | home
+            else:  # all ways to flip splits up to this one, and this one
+                for some in range(1 << (flips - 1)):
+                    code = home ^ bit[flips - 1]
+                    for j in range(flips - 1):
+                        if some >> j & 1:
+                            code ^= bit[j]
+                    yield leaf << self.deep | code
+            if flips < self.deep:
+                turn += 1
+                heapq.heappush(heap, (max(p, size[flips]), turn, at, flips + 1, near))
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.direction.T - self.cut if len(self.cut) else np.zeros((len(x), 0))
 
 
-def fit(x: np.ndarray, leaf: int, trees: int = TREES, seed: int = 3) -> Forest:
+def fit(x: np.ndarray, leaf: int, deep: int = 0, trees: int = TREES, seed: int = 3) -> Forest:
     rng = np.random.default_rng(seed)
-    direction, cut, child, roots, n_leaves = [], [], [], [], 0
+    d = x.shape[1]
+    direction, cut, child, roots, below, below_cut = [], [], [], [], [], []
     for _ in range(trees):
         todo = [(np.arange(len(x)), None, 0)]
         first = None
@@ -86,69 +120,112 @@ def fit(x: np.ndarray, leaf: int, trees: int = TREES, seed: int = 3) -> Forest:
             if len(rows) > leaf:
                 for _try in range(3):
                     a, b = x[rng.choice(rows, 2, replace=False)]
-                    d = a - b
-                    if np.abs(d).max() > 0:
-                        d = d / np.sqrt((d * d).sum())
-                        v = x[rows] @ d
-                        c = np.median(v)
-                        right = v >= c
+                    v = a - b
+                    if np.abs(v).max() > 0:
+                        v = v / np.sqrt((v * v).sum())
+                        value = x[rows] @ v
+                        c = np.median(value)
+                        right = value >= c
                         if right.any() and not right.all():
                             name = len(cut)
-                            direction.append(d)
+                            direction.append(v)
                             cut.append(c)
                             child.append([0, 0])
                             todo += [(rows[~right], name, 0), (rows[right], name, 1)]
                             break
             if name is None:
-                name, n_leaves = -1 - n_leaves, n_leaves + 1
+                name = -1 - len(below)
+                v = rng.normal(size=(deep, d)) / math.sqrt(d)
+                below.append(v)
+                below_cut.append(np.median(x[rows] @ v.T, axis=0) if deep else np.zeros(0))
             if parent is None:
                 first = name
             else:
                 child[parent][side] = name
         roots.append(first)
-    d = x.shape[1]
-    return Forest(np.array(roots), np.array(direction).reshape(-1, d), np.array(cut), np.array(child, np.int64).reshape(-1, 2), n_leaves)
+    return Forest(np.array(roots), np.array(direction).reshape(-1, d), np.array(cut), np.array(child, np.int64).reshape(-1, 2), np.array(below).reshape(len(below), deep, d), np.array(below_cut).reshape(len(below), deep))
+
+
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosines of the rows of x with q, in double precision. Powers of two keep squares in range and change no digit."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+
+
+def calibrate(forest: Forest, asked: np.ndarray, true: list[np.ndarray], recall: float) -> int:
+    """The smallest number of leaves that meets the asked part of the true neighbours (unit rows of `true`) of the asked vectors."""
+    at = []
+    for q, margin, near in zip(asked, forest.margins(asked), true, strict=True):
+        left = [set(r) for r in forest.leaves(near).tolist()]
+        for i, leaf in enumerate(forest.queue(q, margin)):
+            found = [s for s in left if leaf in s]
+            at += [i + 1] * len(found)
+            left = [s for s in left if leaf not in s]
+            if not left or i + 1 >= MOST_VISITS:
+                break
+        at += [MOST_VISITS] * len(left)
+    return int(np.sort(at)[max(0, math.ceil(recall * len(at)) - 1)]) if at else 1
+
 
+def _nearest_of_all(entries: DataFrame, asked: dict[int, np.ndarray], k: int) -> dict[int, list[np.ndarray]]:
+    """By brute force, the k nearest other vectors of each of the sampled ones (by length: unit rows)."""
+    spark = entries.sparkSession
+    shared = spark.sparkContext.broadcast(asked)  # at most QUERIES vectors
 
-def _taken(priority: np.ndarray, size: np.ndarray, share: float, trees: int) -> list[np.ndarray]:
-    """The leaves that the queue gives each row until they hold the share of all vectors of all trees."""
-    order = np.argsort(-priority, axis=1, kind="stable")
-    need = share * size.sum()
-    total = np.cumsum(size[order], axis=1)
-    n = np.minimum((total < need).sum(axis=1) + 1, order.shape[1])
-    return [o[:k] for o, k in zip(order, n.tolist(), strict=True)]
+    def scan(batches):
+        best: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for d, _, x in by_length(batch.column(0)):
+                if d not in shared.value:
+                    continue
+                u = unit(x)
+                score = shared.value[d] @ u.T
+                score[score > 1 - 1e-12] = -2  # the vector itself
+                take = min(k, len(u))
+                for i, top in enumerate(np.argpartition(-score, take - 1, axis=1)[:, :take].tolist()):
+                    held = best.setdefault((d, i), [])
+                    held += [(float(score[i, j]), u[j].tobytes()) for j in top if score[i, j] > -2]
+                    held.sort(reverse=True)
+                    del held[k:]
+        rows = [(d, i, s, v) for (d, i), held in best.items() for s, v in held]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["d", "i", "score", "vec"])
 
+    found = entries.select("vec").mapInArrow(scan, "d long, i long, score double, vec binary")
+    order = Window.partitionBy("d", "i").orderBy(F.desc("score"), "vec")
+    top = found.withColumn("r", F.row_number().over(order)).where(f"r <= {k}").select("d", "i", "vec").collect()  # QUERIES x k rows at most
+    out = {d: [[] for _ in q] for d, q in asked.items()}
+    for r in top:
+        out[r["d"]][r["i"]].append(np.frombuffer(r["vec"], np.float64))
+    return {d: [np.array(v).reshape(-1, d) for v in rows] for d, rows in out.items()}
 
-def calibrate(forest: Forest, x: np.ndarray, k: int, recall: float, queries: int = 150, seed: int = 9) -> float:
-    """The smallest share that finds the asked part of the k nearest of sampled queries among x."""
-    if len(x) <= k + 1:
-        return 1.0
+
+def build(entries: DataFrame, n: int, k: int, recall: float, seed: int = 9) -> dict[int, Forest]:
+    """A calibrated forest for each vector length of the sample."""
+    sample = entries.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vec").collect()  # at most SAMPLE rows
+    groups = {d: unit(x) for d, _, x in by_length(pa.array([bytes(r["vec"]) for r in sample], pa.binary()))}
+    forests, asked = {}, {}
     rng = np.random.default_rng(seed)
-    q = rng.choice(len(x), min(queries, len(x)), replace=False)
-    score = x[q] @ x.T
-    score[np.arange(len(q)), q] = -2
-    true = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    where = forest.leaves(x)
-    size = np.bincount(where.ravel(), minlength=forest.n_leaves)
-    priority = forest.priorities(x[q])
-    for share in SHARES:
-        hit = 0
-        for row, leaves in enumerate(_taken(priority, size, share, len(forest.roots))):
-            mark = np.zeros(forest.n_leaves, bool)
-            mark[leaves] = True
-            hit += mark[where[true[row]]].any(axis=1).sum()
-        if hit >= recall * true.size:
-            return share
-    return 1.0
+    for d, x in groups.items():
+        deep = max(0, math.ceil(math.log2(max(1, n / SAMPLE))))
+        forests[d] = fit(x, LEAF if n > SAMPLE else min(LEAF, max(4, len(x) // 16)), deep)
+        asked[d] = x[rng.choice(len(x), max(1, min(len(x), QUERIES * len(x) // len(sample))), replace=False)]
+    true = _nearest_of_all(entries, asked, k)
+    for d, forest in forests.items():
+        forest.visits = calibrate(forest, asked[d], true[d], recall)
+    return forests
 
 
 def nearest(table: DataFrame, query_every: int = 50, k: int = 5, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every.
 
-    Vectors that are null, zero or hold null or non-finite components take no part. Equal
-    vectors are one entry of the index, with the k + 1 smallest ids; all of these can be results.
-    Rows with equal ids count once for a query and as one candidate; a null id takes no
-    part. Vectors of another length than the most common are ignored. Further columns are ignored.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+    with a null id. Equal vectors are one entry of the index, with the k + 1 smallest ids; all
+    of these can be results. Rows with equal ids are one query and one candidate, at the
+    best score that any of their vectors reaches. Ties go to the smaller id before
+    anything is cut. Vectors of different lengths never meet. Further columns are ignored;
+    an empty table gives an empty result.
     """
     spark = table.sparkSession
     vectors = save(clean_vectors(table.where(F.col(id_col).isNotNull()), id_col, vec_col).dropDuplicates(["vec_id", "class"]), "vectors")
@@ -156,84 +233,90 @@ def nearest(table: DataFrame, query_every: int = 50, k: int = 5, recall: float =
     order = Window.partitionBy("class").orderBy("vec_id")
     some = vectors.withColumn("r", F.row_number().over(order)).where(f"r <= {k + 1}")
     entries = save(some.groupBy("class").agg(F.min_by("vec", "r").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    schema = "query_id long, rank int, vec_id long, score double"
     n = entries.count()
-    sample = entries.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vec").collect()  # at most SAMPLE rows
-    if not sample:
-        return spark.createDataFrame([], schema)
-    x, _ = _matrix(pa.array([bytes(r["vec"]) for r in sample]))
-    x = unit(x)
-    d = x.shape[1]
-    forest = fit(x, max(4, LEAF if n > SAMPLE else min(LEAF, max(4, n // 16))))
-    share = calibrate(forest, x, k, recall)
-    shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE and TREES
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(build(entries, n, k, recall))  # bounded by SAMPLE, TREES and the log of n
     blocks = max(24, n * TREES // 20_000)
-    block_of = lambda leaf: (tb.mix(leaf.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+    def name(d: int, leaf: np.ndarray) -> np.ndarray:
+        """A number for the leaf of an index; a length that no sampled vector has is one leaf."""
+        return tb.mix(tb.mix(leaf.astype(np.uint64)) + np.uint64(d)).view(np.int64)
+
+    def leaves_of(d: int, u: np.ndarray) -> np.ndarray:
+        forest = shared.value.get(d)
+        return forest.leaves(u) if forest else np.zeros((len(u), 1), np.int64)
+
+    block_of = lambda leaf: (leaf.view(np.uint64) % np.uint64(blocks)).astype(np.int32)
 
     def index(batches):
         for batch in batches:
-            m, rows = _matrix(batch.column(1))
-            if not len(m) or m.shape[1] != d:
-                continue
-            leaf = shared.value.leaves(unit(m))
-            row, col = np.nonzero(np.ones(leaf.shape, bool))
-            take = pa.array(rows[row])
-            yield pa.RecordBatch.from_arrays([pa.array(block_of(leaf[row, col]).astype(np.int32)), pa.array(leaf[row, col].astype(np.int32)), *(batch.column(i).take(take) for i in range(3))], ["block", "leaf", "class", "vec", "ids"])
-
-    indexed = entries.select("class", "vec", "ids").mapInArrow(index, "block int, leaf int, class long, vec binary, ids array<long>")
-    indexed = save(indexed, "index")
-    # one row for each leaf: bounded by SAMPLE and TREES
-    size = np.zeros(forest.n_leaves, np.int64)
-    for r in indexed.groupBy("leaf").count().collect():
-        size[r["leaf"]] = r["count"]
+            for d, rows, x in by_length(batch.column(1)):
+                leaf = name(d, leaves_of(d, unit(x)))
+                row = np.repeat(np.arange(len(x)), leaf.shape[1])
+                take = pa.array(rows[row])
+                yield pa.RecordBatch.from_arrays([pa.array(block_of(leaf.ravel())), pa.array(leaf.ravel()), *(batch.column(i).take(take) for i in range(3))], ["block", "leaf", "class", "vec", "ids"])
+
+    indexed = entries.select("class", "vec", "ids").mapInArrow(index, "block int, leaf long, class long, vec binary, ids array<long>")
     queries = vectors.where(F.col("vec_id") % query_every == 0).select("vec_id", "vec")
 
     def search(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                m, rows = _matrix(part.column(1))
-                if not len(m) or m.shape[1] != d:
-                    continue
-                out = [[], [], []]
-                for row, leaves in zip(rows.tolist(), _taken(shared.value.priorities(unit(m)), size, share, TREES), strict=True):
-                    block = block_of(leaves)
-                    for b in np.unique(block):
-                        out[0].append(int(b))
-                        out[1].append(row)
-                        out[2].append(leaves[block == b].astype(np.int32).tobytes())
-                take = pa.array(out[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), part.column(0).take(take), part.column(1).take(take), pa.array(out[2], pa.binary())], ["block", "query_id", "q", "leaves"])
-
-    asked = queries.mapInArrow(search, "block int, query_id long, q binary, leaves binary").repartition(max(24, min(blocks, 200)), "block")
+            out: list[list] = [[], [], []]
+            for d, rows, x in by_length(batch.column(1)):
+                forest, u = shared.value.get(d), unit(x)
+                for lo in range(0, len(u), 256):
+                    margins = forest.margins(u[lo : lo + 256]) if forest else None
+                    for i in range(lo, min(lo + 256, len(u))):
+                        codes = [leaf for _, leaf in zip(range(forest.visits), forest.queue(u[i], margins[i - lo]), strict=False)] if forest else [0]
+                        leaves = name(d, np.array(codes, np.int64))
+                        block = block_of(leaves)
+                        by = np.argsort(block, kind="stable")
+                        some, cut = np.unique(block[by], return_index=True)
+                        for b, part in zip(some.tolist(), np.split(leaves[by], cut[1:]), strict=True):
+                            out[0].append(b)
+                            out[1].append(rows[i])
+                            out[2].append(part.tobytes())
+            take = pa.array(out[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(out[2], pa.binary())], ["block", "query_id", "q", "leaves"])
+
+    asked = queries.mapInArrow(search, "block int, query_id long, q binary, leaves binary")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, _ = _matrix(left.column("q"))
-        x, _ = _matrix(right.column("vec"))
-        qu, xu = unit(q), unit(x)
-        leaf, cls = right.column("leaf").to_numpy(), right.column("class").to_numpy()
+        leaf = right.column("leaf").to_numpy()
         by = np.argsort(leaf, kind="stable")
-        out_q, out_row, out_score = [], [], []
-        for i, blob in enumerate(left.column("leaves")):
-            wanted = np.sort(np.frombuffer(blob.as_py(), np.int32))
+        cls = right.column("class").to_numpy()
+        values, offs = tb.unbinaries(right.column("vec"), np.float64)
+        ids = right.column("ids").to_pylist()
+        blob = [np.frombuffer(b.as_buffer(), np.int64) for b in left.column("leaves")]
+        vec = [np.frombuffer(b.as_buffer(), np.float64) for b in left.column("q")]
+        found: tuple[list, list, list] = ([], [], [])
+        for i, (wanted, q) in enumerate(zip(blob, vec, strict=True)):
             a, b = np.searchsorted(leaf[by], wanted), np.searchsorted(leaf[by], wanted, "right")
-            rows = np.concatenate([by[s:e] for s, e in zip(a, b, strict=True)]) if len(wanted) else by[:0]
+            rows = np.concatenate([by[s:e] for s, e in zip(a, b, strict=True)])
+            rows = rows[np.diff(offs)[rows] == len(q)]  # other lengths by a chance agreement of names
             if not len(rows):
                 continue
             _, first = np.unique(cls[rows], return_index=True)
             rows = rows[first]
-            score = xu[rows] @ qu[i]
-            if len(rows) > 4 * k + 4:
-                rows = rows[np.argpartition(-score, 4 * k + 3)[: 4 * k + 4]]
-            # exactly, on the vectors as given
-            score = (x[rows] * q[i]).sum(axis=1) / (np.sqrt((x[rows] ** 2).sum(axis=1)) * np.sqrt((q[i] ** 2).sum()))
-            out_q += [i] * len(rows)
-            out_row += rows.tolist()
-            out_score += score.tolist()
-        take = pa.array(out_row, pa.int64())
-        return pa.table({"query_id": left.column("query_id").take(pa.array(out_q, pa.int64())), "class": right.column("class").take(take), "ids": right.column("ids").take(take), "score": pa.array(out_score, pa.float64())})
-
-    found = asked.groupBy("block").cogroup(indexed.groupBy("block")).applyInArrow(rank, "query_id long, class long, ids array<long>, score double")
-    one = found.groupBy("query_id", "class").agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
+            score = exact_scores(values[(offs[rows][:, None] + np.arange(len(q))).ravel()].reshape(-1, len(q)), q)
+            # the best entries with all that tie with the last of them, until k ids beside the query's own are certain
+            near, m = np.argsort(-score, kind="stable"), k + 1
+            while True:
+                mine = near[score[near] >= score[near[min(m, len(near)) - 1]]]
+                met: dict[int, float] = {}
+                for s, v in sorted((-score[j], v) for j in mine.tolist() for v in ids[rows[j]]):
+                    met.setdefault(v, -s)
+                if len(met) > k or len(mine) == len(near):
+                    break
+                m *= 2
+            top = list(met.items())[: k + 1]
+            found[0].extend([i] * len(top))
+            found[1].extend(v for v, _ in top)
+            found[2].extend(s for _, s in top)
+        return pa.table({"query_id": left.column("query_id").take(pa.array(found[0], pa.int64())), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    found = asked.groupBy("block").cogroup(indexed.groupBy("block")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    one = found.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return one.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return one.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -18,6 +18,7 @@ first one. Equal vectors form one class, of which one copy goes on.
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -77,14 +78,13 @@ def clean_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     return table.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(scan, "vec_id long, class long, vec binary")
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the most common length, as a matrix, and their numbers."""
-    sizes = np.array([len(v.as_buffer()) // 8 for v in column], np.int64)
-    if not len(sizes):
-        return np.zeros((0, 0)), np.zeros(0, np.int64)
-    d = np.bincount(sizes).argmax()
-    rows = np.flatnonzero(sizes == d)
-    return np.frombuffer(b"".join(column[int(i)].as_py() for i in rows), np.float64).reshape(-1, d), rows
+def by_length(column: pa.Array):
+    """(length, rows, matrix) of the packed vectors of each length."""
+    values, offs = tb.unbinaries(column, np.float64)
+    size = np.diff(offs)
+    for d in np.unique(size).tolist():
+        rows = np.flatnonzero(size == d)
+        yield d, rows, values[(offs[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,6 +115,13 @@ def plan(n: int, threshold: float, recall: float) -> tuple[int, int, int, float]
     return per_table, tables, least, d * NormalDist().inv_cdf(1 - miss / 2)
 
 
+@functools.lru_cache(4)
+def _directions(d: int, cut: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions for vectors of one length, `cut` of them with the offsets of their intervals; the same in every task."""
+    rng = np.random.default_rng([seed, d])
+    return rng.normal(size=(d, cut + COUNTED)), rng.uniform(0, CELL_WIDTH, cut)
+
+
 def _links_of_cell(x: np.ndarray, value: np.ndarray, keys: np.ndarray, table: int, side: np.ndarray, least: int, threshold: float, reach: float):
     """Pairs (i, j) of the rows of one cell, i before j in the order of a value, that are linked and meet in no earlier table. side: two blocks that only meet each other (0, 1), or one (2)."""
     order = np.argsort(value[:, 0], kind="stable")
@@ -187,8 +194,8 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
     A vector that is null, zero or holds a null or non-finite component has no link and
     is its own component. Equal vectors link with each other. Rows with equal ids are
     separate rows; a row with a null id links too, and names no component unless all
-    ids there are null. Further columns are ignored. Vectors of another length than
-    the most common one of a cell have no link but with equal ones.
+    ids there are null. Vectors of different lengths never link. Further columns are
+    ignored; an empty table gives an empty result.
     """
     spark = table.sparkSession
     vectors = save(clean_vectors(table, id_col, vec_col), "vectors")
@@ -197,32 +204,26 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
     classes = vectors.groupBy("class").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
     heads = save(heads.join(classes.select("class", "size"), "class"), "heads")
     n = heads.count()
-    dims = heads.select((F.length("vec") / 8).cast("int").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return table.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    if not n:
+        return table.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
     per_table, tables, least, reach = plan(n, threshold, recall)
-    rng = np.random.default_rng(seed)
-    base = rng.normal(size=(dims["d"], per_table * tables + COUNTED))
-    offset = rng.uniform(0, CELL_WIDTH, per_table * tables)
-    shared = spark.sparkContext.broadcast((base, offset))  # a size that grows with the number of tables only
 
     def keyed(vecs):
-        x, rows = _matrix(vecs)
-        x = x[:, : base.shape[0]] if len(x) and x.shape[1] == dims["d"] else x[:0]
-        rows = rows[: len(x)]
-        directions, shift = shared.value
-        u = unit(x) if len(x) else np.zeros((0, dims["d"]))
-        proj = u @ directions
-        cell = np.floor((proj[:, :-COUNTED] + shift) / CELL_WIDTH).astype(np.int64).reshape(len(u), tables, per_table)
-        keys = np.zeros((len(u), tables), np.uint64)
-        for k in range(per_table):
-            keys = tb.mix(keys * np.uint64(0x9E3779B97F4A7C15) + cell[:, :, k].astype(np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
-        return rows, u, proj[:, -COUNTED:], keys
+        """For each length: (length, rows, unit vectors, counted values, cell of each table)."""
+        for d, rows, x in by_length(vecs):
+            base, shift = _directions(d, per_table * tables, seed)
+            u = unit(x)
+            proj = u @ base
+            cell = np.floor((proj[:, :-COUNTED] + shift) / CELL_WIDTH).astype(np.int64).reshape(len(u), tables, per_table)
+            keys = np.full((len(u), tables), d, np.uint64)
+            for k in range(per_table):
+                keys = tb.mix(keys * np.uint64(0x9E3779B97F4A7C15) + cell[:, :, k].astype(np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
+            yield d, rows, u, proj[:, -COUNTED:], keys
 
     def cells(batches):
         for batch in batches:
-            _, _, _, keys = keyed(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], ["cell"])
+            for *_, keys in keyed(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], ["cell"])
 
     sizes = heads.select("vec").mapInArrow(cells, "cell long").groupBy("cell").count().where(f"count > {LARGE_CELL}")
     sizes = save(sizes.select("cell", "count", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts")), "cells")
@@ -235,9 +236,9 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                rows, _, _, keys = keyed(part.column(1))
-                row, tab = np.nonzero(large(keys.ravel().view(np.int64)).reshape(keys.shape))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(tab), pa.array(keys[row, tab].view(np.int64))], ["class", "tab", "cell"])
+                for _, rows, _, _, keys in keyed(part.column(1)):
+                    row, tab = np.nonzero(large(keys.ravel().view(np.int64)).reshape(keys.shape))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(tab), pa.array(keys[row, tab].view(np.int64))], ["class", "tab", "cell"])
 
     dealt = heads.withColumn("blocks", F.lit(None).cast("array<long>"))
     if total["cells"]:
@@ -250,28 +251,27 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                rows, u, value, keys = keyed(part.column(1))
-                if not len(rows):
-                    continue
                 parts = np.ones((part.num_rows, tables), np.int64)
                 listed = part.column(3)
                 packed = listed.flatten().to_numpy(zero_copy_only=False)
                 count = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 parts[np.repeat(np.arange(part.num_rows), count), packed % tables] = packed // tables
-                cls = part.column(0).take(pa.array(rows)).to_numpy()
-                for row, tab, place, side in placements(keys, cls, parts[rows]):
-                    bucket = (place % np.uint64(buckets)).astype(np.int64)
-                    order = np.lexsort((bucket, row))
-                    row, bucket, place, code = row[order], bucket[order], place[order], (4 * tab + side)[order]
-                    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
-                    offs = np.append(first, len(row))
-                    # a vector may be repeated for many buckets
-                    for at in range(0, len(first), 5000):
-                        r, o = row[first[at : at + 5000]], offs[at : at + 5001]
-                        take = pa.array(rows[r])
-                        bins = [tb.binaries(x[r], np.arange(len(r) + 1) * x.shape[1]) for x in (u, value, keys)]
-                        places = [tb.binaries(x[o[0] : o[-1]], o - o[0]) for x in (place, code)]
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket[first[at : at + 5000]].astype(np.int32)), part.column(0).take(take), part.column(2).take(take), *bins, *places], ["bucket", "class", "size", "x", "v", "k", "place", "code"])
+                for d, rows, u, value, keys in keyed(part.column(1)):
+                    cls = part.column(0).take(pa.array(rows)).to_numpy()
+                    for row, tab, place, side in placements(keys, cls, parts[rows]):
+                        bucket = (place % np.uint64(buckets)).astype(np.int64)
+                        order = np.lexsort((bucket, row))
+                        row, bucket, place, code = row[order], bucket[order], place[order], (4 * tab + side)[order]
+                        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+                        offs = np.append(first, len(row))
+                        # a vector may be repeated for many buckets
+                        for at in range(0, len(first), 5000):
+                            r, o = row[first[at : at + 5000]], offs[at : at + 5001]
+                            take = pa.array(rows[r])
+                            bins = [tb.binaries(x[r], np.arange(len(r) + 1) * x.shape[1]) for x in (u, value, keys)]
+                            places = [tb.binaries(x[o[0] : o[-1]], o - o[0]) for x in (place, code)]
+                            where = [pa.array(bucket[first[at : at + 5000]].astype(np.int32)), pa.array(np.full(len(r), d, np.int32))]
+                            yield pa.RecordBatch.from_arrays([*where, part.column(0).take(take), part.column(2).take(take), *bins, *places], ["bucket", "d", "class", "size", "x", "v", "k", "place", "code"])
 
     def link(got: pa.Table) -> pa.Table:
         cls, size = (got.column(c).to_numpy() for c in ("class", "size"))
@@ -294,8 +294,8 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.9, recall: float = 0.
                 seen[own[i]] = seen[own[j]] = True
         return pa.table({"class": cls[row[seen]], "links": links[seen], "other": cls[row[root[seen]]]})
 
-    rows_of = "bucket int, class long, size long, x binary, v binary, k binary, place binary, code binary"
-    found = save(dealt.select("class", "vec", "size", "blocks").mapInArrow(deal, rows_of).groupBy("bucket").applyInArrow(link, "class long, links long, other long"), "found")
+    rows_of = "bucket int, d int, class long, size long, x binary, v binary, k binary, place binary, code binary"
+    found = save(dealt.select("class", "vec", "size", "blocks").mapInArrow(deal, rows_of).groupBy("bucket", "d").applyInArrow(link, "class long, links long, other long"), "found")
     near = components(found, "class", "other")
     counted = found.groupBy("class").agg(F.sum("links").alias("links"))
     named = classes.join(near.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -16,8 +16,8 @@ The jobs:
    what follows looks only for links between these, so a group of near copies
    makes no pair for each two of its members.
 3. `_prefixes` deals the prefix shingles of each order to buckets, as packed arrays, and
-   `_live` keeps those that classes of different components share.
-4. `_pairs` meets these classes by shingle and order. Before a pair becomes a row, the sizes
+   `_live` keeps the lists of classes of different components that share one, each list once.
+4. `_pairs` meets the classes of each list and order. Before a pair becomes a row, the sizes
    must fit, and so must the distance of the two sets' parity sketches, a lower bound of the
    number of shingles that only one of them has: neither test loses a link. Pairs found
    under both orders are left.
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from . import textbuf as tb
 from .components import components
 from .shared import SLICES, IdFilter, combine_slices, release, save, slices_of, tidy
+from .wordcode import gather
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
 TABLE_BITS = 22
@@ -48,7 +49,7 @@ BUCKET_ROWS = 1_000_000
 #: Classes of one shingle that meet in one place.
 BLOCK = 4096
 #: Postings that meet in a task of the pair search, about.
-MEET_ROWS = 100_000
+MEET_ROWS = 50_000
 #: Pairs that are held at once.
 STEP = 400_000
 #: Bytes of sets in a task of the verification, about, and pairs of one class there at most.
@@ -57,7 +58,7 @@ ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 STARS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _SKETCH = np.uint64(0x452821E638D01377)
 #: Bits of the largest sketch.
-_WIDE = 1024
+_WIDE = 4096
 _SEEN = 1 << 20
 
 
@@ -141,15 +142,20 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return save(docs.mapInArrow(tidy(scan), _PROFILE), "profile")
 
 
-def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The level of each entry of the count table, and the number of parts that its shingles are dealt to (as 1 beyond it)."""
-    counts = combine_slices(profile.where("slice is not null"), "slice", "counts", "uint16", "sum")
-    if not len(counts):
-        return np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(0, np.int64)
-    mean = counts.mean()
-    above = np.maximum(counts.astype(np.float32) - np.float32(mean), 0) / np.float32(2 * np.sqrt(mean) + 2)
-    hot = np.flatnonzero(counts > BUCKET_ROWS)
-    return np.minimum(2 * np.log2(1 + above), LEVELS).astype(np.uint8), np.stack([hot, -(-counts[hot].astype(np.int64) // BUCKET_ROWS)], 1)
+def _levels(profile: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each entry of the count table, and the number of parts that the shingles of very large entries are dealt to."""
+    mean = total / (1 << TABLE_BITS)
+
+    def level(counts: np.ndarray) -> np.ndarray:
+        above = np.maximum(counts - mean, 0) / (2 * np.sqrt(mean) + 2)
+        parts = np.minimum(-(-counts // BUCKET_ROWS), 1 << 16)
+        return np.minimum(2 * np.log2(1 + above), LEVELS).astype(np.uint32) | np.where(parts > 1, parts, 0).astype(np.uint32) << np.uint32(4)
+
+    got = combine_slices(profile.where("slice is not null"), "slice", "counts", "uint16", "sum", level)
+    if not len(got):
+        got = np.zeros(1 << TABLE_BITS, np.uint32)
+    hot = np.flatnonzero(got >> 4)
+    return (got & 15).astype(np.uint8), np.stack([hot, got[hot] >> 4], 1).astype(np.int64)
 
 
 def _stars(sets: DataFrame, percent: int) -> DataFrame:
@@ -245,10 +251,10 @@ def _split(key: np.ndarray, row: np.ndarray, node: np.ndarray, parts: dict[int,
 
 
 def _live(table: pa.Table) -> pa.Table:
-    """The postings (order, key, class) of a bucket's shingles that classes of different components share.
+    """The lists of classes of a bucket's shingles that classes of different components share.
 
-    A shingle of over BLOCK classes goes in blocks by component; two blocks meet under a key
-    of their own, and those that hold one and the same component don't.
+    The classes of a shingle of over BLOCK are cut into blocks by component; each two
+    blocks make a list, but for those that hold one and the same component.
     """
     get = {c: [np.frombuffer(b.as_py(), t) for b in table.column(c)] for c, t in (("nodes", np.int64), ("comps", np.int64), ("keys", np.uint32))}
     rows = [np.frombuffer(b.as_py(), f"u{len(b.as_py()) // len(k)}").astype(np.int64) for b, k in zip(table.column("rows"), get["keys"], strict=True)]
@@ -266,25 +272,27 @@ def _live(table: pa.Table) -> pa.Table:
     count = np.diff(np.append(first, len(key)))
     several = comp[doc[first]] != comp[doc[first + count - 1]]
     keep = np.repeat(several & (count <= BLOCK), count)
-    bucket = np.uint64(table.column("bucket")[0].as_py())
-    keys, docs = [tb.mix(key[keep] << np.uint64(31) ^ bucket)], [doc[keep]]
+    docs, counts = [doc[keep]], [count[several & (count <= BLOCK)]]
     for f, c in zip(first[several & (count > BLOCK)].tolist(), count[several & (count > BLOCK)].tolist(), strict=True):
-        members = doc[f : f + c]
-        blocks = np.array_split(members, -(-c // BLOCK))
+        blocks = np.array_split(doc[f : f + c], -(-c // BLOCK))
         ends = [(comp[b[0]], comp[b[-1]]) for b in blocks]
         for i, a in enumerate(blocks):
             for j in range(i, len(blocks)):
                 if ends[i][0] != ends[j][1]:
-                    meet = np.concatenate([a, blocks[j]]) if i < j else a
-                    keys.append(np.full(len(meet), tb.mix(tb.mix(np.array([key[f] << np.uint64(31) ^ bucket])) + np.uint64(i * len(blocks) + j + 1))[0]))
-                    docs.append(meet)
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    return pa.table({"ord": pa.array(np.full(len(key), table.column("ord")[0].as_py(), np.int32)), "key": pa.array(key.view(np.int64)), "node": pa.array(node[doc])})
+                    docs.append(np.concatenate([a, blocks[j]]) if i < j else a)
+                    counts.append(np.array([len(docs[-1])]))
+    doc, count = np.concatenate(docs), np.concatenate(counts)
+    # many shingles have the same classes: one list for all of them
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(node[doc].view(np.uint64)))])
+    at = np.concatenate([[0], np.cumsum(count)])
+    name, one = np.unique(tb.mix(sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64)), return_index=True)
+    members, offs = gather(node[doc], at[one], count[one])
+    return pa.table({"ord": pa.array(np.full(len(name), table.column("ord")[0].as_py(), np.int32)), "list": pa.array(name.view(np.int64)), "nodes": pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(members))})
 
 
 def _near(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs (x, y) of classes of different components that share a key, whose sizes and sketches allow the similarity."""
-    key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "comp", "n"))
+    """Pairs (x, y) of classes of different components that share a list, whose sizes and sketches allow the similarity."""
+    key, node, comp, n = (table.column(c).to_numpy() for c in ("list", "node", "comp", "n"))
     node, at, doc = np.unique(node, return_index=True, return_inverse=True)
     comp, n = comp[at], n[at].astype(np.int64)
     data, offs = tb.unbinaries(table.column("sketch").combine_chunks().take(pa.array(at)), np.uint8)
@@ -329,16 +337,17 @@ def _near(table: pa.Table, percent: int) -> pa.Table:
 def _pairs(sets: DataFrame, links: DataFrame, percent: int, profile: DataFrame, total: int) -> DataFrame:
     """Pairs (x, y, nx, ny) of classes of different components that both orders, the sizes and the sketches allow."""
     spark = sets.sparkSession
-    comps = components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp"))
+    comps = save(components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp")), "comps")
     buckets = max(12, -(-total * (100 - percent) // 100 // BUCKET_ROWS))
     named = sets.select("node", "set").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    packed = _prefixes(named, percent, spark.sparkContext.broadcast(_levels(profile)), buckets)
-    live = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_live(t)), "ord int, key long, node long"), "live")
+    packed = _prefixes(named, percent, spark.sparkContext.broadcast(_levels(profile, total)), buckets)
+    lists = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_live(t)), "ord int, list long, nodes array<long>"), "lists")
+    live = save(lists.dropDuplicates(["ord", "list"]).select("ord", "list", F.explode("nodes").alias("node")), "live")
     # a class with no such shingle under one of the orders has no partner
     both = live.groupBy("node").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("node")
     info = sets.select("node", "n", "sketch").dropDuplicates(["node"]).join(both, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     places = max(12, live.count() // MEET_ROWS)
-    met = live.join(info, "node").withColumn("place", F.pmod(F.xxhash64("key"), F.lit(places)))
+    met = live.join(info, "node").withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
     found = save(met.groupBy("ord", "place").applyInArrow(lambda t: _released(_near(t, percent)), "x long, y long, nx int, ny int, ord int"), "found")
     return found.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").drop("a", "b")
 

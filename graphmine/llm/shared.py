@@ -90,24 +90,26 @@ def slices_of(table: np.ndarray) -> list[bytes]:
     return [part.tobytes() for part in np.split(table, SLICES)]
 
 
-def combine_slices(df: DataFrame, slice_col: str, blob_col: str, dtype: str, how: str) -> np.ndarray:
-    """Element-wise sum ("sum") or OR ("or") of equally long tables of which each row holds one slice.
+def combine_slices(df: DataFrame, slice_col: str, blob_col: str, dtype: str, how: str, then=None) -> np.ndarray:
+    """Element-wise sum ("sum", as int64) or OR ("or") of equally long tables of which each row holds one slice, and then(that) where given.
 
     The result has a fixed length that doesn't depend on the number of rows; it
     is the only thing that reaches the driver.
     """
     kind = np.dtype(dtype)
+    out_kind = np.dtype(np.int64) if how == "sum" else kind
+    out_kind = then(np.zeros(1, out_kind)).dtype if then else out_kind
 
     def merge(table: pa.Table) -> pa.Table:
         total = None
         for blob in table.column(1):
-            part = np.frombuffer(blob.as_py(), kind)
-            part = part.astype(np.uint64) if how == "sum" else part
+            part = np.frombuffer(blob.as_buffer(), kind)
+            part = part.astype(np.int64) if how == "sum" else part
             total = part.copy() if total is None else (total + part if how == "sum" else total | part)
+        total = then(total) if then else total
         return pa.table({"slice": table.column(0).slice(0, 1), "blob": pa.array([total.tobytes()], pa.binary())})
 
     rows = df.select(F.col(slice_col).alias("slice"), F.col(blob_col).alias("blob")).groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
-    out_kind = np.uint64 if how == "sum" else kind
     return np.concatenate([np.frombuffer(r["blob"], out_kind) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(0, out_kind)
 
 
