@@ -36,6 +36,11 @@ def keyed_uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(keyed_hash(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def keyed_slot(seed: int, *keys: Column) -> Column:
+    """A number of 48 bits from the seed and the keys."""
+    return F.conv(F.substring(keyed_hash(seed, *keys), 1, 12), 16, 10).cast("long")
+
+
 def strip_layer(col: Column) -> Column:
     """An id without its layer prefix (L0_ to L5_, M_), in either case."""
     return F.regexp_replace(col, r"(?i)^(L[0-5]|M)_", "")

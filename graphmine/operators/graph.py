@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphmine.functions import keyed_hash
+from graphmine.functions import keyed_hash, keyed_slot
+from graphmine.sources.tables import save_table
 
 
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -32,40 +33,96 @@ def feature_weights(edges: DataFrame) -> DataFrame:
     return freq.crossJoin(total).select("feature", "freq", F.log(F.col("total") / F.col("freq")).alias("weight"))  # one row
 
 
+def _marked(edges: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """The edges of features of fewer than d items, and the others (item, feature, freq)."""
+    freq = edges.groupBy("feature").agg(F.count("*").alias("freq"))
+    marked = edges.join(freq, "feature")
+    return marked.where(F.col("freq") < d).select("item", "feature"), marked.where(F.col("freq") >= d)
+
+
 def candidates(edges: DataFrame, sizes: DataFrame, d: int, k: int, seed: int) -> DataFrame:
     """Distinct (target, item), item another than the target, that share a feature.
 
-    A feature of fewer than d items gives all of them; another gives each target d items of size k at
-    most, drawn by a keyed hash, so no feature makes more than d rows a target.
+    A feature of fewer than d items gives all of them; another gives each target the d items of size k at
+    most that come first in a keyed order of its own. That order meets all small items of the feature
+    with all its targets before it keeps d: `candidates_drawn` doesn't.
     """
-    freq = edges.groupBy("feature").agg(F.count("*").alias("freq"))
-    marked = edges.join(freq, "feature")
-    targets = marked.select(F.col("item").alias("target"), "feature", "freq")
-    rare = targets.where(F.col("freq") < d).join(edges, "feature").where("item <> target").select("target", "item")
+    rare, common = _marked(edges, d)
+    near = _other(rare.select(F.col("item").alias("target"), "feature").join(rare, "feature"))
     small = edges.join(sizes.where(F.col("size") <= k).select("item"), "item", "left_semi")
     draw = Window.partitionBy("target", "feature").orderBy(keyed_hash(seed, F.col("target"), F.col("feature"), F.col("item")), "item")
-    common = targets.where(F.col("freq") >= d).join(small, "feature").where("item <> target").withColumn("r", F.row_number().over(draw)).where(F.col("r") <= d).select("target", "item")
-    return rare.union(common).distinct()
+    drawn = common.select(F.col("item").alias("target"), "feature").join(small, "feature").where("item <> target").withColumn("r", F.row_number().over(draw)).where(F.col("r") <= d).select("target", "item")
+    return near.union(drawn).distinct()
+
+
+def _other(pairs: DataFrame) -> DataFrame:
+    return pairs.where("item <> target").select("target", "item")
+
+
+def candidates_drawn(edges: DataFrame, sizes: DataFrame, d: int, k: int, seed: int) -> DataFrame:
+    """Distinct (target, item), item another than the target, that share a feature, at most about d from each common one.
+
+    A feature of fewer than d items gives all of them. The items of size k at most of another lie in as many
+    hashed slots as there are of them, and each target draws d slots: d rows a target and feature
+    before the join, whatever the feature's frequency. Items of equal slots come together, so
+    a draw can give more than d, on average less.
+    """
+    rare, common = _marked(edges, d)
+    near = _other(rare.select(F.col("item").alias("target"), "feature").join(rare, "feature"))
+    small = common.join(sizes.where(F.col("size") <= k).select("item"), "item", "left_semi")
+    count = small.groupBy("feature").agg(F.count("*").alias("n"))
+    slots = small.join(count, "feature").select("feature", "item", F.pmod(keyed_slot(seed, F.col("feature"), F.col("item")), F.col("n")).alias("slot"))
+    draws = common.select(F.col("item").alias("target"), "feature").join(count, "feature").select("target", "feature", "n", F.explode(F.sequence(F.lit(1), F.lit(d))).alias("j"))
+    draws = draws.select("target", "feature", F.pmod(keyed_slot(seed, F.col("target"), F.col("feature"), F.col("j")), F.col("n")).alias("slot")).distinct()
+    return near.union(_other(draws.join(slots, ["feature", "slot"]))).distinct()
+
+
+def _feature_lists(weighted: DataFrame) -> DataFrame:
+    """Each item's features and their weights as two arrays."""
+    both = weighted.groupBy("item").agg(F.collect_list(F.struct("feature", "weight")).alias("l"))
+    return both.select("item", F.col("l.feature").alias("f"), F.col("l.weight").alias("w"))
+
+
+def _shared_weight(pairs: DataFrame, weighted: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with `shared`: the joint weight of the features that both ends have.
+
+    The features travel as two arrays to each pair; no row is made for a pair's feature.
+    """
+    lists = _feature_lists(weighted)
+    rows = pairs.join(lists.select(F.col("item").alias(a), F.col("f").alias("_fa"), F.col("w").alias("_wa")), a, "left")
+    rows = rows.join(lists.select(F.col("item").alias(b), F.col("f").alias("_fb")), b, "left")
+    both = F.array_intersect("_fa", "_fb")
+    shared = F.aggregate(both, F.lit(0.0), lambda total, f: total + F.element_at("_wa", F.array_position("_fa", f).cast("int")))
+    return rows.withColumn("shared", F.coalesce(shared, F.lit(0.0))).drop("_fa", "_wa", "_fb")
+
+
+def _similarity(shared: DataFrame, totals: DataFrame, a: str, b: str) -> DataFrame:
+    out = shared.join(totals.select(F.col("item").alias(a), F.col("w").alias("wa")), a).join(totals.select(F.col("item").alias(b), F.col("w").alias("wb")), b)
+    joint = F.col("wa") + F.col("wb") - F.col("shared")
+    return out.withColumn("similarity", F.when(joint > 0, F.col("shared") / joint).otherwise(F.lit(0.0))).withColumn("distance", 1 - F.col("similarity")).drop("shared", "wa", "wb")
 
 
 def weighted_jaccard(pairs: DataFrame, edges: DataFrame, weights: DataFrame) -> DataFrame:
     """(target, item, similarity, distance): shared weight over joint weight; nothing to weigh gives similarity 0."""
-    weighted = edges.join(weights.select("feature", "weight"), "feature")
+    weighted = save_table(edges.join(weights.select("feature", "weight"), "feature"), "weighted")
     totals = weighted.groupBy("item").agg(F.sum("weight").alias("w"))
-    left = pairs.join(weighted.select(F.col("item").alias("target"), "feature", "weight"), "target")
-    common = left.join(edges, ["item", "feature"]).groupBy("target", "item").agg(F.sum("weight").alias("common"))
-    out = pairs.join(common, ["target", "item"], "left").join(totals.select(F.col("item").alias("target"), F.col("w").alias("wt")), "target").join(totals, "item")
-    joint = F.col("wt") + F.col("w") - F.coalesce("common", F.lit(0.0))
-    sim = F.when(joint > 0, F.coalesce("common", F.lit(0.0)) / joint).otherwise(F.lit(0.0))
-    return out.select("target", "item", sim.alias("similarity"), (1 - sim).alias("distance"))
+    return _similarity(_shared_weight(pairs, weighted, "target", "item"), totals, "target", "item").select("target", "item", "similarity", "distance")
 
 
 def shared_feature_pairs(edges: DataFrame, weights: DataFrame, d: int) -> DataFrame:
-    """All pairs that share a feature of fewer than d items, with their weighted Jaccard distance; one join finds and weighs them."""
-    rare = weights.where(F.col("freq") < d).select("feature")
-    kept = edges.join(rare, "feature", "left_semi")
-    pairs = kept.select(F.col("item").alias("target"), "feature").join(kept, "feature").where("item <> target").select("target", "item").distinct()
-    return weighted_jaccard(pairs, edges, weights)
+    """All pairs that share a feature of fewer than d items, with their weighted Jaccard distance.
+
+    The join that finds a pair also sums its rare features' weights; the weight of the common ones comes
+    from each item's list of these. Each pair is weighed once and returned in both directions.
+    """
+    weighted = save_table(edges.join(weights, "feature").select("item", "feature", "freq", "weight"), "weighted")
+    totals = weighted.groupBy("item").agg(F.sum("weight").alias("w"))
+    rare, common = weighted.where(F.col("freq") < d), weighted.where(F.col("freq") >= d)
+    met = rare.select(F.col("item").alias("a"), "feature", "weight").join(rare.select(F.col("item").alias("b"), "feature"), "feature").where("a < b")
+    found = met.groupBy("a", "b").agg(F.sum("weight").alias("rare"))
+    out = _shared_weight(found, common, "a", "b").withColumn("shared", F.col("shared") + F.col("rare")).drop("rare")
+    ways = F.explode(F.array(F.struct(F.col("a").alias("target"), F.col("b").alias("item")), F.struct(F.col("b").alias("target"), F.col("a").alias("item")))).alias("way")
+    return _similarity(out, totals, "a", "b").select(ways, "similarity", "distance").select("way.target", "way.item", "similarity", "distance")
 
 
 def layer_rows(layers: dict[str, tuple[DataFrame, str]]) -> DataFrame:

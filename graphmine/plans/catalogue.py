@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from graphmine.functions import add_layer, content_id, cosine, decay_weight, hub_id, id_number, keyed_hash, keyed_uniform, list_key, name_is_valid, pattern_id, scaled_distance, strip_layer, truth
 from graphmine.operators import clean, graph, models, patterns, rank, registry, sampling, vectors
 from graphmine.sources import hub_vectors, index_lists, model_runs
+from graphmine.sources.tables import save_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,19 +140,57 @@ def layer_merge(t):
     f"SELECT target, item FROM rare UNION SELECT target, item FROM com WHERE r <= {D}"
 )
 def candidates_sampled(t):
-    sizes = t("part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("size"))
-    return graph.candidates(edges_of(t), sizes, D, K, SEED)
+    return graph.candidates(edges_of(t), _sizes(t), D, K, SEED)
+
+
+def _sizes(t) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("size"))
+
+
+def _slot(*parts: str) -> str:
+    return f"('0x' || substr({hash_sql(*parts)}, 1, 12))::BIGINT"
+
+
+DRAWN = (
+    f"cn AS (SELECT e.item, feature FROM e JOIN w USING (feature) WHERE freq >= {D}), sm AS (SELECT cn.* FROM cn JOIN part ON item = p_partkey WHERE p_size <= {K}), "
+    "nn AS (SELECT feature, count(*) AS n FROM sm GROUP BY feature), "
+    f"sl AS (SELECT feature, item, {_slot('feature', 'item')} % n AS slot FROM sm JOIN nn USING (feature)), "
+    f"dr AS (SELECT item AS target, feature, {_slot('item', 'feature', 'j')} % n AS slot FROM cn JOIN nn USING (feature), (SELECT unnest(range(1, {D + 1})) AS j)), "
+    f"rr AS (SELECT e.* FROM e JOIN w USING (feature) WHERE freq < {D}), "
+    "cd AS (SELECT a.item AS target, b.item FROM rr a JOIN rr b USING (feature) WHERE a.item <> b.item UNION SELECT target, item FROM dr JOIN sl USING (feature, slot) WHERE item <> target)"
+)
+DRAWN_D = (
+    f"{W}, {DRAWN}, tot AS (SELECT item, sum(weight) AS w FROM e JOIN w USING (feature) GROUP BY item), "
+    "cm AS (SELECT cd.target, cd.item, sum(weight) AS common FROM cd JOIN e a ON a.item = cd.target JOIN e b ON b.item = cd.item AND b.feature = a.feature JOIN w ON w.feature = a.feature GROUP BY ALL), "
+    "d AS (SELECT cm.target, cm.item, common / (x.w + y.w - common) AS sim FROM cm JOIN tot x ON x.item = cm.target JOIN tot y ON y.item = cm.item)"
+)
+
+
+@query(f"WITH {W}, {DRAWN} SELECT target, item FROM cd")
+def candidates_drawn(t):
+    return graph.candidates_drawn(save_table(edges_of(t), "edges"), _sizes(t), D, K, SEED)
+
+
+@query(f"WITH {DRAWN_D} SELECT target, item, round(sim, 6) AS similarity FROM d")
+def drawn_distances(t):
+    return _candidate_distances(t).select("target", "item", r6(F.col("similarity"), "similarity"))
+
+
+@query(f"WITH {DRAWN_D} SELECT target, count(*) AS n, round(min(1 - sim), 6) AS d_min, round(max(1 - sim), 6) AS d_max, round(avg(1 - sim), 6) AS d_mean, round(quantile_cont(1 - sim, 0.1), 6) AS q10, round(quantile_cont(1 - sim, 0.9), 6) AS q90 FROM d GROUP BY target")
+def drawn_distance_stats(t):
+    s = sampling.distance_stats(_candidate_distances(t))
+    return s.select("target", "n", *[r6(F.col(c), c) for c in ("d_min", "d_max", "d_mean", "q10", "q90")])
 
 
 def _distances(t):
-    edges = edges_of(t)
+    edges = save_table(edges_of(t), "edges")
     return graph.shared_feature_pairs(edges, graph.feature_weights(edges), D)
 
 
 def _candidate_distances(t):
-    """Distances on the pairs of rare features and on the sampled pairs of common ones."""
-    edges, sizes = edges_of(t), t("part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("size"))
-    return graph.weighted_jaccard(graph.candidates(edges, sizes, D, K, SEED), edges, graph.feature_weights(edges))
+    """Distances on the pairs of rare features and on the drawn pairs of common ones."""
+    edges = save_table(edges_of(t), "edges")
+    return graph.weighted_jaccard(graph.candidates_drawn(edges, _sizes(t), D, K, SEED), edges, graph.feature_weights(edges))
 
 
 @query(f"WITH {P} SELECT target, item, round(sim, 6) AS similarity FROM d")
@@ -202,10 +241,6 @@ def stratified_sample(t):
     return sampling.stratified(t("documents"), "source", "doc_id", 0.1, 3, SEED).select("doc_id", "source")
 
 
-def _slot(*parts: str) -> str:
-    return f"('0x' || substr({hash_sql(*parts)}, 1, 12))::BIGINT"
-
-
 @query(
     f"WITH {E}, n AS (SELECT count(*) AS n FROM part), s AS (SELECT p_partkey AS item, {_slot('p_partkey')} % (SELECT n FROM n) AS slot FROM part), "
     f"w AS (SELECT p_partkey AS target, j, {_slot('p_partkey', 'j')} % (SELECT n FROM n) AS slot FROM part, (SELECT unnest(range(1, 65)) AS j)), "
