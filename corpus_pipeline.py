@@ -16,32 +16,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents with a toxicity score below 0.5, trained on the given labels."""
+    """Keep the documents with a toxicity score below 0.5, trained on the given labels.
+
+    Each row is judged by its text alone, whatever its id; a null or empty text is scored like one
+    without any word. Further columns stay; an empty table gives an empty one.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each component of near copies the document with the smallest id."""
-    rows = ngram_join.ngram_join(docs).rows
-    gone = shared.save(rows.where("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each component of near copies, one with the smallest id there.
+
+    Rows are told apart by id and text: of rows equal in both one stays, and another text under the
+    same id is judged by itself. Rows without words stay, null ids come last in the choice.
+    """
+    return ngram_join.keep_one_each(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut all but the first occurrence of passages of 50 words or more."""
+    """Cut all but the first occurrence of passages of 50 words or more; no row goes.
+
+    Nulls and short texts stay as they are; equal rows count as one place and stay alike. n_chars
+    follows the text.
+    """
     out = suffix_dedup.remove_passages(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets by a mark."""
+    """Replace secrets by a mark; no row goes, each is treated by its text alone, a null text stays null. n_chars follows the text."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into training sequences of at most 1024 tokens."""
+    """Pack all documents into training sequences of at most 1024 tokens.
+
+    Every row is a document of its own, also under a repeated or null id; a null or empty text is its end token.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("n_loss")
@@ -60,8 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents in sf_dir."""
+    """Apply all stages to the documents in sf_dir; a stage's own tables go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    before = shared.saved()
     for name, stage in STAGES:
         docs = shared.save(stage(spark, docs, sf_dir), f"stage-{name}")
+        shared.drop_saved(spark, before, docs)
     return docs

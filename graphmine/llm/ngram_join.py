@@ -17,11 +17,13 @@ The jobs:
    makes no pair for each two of its members.
 3. `_prefixes` deals the prefix shingles of each order to buckets, as packed arrays, and
    `_live` keeps the lists of classes of different components that share one, each list once.
-4. `_pairs` meets the classes of each list and order. Before a pair becomes a row, the sizes
-   must fit, and so must the distance of the two sets' parity sketches, a lower bound of the
-   number of shingles that only one of them has: neither test loses a link. Pairs found
-   under both orders are left.
-5. `_verify` compares the whole sets of these pairs.
+4. `_clusters` meets the classes of each list and order. Two are candidates if their sizes
+   fit, and the distance of their parity sketches, a lower bound of the number of shingles that
+   only one of them has: neither test loses a link. No row is made for a pair: each task gives
+   a spanning forest of its candidates, and classes that hang together under both orders
+   are a cluster.
+5. `_compare_clusters` compares the whole sets within each cluster, in blocks if it is large.
+   Only links that span its components leave a task.
 
 Shingles are compared by 64-bit hashes, in verification by 40 bits of them.
 """
@@ -54,6 +56,8 @@ MEET_ROWS = 50_000
 STEP = 400_000
 #: Bytes of sets in a task of the verification, about, and pairs of one class there at most.
 BUCKET_BYTES, FAN = 16 << 20, 256
+#: Classes and bytes of sets of a cluster's block, about.
+CLASSES, CLASS_BYTES = 2048, 8 << 20
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 STARS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _SKETCH = np.uint64(0x452821E638D01377)
@@ -64,10 +68,14 @@ _SEEN = 1 << 20
 
 @dataclass
 class Joined:
-    """rows: doc_id, n_shingles, component_id for each input row. links: pairs of class ids (node_a, node_b) verified, enough to span every component."""
+    """rows: doc_id, n_shingles, component_id for each input row. links: pairs of class ids (node_a, node_b) verified, enough to span every component.
+
+    members: doc_id, node and component (class ids) of each row with words.
+    """
 
     rows: DataFrame
     links: DataFrame
+    members: DataFrame
 
 
 def _sets(column, k: int):
@@ -291,7 +299,7 @@ def _live(table: pa.Table) -> pa.Table:
 
 
 def _near(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs (x, y) of classes of different components that share a list, whose sizes and sketches allow the similarity."""
+    """Edges (x, y) that span what hangs together: classes of different components that share a list, whose sizes and sketches allow the similarity."""
     key, node, comp, n = (table.column(c).to_numpy() for c in ("list", "node", "comp", "n"))
     node, at, doc = np.unique(node, return_index=True, return_inverse=True)
     comp, n = comp[at], n[at].astype(np.int64)
@@ -312,12 +320,12 @@ def _near(table: pa.Table, percent: int) -> pa.Table:
     wide = int(size.max()) + 1
     last = np.searchsorted(group * wide + size, group * wide + np.minimum(100 * size // percent, wide - 1), "right")
     many = last - np.arange(len(key)) - 1
-    found = [np.zeros((2, 0), np.int64)]
+    root = np.arange(len(node))
     for lo, hi in _steps(many, STEP):
         i = np.repeat(np.arange(lo, hi), many[lo:hi])
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
         x, y = doc[i], doc[j]
-        apart = comp[x] != comp[y]
+        apart = (comp[x] != comp[y]) & (root[x] != root[y])
         x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
         one = np.unique(x * len(node) + y)
         x, y = one // len(node), one % len(node)
@@ -327,15 +335,26 @@ def _near(table: pa.Table, percent: int) -> pa.Table:
             mine = np.flatnonzero(level == lev)
             apart = np.bitwise_count(sketch[lev][x[mine]] ^ sketch[lev][y[mine]]).sum(1, dtype=np.int64)
             ok[mine] = (100 + percent) * apart <= (100 - percent) * (n[x[mine]] + n[y[mine]])
-        found.append(np.stack([x[ok], y[ok]]))
-    x, y = np.concatenate(found, 1)
-    one = np.unique(x * len(node) + y)
-    x, y = one // max(1, len(node)), one % max(1, len(node))
-    return pa.table({"x": pa.array(node[x]), "y": pa.array(node[y]), "nx": pa.array(n[x].astype(np.int32)), "ny": pa.array(n[y].astype(np.int32)), "ord": pa.array(np.full(len(x), table.column("ord")[0].as_py(), np.int32))})
-
-
-def _pairs(sets: DataFrame, links: DataFrame, percent: int, profile: DataFrame, total: int) -> DataFrame:
-    """Pairs (x, y, nx, ny) of classes of different components that both orders, the sizes and the sketches allow."""
+        root = _merged(root, x[ok], y[ok])
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table({"x": pa.array(node[root[moved]]), "y": pa.array(node[moved]), "ord": pa.array(np.full(len(moved), table.column("ord")[0].as_py(), np.int32))})
+
+
+def _merged(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest vertex reachable, given that of before and more edges."""
+    while True:
+        low = np.minimum(root[p], root[q])
+        new = root.copy()
+        np.minimum.at(new, root[p], low)
+        np.minimum.at(new, root[q], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFrame, total: int) -> DataFrame:
+    """(node, n, comp, cluster): classes that hang together by candidates under both orders, in clusters of several components."""
     spark = sets.sparkSession
     comps = save(components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp")), "comps")
     buckets = max(12, -(-total * (100 - percent) // 100 // BUCKET_ROWS))
@@ -346,10 +365,97 @@ def _pairs(sets: DataFrame, links: DataFrame, percent: int, profile: DataFrame,
     # a class with no such shingle under one of the orders has no partner
     both = live.groupBy("node").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("node")
     info = sets.select("node", "n", "sketch").dropDuplicates(["node"]).join(both, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    info = save(info, "info")
     places = max(12, live.count() // MEET_ROWS)
     met = live.join(info, "node").withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
-    found = save(met.groupBy("ord", "place").applyInArrow(lambda t: _released(_near(t, percent)), "x long, y long, nx int, ny int, ord int"), "found")
-    return found.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").drop("a", "b")
+    found = save(met.groupBy("ord", "place").applyInArrow(lambda t: _released(_near(t, percent)), "x long, y long, ord int"), "found")
+    # both orders' graphs at once, as graphs of different vertices
+    vertex = lambda c: F.xxhash64("ord", c)
+    hang = components(found.select(vertex("x").alias("x"), vertex("y").alias("y")), "x", "y")
+    ends = found.select("ord", F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("id", vertex("node")).join(hang, "id")
+    cell = ends.groupBy("node").agg(F.max(F.when(F.col("ord") == 0, F.col("component"))).alias("c0"), F.max(F.when(F.col("ord") == 1, F.col("component"))).alias("c1"))
+    cell = cell.where("c0 is not null and c1 is not null").select("node", F.xxhash64("c0", "c1").alias("cluster"))
+    out = save(cell.join(info.select("node", "n", "comp"), "node"), "cells")
+    several = out.groupBy("cluster").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("cluster")
+    return out.join(several, "cluster")
+
+
+def _compare_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that span the components within each cluster.
+
+    The classes of a cluster's largest component are compared with all others, these also with each
+    other. Both are dealt to blocks; each two blocks that have to be compared meet in a place.
+    """
+    clusters = save(clusters, "clusters")
+    if clusters.isEmpty():
+        return clusters.select(F.col("node").alias("x"), F.col("node").alias("y"))
+    sizes = clusters.groupBy("cluster", "comp").agg(F.count("*").alias("rows"), F.sum(5 * F.col("n").cast("long")).alias("bytes"))
+    largest = F.max(F.struct("rows", "comp", "bytes"))
+    parts = lambda rows, size: F.greatest(F.ceil(rows / CLASSES), F.ceil(size / CLASS_BYTES), F.lit(1)).cast("int")
+    whole = sizes.groupBy("cluster").agg(largest.alias("big"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    whole = whole.select("cluster", F.col("big.comp").alias("big"), parts(F.col("big.rows"), F.col("big.bytes")).alias("k"), parts(F.col("rows") - F.col("big.rows"), F.col("bytes") - F.col("big.bytes")).alias("m"))
+    own = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    rows = clusters.join(whole, "cluster").withColumn("main", F.col("comp") == F.col("big")).withColumn("own", F.when(F.col("main"), own("k")).otherwise(own("m")))
+    # a meeting is two blocks: of the others (0 to m - 1), or one of them and one of the largest component (m on)
+    others = F.sequence(F.lit(0), F.col("m") - 1)
+    with_own = F.transform(others, lambda o: F.when(F.col("main"), F.struct(o.alias("a"), (F.col("m") + F.col("own")).alias("b"))).otherwise(F.struct(F.least(o, F.col("own")).alias("a"), F.greatest(o, F.col("own")).alias("b"))))
+    with_main = F.when(~F.col("main"), F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.col("own").alias("a"), (F.col("m") + o).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    dealt = rows.select("node", "comp", "n", "main", "cluster", F.explode(F.concat(with_own, with_main)).alias("meet"))
+    places = max(24, -(-5 * (clusters.agg(F.sum(F.col("n").cast("long"))).first()[0]) // BUCKET_BYTES))
+    meeting = F.xxhash64("cluster", "meet.a", "meet.b")
+    home = save(dealt.select("node", "comp", "main", meeting.alias("meeting"), F.pmod(meeting, F.lit(places)).cast("int").alias("home")), "home")
+    mine = _wanted_sets(sets, home).join(home, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        meeting = table.column("meeting").to_numpy()
+        by = np.argsort(meeting, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], meeting[by][1:] != meeting[by][:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+        node, comp, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "main"))
+        blob = table.column("set").combine_chunks()
+        out_x, out_y = [node[:0]], [node[:0]]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = by[a:b]
+            own = own[np.unique(node[own], return_index=True)[1]]
+            data, at = tb.unbinaries(blob.take(pa.array(own)), np.uint8)
+            root = _linked(_unpack(data), np.diff(at) // 5, comp[own], main[own], percent)
+            moved = root != np.arange(len(own))
+            out_x.append(node[own[root[moved]]])
+            out_y.append(node[own[moved]])
+        return _released(pa.table({"x": np.concatenate(out_x), "y": np.concatenate(out_y)}))
+
+    return save(mine.groupBy("home").applyInArrow(compare, "x long, y long"), "links")
+
+
+def _linked(values: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest set reachable from each by links between different components; sets that are `main` aren't compared with each other."""
+    rows = len(n)
+    root = np.arange(rows)
+    some = np.flatnonzero(~main)
+    if not len(some) or rows < 2:
+        return root
+    line = np.full(rows, -1)
+    line[some] = np.arange(len(some))
+    row = np.repeat(np.arange(rows), n)
+    _, back, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[back] > 1
+    row, col = row[keep], number[back[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    width = int(number[-1]) + 1
+    overlap = np.zeros((len(some), rows), np.float32)
+    step = max(1, (32 << 20) // (4 * rows))
+    for lo in range(0, width, step):
+        s, e = np.searchsorted(col, [lo, lo + step])
+        part = np.zeros((rows, min(step, width - lo)), np.float32)
+        part[row[s:e], col[s:e] - lo] = 1
+        overlap += part[some] @ part.T
+    for lo in range(0, len(some), 256):
+        own = some[lo : lo + 256]
+        c = overlap[lo : lo + 256]
+        i, j = np.nonzero(((100 + percent) * c >= percent * (n[own][:, None] + n)) & (comp[own][:, None] != comp))
+        root = _merged(root, own[i], j)
+    return root
 
 
 def _released(table: pa.Table) -> pa.Table:
@@ -357,6 +463,19 @@ def _released(table: pa.Table) -> pa.Table:
     return table
 
 
+def _wanted_sets(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, set) of the classes in `ends`, and a few others: the join that follows drops them."""
+    wanted = IdFilter.of(ends, "node", ends.count())
+
+    def choose(batches):
+        for batch in batches:
+            keep = wanted(batch.column(0).to_numpy())
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return sets.select("node", "set").mapInArrow(tidy(choose), "node long, set binary")
+
+
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose whole sets are as similar as asked.
 
@@ -372,15 +491,7 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     place = F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(places)).cast("int")
     dealt = save(pairs.join(degree, "x").select("x", "y", place.alias("place")), "dealt")
     ends = dealt.select(F.col("x").alias("node"), F.col("place").alias("home")).union(dealt.select(F.col("y").alias("node"), F.col("place").alias("home"))).distinct()
-    wanted = IdFilter.of(ends, "node", ends.count())
-
-    def choose(batches):
-        for batch in batches:
-            keep = wanted(batch.column(0).to_numpy())
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    mine = sets.select("node", "set").mapInArrow(tidy(choose), "node long, set binary").join(ends, "node")
+    mine = _wanted_sets(sets, ends).join(ends, "node")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         own = dict(zip(right.column("node").to_pylist(), right.column("set"), strict=True))
@@ -418,7 +529,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = profile.where("set is not null").select("node", "n", "set", "sketch", "lows")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     links = _verify(sets, _stars(sets, percent), percent)
-    links = links.union(_verify(sets, _pairs(sets, links, percent, profile, total), percent))
+    links = links.union(_compare_clusters(sets, _clusters(sets, links, percent, profile, total), percent))
     near = components(links, "x", "y")
     # smallest doc_id of each class, then of each component
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -426,4 +537,38 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("node", "component_id")
     out = rows.join(named, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return Joined(out, links.select(F.col("x").alias("node_a"), F.col("y").alias("node_b")))
+    members = rows.where("node is not null").select("doc_id", "node").join(near.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    return Joined(out, links.select(F.col("x").alias("node_a"), F.col("y").alias("node_b")), members)
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The table with one row of each component of near copies: one with the smallest non-null id.
+
+    Rows are told apart by id and shingle set, so that rows of one id with other texts are judged by
+    themselves; of rows equal in both, one stays. Rows without words stay. Further columns stay, a
+    column of the name `_class` is not allowed.
+    """
+    joined = ngram_join(docs, id_col, text_col, k, percent)
+    members = joined.members.groupBy("doc_id", "node", "component").agg(F.count("*").alias("rows"))
+    # null ids come last
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    heads = members.groupBy("component").agg(F.min(place).alias("head"))
+    told = members.join(heads, "component")
+    head = (F.col("node") == F.col("head.node")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    told = save(told.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), head.alias("head"), "rows").where("not head or rows > 1"), "told")
+    cols = docs.columns
+    body = cols.index(text_col)
+
+    def name(batches):
+        for batch in batches:
+            for lo, hi, v, o in _sets(batch.column(body), k):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(_nodes(v, o), mask=np.diff(o) == 0)], [*cols, "_class"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _class long"
+    marked = docs.mapInArrow(tidy(name), schema)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_node"))
+    out = marked.join(told.select("_id", "_node"), same, "left_anti").select(*cols)
+    again = told.where("head")
+    if again.isEmpty():
+        return out
+    return out.union(marked.join(again.select("_id", "_node"), same, "left_semi").dropDuplicates([id_col, "_class"]).select(*cols))

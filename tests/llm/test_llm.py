@@ -79,7 +79,7 @@ def components_of(rows, percent=75):
     return [(d, len(s), least[group[i]]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK": 8, "STEP": 50, "FAN": 4, "BUCKET_ROWS": 200, "MEET_ROWS": 20}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 8, "STEP": 50, "FAN": 4, "CLASSES": 10, "BUCKET_ROWS": 200, "MEET_ROWS": 20}])
 def test_ngram_groups(spark, monkeypatch, limits):
     """Groups of near copies around the limit of similarity, with all ways of dealing hot shingles."""
     for name, value in limits.items():
@@ -318,6 +318,40 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, lab).count() == 0
 
 
+def test_html_families():
+    """Pages of held-out and seen families: what is lost and what is kept of boilerplate, in blocks."""
+    from graphmine.llm.html_pages import HELD_OUT, labelled_pages
+
+    for families, lost_most, kept_most in ((HELD_OUT, 0.06, 0.02), (("semantic", "divs", "mixed"), 0.04, 0.02)):
+        lost = content = kept = other = 0
+        for page, labels in labelled_pages(120, 4711, families):
+            got = set(html_extract.extract(page).split("\n"))
+            good = {b for b, label in labels if label}
+            bad = {b for b, label in labels if not label} - good
+            lost, content = lost + len(good - got), content + len(good)
+            kept, other = kept + len(bad & got), other + len(bad)
+        assert lost <= lost_most * content and kept <= kept_most * other, (families, lost / content, kept / other)
+
+
+@pytest.mark.parametrize("around", ['<article class="overflow-hidden">|</article>', '<article class="post legal">|</article>', '<div class="text-header-free form-page">|</div>', "|"])
+def test_html_names_alone_do_not_decide(around):
+    before, after = around.split("|")
+    text = ["The quick brown fox jumps over the lazy dog and runs away from it.", "Another paragraph of plain text follows here, to say more."]
+    body = before + "".join(f"<p>{t}</p>" for t in text) + after
+    assert html_extract.extract(f"<html><body>{body}</body></html>") == "\n".join(text)
+    menu = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>"
+    assert html_extract.extract(f"<body>{menu}{body}<footer>&copy; me</footer></body>") == "\n".join(text)
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<a " * 60_000, '<a "> ' * 60_000, "<p>some text here.<div class=ad>x</div>" * 5_000, "<div>" * 20_000 + "x", "<" * 100_000, "<!--" * 50_000, "<p>" + "word " * 200_000):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 8
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="x">Home</a></li></ul></nav><div class="sidebar"><p>Related stories to read now.</p></div><article><h1>Title</h1><p>One &amp; two<br>three &lt;b&gt;.<p>Short.</p><div class="comments"><p>First! Great read, thank you.</p></div></article><form><p>Sign up today for our letter.</p></form><footer>&copy; us</footer></body></html>'
     assert html_extract.extract(page) == "Title\nOne & two three <b>.\nShort."
@@ -419,6 +453,19 @@ def test_nearest(vectors):
     assert ann_forest.nearest(table.limit(0)).count() == 0
 
 
+def test_near_copies_go_by_row(spark, docs, empty):
+    """One row of each component stays: other texts under the same id don't go with it, exact repeats do."""
+    import corpus_pipeline
+
+    w, z, k = (words(40, s, 10**6) for s in (201, 202, 203))
+    rows = [(1, w), (2, w), (2, z), (3, z + " q"), (4, k), (4, k), (None, k), (5, None), (5, None), (6, "")]
+    table = spark.createDataFrame([(i, t, "de", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, w), (2, z), (4, k), (5, None), (5, None), (6, "")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, table.limit(0), "").count() == 0
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what it was given."""
     import corpus_pipeline
