@@ -1,56 +1,72 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into text blocks in page order; a block ends where a block element begins or
-ends. A classifier of structure and text gives each block the cost of calling it
+ends. A logistic classifier of structure and text gives each block the cost of calling it
 content and of calling it boilerplate: the capacities of its edges to the two terminals.
 Blocks next to each other, and each block with the one before it below the same
 parent, are tied by edges whose capacity falls with their distance in the tree. The minimum
 cut, found by augmenting paths, labels the blocks; those on the content side, joined by
 line feeds, are the text.
 
-The classifier is logistic with fixed weights: there are no labelled pages to train on.
+The classifier is trained on labelled pages that html_pages makes from a seed (TRAINING of them,
+of all families but the held-out ones). Telling words in class and id names are among its
+features; none decides alone.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: element kinds of HTML, and words of class, id and role that tell a region
+from .html_pages import FAMILIES, HELD_OUT, labelled_pages
+
+#: Labelled pages that the classifier is trained on, and the seed of their making.
+TRAINING, SEED = 700, 17
+
+# fixed values: element kinds of HTML, and words of class and id names that tell a region
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 SKIPPED = frozenset("head title script style noscript template textarea iframe object svg math canvas audio video select button".split())
-NOT_CONTENT = frozenset("nav footer aside header form menu dialog search fieldset".split())
-CONTENT = frozenset("article main".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
-BAD_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disclaimer disqus feedback foot footer form gdpr header headerbar legal links login masthead menu menubar meta modal nav navbar navigation newsletter notice pager pagination popup privacy promo promoted promotion rail recommend recommended related reply replies respond search share sharing sidebar sidenav signin signup social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets alert complementary contentinfo discussion".split())
-GOOD_WORDS = frozenset("article articlebody blog body content entry hentry main maincontent page post postbody posttext story text".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+TAG_KINDS = {"nav": 0, "menu": 0, "footer": 1, "aside": 2, "header": 3, "form": 4, "fieldset": 4, "search": 4, "dialog": 4}
+HEADER_OF_ARTICLE = 1 << 7
+BAD_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha colophon comment comments commentlist consent cookie cookies copyright disclaimer disqus feedback foot footer form gdpr header headerbar legal links login masthead menu menubar meta modal nav navbar navigation newsletter notice pager pagination paywall popup privacy promo promoted promotion rail recommend recommended related reply replies respond search share sharing sidebar sidenav signin signup social sponsor sponsored subscribe tabs tags teaser toolbar topbar widget widgets alert complementary contentinfo discussion".split())
+GOOD_WORDS = frozenset("article articlebody blog body content entry hentry main maincontent page post postbody posttext prose story text".split())
+WHOLE = frozenset("html body article main".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WHITE = re.compile(r"\s+")
 
 
 @dataclass
 class Node:
-    """An open element: bad and good say what region it and its ancestors are."""
+    """An open element, with what it and its ancestors tell: kinds of elements (bits), named regions, whether inside article or main."""
 
     tag: str
     parent: int
     depth: int
-    bad: float
-    good: float
-    skip: bool
-    link: bool
+    kinds: int = 0
+    bad: int = 0
+    faint: int = 0
+    good: int = 0
+    article: bool = False
+    hidden: bool = False
+    skip: bool = False
+    link: bool = False
 
 
 @dataclass
@@ -60,9 +76,73 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
+def tokens(text: str):
+    """Yield (text, None, None, end) for text and (None, tag, attributes, position) for tags, in linear time; an end tag has attributes None and its name after a slash."""
+    pos, end, failed = 0, len(text), 0
+    while pos < end:
+        at = text.find("<", pos)
+        if at < 0:
+            yield text[pos:], None, None, end
+            return
+        if at > pos:
+            yield text[pos:at], None, None, at
+        nxt = text[at + 1 : at + 2]
+        if text.startswith("<!--", at):
+            stop = text.find("-->", at + 4)
+            pos = stop + 3 if stop >= 0 else end
+            continue
+        if nxt in ("!", "?"):
+            stop = text.find(">", at)
+            pos = stop + 1 if stop >= 0 else end
+            continue
+        if not (nxt.isalpha() or nxt == "/") or not nxt.isascii():
+            yield "<", None, None, at + 1
+            pos = at + 1
+            continue
+        # a quote that is never closed would be looked for again at each tag: twice is enough
+        m = _TAG.match(text, at) if failed < 2 else None
+        if m is None:
+            failed += failed < 2
+            if text.find(">", at) < 0:
+                yield text[at:], None, None, end
+                return
+            m = _OPEN.match(text, at)
+        if m is None:
+            yield "<", None, None, at + 1
+            pos = at + 1
+            continue
+        pos = m.end()
+        name = m[2].lower()
+        yield None, ("/" if m[1] else "") + name, m[3], pos
+        if name in RAW and not m[1] and not m[3].rstrip().endswith("/"):
+            stop = _raw_end(name).search(text, pos)
+            pos = stop.end() if stop else end
+            yield None, "/" + name, "", pos
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+
+
+def _names(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role name a bad region (a whole name, or its last part), hold a bad word elsewhere, or name a good one."""
+    bad = faint = good = False
+    for a in _ATTR.findall(attrs):
+        for name in (a[0] or a[1] or a[2]).split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if not parts:
+                continue
+            told = parts[-1] in BAD_WORDS or "".join(parts) in BAD_WORDS
+            bad |= told
+            faint |= not told and any(p in BAD_WORDS for p in parts)
+            good |= not told and any(p in GOOD_WORDS for p in parts)
+    return bad, faint, good
+
+
 def read(text: str) -> Page:
     """The elements and non-empty text blocks of a page; unclosed, misnested and stray tags are tolerated."""
-    page = Page([Node("", -1, 0, 0.0, 0.0, False, False)])
+    page = Page([Node("", -1, 0)])
     nodes, at = page.nodes, 0
     parts: list[str] = []
     linked = 0
@@ -77,15 +157,9 @@ def read(text: str) -> Page:
             parts.clear()
             linked = 0
 
-    pos, end = 0, len(text)
-    while pos < end:
-        m = _TOKEN.match(text, pos)
-        pos = m.end()
-        tag = m[2]
+    opened: dict[str, int] = {}
+    for piece, tag, attrs, _ in tokens(text):
         if tag is None:
-            piece = m[0]
-            if piece.startswith(("<!--", "<!", "<?")):
-                continue
             if not nodes[at].skip:
                 if not parts:
                     owner = at
@@ -95,17 +169,21 @@ def read(text: str) -> Page:
                 if nodes[at].link:
                     linked += len(piece.strip())
             continue
-        tag = tag.lower()
-        if m[1]:
-            to = at
-            while to > 0 and nodes[to].tag != tag:
-                to = nodes[to].parent
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag in BLOCK:
                 flush()
-            if to > 0:
-                # an inline end tag doesn't close blocks
-                if tag in BLOCK or all(n.tag not in BLOCK for n in _between(nodes, at, to)):
-                    at = nodes[to].parent
+            if not opened.get(tag):
+                continue
+            to, crossed = at, False
+            while nodes[to].tag != tag:
+                crossed |= nodes[to].tag in BLOCK
+                to = nodes[to].parent
+            # an inline end tag doesn't close blocks
+            if tag in BLOCK or not crossed:
+                while at != nodes[to].parent:
+                    opened[nodes[at].tag] -= 1
+                    at = nodes[at].parent
             continue
         if tag in BLOCK:
             flush()
@@ -114,63 +192,93 @@ def read(text: str) -> Page:
                 while up > 0 and nodes[up].tag not in BLOCK:
                     up = nodes[up].parent
                 if nodes[up].tag in CLOSES[tag] and up > 0:
-                    at = nodes[up].parent
-        if tag == "br":
-            if not nodes[at].skip and parts:
-                parts.append(" ")
+                    while at != nodes[up].parent:
+                        opened[nodes[at].tag] -= 1
+                        at = nodes[at].parent
+        if tag == "br" and not nodes[at].skip and parts:
+            parts.append(" ")
         if tag in VOID:
             continue
         up = nodes[at]
-        bad, good = up.bad, up.good
-        if tag in NOT_CONTENT:
-            bad += 2.5
-        elif tag in CONTENT:
-            good += 2.0
-        attrs = m[3]
+        node = Node(tag, at, up.depth + 1, up.kinds, up.bad, up.faint, up.good, up.article or tag in ("article", "main"), up.hidden, up.skip or tag in SKIPPED, up.link or tag == "a")
+        kind = TAG_KINDS.get(tag)
+        if kind is not None:
+            # a header or footer of an article isn't the page's
+            node.kinds |= 1 << (kind + 4 if up.article and kind in (1, 3) else kind)
         if attrs and "=" in attrs:
-            words = {w for a in _ATTR.findall(attrs) for w in _WORDS.findall((a[0] or a[1] or a[2]).lower())}
-            if words & BAD_WORDS:
-                bad += 2.5
-            elif words & GOOD_WORDS:
-                good += 1.0
-            if re.search(r"\bhidden\b|display\s*:\s*none", attrs, re.I):
-                bad += 2.5
-        nodes.append(Node(tag, at, up.depth + 1, bad, good, up.skip or tag in SKIPPED, up.link or tag == "a"))
-        if tag in RAW and not attrs.rstrip().endswith("/"):
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, pos)
-            pos = stop.end() if stop else end
-            nodes.pop()
-            continue
+            bad, faint, good = _names(attrs)
+            if tag in WHOLE:
+                bad, faint = False, faint or bad
+            node.bad, node.faint, node.good = up.bad + bad, up.faint + faint, up.good + good
+        if attrs and not up.hidden and tag not in ("html", "body"):
+            node.hidden = bool(_HIDDEN.search(attrs))
+        nodes.append(node)
         at = len(nodes) - 1
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return page
 
 
-def _between(nodes: list[Node], low: int, high: int) -> list[Node]:
-    out = []
-    while low != high:
-        out.append(nodes[low])
-        low = nodes[low].parent
-    return out
-
-
-def content_cost(page: Page, block: tuple[int, str, int], any_article: bool) -> float:
-    """The log-odds that a block is content."""
-    node, text, linked = block
-    n = page.nodes[node]
-    share = linked / len(text)
-    z = 0.4 + n.good - 1.6 * n.bad
-    if any_article and not n.good:
-        z -= 1.5
-    z += min(len(text), 400) / 400 * 1.2 - 2.2 * share * (share > 0.5)
-    z += 0.4 * (text[-1] in ".!?:;\"'") - 0.3 * (text[:1] in "©|")
-    return z
+def features(page: Page) -> np.ndarray:
+    """A row for each block, of its place in the page, of names on the way to it and of its text."""
+    nodes = page.nodes
+    any_article = any(nodes[b[0]].article for b in page.blocks)
+    inside: dict[int, list[int]] = {}
+    homes = []
+    for node, text, linked in page.blocks:
+        home = node
+        while nodes[home].tag in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figure", "figcaption", "pre", "dd", "dt") and nodes[home].parent > 0:
+            home = nodes[home].parent
+        homes.append(home)
+        got = inside.setdefault(home, [0, 0, 0])
+        got[0] += len(text)
+        got[1] += linked
+        got[2] += 1
+    total = sum(g[0] for g in inside.values()) or 1
+    rows = []
+    for (node, text, linked), home in zip(page.blocks, homes, strict=True):
+        n, (size, links, count) = nodes[node], inside[home]
+        words = text.count(" ") + 1
+        share = linked / len(text)
+        row = [1.0, n.article, any_article and not n.article, n.article and not n.bad and not n.hidden and not n.kinds & ~HEADER_OF_ARTICLE, *((n.kinds >> i & 1) for i in range(8)), min(n.bad, 2), min(n.faint, 2), min(n.good, 2), n.hidden]
+        row += [min(math.log1p(len(text)), 7) / 5, words < 4, len(text) > 150, text[-1] in ".!?:;\"'»…", share, share > 0.6, text[0] in "©|", min(text.count(","), 4) / 4, n.tag in ("h1", "h2"), n.tag in ("h3", "h4", "h5", "h6"), n.tag == "li"]
+        row += [min(math.log1p(size), 9) / 5, links / size, size / total, min(count, 8) / 8, (size - links) / count / 200 if size - links < 200 * count else 1.0]
+        rows.append([float(v) for v in row])
+    return np.array(rows)
+
+
+def fit_weights(pages: list, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps; a labelled block that the reader doesn't find, or finds twice, is left out."""
+    xs, ys = [], []
+    for text, labels in pages:
+        page = read(text)
+        known: dict[str, bool | None] = {}
+        for block, label in labels:
+            known[block] = label if block not in known or known[block] == label else None
+        rows = features(page)
+        for row, block in zip(rows, page.blocks, strict=True):
+            if known.get(block[1]) is not None:
+                xs.append(row)
+                ys.append(known[block[1]])
+    x, y = np.array(xs), np.array(ys, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+    return w
+
+
+@functools.cache
+def weights() -> np.ndarray:
+    """The trained weights; the same in every process."""
+    return fit_weights(labelled_pages(TRAINING, SEED, tuple(f for f in FAMILIES if f not in HELD_OUT)))
 
 
 def _tie(nodes: list[Node], a: int, b: int) -> float:
     """Capacity between two blocks: falls by half with every step in the tree beyond siblings."""
     steps = 0
-    while a != b:
+    while a != b and steps < 12:
         if nodes[a].depth >= nodes[b].depth:
             a = nodes[a].parent
         else:
@@ -183,7 +291,8 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
     """Which nodes lie on the source's side of a minimum cut.
 
     source and sink are the terminal capacities, edges are undirected. Flow through one node is pushed
-    first; then shortest augmenting paths.
+    first. Then each node with flow left sends it along shortest augmenting paths; what it
+    reaches when no sink is left for it can never reach one later, and isn't visited again.
     """
     n = len(source)
     rest = [a - b for a, b in zip(source, sink, strict=True)]
@@ -192,48 +301,48 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     eps = 1e-9
-    while True:
-        before = [-2] * n
-        queue = deque(i for i in range(n) if rest[i] > eps)
-        for i in queue:
-            before[i] = -1
-        goal = -1
-        while queue and goal < 0:
-            i = queue.popleft()
-            for j, c in near[i].items():
-                if c > eps and before[j] == -2:
-                    before[j] = i
-                    if rest[j] < -eps:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [b != -2 for b in before]
-        flow, j = -rest[goal], goal
-        while before[j] >= 0:
-            flow = min(flow, near[before[j]][j])
-            j = before[j]
-        flow = min(flow, rest[j])
-        rest[j] -= flow
-        j = goal
-        rest[goal] += flow
-        while before[j] >= 0:
-            i = before[j]
-            near[i][j] -= flow
-            near[j][i] = near[j].get(i, 0.0) + flow
-            j = i
-
-
-def extract(text: str | None) -> str:
-    """The main text of a page; empty if there is none."""
+    cut_off = [False] * n
+    for start in range(n):
+        while rest[start] > eps and not cut_off[start]:
+            before = {start: -1}
+            queue, goal = deque([start]), -1
+            while queue and goal < 0:
+                i = queue.popleft()
+                for j, c in near[i].items():
+                    if c > eps and j not in before and not cut_off[j]:
+                        before[j] = i
+                        if rest[j] < -eps:
+                            goal = j
+                            break
+                        queue.append(j)
+            if goal < 0:
+                for i in before:
+                    cut_off[i] = True
+                break
+            flow, j = min(rest[start], -rest[goal]), goal
+            while before[j] >= 0:
+                flow = min(flow, near[before[j]][j])
+                j = before[j]
+            rest[start] -= flow
+            rest[goal] += flow
+            j = goal
+            while before[j] >= 0:
+                i = before[j]
+                near[i][j] -= flow
+                near[j][i] = near[j].get(i, 0.0) + flow
+                j = i
+    return cut_off
+
+
+def extract(text: str | None, trained: np.ndarray | None = None) -> str:
+    """The main text of a page; empty if there is none. trained: the weights, if they are at hand."""
     page = read(text or "")
     if not page.blocks:
         return ""
-    any_article = any(page.nodes[b[0]].good >= 2 for b in page.blocks)
+    trained = weights() if trained is None else trained
     source, sink, edges = [], [], []
     last: dict[int, int] = {}
-    for i, block in enumerate(page.blocks):
-        z = content_cost(page, block, any_article)
+    for i, (block, z) in enumerate(zip(page.blocks, (features(page) @ trained).tolist(), strict=True)):
         # -log of the probability of the other label
         source.append(math.log1p(math.exp(min(z, 30.0))))
         sink.append(math.log1p(math.exp(min(-z, 30.0))))
@@ -254,11 +363,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     missing url column gives null; further columns are ignored.
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    trained = weights()
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def scan(batches):
         for batch in batches:
-            texts = [extract(h) for h in batch.column(2).to_pylist()]
+            texts = [extract(h, trained) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return slim.mapInArrow(scan, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ from .wordcode import WordTable
 
 ORDER, DECAY, ALPHABET = 4, 0.55, 32
 #: Longer strings are scored by windows of so many characters.
-WINDOW, STEP = 10, 4
+WINDOW, STEP = 10, 1
 #: Labelled texts of each class that the training takes at most.
 TRAIN_TEXTS = 1000
 LANDMARKS = 160
@@ -141,10 +141,11 @@ class Model:
 
 
 def strings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text of the words of all texts and of runs of at least three one-byte words within one."""
+    """Starts, ends and text of the words of all texts and of runs of at least three words of one character within one."""
     s, e, of = tb.words(data, offs)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(of))
-    one = e - s == 1
+    char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    one = char[e] - char[s] == 1
     if one.any():
         grown = np.flatnonzero(one & np.concatenate([[True], ~one[:-1] | (text[1:] != text[:-1])]))
         last = np.flatnonzero(one & np.concatenate([~one[1:] | (text[1:] != text[:-1]), [True]]))
@@ -422,8 +423,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add `score` (0 to 1) to a table; a null or empty text is scored like one without any string."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """Add a score (0 to 1) to a table as a column of another name than its own; a null or empty text is scored like one without any string."""
+    if out_col in docs.columns:
+        raise ValueError(f"the table has a column {out_col}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
     cols = docs.columns
 
@@ -442,9 +445,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s, e, text = strings(data, offs)
                 f, _ = table(data, s, e)
                 got[lo:hi] = m.probability(text_features(f, text, hi - lo))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*cols, out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out_col}` double"
     return docs.mapInArrow(tidy(scan), schema)
 
 
