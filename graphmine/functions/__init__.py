@@ -113,3 +113,8 @@ def symbols(col: Column) -> Column:
     """Sorted distinct element symbols of a bracketed notation, hydrogen left out."""
     found = F.regexp_extract_all(col, F.lit(r"[A-Z][a-z]?"), F.lit(0))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "H")))
+
+
+def composite_id(*cols: Column) -> Column:
+    """The parts of an id joined by _; null parts are left out."""
+    return F.concat_ws("_", *[c.cast("string") for c in cols])

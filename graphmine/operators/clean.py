@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphmine.functions import content_id
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by an order; Spark keeps one row a task before it shuffles."""
@@ -64,3 +66,62 @@ def upload_violations(df: DataFrame, id_col: str, key_col: str) -> DataFrame:
     ids = full.groupBy(id_col).agg(F.count_distinct(key_col).alias("n")).where("n > 1").select(F.lit("id_reused").alias("violation"), F.col(id_col).cast("string").alias("id"))
     keys = full.groupBy(key_col).agg(F.count_distinct(id_col).alias("n")).where("n > 1").select(F.lit("key_repeated").alias("violation"), F.col(key_col).cast("string").alias("id"))
     return half.union(ids).union(keys)
+
+
+def keep_first_report(df: DataFrame, keys: list[str], order: list) -> tuple[DataFrame, DataFrame]:
+    """(first rows of each key, one row: rows before, kept and removed)."""
+    total = df.agg(F.count("*").alias("rows"), F.count_distinct(F.struct(*keys)).alias("kept"))
+    return keep_first(df, keys, order), total.withColumn("removed", F.col("rows") - F.col("kept"))
+
+
+def repair_and_rekey(df: DataFrame, id_col: str, text: str, repair=normalised) -> DataFrame:
+    """(id, source_id, text, status): repaired texts under ids made from them, invalid ones left out, each text once.
+
+    status is 2 for a text that the repair left as it was, else 1. Of equal texts the row with the smallest source id stays.
+    """
+    rows = df.select(F.col(id_col).alias("source_id"), F.col(text).alias("old"), repair(F.col(text)).alias("text"))
+    rows = rows.withColumn("status", repair_status(F.col("old"), F.col("text"))).where("status <> 0")
+    first = rows.groupBy("text").agg(F.min_by(F.struct("source_id", "status"), "source_id").alias("f"))
+    return first.select(content_id(F.col("text")).alias("id"), "f.source_id", "text", "f.status")
+
+
+def hub_literal(pairs: Column) -> Column:
+    """The literal [{'Zn':'2'},..] of an array of (symbol, charge), sorted, each once."""
+    one = F.transform(F.array_sort(F.array_distinct(pairs)), lambda x: F.concat(F.lit("{'"), x["symbol"], F.lit("':'"), x["charge"].cast("string"), F.lit("'}")))
+    return F.concat(F.lit("["), F.array_join(one, ","), F.lit("]"))
+
+
+def has_hub(col: Column, hubs: list[str]) -> Column:
+    """Whether any bracket of a notation holds a hub symbol."""
+    return F.size(bracket_symbols(col, hubs)) > 0
+
+
+def sized(df: DataFrame, size: Column, least: int, text: Column, never: list[str]) -> DataFrame:
+    """Rows of at least that size whose text is none of the given ones."""
+    return df.where((size >= least) & ~text.isin(*never))
+
+
+def split_containers(df: DataFrame, id_col: str, col: str, hubs: list[str]) -> DataFrame:
+    """(id, hubs, quality, position, component, has_hub): a row for each component of each notation that holds a hub."""
+    rows = df.where(has_hub(F.col(col), hubs)).select(F.col(id_col).alias("id"), F.col(col).alias("_s"), bracket_symbols(F.col(col), hubs).alias("hubs"), quality_code(F.col(col), hubs).alias("quality"))
+    return components_of(rows, "_s", hubs).drop("_s")
+
+
+def neighbour_rows(split: DataFrame) -> DataFrame:
+    """(position, centre, neighbour): the components without a hub beside the hubs of their container as one joined centre; each once."""
+    rows = split.where(~F.col("has_hub")).select("position", F.array_join(F.array_sort(F.array_distinct("hubs")), ",").alias("centre"), F.col("component").alias("neighbour"))
+    return rows.distinct()
+
+
+def named_values(tables: list[DataFrame], part: str) -> DataFrame:
+    """The distinct filled values of every column whose name holds `part`, of all tables."""
+    out = None
+    for df in tables:
+        for c in df.columns:
+            if part.lower() in c.lower():
+                value = F.trim(F.col(f"`{c}`").cast("string"))
+                one = df.select(value.alias("value")).where("value <> ''")
+                out = one if out is None else out.union(one)
+    if out is None:
+        raise ValueError(f"no column's name holds {part}")
+    return out.distinct()

@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 CONTEXTS = 1000
 
 
+#: By name; gelu in its tanh form.
+ACTIVATIONS = {
+    "relu": lambda x: np.maximum(x, 0),
+    "silu": lambda x: x / (1 + np.exp(-x)),
+    "gelu": lambda x: 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3))),
+}
+
+
 @dataclass
 class Encoder:
     """Layer norm, then three linear layers with an activation between them."""
@@ -36,7 +44,7 @@ class Encoder:
         for i, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
             x = x @ w + b
             if i < len(self.weights) - 1:
-                x = np.maximum(x, 0) if self.activation == "relu" else x / (1 + np.exp(-x))
+                x = ACTIVATIONS[self.activation](x)
         return x
 
 

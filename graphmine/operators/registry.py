@@ -63,3 +63,29 @@ def flatten_json(df: DataFrame, id_col: str, col: str, allowed: list[str]) -> Da
     """(id, key, value, applied) of a column of flat JSON objects."""
     pairs = F.from_json(col, "map<string,string>")
     return df.select(id_col, F.explode(pairs).alias("key", "value")).withColumn("applied", F.col("key").isin(*allowed))
+
+
+def flatten_nested(df: DataFrame, id_col: str, col: str, allowed: list[str]) -> DataFrame:
+    """(id, key, value, applied) of a struct column: nested fields under dotted keys, null ones left out."""
+    def walk(kind, path: str, at) -> list:
+        out = []
+        for f in kind.fields:
+            name, value = (f"{path}.{f.name}" if path else f.name), at[f.name]
+            out += walk(f.dataType, name, value) if hasattr(f.dataType, "fields") else [(name, value)]
+        return out
+
+    leaves = walk(df.schema[col].dataType, "", F.col(col))
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in leaves])
+    return df.select(id_col, F.explode(cells).alias("c")).select(id_col, "c.key", "c.value").where("value is not null").withColumn("applied", F.col("key").isin(*allowed))
+
+
+def verify_bindings(bound: DataFrame, now: DataFrame, group: str) -> DataFrame:
+    """(group, state) of the bound groups: same, rows differ, content differs or gone, by row count and checksum then and now."""
+    later = now.select(group, F.col("n_rows").alias("_n"), F.col("checksum").alias("_c"))
+    state = F.when(F.col("_n").isNull(), "gone").when(F.col("n_rows") != F.col("_n"), "rows differ").when(F.col("checksum") != F.col("_c"), "content differs").otherwise("same")
+    return bound.join(later, group, "left").select(group, state.alias("state"))
+
+
+def with_parent(versions: DataFrame, group: str, version: str) -> DataFrame:
+    """Versions with the one before them as `parent`, null for the first."""
+    return versions.withColumn("parent", F.lag(version).over(Window.partitionBy(group).orderBy(version)))

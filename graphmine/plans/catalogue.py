@@ -635,3 +635,6 @@ def flagship(t) -> DataFrame:
     """For each item its nearest items by weighted Jaccard distance, with the label of each hub."""
     h = hub_pairs(t)
     return sampling.known_split(_candidate_distances(t), h, h)
+
+
+from graphmine.plans import task_queries  # noqa: E402, F401  registers its queries
