@@ -71,13 +71,18 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 256, max
     """Add sequence_id and offset to a table with `length` and `n_loss` (tokens and loss-bearing tokens of each piece).
 
     A piece of max_tokens is a sequence of its own; one of more is an error, as is a
-    null. Equal rows are separate pieces. Further columns stay.
+    null. Equal rows are separate pieces. Further columns stay; one named like an added one is an
+    error. The blocks follow the places of the rows: give it a saved table, so that a task
+    that runs again finds the same ones.
     """
     limits = np.array([max_tokens, max_segments, max_tokens if max_loss is None else max_loss], np.int64)
+    cols = pieces.columns
+    if clash := {"sequence_id", "offset", "_block"} & set(cols):
+        raise ValueError(f"the table has columns {sorted(clash)}")
     n = pieces.count()
     blocks = max(1, -(-n // BLOCK))
-    cols = pieces.columns
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int"))
+    # the row's place keeps equal rows from one block
+    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     def fill(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
@@ -98,14 +103,17 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 256, max
     return dealt.groupBy("_block").applyInArrow(fill, schema)
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_pieces(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: int = 1024, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
     """(doc_id, start, length, n_loss, ids_crc32, doc_tokens) of the pieces of all documents.
 
+    loss_col: a boolean column; where it isn't true, a document's tokens bear no loss.
+
     A null or empty text has one token, the end id. The first token of a document bears no
     loss: nothing predicts it. Rows with equal ids are separate documents; a null
     id stays null.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bears = F.lit(True) if loss_col is None else F.coalesce(F.col(loss_col).cast("boolean"), F.lit(False))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), bears.alias("bears"))
 
     def scan(batches):
         coder = byte_bpe(tokenizer)
@@ -119,7 +127,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: i
                 length = np.minimum(n[doc] - start, max_tokens)
                 raw, a = memoryview(ids.astype("<u4").tobytes()), at[doc] + start
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), (a + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(length - (start == 0)), pa.array(crc, pa.int64()), pa.array(n[doc])], ["doc_id", "start", "length", "n_loss", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array((length - (start == 0)) * batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False)[doc]), pa.array(crc, pa.int64()), pa.array(n[doc])], ["doc_id", "start", "length", "n_loss", "ids_crc32", "doc_tokens"])
 
     return docs.mapInArrow(tidy(scan), "doc_id long, start long, length long, n_loss long, ids_crc32 long, doc_tokens long")
 
@@ -127,3 +135,15 @@ def document_pieces(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: i
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: int = 1024, max_segments: int = 256) -> DataFrame:
     """The pieces of all documents with their sequence and offset there; an empty table gives none."""
     return pack(save(document_pieces(docs, tokenizer, end, max_tokens), "pieces"), max_tokens, max_segments)
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, end: int = 0, max_tokens: int = 1024, max_segments: int = 64, max_loss: int = 512, learned: str = "assistant") -> DataFrame:
+    """Pack the turns (conv_id, role, text) of instruction data: only tokens of the learned role bear loss, and a sequence holds at most max_loss of these.
+
+    Each turn is an example of its own, so that no conversation gathers in one task; a turn is cut at
+    the smaller of the two limits where its tokens bear loss. Nulls and repeats as in document_pieces.
+    """
+    marked = turns.withColumn("_learned", F.col("role").eqNullSafe(learned))
+    cut = min(max_tokens, max_loss)
+    parts = [document_pieces(marked.where("_learned"), tokenizer, end, cut, "conv_id", "text", "_learned"), document_pieces(marked.where("not _learned"), tokenizer, end, max_tokens, "conv_id", "text", "_learned")]
+    return pack(save(parts[0].union(parts[1]).withColumnRenamed("doc_id", "conv_id"), "pieces"), max_tokens, max_segments, max_loss)

@@ -82,18 +82,24 @@ def _windows_of(data: np.ndarray, offs: np.ndarray, min_words: int, k: int):
     return text[first], first - w[text[first]], seed[at], at, _run_hashes(h, min_words)[first], n
 
 
-def _uids(doc: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """An id for each row: equal for rows of equal doc_id and text."""
-    return tb.mix(tb.span_hashes(data, offs[:-1], offs[1:]) + tb.mix(doc.view(np.uint64))).view(np.int64)
+def _uids(column: pa.Array, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """An id for each row of an id column: equal for rows of equal doc_id and text."""
+    return tb.mix(tb.span_hashes(data, offs[:-1], offs[1:]) + tb.mix(_ids(column).view(np.uint64) ^ _salt(column))).view(np.int64)
 
 
 _NULL_ID = np.iinfo(np.int64).min
 
 
 def _ids(column: pa.Array) -> np.ndarray:
+    """The ids, in their order; a null one is the smallest."""
     return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _salt(column: pa.Array) -> np.ndarray:
+    """What tells a null id from the smallest one in a uid."""
+    return column.is_null().to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _seeds(docs: DataFrame, min_words: int, k: int, buckets: int) -> DataFrame:
     """Rows of each document (doc_id, uid, n_words), and packed seeds by bucket."""
 
@@ -114,7 +120,6 @@ def _seeds(docs: DataFrame, min_words: int, k: int, buckets: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            doc = _ids(batch.column(0))
             for lo, hi, data, offs in tb.chunks(batch.column(1)):
                 _, _, seed, at, _, n = _windows_of(data, offs, min_words, k)
                 if len(at):
@@ -123,7 +128,7 @@ def _seeds(docs: DataFrame, min_words: int, k: int, buckets: int) -> DataFrame:
                     held.append(seed[fresh])
                     size += int(fresh.sum())
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array(_uids(doc[lo:hi], data, offs)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], ["doc_id", "uid", "n_words", "bucket", "one", "more"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array(_uids(batch.column(0).slice(lo, hi - lo), data, offs)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], ["doc_id", "uid", "n_words", "bucket", "one", "more"])
                 if size >= HOLD:
                     yield flush()
                     size = 0
@@ -188,7 +193,7 @@ def _windows(docs: DataFrame, min_words: int, k: int, wanted: IdFilter, buckets:
                 new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 keep = np.repeat(wanted(seed[new].view(np.int64)), np.diff(np.append(new, len(seed))))
                 t = text[keep]
-                held.append((doc[lo:hi][t], _uids(doc[lo:hi], data, offs)[t], at[keep].astype(np.int32), window[keep]))
+                held.append((doc[lo:hi][t], _uids(batch.column(0).slice(lo, hi - lo), data, offs)[t], at[keep].astype(np.int32), window[keep]))
                 size += len(t)
                 if size >= HOLD:
                     yield from flush()
@@ -296,8 +301,10 @@ def remove_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col: st
     """The same table with the words of all later occurrences of repeated passages cut from the text.
 
     With a removed word goes the white space after it. Texts without such words, and
-    nulls, stay as they are; no row goes.
+    nulls, stay as they are; no row goes. Columns named _uid, removed_start or removed_end are an error.
     """
+    if clash := {"_uid", "removed_start", "removed_end"} & set(docs.columns):
+        raise ValueError(f"the table has columns {sorted(clash)}")
     _, spans = repeated_passages(docs, min_words, k, id_col, text_col)
     cut = spans.where(F.size("removed_start") > 0).select("uid", "removed_start", "removed_end").dropDuplicates(["uid"])
     cols = docs.columns
@@ -305,9 +312,9 @@ def remove_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col: st
 
     def name(batches):
         for batch in _parts(batches):
-            doc = _ids(batch.column(key).cast(pa.int64()))
-            uid = [_uids(doc[lo:hi], data, offs) for lo, hi, data, offs in tb.chunks(batch.column(body))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(uid) if uid else doc[:0])], [*cols, "_uid"])
+            ids = batch.column(key).cast(pa.int64())
+            uid = [_uids(ids.slice(lo, hi - lo), data, offs) for lo, hi, data, offs in tb.chunks(batch.column(body))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(uid) if uid else np.zeros(0, np.int64))], [*cols, "_uid"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     marked = docs.mapInArrow(tidy(name), schema + ", _uid long").join(cut.withColumnRenamed("uid", "_uid"), "_uid", "left").select(*cols, "removed_start", "removed_end")

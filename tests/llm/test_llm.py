@@ -236,6 +236,79 @@ def test_packing(docs, empty):
     assert sum(r["length"] for r in rows) == sum(t["doc_tokens"] for t in rows if t["start"] == 0)
 
 
+def test_pieces_are_those_of_the_documents(spark, docs):
+    """Each id of each document lies in exactly one piece, with the checksum of its ids; a text of over a million bytes too."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(BPE)
+    big = " ".join(words(2000, i, 10**6) for i in range(90))
+    assert len(big) > 1 << 20
+    rows = [*((r["doc_id"], r["text"]) for r in docs.collect()), (77, big), (77, big)]
+    table = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], DOCS)
+    want = []
+    for i, text in rows:
+        ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, a, min(1024, len(ids) - a), zlib.crc32(ids[a : a + 1024].tobytes()), len(ids)) for a in range(0, len(ids), 1024)]
+    got = packing.pack_documents(table, BPE).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got), key=key) == sorted(want, key=key)
+    at = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 1024
+
+
+def test_conversations_meet_all_limits(spark):
+    """The limit of loss-bearing tokens binds: sequences stay under it, and there are as many as it asks for."""
+    rng = np.random.default_rng(2)
+    turns = [(i // 4, i % 4, ("user", "assistant", "assistant", None)[i % 4], words(int(rng.integers(20, 90)), i)) for i in range(400)] + [(200, 0, "assistant", None), (None, 0, "assistant", words(900, 5))]
+    table = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = packing.pack_conversations(table, BPE, max_loss=300, max_segments=12).collect()
+    from collections import defaultdict
+
+    sums = defaultdict(lambda: np.zeros(3, int))
+    for r in got:
+        sums[r["sequence_id"]] += (r["length"], 1, r["n_loss"])
+    most = np.max(list(sums.values()), axis=0)
+    assert (most <= (1024, 12, 300)).all() and most[2] > 280
+    loss = sum(r["n_loss"] for r in got)
+    assert len(sums) <= 1.1 * max(loss / 300, len(got) / 12, sum(r["length"] for r in got) / 1024) + 1
+    assert packing.pack_conversations(table.limit(0), BPE).count() == 0
+
+
+def test_clashing_names_are_errors(spark, docs):
+    pieces = spark.createDataFrame([(5, 4, 1)], "length long, n_loss long, offset long")
+    model = toxicity.Model(np.zeros(toxicity.ALPHABET**toxicity.ORDER, np.float32), 0.0, np.zeros(toxicity.N_FEATURES + 1))
+    for make in (lambda: packing.pack(pieces), lambda: toxicity.score(docs.withColumn("score", F.lit(1)), model), lambda: suffix_dedup.remove_passages(docs.withColumn("_uid", F.lit(1)))):
+        with pytest.raises(ValueError):
+            make()
+
+
+def removed_by_brute_force(rows, n=50):
+    """The rows' texts without the words of later occurrences; rows of equal id and text are one place."""
+    first, cut = {}, {}
+    for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        w = (text or "").split()
+        for p in range(len(w) - n + 1):
+            place = first.setdefault(tuple(w[p : p + n]), (key, text, p))
+            if place != (key, text, p):
+                cut.setdefault((key, text), set()).update(range(p, p + n))
+    return {(k, t): None if t is None else " ".join(w for i, w in enumerate(t.split()) if i not in cut.get((k, t), ())) for k, t in set(rows)}
+
+
+def test_removed_passages_against_brute_force(spark):
+    """Repeated rows, null ids and the smallest id, passages within one text, at the ends and next to each other, a long text."""
+    a, b, c = (words(n, s, 10**6) for n, s in ((60, 301), (75, 302), (52, 303)))
+    own = lambda i: words(20, 400 + i, 10**6)
+    rows = [(1, f"{a} {own(1)} {b}"), (2, f"{own(2)} {a} {b}"), (3, f"{b} {own(3)} {b} {c}"), (3, f"{b} {own(3)} {b} {c}"), (4, f"{own(4)} {c}"), (None, f"{own(5)} {a}"), (-(2**63), f"{own(6)} {a} {c}"), (5, None), (6, ""), (7, a), (8, words(30_000, 9, 400) + " " + b)]
+    table = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], DOCS)
+    want = removed_by_brute_force(rows)
+    got = suffix_dedup.remove_passages(table).collect()
+    assert len(got) == len(rows)
+    assert sorted(str((r["doc_id"], r["text"] and " ".join(r["text"].split()))) for r in got) == sorted(str((k, want[k, t])) for k, t in rows)
+
+
 def test_place_limits():
     rng = np.random.default_rng(4)
     needs = np.stack([rng.integers(1, 1025, 500), np.ones(500, np.int64), rng.integers(0, 400, 500)], axis=1)
