@@ -43,11 +43,11 @@ from .shared import SLICES, IdFilter, combine_slices, release, save, slices_of,
 from .wordcode import gather
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: Levels of the counts.
 LEVELS = 15
 #: Prefix shingles that a bucket holds about; a shingle of more classes is dealt to several.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 2_500_000
 #: Classes of one shingle that meet in one place.
 BLOCK = 4096
 #: Postings that meet in a task of the pair search, about.
@@ -176,7 +176,7 @@ def _stars(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int, levels, buckets: int) -> DataFrame:
-    """Packed postings by order and bucket: classes, their components, and the places and keys of their prefix shingles."""
+    """Packed postings by order and bucket: classes, the components of those that aren't their own, and keys and classes of the prefix shingles."""
 
     def scan(batches):
         level, hot = levels.value
@@ -197,9 +197,10 @@ def _prefixes(sets: DataFrame, percent: int, levels, buckets: int) -> DataFrame:
                 for i, mine in zip(some.tolist(), np.split(by, cut[1:]), strict=True):
                     own, local = np.unique(row[mine], return_inverse=True)
                     kind = np.uint16 if len(own) < 1 << 16 else np.uint32
-                    out.append((order, i, node[own].tobytes(), comp[own].tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), local.astype(kind).tobytes()))
+                    moved = np.flatnonzero(comp[own] != node[own])
+                    out.append((order, i, node[own].tobytes(), moved.astype(kind).tobytes(), comp[own[moved]].tobytes(), (key[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), local.astype(kind).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 4, strict=True)], ["ord", "bucket", "nodes", "comps", "keys", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 5, strict=True)], ["ord", "bucket", "nodes", "moved", "comps", "keys", "rows"])
             held.clear()
 
         pending = 0
@@ -227,7 +228,7 @@ def _prefixes(sets: DataFrame, percent: int, levels, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return sets.select("node", "comp", "set").mapInArrow(tidy(scan), "ord int, bucket int, nodes binary, comps binary, keys binary, rows binary")
+    return sets.select("node", "comp", "set").mapInArrow(tidy(scan), "ord int, bucket int, nodes binary, moved binary, comps binary, keys binary, rows binary")
 
 
 def _steps(size: np.ndarray, most: int):
@@ -268,8 +269,11 @@ def _live(table: pa.Table) -> pa.Table:
     rows = [np.frombuffer(b.as_py(), f"u{len(b.as_py()) // len(k)}").astype(np.int64) for b, k in zip(table.column("rows"), get["keys"], strict=True)]
     base = np.cumsum([0] + [len(x) for x in get["nodes"]])
     node, at, back = np.unique(np.concatenate(get["nodes"]), return_index=True, return_inverse=True)
-    comp = np.concatenate(get["comps"])[at]
-    _, comp = np.unique(comp, return_inverse=True)
+    comp = np.concatenate(get["nodes"])
+    for b, moved, to in zip(base, table.column("moved"), get["comps"], strict=False):
+        if len(to):
+            comp[b + np.frombuffer(moved.as_py(), f"u{len(moved.as_py()) // len(to)}").astype(np.int64)] = to
+    _, comp = np.unique(comp[at], return_inverse=True)
     # classes in the order of their components, so that a shingle's classes are sorted alike
     turn = np.argsort(comp, kind="stable")
     node, comp, place = node[turn], comp[turn], np.argsort(turn)
@@ -490,7 +494,8 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     degree = pairs.groupBy("x").agg(F.ceil(F.count("*") / FAN).alias("parts"))
     place = F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(places)).cast("int")
     dealt = save(pairs.join(degree, "x").select("x", "y", place.alias("place")), "dealt")
-    ends = dealt.select(F.col("x").alias("node"), F.col("place").alias("home")).union(dealt.select(F.col("y").alias("node"), F.col("place").alias("home"))).distinct()
+    # a table of known size: a small one is broadcast, so that the sets are shuffled once
+    ends = save(dealt.select(F.col("x").alias("node"), F.col("place").alias("home")).union(dealt.select(F.col("y").alias("node"), F.col("place").alias("home"))).distinct(), "ends")
     mine = _wanted_sets(sets, ends).join(ends, "node")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
