@@ -7,9 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Score ranges that a group's rows are ranked in.
+RANGES = 32
+
+
 def rank_rows(df: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
-    """Add rank from 1 by score descending, ties by id."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), id_col)))
+    """Add rank from 1 by score descending, nulls last, ties by id.
+
+    A group's rows are ranked within ranges of the score, between approximate quantiles, and the ranges'
+    counts give the starts: no task sorts a whole group, however large.
+    """
+    shares = F.array(*[F.lit((i + 1) / RANGES) for i in range(RANGES - 1)])
+    edges = df.groupBy(group).agg(F.percentile_approx(score, shares, F.lit(1000)).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: F.col(score) < e))
+    placed = df.join(edges, group).withColumn("_part", F.when(F.col(score).isNull() | F.col("_edges").isNull(), RANGES).otherwise(below)).drop("_edges")
+    counts = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")  # RANGES + 1 rows a group
+    within = Window.partitionBy(group, "_part").orderBy(F.desc(score), id_col)
+    ranked = placed.withColumn("_place", F.row_number().over(within)).join(starts, [group, "_part"])
+    return ranked.withColumn("rank", (F.col("_start") + F.col("_place")).cast("int")).drop("_part", "_place", "_start")
 
 
 def ranking_metrics(ranked: DataFrame, is_true: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,3 +91,33 @@ def verify_bindings(bound: DataFrame, now: DataFrame, group: str) -> DataFrame:
 def with_parent(versions: DataFrame, group: str, version: str) -> DataFrame:
     """Versions with the one before them as `parent`, null for the first."""
     return versions.withColumn("parent", F.lag(version).over(Window.partitionBy(group).orderBy(version)))
+
+
+def recent(df: DataFrame, n: int, *newest_first: str) -> DataFrame:
+    """The n rows that come first by the columns descending; each task sends n at most."""
+    return df.orderBy(*[F.desc(c) for c in newest_first]).limit(n)
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(layer, n): the rows of each table."""
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n") for name, df in tables.items()])
+
+
+def orphans(links: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """(child, n): for each named link (children, key, parents, key) the children whose key no parent has; null keys aren't counted."""
+    parts = []
+    for name, (children, key, parents, parent_key) in links.items():
+        known = parents.select(F.col(parent_key).alias(key)).distinct()
+        lost = children.where(F.col(key).isNotNull()).join(known, key, "left_anti")
+        parts.append(lost.agg(F.count("*").alias("n")).select(F.lit(name).alias("child"), "n"))
+    return reduce(DataFrame.union, parts)
+
+
+def status_of(rows: DataFrame, known: DataFrame, key: str, status: str, missing: str) -> DataFrame:
+    """All rows with the status of their known row, `missing` where there is none."""
+    return rows.join(known.select(key, F.col(status).alias("_s")), key, "left").withColumn("status", F.coalesce("_s", F.lit(missing))).drop("_s")
+
+
+def freshness(pairs: DataFrame, made: str, changed: str) -> DataFrame:
+    """Add `state`: stale if what a row was made from has changed since, else current."""
+    return pairs.withColumn("state", F.when(F.col(changed) > F.col(made), "stale").otherwise("current"))

@@ -43,7 +43,7 @@ def evaluate_models(scores: DataFrame, positives: DataFrame, expected: DataFrame
     has the status failed and no measures, and doesn't touch the others.
     """
     sound = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
-    ranked = rank.rank_rows(sound.withColumn("_g", F.struct("model_id", "context")), "_g", "score", "id").drop("_g")
+    ranked = rank.rank_rows(sound.withColumn("_g", F.to_json(F.struct("model_id", "context"))), "_g", "score", "id").drop("_g")
     marked = ranked.join(positives.select("context", "id", F.lit(True).alias("_p")), ["context", "id"], "left").withColumn("_p", F.coalesce("_p", F.lit(False)))
     # positives that a model doesn't rank come after all that it does
     size = ranked.groupBy("model_id", "context").agg(F.max("rank").alias("_n"))
@@ -141,3 +141,8 @@ def dataset_stats(df: DataFrame) -> DataFrame:
     stats = df.agg(F.count("*").alias("rows"), *[F.struct(F.count(f"`{c}`").alias("filled"), F.count_distinct(f"`{c}`").alias("different")).alias(f"c{i}") for i, c in enumerate(df.columns)])
     lines = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col("rows"), F.col(f"c{i}.filled").alias("filled"), F.col(f"c{i}.different").alias("different")) for i, c in enumerate(df.columns)])
     return stats.select(F.explode(lines).alias("l")).select("l.*")
+
+
+def text_lookup(ids: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+    """The rows of a list of ids (with its further columns) that have a text row; missing ids are dropped, repeated lines count once."""
+    return texts.join(ids.distinct(), id_col)

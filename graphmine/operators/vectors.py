@@ -47,11 +47,21 @@ def zscores(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return df.crossJoin(stats).select(key, *z)  # one row of statistics
 
 
+#: Contexts that are broadcast at most.
+MOST_CONTEXTS = 1000
+
+
+def score_contexts(df: DataFrame, pools: DataFrame, key: str, vec: str) -> DataFrame:
+    """(context, score and the rows' columns): the cosine of each row with each pooled context, of which there are at most MOST_CONTEXTS."""
+    ctx = pools.groupBy(F.col(key).alias("context")).agg(F.sort_array(F.collect_list(F.struct("position", "mean"))).alias("p")).select("context", F.transform("p", lambda x: x["mean"]).alias("_cv"))
+    if (n := ctx.limit(MOST_CONTEXTS + 1).count()) > MOST_CONTEXTS:
+        raise ValueError(f"{n} contexts or more: score them {MOST_CONTEXTS} at a time")
+    return df.crossJoin(F.broadcast(ctx)).withColumn("score", cosine(F.col(vec), F.col("_cv"))).drop("_cv")
+
+
 def nearest_to_pools(df: DataFrame, pools: DataFrame, key: str, id_col: str, vec: str, k: int) -> DataFrame:
-    """For each pooled context its k most similar rows: (context, id, score, rank). The contexts are few: one for each hub."""
-    ctx = pools.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "mean"))).alias("p")).select(F.col(key).alias("context"), F.transform("p", lambda x: x["mean"]).alias("cv"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(0))).alias("one"))
-    scored = rows.join(ctx.withColumn("one", F.lit(0)), "one").select("context", "id", cosine(F.col("v"), F.col("cv")).alias("score"))
+    """For each pooled context its k most similar rows: (context, id, score, rank)."""
+    scored = score_contexts(df, pools, key, vec).select("context", F.col(id_col).alias("id"), "score")
     order = Window.partitionBy("context").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

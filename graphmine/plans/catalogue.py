@@ -10,11 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphmine.functions import add_layer, content_id, cosine, decay_weight, hub_id, id_number, keyed_hash, keyed_uniform, list_key, name_is_valid, pattern_id, scaled_distance, strip_layer, truth
-from graphmine.operators import clean, graph, models, patterns, rank, registry, sampling, vectors
-from graphmine.sources import hub_vectors, index_lists, model_runs
+from graphmine.functions import add_layer, content_id, decay_weight, hub_id, id_number, keyed_uniform, list_key, name_is_valid, pattern_id, scaled_distance, strip_layer, truth
+from graphmine.operators import clean, graph, models, patterns, rank, registry, sampling, tasks, vectors
+from graphmine.sources import hub_vectors, index_lists, model_runs, named_rows
 from graphmine.sources.tables import save_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +230,7 @@ def split_targets(t):
 
 @query(f"SELECT p_partkey FROM part ORDER BY {hash_sql('p_partkey')}, p_partkey LIMIT 100")
 def target_sample(t):
-    return t("part").orderBy(keyed_hash(SEED, F.col("p_partkey")), "p_partkey").limit(100).select("p_partkey")
+    return sampling.first_targets(t("part"), "p_partkey", SEED, 100).select("p_partkey")
 
 
 @query(
@@ -300,9 +299,9 @@ def dedupe_keep_first(t):
 
 @query("SELECT coalesce(nullif(trim(lang), ''), 'unknown_' || row_index) AS cid, source, row_index FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_index FROM documents WHERE trim(text) <> '')")
 def dirty_scan_rows(t):
-    rows = t("documents").where("trim(text) <> ''").withColumn("row_index", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1)
-    lang = F.trim("lang")
-    return rows.select(F.coalesce(F.when(lang != "", lang), F.concat(F.lit("unknown_"), F.col("row_index"))).alias("cid"), "source", "row_index")
+    rows = t("documents").where("trim(text) <> ''")
+    places = rank.rank_rows(rows.withColumn("_s", -F.col("doc_id")), "source", "_s", "doc_id").withColumn("row_index", F.col("rank").cast("long") - 1)
+    return named_rows(places, "lang", "text", "row_index").select(F.col("lang").alias("cid"), "source", "row_index")
 
 
 @query(
@@ -354,18 +353,18 @@ def upload_violations(t):
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
 def point_lookup(t):
-    return t("customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_acctbal")
+    return tasks.only_where(t("customer"), c_mktsegment="BUILDING").select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("SELECT doc_id, d.lang, quality, toxic FROM documents d JOIN (SELECT DISTINCT doc_id, quality, toxic FROM labels) USING (doc_id)")
 def text_lookup(t):
-    return t("documents").join(t("labels").distinct(), "doc_id").select("doc_id", "lang", "quality", "toxic")
+    return tasks.text_lookup(t("labels").select("doc_id", "quality", "toxic"), t("documents"), "doc_id").select("doc_id", "lang", "quality", "toxic")
 
 
 @query("SELECT doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS place FROM documents")
 def ordered_listing(t):
-    n = F.length("text").cast("long")
-    return t("documents").select("doc_id", n.alias("n"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc(n), "doc_id")).cast("long").alias("place"))
+    rows = t("documents").withColumn("n", F.length("text").cast("long"))
+    return rank.rank_rows(rows, "source", "n", "doc_id").select("doc_id", "n", F.col("rank").cast("long").alias("place"))
 
 
 # ids --------------------------------------------------------------------
@@ -451,19 +450,20 @@ def zscore_columns(t):
 C = "p AS (SELECT label, i, avg(embedding[i]) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i), c AS (SELECT label AS context, list(m ORDER BY i) AS cv, sqrt(sum(m * m)) AS cn FROM p GROUP BY label), sc AS (SELECT context, vec_id AS id, label, list_inner_product(embedding::DOUBLE[], cv) / ((sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8) * (cn + 1e-8)) AS score FROM embeddings, c), rk AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"
 
 
-def _scored(t) -> DataFrame:
+def _scores(t) -> DataFrame:
     e = t("embeddings")
-    ctx = vectors.mean_pool(e, "label", "embedding").groupBy(F.col("label").alias("context")).agg(F.sort_array(F.collect_list(F.struct("position", "mean"))).alias("p"))
-    ctx = ctx.select("context", F.transform("p", lambda x: x["mean"]).alias("cv"))
-    # one context for each label: a fixed few
-    rows = e.withColumn("one", F.lit(0)).join(F.broadcast(ctx.withColumn("one", F.lit(0))), "one")
-    scored = rows.select("context", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("embedding"), F.col("cv")), 9).alias("score"))
-    return rank.rank_rows(scored, "context", "score", "id")
+    rows = vectors.score_contexts(e, vectors.mean_pool(e, "label", "embedding"), "label", "embedding")
+    return rows.select("context", F.col("vec_id").alias("id"), "label", F.round("score", 9).alias("score"))
+
+
+def _scored(t) -> DataFrame:
+    return rank.rank_rows(_scores(t), "context", "score", "id")
 
 
 @query(f"WITH {C} SELECT context, id, rank, round(score, 6) AS score FROM rk WHERE rank <= 10")
 def knn_cosine(t):
-    return _scored(t).where("rank <= 10").select("context", "id", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
+    e = t("embeddings").where("embedding is not null")
+    return vectors.nearest_to_pools(e, vectors.mean_pool(e, "label", "embedding"), "label", "vec_id", "embedding", 10).select("context", "id", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
 
 
 @query(f"WITH {C}, v AS (SELECT label, sum(score) AS vote FROM rk WHERE rank <= 20 GROUP BY label) SELECT label, CASE WHEN (SELECT max(vote) = min(vote) FROM v) THEN 1.0 ELSE round((vote - (SELECT min(vote) FROM v)) / ((SELECT max(vote) FROM v) - (SELECT min(vote) FROM v)), 4) END AS affinity FROM v")
@@ -518,28 +518,23 @@ def stub_parents(t):
 
 @query("SELECT event_type, coalesce(c_mktsegment, 'missing_model') AS status, count(*) AS n FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY 1, 2")
 def results_left_join_status(t):
-    return t("events").join(t("customer"), F.col("user_id") == F.col("c_custkey"), "left").groupBy("event_type", F.coalesce("c_mktsegment", F.lit("missing_model")).alias("status")).agg(F.count("*").alias("n"))
+    known = t("customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return registry.status_of(t("events"), known, "user_id", "c_mktsegment", "missing_model").groupBy("event_type", "status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def missing_artifacts(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return tasks.missing_artifacts(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT 'lineitem' AS child, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'events', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
 def fk_violations(t):
-    a = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("n")).select(F.lit("lineitem").alias("child"), "n")
-    b = t("events").join(t("customer"), F.col("user_id") == F.col("c_custkey"), "left_anti").agg(F.count("*").alias("n")).select(F.lit("events").alias("child"), "n")
-    return a.union(b)
+    return registry.orphans({"lineitem": (t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"), "events": (t("events"), "user_id", t("customer"), "c_custkey")})
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS layer, count(*) AS n FROM {n}" for n in ("part", "supplier", "customer", "orders", "lineitem")))
 def layer_counts(t):
-    out = None
-    for n in ("part", "supplier", "customer", "orders", "lineitem"):
-        part = t(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("layer"), "n")
-        out = part if out is None else out.union(part)
-    return out
+    return registry.table_counts({n: t(n) for n in ("part", "supplier", "customer", "orders", "lineitem")})
 
 
 _RIGHT = "r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 17 <> 0)"
@@ -580,7 +575,7 @@ def binding_check(t):
 
 @query("SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def recent_n(t):
-    return t("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "ts")
+    return registry.recent(t("events"), 20, "ts", "event_id").select("event_id", "user_id", "ts")
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN NULL ELSE value END DESC NULLS LAST, event_id) AS r FROM events) WHERE r = 1")
@@ -598,7 +593,7 @@ def batch_summary(t):
 @query("SELECT o_orderkey, l_partkey, 'stale' AS state FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate UNION SELECT o_orderkey, l_partkey, 'current' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate <= l_shipdate")
 def stale_items(t):
     rows = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.select("o_orderkey", "l_partkey", F.when(F.col("o_orderdate") > F.col("l_shipdate"), "stale").otherwise("current").alias("state")).distinct()
+    return registry.freshness(rows, "l_shipdate", "o_orderdate").select("o_orderkey", "l_partkey", "state").distinct()
 
 
 @query("SELECT s_suppkey, s_nationkey::FLOAT AS a, s_acctbal::FLOAT AS b FROM supplier")

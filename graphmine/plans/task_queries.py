@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmine.functions import composite_id
-from graphmine.operators import clean, patterns, rank, registry, sampling, tasks, vectors
-from graphmine.plans.catalogue import DRAWN_D, SEED, H, C, E, _NOTATION, _candidate_distances, _notation, _scored, edges_of, hash_sql, hub_pairs, query, r6, uniform_sql
+from graphmine.operators import clean, patterns, registry, sampling, tasks
+from graphmine.plans.catalogue import C, DRAWN_D, H, SEED, _NOTATION, _candidate_distances, _notation, _scored, edges_of, hash_sql, hub_pairs, query, r6, uniform_sql
 from graphmine.sources import workspace
 
 _SLOT = "('0x' || substr({0}, 1, 12))::BIGINT"
@@ -300,6 +300,11 @@ def composite_ids(t):
     return t("customer").select(composite_id(F.col("c_custkey"), F.col("c_mktsegment")).alias("id"))
 
 
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def stubs_of_half(t):
+    return registry.stub_parents(t("events"), t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id")), "user_id")
+
+
 @query(
     "SELECT s_suppkey, key, value, key IN ('name', 'place.nation') AS applied FROM (SELECT s_suppkey, unnest(['name', 'place.nation', 'place.more.phone']) AS key, unnest([s_name, s_nationkey::VARCHAR, CASE WHEN s_suppkey % 2 = 0 THEN s_name END]) AS value FROM supplier) WHERE value IS NOT NULL"
 )

@@ -40,11 +40,15 @@ def source_rows(spark: SparkSession, paths: list[str], key: str = "cid", text: s
     if out is None:
         return spark.createDataFrame([], f"{key} string, {text} string, source_file string, row_index long")
     rows = out.withColumn("row_index", F.row_number().over(Window.partitionBy("source_file").orderBy("b", "m")).cast("long") - 1)
-    rows = rows.withColumn("t", blank_to_null(F.col("t"))).where("t is not null")
-    rows = rows.select(F.coalesce(blank_to_null(F.col("k")), F.concat(F.lit("unknown_"), F.col("row_index"))).alias(key), F.col("t").alias(text), "source_file", "row_index")
+    rows = named_rows(rows, "k", "t", "row_index").select(F.col("k").alias(key), F.col("t").alias(text), "source_file", "row_index")
     return rows if limit is None else rows.orderBy("source_file", "row_index").limit(limit)
 
 
+def named_rows(df: DataFrame, key: str, text: str, index: str) -> DataFrame:
+    """Rows with a text; a missing key becomes unknown_{index}."""
+    return df.withColumn(text, blank_to_null(F.col(text))).where(F.col(text).isNotNull()).withColumn(key, F.coalesce(blank_to_null(F.col(key)), F.concat(F.lit("unknown_"), F.col(index))))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank trimmed lines of a text file."""
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
@@ -79,10 +83,9 @@ def model_runs(df: DataFrame) -> DataFrame:
 
 
 def bundle_rows(df: DataFrame, id_col: str) -> DataFrame:
-    """Task rows: without text and id are dropped, a missing row id becomes the ordinal."""
+    """Task rows with an `ordinal`: those without text and id are dropped, a missing row id becomes the ordinal."""
     kept = df.where(blank_to_null(F.col("smiles")).isNotNull() | blank_to_null(F.col("did")).isNotNull())
-    order = Window.partitionBy(F.lit(1)).orderBy("ordinal")
-    return kept.withColumn(id_col, F.coalesce(blank_to_null(F.col(id_col)), F.row_number().over(order).cast("string")))
+    return kept.withColumn(id_col, F.coalesce(blank_to_null(F.col(id_col)), F.col("ordinal").cast("string")))
 
 
 def manifests(spark: SparkSession, glob: str, skip: tuple[str, ...] = ()) -> DataFrame:
