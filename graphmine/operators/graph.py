@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphmine.functions import keyed_hash, keyed_slot
+from graphmine.functions import keyed_hash, keyed_slot, keyed_uniform
+from graphmine.operators.rank import rank_rows
 from graphmine.sources.tables import save_table
 
 
@@ -44,14 +45,20 @@ def candidates(edges: DataFrame, sizes: DataFrame, d: int, k: int, seed: int) ->
     """Distinct (target, item), item another than the target, that share a feature.
 
     A feature of fewer than d items gives all of them; another gives each target the d items of size k at
-    most that come first in a keyed order of its own. That order meets all small items of the feature
-    with all its targets before it keeps d: `candidates_drawn` doesn't.
+    most that come first in a keyed order of its own. The join tests that order against a limit that leaves
+    d + 12 sqrt(d) + 20 of a feature's items on average (fewer than d with a probability below 1e-15),
+    so only these are shuffled; still it meets all its small items with all its targets, which
+    `candidates_drawn` doesn't.
     """
     rare, common = _marked(edges, d)
     near = _other(rare.select(F.col("item").alias("target"), "feature").join(rare, "feature"))
     small = edges.join(sizes.where(F.col("size") <= k).select("item"), "item", "left_semi")
-    draw = Window.partitionBy("target", "feature").orderBy(keyed_hash(seed, F.col("target"), F.col("feature"), F.col("item")), "item")
-    drawn = common.select(F.col("item").alias("target"), "feature").join(small, "feature").where("item <> target").withColumn("r", F.row_number().over(draw)).where(F.col("r") <= d).select("target", "item")
+    count = small.groupBy("feature").agg(F.count("*").alias("n"))
+    key = (F.col("target"), F.col("feature"), F.col("item"))
+    draw = Window.partitionBy("target", "feature").orderBy(keyed_hash(seed, *key), "item")
+    met = common.select(F.col("item").alias("target"), "feature").join(count, "feature").join(small, "feature").where("item <> target")
+    met = met.where(keyed_uniform(seed, *key) * F.col("n") <= d + 12 * d**0.5 + 20)
+    drawn = met.withColumn("r", F.row_number().over(draw)).where(F.col("r") <= d).select("target", "item")
     return near.union(drawn).distinct()
 
 
@@ -60,21 +67,20 @@ def _other(pairs: DataFrame) -> DataFrame:
 
 
 def candidates_drawn(edges: DataFrame, sizes: DataFrame, d: int, k: int, seed: int) -> DataFrame:
-    """Distinct (target, item), item another than the target, that share a feature, at most about d from each common one.
+    """Distinct (target, item), item another than the target, that share a feature, at most d from each common one.
 
-    A feature of fewer than d items gives all of them. The items of size k at most of another lie in as many
-    hashed slots as there are of them, and each target draws d slots: d rows a target and feature
-    before the join, whatever the feature's frequency. Items of equal slots come together, so
-    a draw can give more than d, on average less.
+    A feature of fewer than d items gives all of them. The items of size k at most of another stand in a keyed
+    order, and each target takes d in a row from a place of its own on, round the end: d rows a target and
+    feature before the join, whatever the feature's frequency; one fewer where the target is among them.
     """
     rare, common = _marked(edges, d)
     near = _other(rare.select(F.col("item").alias("target"), "feature").join(rare, "feature"))
-    small = common.join(sizes.where(F.col("size") <= k).select("item"), "item", "left_semi")
+    small = common.join(sizes.where(F.col("size") <= k).select("item"), "item", "left_semi").select("feature", "item")
     count = small.groupBy("feature").agg(F.count("*").alias("n"))
-    slots = small.join(count, "feature").select("feature", "item", F.pmod(keyed_slot(seed, F.col("feature"), F.col("item")), F.col("n")).alias("slot"))
-    draws = common.select(F.col("item").alias("target"), "feature").join(count, "feature").select("target", "feature", "n", F.explode(F.sequence(F.lit(1), F.lit(d))).alias("j"))
-    draws = draws.select("target", "feature", F.pmod(keyed_slot(seed, F.col("target"), F.col("feature"), F.col("j")), F.col("n")).alias("slot")).distinct()
-    return near.union(_other(draws.join(slots, ["feature", "slot"]))).distinct()
+    placed = rank_rows(small.withColumn("_u", -keyed_uniform(seed, F.col("feature"), F.col("item"))), "feature", "_u", "item").select("feature", "item", (F.col("rank") - 1).cast("long").alias("place"))
+    takes = common.select(F.col("item").alias("target"), "feature").join(count, "feature")
+    takes = takes.select("target", "feature", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(d).cast("long"), F.col("n")) - 1), lambda j: F.pmod(keyed_slot(seed, F.col("target"), F.col("feature")) + j, F.col("n")))).alias("place"))
+    return near.union(_other(takes.join(placed, ["feature", "place"]))).distinct()
 
 
 def _feature_lists(weighted: DataFrame) -> DataFrame:

@@ -153,10 +153,10 @@ def _slot(*parts: str) -> str:
 DRAWN = (
     f"cn AS (SELECT e.item, feature FROM e JOIN w USING (feature) WHERE freq >= {D}), sm AS (SELECT cn.* FROM cn JOIN part ON item = p_partkey WHERE p_size <= {K}), "
     "nn AS (SELECT feature, count(*) AS n FROM sm GROUP BY feature), "
-    f"sl AS (SELECT feature, item, {_slot('feature', 'item')} % n AS slot FROM sm JOIN nn USING (feature)), "
-    f"dr AS (SELECT item AS target, feature, {_slot('item', 'feature', 'j')} % n AS slot FROM cn JOIN nn USING (feature), (SELECT unnest(range(1, {D + 1})) AS j)), "
+    f"sl AS (SELECT feature, item, row_number() OVER (PARTITION BY feature ORDER BY {hash_sql('feature', 'item')}, item) - 1 AS place FROM sm), "
+    f"dr AS (SELECT item AS target, feature, ({_slot('item', 'feature')} + j) % n AS place FROM cn JOIN nn USING (feature), (SELECT unnest(range(0, {D})) AS j) WHERE j < n), "
     f"rr AS (SELECT e.* FROM e JOIN w USING (feature) WHERE freq < {D}), "
-    "cd AS (SELECT a.item AS target, b.item FROM rr a JOIN rr b USING (feature) WHERE a.item <> b.item UNION SELECT target, item FROM dr JOIN sl USING (feature, slot) WHERE item <> target)"
+    "cd AS (SELECT a.item AS target, b.item FROM rr a JOIN rr b USING (feature) WHERE a.item <> b.item UNION SELECT target, item FROM dr JOIN sl USING (feature, place) WHERE item <> target)"
 )
 DRAWN_D = (
     f"{W}, {DRAWN}, tot AS (SELECT item, sum(weight) AS w FROM e JOIN w USING (feature) GROUP BY item), "
@@ -628,8 +628,9 @@ def score_candidates(t):
 
 def flagship(t) -> DataFrame:
     """For each item its nearest items by weighted Jaccard distance, with the label of each hub."""
-    h = hub_pairs(t)
-    return sampling.known_split(_candidate_distances(t), h, h)
+    h, edges = hub_pairs(t), save_table(edges_of(t), "edges")
+    d = graph.weighted_jaccard(graph.candidates(edges, _sizes(t), D, K, SEED), edges, graph.feature_weights(edges))
+    return sampling.known_split(d, h, h)
 
 
 from graphmine.plans import task_queries  # noqa: E402, F401  registers its queries
