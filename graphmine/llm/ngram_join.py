@@ -61,8 +61,8 @@ CLASSES, CLASS_BYTES = 2048, 8 << 20
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 STARS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _SKETCH = np.uint64(0x452821E638D01377)
-#: Bits of the largest sketch.
-_WIDE = 4096
+#: Bits of the largest sketch: it tells unlike sets of up to some 50,000 shingles apart.
+_WIDE = 1 << 15
 _SEEN = 1 << 20
 
 
@@ -302,20 +302,38 @@ def _live(table: pa.Table) -> pa.Table:
     return pa.table({"ord": pa.array(np.full(len(name), table.column("ord")[0].as_py(), np.int32)), "list": pa.array(name.view(np.int64)), "nodes": pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(members))})
 
 
-def _near(table: pa.Table, percent: int) -> pa.Table:
-    """Edges (x, y) that span what hangs together: classes of different components that share a list, whose sizes and sketches allow the similarity."""
-    key, node, comp, n = (table.column(c).to_numpy() for c in ("list", "node", "comp", "n"))
-    node, at, doc = np.unique(node, return_index=True, return_inverse=True)
-    comp, n = comp[at], n[at].astype(np.int64)
-    data, offs = tb.unbinaries(table.column("sketch").combine_chunks().take(pa.array(at)), np.uint8)
+def _near(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Edges (x, y) that span what hangs together: classes of different components that share a list, whose sizes and sketches allow the similarity.
+
+    left: a place's lists (ord, list, node); right: its classes (class, comp, n, sketch). Classes that `right` lacks have no partner.
+    """
+    nothing = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "ord": pa.array([], pa.int32())})
+    if not left.num_rows or not right.num_rows:
+        return nothing
+    order = left.column("ord")[0].as_py()
+    node, at = np.unique(right.column("class").to_numpy(), return_index=True)
+    comp, n = right.column("comp").to_numpy()[at], right.column("n").to_numpy()[at].astype(np.int64)
+    data, offs = tb.unbinaries(right.column("sketch").combine_chunks().take(pa.array(at)), np.uint8)
+    key, member = left.column("list").to_numpy(), left.column("node").to_numpy()
+    doc = np.minimum(np.searchsorted(node, member), len(node) - 1)
+    key, doc = key[node[doc] == member], doc[node[doc] == member]
+    if not len(doc):
+        return nothing
     m = np.diff(offs) * 8
-    # each sketch at its own width and folded to all smaller ones
-    sketch, wider = {}, None
+    # the sketches at least as wide as each width, folded to it: (row of each class, sketches)
+    sketch: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    before = None
     for size in (_WIDE >> i for i in range(_WIDE.bit_length() - 6)):
-        at_size = np.zeros((len(node), size // 64), np.uint64) if wider is None else wider[:, : size // 64] ^ wider[:, size // 64 :]
-        mine = m == size
-        at_size[mine] = data[(offs[:-1][mine][:, None] + np.arange(size // 8)).ravel()].view(np.uint64).reshape(-1, size // 64)
-        sketch[size] = wider = at_size
+        some = np.flatnonzero(m >= size)
+        line = np.full(len(node), -1)
+        line[some] = np.arange(len(some))
+        words = np.zeros((len(some), size // 64), np.uint64)
+        if before is not None:
+            words[line[before[0]]] = before[1][:, : size // 64] ^ before[1][:, size // 64 :]
+        own = np.flatnonzero(m == size)
+        words[line[own]] = data[(offs[:-1][own][:, None] + np.arange(size // 8)).ravel()].view(np.uint64).reshape(-1, size // 64)
+        before = (some, words)
+        sketch[size] = (line, words)
     by = np.lexsort((n[doc], key))
     key, doc = key[by], doc[by]
     size = n[doc]
@@ -337,11 +355,14 @@ def _near(table: pa.Table, percent: int) -> pa.Table:
         ok = np.zeros(len(x), bool)
         for lev in np.unique(level):
             mine = np.flatnonzero(level == lev)
-            apart = np.bitwise_count(sketch[lev][x[mine]] ^ sketch[lev][y[mine]]).sum(1, dtype=np.int64)
-            ok[mine] = (100 + percent) * apart <= (100 - percent) * (n[x[mine]] + n[y[mine]])
+            line, words = sketch[int(lev)]
+            for at in range(0, len(mine), max(1, (64 << 20) // int(lev))):
+                p, q = x[mine[at : at + max(1, (64 << 20) // int(lev))]], y[mine[at : at + max(1, (64 << 20) // int(lev))]]
+                apart = np.bitwise_count(words[line[p]] ^ words[line[q]]).sum(1, dtype=np.int64)
+                ok[mine[at : at + len(p)]] = (100 + percent) * apart <= (100 - percent) * (n[p] + n[q])
         root = _merged(root, x[ok], y[ok])
     moved = np.flatnonzero(root != np.arange(len(node)))
-    return pa.table({"x": pa.array(node[root[moved]]), "y": pa.array(node[moved]), "ord": pa.array(np.full(len(moved), table.column("ord")[0].as_py(), np.int32))})
+    return pa.table({"x": pa.array(node[root[moved]]), "y": pa.array(node[moved]), "ord": pa.array(np.full(len(moved), order, np.int32))})
 
 
 def _merged(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -371,8 +392,10 @@ def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFram
     info = sets.select("node", "n", "sketch").dropDuplicates(["node"]).join(both, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     info = save(info, "info")
     places = max(12, live.count() // MEET_ROWS)
-    met = live.join(info, "node").withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
-    found = save(met.groupBy("ord", "place").applyInArrow(lambda t: _released(_near(t, percent)), "x long, y long, ord int"), "found")
+    met = live.withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
+    # each class goes once to a place, however many of its lists do
+    there = met.select(F.col("ord").alias("there_ord"), F.col("place").alias("there_place"), F.col("node").alias("class")).distinct().join(info.withColumnRenamed("node", "class"), "class")
+    found = save(met.groupBy("ord", "place").cogroup(there.groupBy("there_ord", "there_place")).applyInArrow(lambda a, b: _released(_near(a, b, percent)), "x long, y long, ord int"), "found")
     # both orders' graphs at once, as graphs of different vertices
     vertex = lambda c: F.xxhash64("ord", c)
     hang = components(found.select(vertex("x").alias("x"), vertex("y").alias("y")), "x", "y")
