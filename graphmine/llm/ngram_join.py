@@ -305,12 +305,11 @@ def _live(table: pa.Table) -> pa.Table:
 def _near(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     """Edges (x, y) that span what hangs together: classes of different components that share a list, whose sizes and sketches allow the similarity.
 
-    left: a place's lists (ord, list, node); right: its classes (class, comp, n, sketch). Classes that `right` lacks have no partner.
+    left: a place's lists (list, node); right: its classes (class, comp, n, sketch). Classes that `right` lacks have no partner.
     """
-    nothing = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "ord": pa.array([], pa.int32())})
+    nothing = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
     if not left.num_rows or not right.num_rows:
         return nothing
-    order = left.column("ord")[0].as_py()
     node, at = np.unique(right.column("class").to_numpy(), return_index=True)
     comp, n = right.column("comp").to_numpy()[at], right.column("n").to_numpy()[at].astype(np.int64)
     data, offs = tb.unbinaries(right.column("sketch").combine_chunks().take(pa.array(at)), np.uint8)
@@ -362,7 +361,7 @@ def _near(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
                 ok[mine[at : at + len(p)]] = (100 + percent) * apart <= (100 - percent) * (n[p] + n[q])
         root = _merged(root, x[ok], y[ok])
     moved = np.flatnonzero(root != np.arange(len(node)))
-    return pa.table({"x": pa.array(node[root[moved]]), "y": pa.array(node[moved]), "ord": pa.array(np.full(len(moved), order, np.int32))})
+    return pa.table({"x": pa.array(node[root[moved]]), "y": pa.array(node[moved])})
 
 
 def _merged(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -391,22 +390,25 @@ def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFram
     both = live.groupBy("node").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("node")
     info = sets.select("node", "n", "sketch").dropDuplicates(["node"]).join(both, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     info = save(info, "info")
-    places = max(12, live.count() // MEET_ROWS)
-    met = live.withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
-    # each class goes once to a place, however many of its lists do
-    there = met.select(F.col("ord").alias("there_ord"), F.col("place").alias("there_place"), F.col("node").alias("class")).distinct().join(info.withColumnRenamed("node", "class"), "class")
-    found = save(met.groupBy("ord", "place").cogroup(there.groupBy("there_ord", "there_place")).applyInArrow(lambda a, b: _released(_near(a, b, percent)), "x long, y long, ord int"), "found")
-    # both orders' graphs at once, as graphs of different vertices
-    vertex = lambda c: F.xxhash64("ord", c)
-    hang = components(found.select(vertex("x").alias("x"), vertex("y").alias("y")), "x", "y")
-    ends = found.select("ord", F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("id", vertex("node")).join(hang, "id")
-    cell = ends.groupBy("node").agg(F.max(F.when(F.col("ord") == 0, F.col("component"))).alias("c0"), F.max(F.when(F.col("ord") == 1, F.col("component"))).alias("c1"))
-    cell = cell.where("c0 is not null and c1 is not null").select("node", F.xxhash64("c0", "c1").alias("cluster"))
+    first = components(_met(live.where("ord = 0").join(both, "node"), info, percent), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c0"))
+    first = save(first, "first")
+    # under the second order only classes that hang together under the first one meet
+    second = components(_met(live.where("ord = 1").join(first.select("node"), "node"), info, percent), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c1"))
+    cell = first.join(second, "node").select("node", F.xxhash64("c0", "c1").alias("cluster"))
     out = save(cell.join(info.select("node", "n", "comp"), "node"), "cells")
     several = out.groupBy("cluster").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("cluster")
     return out.join(several, "cluster")
 
 
+def _met(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Edges (x, y) that span the candidates of lists (list, node) of one order. Each class goes once to a place, however many of its lists do."""
+    lists = save(lists.select("list", "node"), "meet")
+    places = max(12, lists.count() // MEET_ROWS)
+    met = lists.withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
+    there = met.select(F.col("place").alias("there"), F.col("node").alias("class")).distinct().join(info.withColumnRenamed("node", "class"), "class")
+    return save(met.groupBy("place").cogroup(there.groupBy("there")).applyInArrow(lambda a, b: _released(_near(a, b, percent)), "x long, y long"), "found")
+
+
 def _compare_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) that span the components within each cluster.
 

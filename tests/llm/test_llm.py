@@ -526,6 +526,86 @@ def test_nearest(vectors):
     assert ann_forest.nearest(table.limit(0)).count() == 0
 
 
+def test_string_kernel_is_the_gap_weighted_one():
+    """The kernel of two strings, from their features, equals the recurrence over prefixes (Lodhi et al.)."""
+    def recurrence(s, t, n, lam):
+        k = [[[1.0] * (len(t) + 1) for _ in range(len(s) + 1)]]
+        for i in range(1, n):
+            row = [[0.0] * (len(t) + 1) for _ in range(len(s) + 1)]
+            for x in range(1, len(s) + 1):
+                inner = 0.0
+                for y in range(1, len(t) + 1):
+                    inner = lam * inner + (lam * lam * k[i - 1][x - 1][y - 1] if s[x - 1] == t[y - 1] else 0.0)
+                    row[x][y] = lam * row[x - 1][y] + inner
+            k.append(row)
+        return sum(lam * lam * k[n - 1][x - 1][y - 1] for x in range(1, len(s) + 1) for y in range(1, len(t) + 1) if s[x - 1] == t[y - 1])
+
+    def mapped(word):
+        (_, codes, weight), = toxicity.features([word])
+        at, _ = toxicity._shapes[len(word) + 2]
+        scale = np.sqrt((toxicity.DECAY ** (2 * (at[:, -1] - at[:, 0] + 1.0))).sum())
+        out = {}
+        for c, w in zip(codes[0].tolist(), (weight * scale).tolist(), strict=True):
+            out[c] = out.get(c, 0.0) + w
+        return out
+
+    for a, b in (("idiot", "idiot"), ("idiot", "i.diot".replace(".", "x")), ("banana", "bandana"), ("abcd", "dcba"), ("aaaaa", "aaaa")):
+        x, y = mapped(a), mapped(b)
+        want = recurrence("<" + a + ">", "<" + b + ">", toxicity.ORDER, toxicity.DECAY)
+        assert sum(v * y.get(c, 0.0) for c, v in x.items()) == pytest.approx(want, rel=1e-5, abs=1e-9)
+
+
+def vector_rows(n, seed):
+    """Plain vectors, and for n of 60 or more: parallel, repeated, opposite, null, zero and non-finite ones, null and repeated ids, other lengths."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 16))
+    rows = [(i, v[i].tolist()) for i in range(n)]
+    if n >= 60:
+        rows += [(1000 + i, (v[0] * (i + 1)).tolist()) for i in range(30)] + [(7, v[0].tolist()), (7, (-v[0]).tolist()), (None, v[1].tolist()), (50, v[3].tolist())]
+        rows += [(2001, None), (2002, [0.0] * 16), (2003, [1.0, None]), (2004, [float("nan")] * 16), (2005, [])]
+        rows += [(3000 + i, [1.0 * i, 2.0, 3.0]) for i in range(20)]
+    return rows
+
+
+def usable(v):
+    return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 60, 200, 1500])
+def test_nearest_at_all_sizes(spark, n):
+    """Ranks from 1 without gaps, one row an id, exact scores; ties and parallel vectors in the order of ids; recall of 0.9 or more."""
+    rows = vector_rows(n, 21)
+    got = {}
+    for r in ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = total = 0
+    sound = [(i, np.array(v, float)) for i, v in rows if i is not None and usable(v)]
+    for q in {i for i, _ in sound if i % 50 == 0}:
+        best = {}
+        for i, v in sound:
+            for j, w in sound:
+                if j == q and i != q and len(v) == len(w):
+                    best[i] = max(best.get(i, -2.0), float(ann_forest.exact_scores(v[None], w)[0]))
+        want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:5]
+        mine = sorted(got.pop(q, []))
+        assert [r for r, _, _ in mine] == list(range(1, len(mine) + 1)) and len({i for _, i, _ in mine}) == len(mine)
+        assert all(s == pytest.approx(best[i], abs=1e-12) for _, i, s in mine)
+        if q in (0, 3000):
+            assert [i for _, i, _ in mine] == [i for i, _ in want]
+        hit, total = hit + len({i for _, i, _ in mine} & {i for i, _ in want}), total + len(want)
+    assert not got and hit >= 0.9 * total
+
+
+def test_embedding_links_of_all_lengths(spark):
+    """Each length links within itself, also a rare one; repeated rows, null ids and unusable vectors."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.05).tolist()) for i in range(6)] + [(10 + i, (np.ones(16) + rng.normal(size=16) * 0.05).tolist()) for i in range(10)]
+    rows += [(None, [1.0] * 8), (3, [1.0] * 8), (3, [1.0] * 8), (30, None), (31, []), (32, [0.0] * 8)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    want = [(i, 8, 0, i == 0) for i in (0, 1, 2, 3, 3, 3, 4, 5)] + [(None, 8, 0, False)] + [(10 + i, 9, 10, i == 0) for i in range(10)] + [(i, 0, i, True) for i in (30, 31, 32)]
+    assert got == sorted(want, key=str)
+
+
 def test_near_copies_go_by_row(spark, docs, empty):
     """One row of each component stays: other texts under the same id don't go with it, exact repeats do."""
     import corpus_pipeline
