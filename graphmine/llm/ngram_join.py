@@ -47,7 +47,7 @@ TABLE_BITS = 21
 #: Levels of the counts.
 LEVELS = 15
 #: Prefix shingles that a bucket holds about; a shingle of more classes is dealt to several.
-BUCKET_ROWS = 2_500_000
+BUCKET_ROWS = 1_500_000
 #: Classes of one shingle that meet in one place.
 BLOCK = 4096
 #: Postings that meet in a task of the pair search, about.
@@ -55,9 +55,9 @@ MEET_ROWS = 50_000
 #: Pairs that are held at once.
 STEP = 400_000
 #: Bytes of sets in a task of the verification, about, and pairs of one class there at most.
-BUCKET_BYTES, FAN = 16 << 20, 256
+BUCKET_BYTES, FAN = 8 << 20, 256
 #: Classes and bytes of sets of a cluster's block, about.
-CLASSES, CLASS_BYTES = 2048, 8 << 20
+CLASSES, CLASS_BYTES = 2048, 4 << 20
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 STARS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _SKETCH = np.uint64(0x452821E638D01377)
@@ -473,7 +473,7 @@ def _linked(values: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np.ndarra
     row, col = row[order], col[order]
     width = int(number[-1]) + 1
     overlap = np.zeros((len(some), rows), np.float32)
-    step = max(1, (32 << 20) // (4 * rows))
+    step = max(1, (16 << 20) // (4 * rows))
     for lo in range(0, width, step):
         s, e = np.searchsorted(col, [lo, lo + step])
         part = np.zeros((rows, min(step, width - lo)), np.float32)

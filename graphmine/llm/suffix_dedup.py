@@ -33,7 +33,7 @@ from .shared import IdFilter, save, tidy
 
 K = 10
 #: Words and windows that a task holds before it hands them on.
-HOLD = 800_000
+HOLD = 600_000
 _ROOT = 0xD1342543DE82EF95
 _ROOT_INV = pow(_ROOT, -1, 1 << 64)
 
