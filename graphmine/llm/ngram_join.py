@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .components import components
-from .shared import SLICES, IdFilter, combine_slices, release, save, slices_of, tidy
+from .shared import SLICES, IdFilter, combine_slices, discard, release, save, slices_of, sweep, tidy
 from .wordcode import gather
 
 #: Entries of the table of shingle counts, of fixed size whatever the input.
@@ -385,7 +385,9 @@ def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFram
     named = sets.select("node", "set").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     packed = _prefixes(named, percent, spark.sparkContext.broadcast(_levels(profile, total)), buckets)
     lists = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_live(t)), "ord int, list long, nodes array<long>"), "lists")
+    sweep(spark)
     live = save(lists.dropDuplicates(["ord", "list"]).select("ord", "list", F.explode("nodes").alias("node")), "live")
+    discard(lists)
     # a class with no such shingle under one of the orders has no partner
     both = live.groupBy("node").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("node")
     info = sets.select("node", "n", "sketch").dropDuplicates(["node"]).join(both, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -396,6 +398,7 @@ def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFram
     second = components(_met(live.where("ord = 1").join(first.select("node"), "node"), info, percent), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c1"))
     cell = first.join(second, "node").select("node", F.xxhash64("c0", "c1").alias("cluster"))
     out = save(cell.join(info.select("node", "n", "comp"), "node"), "cells")
+    discard(live, comps, info, first)
     several = out.groupBy("cluster").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("cluster")
     return out.join(several, "cluster")
 
@@ -406,7 +409,9 @@ def _met(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     places = max(12, lists.count() // MEET_ROWS)
     met = lists.withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
     there = met.select(F.col("place").alias("there"), F.col("node").alias("class")).distinct().join(info.withColumnRenamed("node", "class"), "class")
-    return save(met.groupBy("place").cogroup(there.groupBy("there")).applyInArrow(lambda a, b: _released(_near(a, b, percent)), "x long, y long"), "found")
+    found = save(met.groupBy("place").cogroup(there.groupBy("there")).applyInArrow(lambda a, b: _released(_near(a, b, percent)), "x long, y long"), "found")
+    discard(lists)
+    return found
 
 
 def _compare_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -452,7 +457,9 @@ def _compare_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> Dat
             out_y.append(node[own[moved]])
         return _released(pa.table({"x": np.concatenate(out_x), "y": np.concatenate(out_y)}))
 
-    return save(mine.groupBy("home").applyInArrow(compare, "x long, y long"), "links")
+    links = save(mine.groupBy("home").applyInArrow(compare, "x long, y long"), "links")
+    discard(clusters, home)
+    return links
 
 
 def _linked(values: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np.ndarray, percent: int) -> np.ndarray:
@@ -534,7 +541,9 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             keep[i] = _similar(a, _unpack(np.frombuffer(own[y[i]].as_buffer(), np.uint8)), percent)
         return _released(left.select(["x", "y"]).filter(pa.array(keep)))
 
-    return save(dealt.groupBy("place").cogroup(mine.groupBy("home")).applyInArrow(compare, "x long, y long"), "links")
+    links = save(dealt.groupBy("place").cogroup(mine.groupBy("home")).applyInArrow(compare, "x long, y long"), "links")
+    discard(pairs, dealt, ends)
+    return links
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -575,9 +584,11 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The table with one row of each component of near copies: one with the smallest non-null id.
 
     Rows are told apart by id and shingle set, so that rows of one id with other texts are judged by
-    themselves; of rows equal in both, one stays. Rows without words stay. Further columns stay, a
-    column of the name `_class` is not allowed.
+    themselves; of rows equal in both, one stays. Rows without words stay. Further columns stay; a
+    table with a column of the name `_id`, `_node` or `_class`, in any case, is an error.
     """
+    if clash := {"_id", "_node", "_class"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {min(clash)}")
     joined = ngram_join(docs, id_col, text_col, k, percent)
     members = joined.members.groupBy("doc_id", "node", "component").agg(F.count("*").alias("rows"))
     # null ids come last

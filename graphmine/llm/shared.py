@@ -58,6 +58,25 @@ def drop_saved(spark: SparkSession, since: int, *keep: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that save() has returned, and let go of the shuffle files of finished jobs. Call it only when nothing else reads them."""
+    spark = tables[0].sparkSession
+    sc = spark.sparkContext
+    for df in tables:
+        names = {f.rsplit("/", 1)[0].split("graphmine-", 1)[1] for f in df.inputFiles()}
+        for path in [p for p in _saved if p.split("graphmine-", 1)[1] in names]:
+            _saved.remove(path)
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver has collected the plans that made them, which may else take long on an idle heap."""
+    gc.collect()  # plans that Python still holds in cycles
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that a Python worker has freed back to the system; workers serve many stages."""
     gc.collect()
