@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .shared import IdFilter, save, tidy
+from .shared import IdFilter, discard, save, tidy
 
 K = 10
 #: Words and windows that a task holds before it hands them on.
@@ -281,10 +281,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col:
     seeds = save(profile.where("bucket is not null").groupBy("bucket").applyInArrow(_repeated, "seed long"), "repeated")
     total = rows.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(12, -(-total // 8_000_000))
-    found = _windows(docs, min_words, k, IdFilter.of(seeds, "seed", seeds.count()), buckets)
+    wanted = IdFilter.of(seeds, "seed", seeds.count())
+    discard(seeds)
+    found = _windows(docs, min_words, k, wanted, buckets)
     compared = found.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: _compare(t, buckets), _HIT)
     spans = found.where("kind = 1").union(compared).groupBy("bucket").applyInArrow(lambda t: _spans(t, min_words), _SPANS)
-    return rows, save(spans, "spans")
+    spans = save(spans, "spans")
+    discard(found)
+    return rows, spans
 
 
 def passage_report(docs: DataFrame, min_words: int = 50, k: int = K) -> DataFrame:
@@ -306,18 +310,28 @@ def remove_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col: st
     if clash := {"_uid", "removed_start", "removed_end"} & set(docs.columns):
         raise ValueError(f"the table has columns {sorted(clash)}")
     _, spans = repeated_passages(docs, min_words, k, id_col, text_col)
-    cut = spans.where(F.size("removed_start") > 0).select("uid", "removed_start", "removed_end").dropDuplicates(["uid"])
+    # each uid has one line of spans
+    cut = save(spans.where(F.size("removed_start") > 0).select("uid", "removed_start", "removed_end"), "cut")
+    discard(spans)
+    wanted = IdFilter.of(cut, "uid", cut.count())
     cols = docs.columns
     key, body = cols.index(id_col), cols.index(text_col)
 
-    def name(batches):
-        for batch in _parts(batches):
-            ids = batch.column(key).cast(pa.int64())
-            uid = [_uids(ids.slice(lo, hi - lo), data, offs) for lo, hi, data, offs in tb.chunks(batch.column(body))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(uid) if uid else np.zeros(0, np.int64))], [*cols, "_uid"])
+    def split(hit: bool):
+        """Rows that may have words to cut, with their uid, or all others: only the former are shuffled."""
+
+        def scan(batches):
+            for batch in _parts(batches):
+                ids = batch.column(key).cast(pa.int64())
+                uid = [_uids(ids.slice(lo, hi - lo), data, offs) for lo, hi, data, offs in tb.chunks(batch.column(body))]
+                uid = np.concatenate(uid) if uid else np.zeros(0, np.int64)
+                out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(uid)], [*cols, "_uid"])
+                yield out.filter(pa.array(wanted(uid) == hit))
+
+        return docs.mapInArrow(tidy(scan), schema + ", _uid long")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(tidy(name), schema + ", _uid long").join(cut.withColumnRenamed("uid", "_uid"), "_uid", "left").select(*cols, "removed_start", "removed_end")
+    marked = split(True).join(cut.withColumnRenamed("uid", "_uid"), "_uid", "left").select(*cols, "removed_start", "removed_end")
 
     def trim(batches):
         for batch in _parts(batches):
@@ -338,4 +352,4 @@ def remove_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col: st
                 columns[body] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, cols)
 
-    return marked.mapInArrow(tidy(trim), schema)
+    return split(False).select(*cols).union(marked.mapInArrow(tidy(trim), schema))
