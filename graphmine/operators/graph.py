@@ -70,17 +70,25 @@ def candidates_drawn(edges: DataFrame, sizes: DataFrame, d: int, k: int, seed: i
     """Distinct (target, item), item another than the target, that share a feature, at most d from each common one.
 
     A feature of fewer than d items gives all of them. The items of size k at most of another stand in a keyed
-    order, and each target takes d in a row from a place of its own on, round the end: d rows a target and
-    feature before the join, whatever the feature's frequency; one fewer where the target is among them.
+    order, d of them to a block, and each target takes d in a row from a place of its own on, round the end; one fewer where the target is among them.
+    A target fetches the two or three blocks that these lie in, so the join has as many rows for a target and feature, whatever
+    the feature's frequency.
     """
     rare, common = _marked(edges, d)
     near = _other(rare.select(F.col("item").alias("target"), "feature").join(rare, "feature"))
     small = common.join(sizes.where(F.col("size") <= k).select("item"), "item", "left_semi").select("feature", "item")
-    count = small.groupBy("feature").agg(F.count("*").alias("n"))
-    placed = rank_rows(small.withColumn("_u", -keyed_uniform(seed, F.col("feature"), F.col("item"))), "feature", "_u", "item").select("feature", "item", (F.col("rank") - 1).cast("long").alias("place"))
-    takes = common.select(F.col("item").alias("target"), "feature").join(count, "feature")
-    takes = takes.select("target", "feature", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(d).cast("long"), F.col("n")) - 1), lambda j: F.pmod(keyed_slot(seed, F.col("target"), F.col("feature")) + j, F.col("n")))).alias("place"))
-    return near.union(_other(takes.join(placed, ["feature", "place"]))).distinct()
+    placed = rank_rows(small.withColumn("_u", -keyed_uniform(seed, F.col("feature"), F.col("item"))), "feature", "_u", "item").select("feature", "item", (F.col("rank") - 1).alias("place"))
+    block = F.floor(F.col("place") / d)
+    blocks = save_table(placed.groupBy("feature", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items")), "blocks")  # d items each
+    count = blocks.groupBy("feature").agg(F.sum(F.size("items")).alias("n"))
+    takes = common.select(F.col("item").alias("target"), "feature").join(count, "feature").withColumn("start", F.pmod(keyed_slot(seed, F.col("target"), F.col("feature")), F.col("n")))
+    # the places from start to the end of d or of all, and those from 0 on where that goes round
+    last, over = F.least(F.col("start") + d, F.col("n")) - 1, F.least(F.col("start") + d - F.col("n"), F.col("start")) - 1
+    front = F.when(over >= 0, F.sequence(F.lit(0).cast("long"), F.floor(over / d))).otherwise(F.array().cast("array<bigint>"))
+    wanted = F.array_distinct(F.concat(F.sequence(F.floor(F.col("start") / d), F.floor(last / d)), front))
+    met = takes.withColumn("block", F.explode(wanted)).join(blocks, ["feature", "block"])
+    mine = F.filter("items", lambda x: (F.pmod(x["place"] - F.col("start"), F.col("n")) < d) & (x["item"] != F.col("target")))
+    return near.union(met.select("target", F.explode(F.transform(mine, lambda x: x["item"])).alias("item"))).distinct()
 
 
 def _feature_lists(weighted: DataFrame) -> DataFrame:

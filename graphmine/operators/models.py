@@ -52,9 +52,10 @@ def score_candidates(contexts: DataFrame, candidates: DataFrame, models: dict[st
     """(model_id, context, id, score): dot product of each candidate with each encoded context.
 
     contexts (context, vector), one for each hub, are encoded once a model, CONTEXTS at a time; the
-    candidates (id, vector) stream through in batches for each. A model that fails gives no row.
+    candidates (id, vector) stream through in batches for each. A model that fails gives no row, nor does a
+    context or candidate whose vector is null or hasn't dim numbers.
     """
-    rows = contexts.toLocalIterator()
+    rows = contexts.where(F.size("vector") == dim).toLocalIterator()
     parts = [_scores(few, contexts, candidates, models, dim) for few in _chunks(rows, CONTEXTS)]
     return reduce(DataFrame.union, parts) if parts else _scores([], contexts, candidates, models, dim)
 

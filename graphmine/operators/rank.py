@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphmine.sources.tables import save_table
 
-#: Score ranges that a group's rows are ranked in.
-RANGES = 32
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """Add the rows' numbers from 0 in the order of some columns over the whole table.
+
+    The table is dealt to ranges of that order, ties of the first columns going by the next ones; rows
+    are numbered in their range, and the ranges' sizes give the starts, so no task sorts more than a range.
+    """
+    marked = save_table(df.repartitionByRange(*order).withColumn("_rank_p", F.spark_partition_id()), "ranges")
+    sizes = marked.groupBy("_rank_p").agg(F.count("*").alias("_rank_n"))
+    # a row for each range
+    starts = sizes.alias("a").join(sizes.alias("b"), F.col("b._rank_p") < F.col("a._rank_p"), "left").groupBy("a._rank_p").agg(F.coalesce(F.sum("b._rank_n"), F.lit(0)).alias("_rank_s"))
+    placed = marked.withColumn("_rank_k", F.row_number().over(Window.partitionBy("_rank_p").orderBy(*order)))
+    return placed.join(F.broadcast(starts), "_rank_p").withColumn(name, F.col("_rank_s") + F.col("_rank_k") - 1).drop("_rank_p", "_rank_k", "_rank_s")
 
 
 def rank_rows(df: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
-    """Add rank from 1 by score descending, nulls last, ties by id.
+    """Add rank (long) from 1 by score descending, nulls last, ties by id; a null group is a group like others.
 
-    A group's rows are ranked within ranges of the score, between approximate quantiles, and the ranges'
-    counts give the starts: no task sorts a whole group, however large.
+    The table is dealt to ranges of (group, score, id) and a group's rows are ranked within each range; the
+    rows that a group has in the ranges before give the starts. So no task sorts a whole group, however
+    large, nor all rows of one score.
     """
-    shares = F.array(*[F.lit((i + 1) / RANGES) for i in range(RANGES - 1)])
-    edges = df.groupBy(group).agg(F.percentile_approx(score, shares, F.lit(1000)).alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: F.col(score) < e))
-    placed = df.join(edges, group).withColumn("_part", F.when(F.col(score).isNull() | F.col("_edges").isNull(), RANGES).otherwise(below)).drop("_edges")
-    counts = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")  # RANGES + 1 rows a group
-    within = Window.partitionBy(group, "_part").orderBy(F.desc(score), id_col)
-    ranked = placed.withColumn("_place", F.row_number().over(within)).join(starts, [group, "_part"])
-    return ranked.withColumn("rank", (F.col("_start") + F.col("_place")).cast("int")).drop("_part", "_place", "_start")
+    order = (F.desc_nulls_last(score), F.asc(id_col))
+    marked = save_table(df.repartitionByRange(F.asc_nulls_first(group), *order).withColumn("_rank_p", F.spark_partition_id()), "ranges")
+    counts = marked.groupBy(F.col(group).alias("_rank_g"), F.col("_rank_p").alias("_rank_q")).agg(F.count("*").alias("_rank_n"))
+    ahead = Window.partitionBy("_rank_g").orderBy("_rank_q").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_rank_s", F.coalesce(F.sum("_rank_n").over(ahead), F.lit(0))).drop("_rank_n")  # a row for each range at most in a group
+    placed = marked.withColumn("_rank_k", F.row_number().over(Window.partitionBy(group, "_rank_p").orderBy(*order)))
+    met = placed.join(starts, F.col(group).eqNullSafe(F.col("_rank_g")) & (F.col("_rank_p") == F.col("_rank_q")))
+    return met.withColumn("rank", F.col("_rank_s") + F.col("_rank_k")).drop("_rank_p", "_rank_k", "_rank_g", "_rank_q", "_rank_s")
 
 
 def ranking_metrics(ranked: DataFrame, is_true: str) -> DataFrame:
@@ -48,10 +59,10 @@ def margins(df: DataFrame, group: str, score: str, positive: str, negative: str)
     return df.groupBy(group).agg(p.alias("positive_mean"), n.alias("negative_mean"), (p - n).alias("margin"))
 
 
-def select_models(df: DataFrame) -> DataFrame:
-    """Rank (model_id, mrr, margin) by mrr, else margin; models with neither stay with a null rank."""
+def select_models(df: DataFrame, *group: str) -> DataFrame:
+    """Rank (model_id, mrr, margin) by mrr, else margin, in each group if given; models with neither stay with a null rank."""
     scored = df.withColumn("selection_score", F.coalesce("mrr", "margin"))
-    order = Window.partitionBy(F.col("selection_score").isNull()).orderBy(F.desc("selection_score"), "model_id")
+    order = Window.partitionBy(*group, F.col("selection_score").isNull()).orderBy(F.desc("selection_score"), "model_id")
     return scored.withColumn("rank_among_models", F.when(F.col("selection_score").isNotNull(), F.row_number().over(order)))
 
 

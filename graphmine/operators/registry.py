@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,9 +33,14 @@ def checksums(df: DataFrame, group: str, key: str, cols: list[str]) -> DataFrame
     return df.groupBy(group).agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key), line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("checksum"))
 
 
+def row_hash(cols: list[str]) -> Column:
+    """A 64-bit hash of a row that tells null from other values, and which column is null."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{c}`").isNull() for c in cols])
+
+
 def table_digest(df: DataFrame) -> DataFrame:
-    """n_rows and an order-free digest of a table of any size."""
-    return df.agg(F.count("*").alias("n_rows"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in df.columns)}))").alias("digest"))
+    """n_rows and an order-free digest of a table of any size: the sum of its rows' hashes, so that equal rows count as often as they occur."""
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row_hash(df.columns).cast("decimal(38,0)")), F.lit(0)).alias("digest"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

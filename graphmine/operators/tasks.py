@@ -36,31 +36,40 @@ def task_results(rows: DataFrame, ranking: DataFrame, errors: DataFrame, id_col:
     return out.withColumn("error", told).drop("_e")
 
 
-def evaluate_models(scores: DataFrame, positives: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
+def evaluate_models(scores: DataFrame, positives: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50), negatives: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """(model_id, status, mrr, hit_k.., margin, selection_score, rank_among_models) of all expected models at once.
 
-    scores: (model_id, context, id, score); positives: (context, id). A model without a finite score
-    has the status failed and no measures, and doesn't touch the others.
+    scores: (model_id, context, id, score); positives, negatives, members: (context, id). The rows that a context
+    was made of (members) are neither ranked nor asked for. The margin is the mean of the positives less that of the
+    given negatives, null without any. A model without a finite score has the status failed and no measures, one
+    without a held-out case partial; neither touches the others. Contexts made of all subsets of a task's positives
+    are the work of `evaluation.evaluate_tasks`.
     """
     sound = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
-    ranked = rank.rank_rows(sound.withColumn("_g", F.to_json(F.struct("model_id", "context"))), "_g", "score", "id").drop("_g")
-    marked = ranked.join(positives.select("context", "id", F.lit(True).alias("_p")), ["context", "id"], "left").withColumn("_p", F.coalesce("_p", F.lit(False)))
+    ranked = sound if members is None else sound.join(members.select("context", "id").distinct(), ["context", "id"], "left_anti")
+    asked = positives if members is None else positives.join(members.select("context", "id").distinct(), ["context", "id"], "left_anti")
+    ranked = rank.rank_rows(ranked.withColumn("_g", F.to_json(F.struct("model_id", "context"))), "_g", "score", "id").drop("_g")
     # positives that a model doesn't rank come after all that it does
     size = ranked.groupBy("model_id", "context").agg(F.max("rank").alias("_n"))
-    held = positives.join(size, "context").join(ranked.select("model_id", "context", "id", "rank"), ["model_id", "context", "id"], "left").withColumn("rank", F.coalesce("rank", F.col("_n") + 1))
+    held = asked.join(size, "context").join(ranked.select("model_id", "context", "id", "rank"), ["model_id", "context", "id"], "left").withColumn("rank", F.coalesce("rank", F.col("_n") + 1))
     each = held.groupBy("model_id", "context").agg(F.avg(1.0 / F.col("rank")).alias("mrr"), *[F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hit_{k}") for k in ks])
     means = each.groupBy("model_id").agg(F.avg("mrr").alias("mrr"), *[F.avg(f"hit_{k}").alias(f"hit_{k}") for k in ks])
-    spread = rank.margins(marked.withColumn("_q", ~F.col("_p")), "model_id", "score", "_p", "_q").select("model_id", "margin")
-    out = expected.select("model_id").distinct().join(means, "model_id", "left").join(spread, "model_id", "left")
-    status = F.when(F.col("mrr").isNull() & F.col("margin").isNull(), "failed").otherwise("ok")
-    return rank.select_models(out.withColumn("status", status))
-
-
-def evaluate_encoders(contexts: DataFrame, candidates: DataFrame, positives: DataFrame, encoders: dict[str, models.Encoder], dim: int, ks: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
+    marked = sound.join(positives.select("context", "id").distinct().withColumn("_p", F.lit(True)), ["context", "id"], "left")
+    if negatives is None:
+        marked = marked.withColumn("_q", F.lit(False))
+    else:
+        marked = marked.join(negatives.select("context", "id").distinct().withColumn("_q", F.lit(True)), ["context", "id"], "left")
+    spread = rank.margins(marked, "model_id", "score", "_p", "_q").select("model_id", "margin")
+    out = expected.select("model_id").distinct().join(means, "model_id", "left").join(spread.withColumn("_scored", F.lit(True)), "model_id", "left")
+    status = F.when(F.col("_scored").isNull(), "failed").when(F.col("mrr").isNull(), "partial").otherwise("ok")
+    return rank.select_models(out.withColumn("status", status).drop("_scored"))
+
+
+def evaluate_encoders(contexts: DataFrame, candidates: DataFrame, positives: DataFrame, encoders: dict[str, models.Encoder], dim: int, ks: tuple[int, ...] = (5, 10, 20, 50), negatives: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """evaluate_models on the scores of frozen encoders."""
     spark = contexts.sparkSession
     expected = spark.createDataFrame([(m,) for m in encoders], "model_id string")
-    return evaluate_models(models.score_candidates(contexts, candidates, encoders, dim), positives, expected, ks)
+    return evaluate_models(models.score_candidates(contexts, candidates, encoders, dim), positives, expected, ks, negatives, members)
 
 
 def complete_records(records: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -209,9 +209,8 @@ def distance_stats(t):
 )
 def known_split(t):
     h = hub_pairs(t)
-    rows = sampling.known_split(_distances(t).select("target", "item"), h, h)
-    n = F.count_if(F.col("label") == "KL")
-    return rows.groupBy("target", "hub").agg(n.alias("known"), F.count_if(F.col("label") == "NL").alias("other"), r6(n / F.count("*"), "known_share"))
+    rows = sampling.label_counts(_distances(t), h, h)
+    return rows.select("target", "hub", "known", "other", r6(F.col("known") / (F.col("known") + F.col("other")), "known_share"))
 
 
 @query(
@@ -234,7 +233,7 @@ def target_sample(t):
 
 
 @query(
-    f"WITH n AS (SELECT source, greatest(3, floor(count(*) * 0.1 + 0.5)) AS k FROM documents GROUP BY source), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {hash_sql('source', 'doc_id')}, doc_id) AS r FROM documents) SELECT doc_id, source FROM r JOIN n USING (source) WHERE r <= k"
+    f"WITH n AS (SELECT source, greatest(3, floor(count(*) * 0.1 + 0.5)) AS k FROM documents GROUP BY source), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {hash_sql('source', 'doc_id')}, doc_id) AS r FROM documents) SELECT doc_id, r.source FROM r JOIN n ON n.source IS NOT DISTINCT FROM r.source WHERE r <= k"
 )
 def stratified_sample(t):
     return sampling.stratified(t("documents"), "source", "doc_id", 0.1, 3, SEED).select("doc_id", "source")
@@ -251,6 +250,17 @@ def unrelated_sample(t):
     return sampling.unrelated_drawn(t("part").select(F.col("p_partkey").alias("item")), edges_of(t), SEED)
 
 
+@query(
+    f"WITH {E}, n AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY {hash_sql('p_partkey')}, p_partkey) - 1 AS number, {_slot('p_partkey')} % count(*) OVER () AS start, count(*) OVER () AS n FROM part), "
+    "re AS (SELECT DISTINCT a.item AS target, b.item FROM e a JOIN e b USING (feature)), "
+    "f AS (SELECT a.item AS target, b.item, row_number() OVER (PARTITION BY a.item ORDER BY (b.number - a.start + a.n) % a.n) AS r FROM n a, n b WHERE a.item <> b.item AND NOT EXISTS (SELECT 1 FROM re WHERE re.target = a.item AND re.item = b.item)) "
+    "SELECT target, item FROM f WHERE r <= 32"
+)
+def unrelated_whole(t):
+    """As unrelated_sample, but k items wherever k exist."""
+    return sampling.unrelated_sample(t("part").select(F.col("p_partkey").alias("item")), edges_of(t), SEED)
+
+
 @query()
 def training_records(t):
     h, d = hub_pairs(t), _candidate_distances(t)

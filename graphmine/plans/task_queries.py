@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphmine.functions import composite_id
-from graphmine.operators import clean, patterns, registry, sampling, tasks
+from graphmine.operators import clean, evaluation, patterns, registry, sampling, tasks
 from graphmine.plans.catalogue import C, DRAWN_D, H, SEED, _NOTATION, _candidate_distances, _notation, _scored, edges_of, hash_sql, hub_pairs, query, r6, uniform_sql
 from graphmine.sources import workspace
 
@@ -104,7 +105,7 @@ def vector_lookup_skip(t):
     return tasks.vector_lookup(t("documents").select("doc_id"), known, "doc_id", 64, "skip").select("doc_id")
 
 
-@query(f"WITH {C}, b AS (SELECT id, context, score, rank FROM rk WHERE context = (SELECT min(context) FROM rk) AND id % 4 <> 0) SELECT vec_id AS id, rank, round(score, 6) AS score, CASE WHEN rank IS NULL THEN CASE WHEN vec_id % 8 = 0 THEN 'no vector' ELSE 'not ranked' END END AS error FROM embeddings LEFT JOIN b ON id = vec_id")
+@query(f"WITH {C}, b AS (SELECT id, context, score, rank FROM rk WHERE context = (SELECT min(context) FROM rk) AND id % 4 <> 0) SELECT vec_id AS id, rank, round(round(score, 9), 6) AS score, CASE WHEN rank IS NULL THEN CASE WHEN vec_id % 8 = 0 THEN 'no vector' ELSE 'not ranked' END END AS error FROM embeddings LEFT JOIN b ON id = vec_id")
 def task_results(t):
     ranked = _scored(t)
     first = ranked.agg(F.min("context").alias("context"))  # one row
@@ -129,10 +130,55 @@ def evaluate_models(t):
     scores = s.select(model.cast("long").alias("model_id"), "context", "id", F.when(model != 2, F.col("score")).alias("score"))
     positives = t("embeddings").select(F.col("label").alias("context"), F.col("vec_id").alias("id"))
     expected = t("embeddings").select((F.col("label") % 3).cast("long").alias("model_id"))
-    out = tasks.evaluate_models(scores, positives, expected, (5,))
+    ids = t("embeddings").select(F.col("vec_id").alias("id"), "label")
+    negatives = positives.select("context").distinct().join(ids, F.col("label") != F.col("context")).select("context", "id")  # some ten contexts
+    out = tasks.evaluate_models(scores, positives, expected, (5,), negatives)
     return out.select("model_id", "status", r6(F.col("mrr"), "mrr"), r6(F.col("hit_5"), "hit_5"), r6(F.col("margin"), "margin"), F.col("rank_among_models").cast("long").alias("rank_among_models"))
 
 
+#: The first six ids of a label are a task's positives, those of the next label its negatives, and all vectors its candidates.
+_SUBSETS = (
+    f"e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) = 64), "
+    "p AS (SELECT label AS task, id, v, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS bit FROM e WHERE label IS NOT NULL QUALIFY bit < 6), "
+    "n AS (SELECT task, count(*) AS n FROM p GROUP BY task), "
+    "s AS (SELECT task, subset, bit_count(subset) AS size FROM n, (SELECT unnest(range(1, 64)) AS subset) WHERE subset < 1 << n), "
+    "c AS (SELECT task, subset, list(m ORDER BY i) AS c FROM (SELECT s.task, subset, i, sum(v[i]) / any_value(size) AS m FROM s JOIN p ON p.task = s.task AND subset & (1 << bit) <> 0, (SELECT unnest(range(1, 65)) AS i) GROUP BY s.task, subset, i) GROUP BY ALL), "
+    "x AS (SELECT c.task, subset, e.id, round(list_inner_product(v, c), 9) AS score FROM c, e), "
+    "o AS (SELECT x.*, p.bit FROM x LEFT JOIN p ON p.task = x.task AND p.id = x.id), "
+    "r AS (SELECT task, subset, id, bit, row_number() OVER (PARTITION BY task, subset ORDER BY score DESC, id) AS rank FROM o WHERE bit IS NULL OR subset & (1 << bit) = 0), "
+    "h AS (SELECT r.task, subset, id, rank FROM r JOIN n USING (task) WHERE bit IS NOT NULL AND subset < (1 << n) - 1)"
+)
+
+
+def _subset_counts(t) -> tuple[DataFrame, ...]:
+    e = t("embeddings").select(F.col("label").alias("task"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    labels = e.where("task is not null").select("task").distinct()
+    first = Window.partitionBy("task").orderBy("id")
+    positives = e.where("size(vector) = 64 and task is not null").withColumn("k", F.row_number().over(first)).where("k <= 6").select("task", "id")
+    candidates = labels.crossJoin(e.select("id"))  # some ten tasks
+    negatives = labels.withColumn("label", F.col("task") + 1).join(e.select(F.col("task").alias("label"), "id"), "label").select("task", "id")
+    return candidates, positives, negatives, e.select("id", "vector")
+
+
+@query(f"WITH {_SUBSETS} SELECT task::BIGINT AS task, subset::BIGINT AS subset, id AS held, rank FROM h")
+def subset_ranks(t):
+    candidates, positives, negatives, vecs = _subset_counts(t)
+    counts = evaluation.context_counts(candidates, positives, negatives, vecs, {"mean": None}, 64)
+    return evaluation.heldout_ranks(counts).select(F.col("task").cast("long").alias("task"), "subset", "held", "rank")
+
+
+@query(
+    f"WITH {_SUBSETS}, y AS (SELECT task, subset, avg(1.0 / rank) AS mrr, avg((rank <= 5)::INT) AS h5, avg((rank <= 50)::INT) AS h50 FROM h GROUP BY ALL), "
+    "z AS (SELECT task, count(*) AS contexts, avg(mrr) AS mrr, avg(h5) AS h5, avg(h50) AS h50 FROM y GROUP BY task), "
+    "w AS (SELECT x.task, list_inner_product(e.v, c.c) AS score, e.label, x.id IN (SELECT id FROM p WHERE p.task = x.task) AS pos FROM x JOIN n ON n.task = x.task AND subset = (1 << n) - 1 JOIN c ON c.task = x.task AND c.subset = x.subset JOIN e ON e.id = x.id), "
+    "g AS (SELECT task, avg(score) FILTER (pos) AS pm, avg(score) FILTER (label = task + 1) AS nm FROM w GROUP BY task) "
+    "SELECT g.task::BIGINT AS task, CASE WHEN contexts > 0 THEN 'success' ELSE 'partial' END AS status, coalesce(contexts, 0) AS contexts, round(mrr, 6) AS mrr, round(h5, 6) AS hit_5, round(h50, 6) AS hit_50, round(pm, 6) AS positive_mean, round(nm, 6) AS negative_mean, round(pm - nm, 6) AS margin FROM g LEFT JOIN z ON z.task = g.task"
+)
+def subset_evaluation(t):
+    out = evaluation.evaluate_tasks(*_subset_counts(t), {"mean": None}, 64, (5, 50))
+    return out.select(F.col("task").cast("long").alias("task"), "status", "contexts", *[r6(F.col(c), c) for c in ("mrr", "hit_5", "hit_50", "positive_mean", "negative_mean", "margin")])
+
+
 @query("SELECT o_orderkey, l_linenumber, l_partkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'O') LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber > 2) ON l_orderkey = o_orderkey")
 def bound_runs(t):
     b = t("orders").select(F.col("o_orderkey").alias("project"), F.lit(0).alias("run"), F.col("o_orderstatus").alias("version"))

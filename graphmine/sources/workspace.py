@@ -73,9 +73,11 @@ def rebuild_registry(spark: SparkSession, root: str, glob: str = "*.json") -> di
 
 
 def row_counts(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(name, rows): data rows of each text file of a folder."""
-    lines = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"))
-    return lines.select("name", (F.col("n") - (1 if header else 0)).alias("rows"))
+    """(name, rows): the records of each CSV file of a folder; blank lines are none, and a quoted cell may hold line breaks."""
+    rows = spark.read.csv(path, header=False, multiLine=True, schema="_c string", mode="PERMISSIVE", escape='"').select(F.col("_metadata.file_name").alias("name"))
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"))
+    counts = rows.groupBy("name").agg(F.count("*").alias("n"))
+    return files.join(counts, "name", "left").select("name", F.greatest(F.coalesce("n", F.lit(0)) - (1 if header else 0), F.lit(0)).cast("long").alias("rows"))
 
 
 def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:

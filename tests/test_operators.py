@@ -62,7 +62,7 @@ def test_samples(spark):
 
 
 def test_unrelated_share_no_feature(spark, edges):
-    got = {tuple(r) for r in sampling.unrelated_sample(edges.select("item"), edges, 5, k=2, draw=40).collect()}
+    got = {tuple(r) for r in sampling.unrelated_sample(edges.select("item"), edges, 5, k=2).collect()}
     assert got and all({"d"} & set(p) for p in got)
 
 
@@ -74,7 +74,7 @@ def test_unrelated_are_k_where_k_exist(spark):
     for i, f in rows:
         features.setdefault(i, set()).add(f)
     got = {}
-    for r in sampling.unrelated_sample(edges.select("item"), edges, 5, k=8, draw=4, rounds=2).collect():
+    for r in sampling.unrelated_sample(edges.select("item"), edges, 5, k=8, words=1, growth=2).collect():
         got.setdefault(r["target"], set()).add(r["item"])
     for i in features:
         free = {j for j in features if j != i and not features[i] & features[j]}
