@@ -404,7 +404,7 @@ def keyed_numbers(t):
 
 # patterns ---------------------------------------------------------------
 
-T = "t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS k FROM documents), g3 AS (SELECT id, i - 1 AS start, k[i] || ' ' || k[i + 1] || ' ' || k[i + 2] AS p FROM (SELECT id, k, unnest(range(1, len(k) - 1)) AS i FROM t WHERE len(k) >= 3)), a AS (SELECT p, count(DISTINCT id) AS docs FROM g3 GROUP BY p HAVING count(DISTINCT id) >= 5)"
+T = r"t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS k FROM documents), g3 AS (SELECT id, i - 1 AS start, k[i] || ' ' || k[i + 1] || ' ' || k[i + 2] AS p FROM (SELECT id, k, unnest(range(1, len(k) - 1)) AS i FROM t WHERE len(k) >= 3)), a AS (SELECT p, count(DISTINCT id) AS docs FROM g3 GROUP BY p HAVING count(DISTINCT id) >= 5)"
 
 
 @query(f"WITH {T} SELECT p AS pattern, 'G' || lpad(((('0x' || substr(md5(p), 1, 12))::BIGINT) % 1000000)::VARCHAR, 6, '0') AS pattern_id, docs FROM a")
@@ -418,7 +418,7 @@ def pattern_sources(t):
 )
 def coverage_size(t):
     toks = patterns.tokens(t("documents"), "doc_id", "text")
-    return patterns.coverage_size(toks, patterns.mine(toks, 3, 5), 3).select("id", F.col("n_tokens").cast("long").alias("n_tokens"), "n_hits", "size")
+    return patterns.coverage_size(toks, patterns.mine(toks, 3, 5)).select("id", F.col("n_tokens").cast("long").alias("n_tokens"), "n_hits", "size")
 
 
 @query(
@@ -428,14 +428,37 @@ def coverage_size(t):
 )
 def tag_fragments(t):
     toks = patterns.tokens(t("documents"), "doc_id", "text")
-    out = patterns.tag_fragments(toks, patterns.mine(toks, 3, 5), 3, patterns.mine(toks, 2, 10), 2)
+    out = patterns.tag_fragments(toks, patterns.mine(toks, 3, 5), patterns.mine(toks, 2, 10))
     return out.select("id", *[F.col(c).cast("long").alias(c) for c in ("start", "frag_start", "frag_end")], "pattern_id")
 
 
-@query()
+@query(
+    f"WITH {T}, h AS (SELECT id, start, 'G' || lpad(((('0x' || substr(md5(p), 1, 12))::BIGINT) % 1000000)::VARCHAR, 6, '0') AS pattern_id FROM g3 JOIN a USING (p)), "
+    "f AS (SELECT id, list_reduce(list([start] ORDER BY pattern_id, start), lambda taken, x: CASE WHEN len(list_filter(taken, lambda y: abs(y - x[1]) < 3)) > 0 THEN taken ELSE list_concat(taken, x) END) AS taken FROM h GROUP BY id) "
+    "SELECT h.id, h.start, 3::BIGINT AS length, pattern_id FROM h JOIN f USING (id) WHERE list_contains(taken, start)"
+)
 def tag_fragments_exclusive(t):
     toks = patterns.tokens(t("documents"), "doc_id", "text")
-    return patterns.tag_exclusive(toks, patterns.mine(toks, 3, 5), 3)
+    return patterns.tag_exclusive(toks, patterns.mine(toks, 3, 5))
+
+
+_G7 = " UNION ALL ".join(f"SELECT id, i - 1 AS start, {n} AS n, array_to_string(k[i:i + {n - 1}], ' ') AS p FROM (SELECT id, k, unnest(range(1, len(k) - {n - 2})) AS i FROM t WHERE len(k) >= {n})" for n in range(1, 8))
+
+
+@query(
+    rf"WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS k FROM documents), b AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS k FROM benchmark), "
+    f"d AS (SELECT DISTINCT array_to_string(k[i:i + n - 1], ' ') AS p FROM (SELECT k, unnest(range(1, len(k) + 1)) AS i FROM b), (SELECT unnest(range(1, 8)) AS n) WHERE i + n - 1 <= len(k)), "
+    f"g AS ({_G7}), h AS (SELECT id, start, n FROM g JOIN d USING (p)), c AS (SELECT id, count(*) AS c FROM h GROUP BY id), v AS (SELECT id, count(DISTINCT q) AS v FROM (SELECT id, unnest(range(start, start + n)) AS q FROM h) GROUP BY id) "
+    "SELECT id, len(k)::BIGINT AS n_tokens, coalesce(c, 0) AS n_hits, coalesce(c, 0) + len(k) - coalesce(v, 0) AS size FROM t LEFT JOIN c USING (id) LEFT JOIN v USING (id)"
+)
+def coverage_of_all_lengths(t):
+    """Coverage by the runs of one to seven tokens of the benchmark passages."""
+    runs = None
+    bench = patterns.tokens(t("benchmark"), "item_id", "text")
+    for n in range(1, 8):
+        part = patterns.mine(bench, n, 1).select("pattern", "pattern_id")
+        runs = part if runs is None else runs.union(part)
+    return patterns.coverage_size(patterns.tokens(t("documents"), "doc_id", "text"), runs)
 
 
 # vectors and ranking ----------------------------------------------------

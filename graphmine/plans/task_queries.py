@@ -382,12 +382,15 @@ def version_parents(t):
 # patterns ---------------------------------------------------------------
 
 
+ANY = r"[\p{L}\p{M}\p{N}]+"
+
+
 def _grams(most: int, kind: str) -> str:
     runs = " UNION ALL ".join(f"SELECT id, {n} AS length, array_to_string(k[i:i + {n - 1}], ' ') AS p FROM (SELECT id, k, unnest(range(1, len(k) - {n - 2})) AS i FROM t WHERE len(k) >= {n})" for n in range(1, most + 1))
     return f"t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '{kind}') AS k FROM documents), g AS ({runs})"
 
 
-@query(f"WITH {_grams(4, '[a-z0-9]+')} SELECT p AS pattern, length, 'G' || lpad(((('0x' || substr(md5(p), 1, 12))::BIGINT) % 1000000)::VARCHAR, 6, '0') AS pattern_id, count(DISTINCT id) AS docs, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS sources FROM g GROUP BY p, length HAVING count(DISTINCT id) >= 8")
+@query(rf"WITH {_grams(4, ANY)} SELECT p AS pattern, length, 'G' || lpad(((('0x' || substr(md5(p), 1, 12))::BIGINT) % 1000000)::VARCHAR, 6, '0') AS pattern_id, count(DISTINCT id) AS docs, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS sources FROM g GROUP BY p, length HAVING count(DISTINCT id) >= 8")
 def patterns_up_to(t):
     found = patterns.mine_up_to(patterns.tokens(t("documents"), "doc_id", "text"), 4, 8)
     by_text = F.array_join(F.array_sort(F.split("sources", ",")), ",")
@@ -396,5 +399,5 @@ def patterns_up_to(t):
 
 @query(r"WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS k FROM documents) SELECT id, len(k)::BIGINT AS n, len(list_distinct(k))::BIGINT AS different FROM t")
 def tokens_of_any_script(t):
-    toks = patterns.tokens(t("documents"), "doc_id", "text", patterns.ANY_SCRIPT)
+    toks = patterns.tokens(t("documents"), "doc_id", "text")
     return toks.select("id", F.size("tokens").cast("long").alias("n"), F.size(F.array_distinct("tokens")).cast("long").alias("different"))

@@ -92,10 +92,10 @@ def test_patterns(spark):
     toks = patterns.tokens(spark.createDataFrame([(1, "a b c a b c d"), (2, "a b c"), (3, None)], "id int, text string"), "id", "text")
     d = patterns.mine(toks, 3, 2)
     assert [r["pattern"] for r in d.collect()] == ["a b c"]
-    size = {r["id"]: (r["n_hits"], r["size"]) for r in patterns.coverage_size(toks, d, 3).collect()}
+    size = {r["id"]: (r["n_hits"], r["size"]) for r in patterns.coverage_size(toks, d).collect()}
     assert size == {1: (2, 3), 2: (1, 1), 3: (0, 0)}
-    assert patterns.tag_exclusive(toks, d, 3).count() == 3
-    f = {(r["id"], r["start"]): (r["frag_start"], r["frag_end"]) for r in patterns.tag_fragments(toks, d, 3, patterns.mine(toks, 2, 1), 2).collect()}
+    assert patterns.tag_exclusive(toks, d).count() == 3
+    f = {(r["id"], r["start"]): (r["frag_start"], r["frag_end"]) for r in patterns.tag_fragments(toks, d, patterns.mine(toks, 2, 1)).collect()}
     assert f[(1, 3)] == (1, 6)
 
 

@@ -80,7 +80,7 @@ def test_tag_exclusive_is_greedy(spark):
     texts = [(i, " ".join(f"t{k}" for k in rng.integers(0, 4, 60))) for i in range(12)]
     toks = patterns.tokens(spark.createDataFrame(texts, "id long, text string"), "id", "text")
     dictionary = patterns.mine(toks, 3, 3)
-    got = sorted(tuple(r) for r in patterns.tag_exclusive(toks, dictionary, 3).select("id", "start", "pattern_id").collect())
+    got = sorted(tuple(r) for r in patterns.tag_exclusive(toks, dictionary).select("id", "start", "pattern_id").collect())
     ids, want = {r["pattern"]: r["pattern_id"] for r in dictionary.collect()}, []
     for i, text in texts:
         w = text.split()
