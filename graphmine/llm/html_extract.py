@@ -37,6 +37,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 SKIPPED = frozenset("head title script style noscript template textarea iframe object svg math canvas audio video select button".split())
+#: What may stand in a head; the start of any other element ends it. What may stand in a drawing, formula or list of options, whose start of a block else ends it.
+IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
+OPEN_TO_BLOCKS = {"svg": frozenset(), "math": frozenset(), "select": frozenset(["option", "optgroup", "hr"])}
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 TAG_KINDS = {"nav": 0, "menu": 0, "footer": 1, "aside": 2, "header": 3, "form": 4, "fieldset": 4, "search": 4, "dialog": 4}
 HEADER_OF_ARTICLE = 1 << 7
@@ -44,8 +47,8 @@ BAD_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb bre
 GOOD_WORDS = frozenset("article articlebody blog body content entry hentry main maincontent page post postbody posttext prose story text".split())
 WHOLE = frozenset("html body article main".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
-_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -76,9 +79,23 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
+def _tag_end(text: str, pos: int, last: dict[str, int]) -> int:
+    """The place of the > that ends a tag, -1 without one. A quote behind = holds a value up to the next such quote, if there is one; last: where each quote stands last."""
+    while (m := _STOP.search(text, pos)) is not None:
+        at = m.start()
+        if m[0] == ">":
+            return at
+        before = at - 1
+        while text[before].isspace():
+            before -= 1
+        pos = text.find(m[0], at + 1) + 1 if text[before] == "=" and at < last[m[0]] else at + 1
+    return -1
+
+
 def tokens(text: str):
-    """Yield (text, None, None, end) for text and (None, tag, attributes, position) for tags, in linear time; an end tag has attributes None and its name after a slash."""
-    pos, end, failed = 0, len(text), 0
+    """Yield (text, None, None, end) for text and (None, tag, attributes, position) for tags, in linear time; an end tag has its name after a slash."""
+    pos, end = 0, len(text)
+    last = {q: text.rfind(q) for q in "\"'"}
     while pos < end:
         at = text.find("<", pos)
         if at < 0:
@@ -95,28 +112,20 @@ def tokens(text: str):
             stop = text.find(">", at)
             pos = stop + 1 if stop >= 0 else end
             continue
-        if not (nxt.isalpha() or nxt == "/") or not nxt.isascii():
-            yield "<", None, None, at + 1
-            pos = at + 1
-            continue
-        # a quote that is never closed would be looked for again at each tag: twice is enough
-        m = _TAG.match(text, at) if failed < 2 else None
-        if m is None:
-            failed += failed < 2
-            if text.find(">", at) < 0:
-                yield text[at:], None, None, end
-                return
-            m = _OPEN.match(text, at)
+        m = _NAME.match(text, at)
         if m is None:
             yield "<", None, None, at + 1
             pos = at + 1
             continue
-        pos = m.end()
-        name = m[2].lower()
-        yield None, ("/" if m[1] else "") + name, m[3], pos
-        if name in RAW and not m[1] and not m[3].rstrip().endswith("/"):
-            stop = _raw_end(name).search(text, pos)
-            pos = stop.end() if stop else end
+        stop = _tag_end(text, m.end(), last)
+        if stop < 0:
+            yield text[at:], None, None, end
+            return
+        pos, name, attrs = stop + 1, m[0][1:].lower(), text[m.end() : stop]
+        yield None, name, attrs, pos
+        if name in RAW and not attrs.rstrip().endswith("/"):
+            closed = _raw_end(name).search(text, pos)
+            pos = closed.end() if closed else end
             yield None, "/" + name, "", pos
 
 
@@ -125,6 +134,11 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\b[^>]*>", re.I)
 
 
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![^\s/>])", re.I)
+
+
 def _names(attrs: str) -> tuple[bool, bool, bool]:
     """Whether class, id or role name a bad region (a whole name, or its last part), hold a bad word elsewhere, or name a good one."""
     bad = faint = good = False
@@ -158,8 +172,32 @@ def read(text: str) -> Page:
             linked = 0
 
     opened: dict[str, int] = {}
-    for piece, tag, attrs, _ in tokens(text):
+    ends: dict[str, int] = {}
+
+    def shut(to: int) -> None:
+        """Close all elements below the parent of one, and that."""
+        nonlocal at
+        while at != nodes[to].parent:
+            opened[nodes[at].tag] -= 1
+            at = nodes[at].parent
+
+    def up_to(tag: str) -> int:
+        to = at
+        while nodes[to].tag != tag:
+            to = nodes[to].parent
+        return to
+
+    def has_end(tag: str, place: int) -> bool:
+        """Whether an end tag of that name comes later in the page."""
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in _end_of(tag).finditer(text)), default=-1)
+        return ends[tag] >= place
+
+    for piece, tag, attrs, place in tokens(text):
         if tag is None:
+            # text can't stand in a head itself
+            if nodes[at].tag == "head" and piece.strip():
+                shut(at)
             if not nodes[at].skip:
                 if not parts:
                     owner = at
@@ -180,11 +218,17 @@ def read(text: str) -> Page:
                 crossed |= nodes[to].tag in BLOCK
                 to = nodes[to].parent
             # an inline end tag doesn't close blocks
-            if tag in BLOCK or not crossed:
-                while at != nodes[to].parent:
-                    opened[nodes[at].tag] -= 1
-                    at = nodes[at].parent
+            if tag in BLOCK or not crossed or nodes[to].skip:
+                shut(to)
             continue
+        if opened.get("head") and tag not in IN_HEAD:
+            shut(up_to("head"))
+        if tag in BLOCK and nodes[at].skip:
+            for name, inner in OPEN_TO_BLOCKS.items():
+                if opened.get(name) and tag not in inner and not opened.get("foreignobject"):
+                    shut(up_to(name))
+        if tag in SKIPPED and tag != "head" and (attrs.rstrip().endswith("/") or not has_end(tag, place)) and tag not in RAW:
+            continue  # closed at once, or never: it holds nothing
         if tag in BLOCK:
             flush()
             if tag in CLOSES:
@@ -192,9 +236,7 @@ def read(text: str) -> Page:
                 while up > 0 and nodes[up].tag not in BLOCK:
                     up = nodes[up].parent
                 if nodes[up].tag in CLOSES[tag] and up > 0:
-                    while at != nodes[up].parent:
-                        opened[nodes[at].tag] -= 1
-                        at = nodes[at].parent
+                    shut(up)
         if tag == "br" and not nodes[at].skip and parts:
             parts.append(" ")
         if tag in VOID:
@@ -219,34 +261,66 @@ def read(text: str) -> Page:
     return page
 
 
+_INNER = frozenset("p li ul ol h1 h2 h3 h4 h5 h6 blockquote figure figcaption pre dd dt".split())
+
+
 def features(page: Page) -> np.ndarray:
-    """A row for each block, of its place in the page, of names on the way to it and of its text."""
+    """A row for each block: its place in the page, names on the way to it, its text, and how its region stands to the richest one.
+
+    A block's region is the nearest element around it that isn't part of running text. The richest region holds most text outside links, less so where
+    names or element kinds speak against it.
+    """
     nodes = page.nodes
     any_article = any(nodes[b[0]].article for b in page.blocks)
     inside: dict[int, list[int]] = {}
+    titles: dict[int, int] = {}
     homes = []
-    for node, text, linked in page.blocks:
-        home = node
-        while nodes[home].tag in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figure", "figcaption", "pre", "dd", "dt") and nodes[home].parent > 0:
-            home = nodes[home].parent
+    # an element comes after its parent
+    region = list(range(len(nodes)))
+    for i, n in enumerate(nodes):
+        if n.tag in _INNER and n.parent > 0:
+            region[i] = region[n.parent]
+    for i, (node, text, linked) in enumerate(page.blocks):
+        home = region[node]
         homes.append(home)
         got = inside.setdefault(home, [0, 0, 0])
         got[0] += len(text)
         got[1] += linked
         got[2] += 1
+        if nodes[node].tag == "h1":
+            titles.setdefault(home, i)
     total = sum(g[0] for g in inside.values()) or 1
+    worth = {k: (g[0] - g[1]) * 0.3 ** (min(nodes[k].bad, 2) + 2 * nodes[k].hidden + (nodes[k].kinds & ~HEADER_OF_ARTICLE != 0)) for k, g in inside.items()}
+    best = max(worth, key=lambda k: (worth[k], -k)) if worth else 0
+    above, at = set(), best
+    while at >= 0:
+        above.add(at)
+        at = nodes[at].parent
+    within = [False] * len(nodes)
+    for i in range(best, len(nodes)):
+        within[i] = i == best or within[nodes[i].parent]
+    first, last = (homes.index(best), len(homes) - 1 - homes[::-1].index(best)) if homes else (0, 0)
+    title = min(titles.values()) if titles else -1
     rows = []
-    for (node, text, linked), home in zip(page.blocks, homes, strict=True):
+    for i, ((node, text, linked), home) in enumerate(zip(page.blocks, homes, strict=True)):
         n, (size, links, count) = nodes[node], inside[home]
         words = text.count(" ") + 1
         share = linked / len(text)
-        row = [1.0, n.article, any_article and not n.article, n.article and not n.bad and not n.hidden and not n.kinds & ~HEADER_OF_ARTICLE, *((n.kinds >> i & 1) for i in range(8)), min(n.bad, 2), min(n.faint, 2), min(n.good, 2), n.hidden]
+        bad, richest = min(n.bad, 2), home == best
+        row = [1.0, n.article, any_article and not n.article, n.article and not n.bad and not n.hidden and not n.kinds & ~HEADER_OF_ARTICLE, *((n.kinds >> i & 1) for i in range(8)), bad, min(n.faint, 2), min(n.good, 2), n.hidden]
         row += [min(math.log1p(len(text)), 7) / 5, words < 4, len(text) > 150, text[-1] in ".!?:;\"'»…", share, share > 0.6, text[0] in "©|", min(text.count(","), 4) / 4, n.tag in ("h1", "h2"), n.tag in ("h3", "h4", "h5", "h6"), n.tag == "li"]
         row += [min(math.log1p(size), 9) / 5, links / size, size / total, min(count, 8) / 8, (size - links) / count / 200 if size - links < 200 * count else 1.0]
+        row += [richest, within[home] and not richest, home in above and not richest, worth[home] / worth[best] if worth[best] else 0, i < first, i > last]
+        row += [home in titles, i < title, bool(titles) and home not in titles, n.tag == "h1" and not n.bad, home in titles and not n.bad]
+        row += [richest and not n.bad and not n.hidden, bad * n.article, bad * richest, nodes[home].link or (linked == len(text) and len(text) < 40)]
         rows.append([float(v) for v in row])
     return np.array(rows)
 
 
+#: How much more a lost block of content weighs in the training than a kept one of boilerplate.
+CONTENT = 2.0
+
+
 def fit_weights(pages: list, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps; a labelled block that the reader doesn't find, or finds twice, is left out."""
     xs, ys = [], []
@@ -261,11 +335,11 @@ def fit_weights(pages: list, rounds: int = 25, ridge: float = 1.0) -> np.ndarray
                 xs.append(row)
                 ys.append(known[block[1]])
     x, y = np.array(xs), np.array(ys, float)
-    w = np.zeros(x.shape[1])
+    w, k = np.zeros(x.shape[1]), np.where(y > 0, CONTENT, 1.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (k * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (k * (y - p)) - ridge * w)
     return w
 
 

@@ -395,9 +395,9 @@ def test_html_families():
     """Pages of held-out and seen families: what is lost and what is kept of boilerplate, in blocks."""
     from graphmine.llm.html_pages import HELD_OUT, labelled_pages
 
-    for families, lost_most, kept_most in ((HELD_OUT, 0.06, 0.02), (("semantic", "divs", "mixed"), 0.04, 0.02)):
+    for families, lost_most, kept_most in ((HELD_OUT, 0.01, 0.01), (("semantic", "divs", "mixed"), 0.01, 0.015)):
         lost = content = kept = other = 0
-        for page, labels in labelled_pages(120, 4711, families):
+        for page, labels in labelled_pages(400, 4711, families):
             got = set(html_extract.extract(page).split("\n"))
             good = {b for b, label in labels if label}
             bad = {b for b, label in labels if not label} - good
@@ -419,12 +419,46 @@ def test_html_names_alone_do_not_decide(around):
 def test_html_takes_linear_time():
     import time
 
-    for page in ("<a " * 60_000, '<a "> ' * 60_000, "<p>some text here.<div class=ad>x</div>" * 5_000, "<div>" * 20_000 + "x", "<" * 100_000, "<!--" * 50_000, "<p>" + "word " * 200_000):
+    for page in ("<a " * 60_000, '<a "> ' * 60_000, "<p>some text here.<div class=ad>x</div>" * 5_000, "<div>" * 20_000 + "x", "<div>x" * 20_000, "<ul><li>x" * 10_000, "<svg>" * 40_000 + "x", "<iframe>" * 40_000 + "</iframe", '<a b="' * 60_000, "<a b=' c>" * 60_000, "<" * 100_000, "<!--" * 50_000, "<p>" + "word " * 200_000):
         began = time.time()
         html_extract.extract(page)
         assert time.time() - began < 8
 
 
+_ARTICLE = "<article><h1>The tale of the river</h1><p>" + "A long sentence about the river and its towns, told slowly. " * 5 + "</p><p>" + "Another paragraph follows, with more words and commas, as it should. " * 4 + "</p></article>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<html><head><title>t</title><body>|</html>",
+        "<html><head><title>t</title>|</html>",
+        "<HTML><HEAD><TITLE>t</TITLE><BODY>|",
+        '<body><svg class="i"/>|</body>',
+        '<body><iframe src="x"/>|</body>',
+        "<body><object/>|</body>",
+        "<body><svg><path d='x'>|</body>",
+        "<body><svg><path d='x'>|<svg><path/></svg></body>",
+        "<body><video controls>|</body>",
+        "<body><select><option>a<option>b|</body>",
+        "<head><title>x<body>|",
+        "<body><noscript><p>no</p></noscript>|</body>",
+        "<body><textarea>|</body>",
+        "<body><button>go|</body>",
+        '<body><p title="a>b</p><p title=\'x>y</p><p id=z">q</p><div title="a > b">|</div></body>',
+        "<body><p title=it's>don't</p>|<p>it's</p></body>",
+    ],
+)
+def test_html_articles_after_odd_tags(around):
+    """Omitted end tags of the head, elements that close themselves or never, quotes without an end."""
+    want = html_extract.extract(f"<html><head><title>t</title></head><body>{_ARTICLE}</body></html>")
+    assert want.count("\n") == 2 and want in html_extract.extract(around.replace("|", _ARTICLE))
+
+
+def test_html_quoted_signs_stay_in_tags():
+    assert html_extract.extract('<body><p title="a > b">One.</p><p data-x="<b>">Two, three.</p></body>') == "One.\nTwo, three."
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="x">Home</a></li></ul></nav><div class="sidebar"><p>Related stories to read now.</p></div><article><h1>Title</h1><p>One &amp; two<br>three &lt;b&gt;.<p>Short.</p><div class="comments"><p>First! Great read, thank you.</p></div></article><form><p>Sign up today for our letter.</p></form><footer>&copy; us</footer></body></html>'
     assert html_extract.extract(page) == "Title\nOne & two three <b>.\nShort."
@@ -445,8 +479,11 @@ def test_minimum_cut_is_minimal():
 
 
 def test_html_table(spark):
-    table = spark.createDataFrame([(1, None, 2), (2, "<p>Hello there.</p>", 3)], "page_id long, html string, text int")
-    assert sorted((r["page_id"], r["text"], r["n_chars"], r["url"]) for r in html_extract.main_text(table).collect()) == [(1, "", 0, None), (2, "Hello there.", 12, None)]
+    long = "A sentence of the long page, with commas. " * 30_000
+    rows = [(1, None, 2), (2, "<p>Hello there.</p>", 3), (2, "<p>Hello there.</p>", 3), (None, "<p>No id.</p>", 3), (3, f"<body><nav><a href=x>Home</a></nav><article><p>{long}</p></article></body>", 4)]
+    table = spark.createDataFrame(rows, "page_id long, html string, text int")
+    got = sorted(((r["page_id"] or 0, r["text"], r["n_chars"], r["url"]) for r in html_extract.main_text(table).collect()))
+    assert got == [(0, "No id.", 6, None), (1, "", 0, None), (2, "Hello there.", 12, None), (2, "Hello there.", 12, None), (3, long.strip(), len(long) - 1, None)]
     assert html_extract.main_text(table.limit(0)).count() == 0
 
 
