@@ -13,7 +13,9 @@ leaves that leave the queue are searched, and the candidates there are ranked ex
 `visits` is calibrated: the true neighbours of sampled queries among all vectors are found by
 brute force, and the smallest number of leaves is taken that meets `recall` of them.
 
-Vectors of one length form an index of their own.
+Vectors of one length form an index of their own, fitted and calibrated on vectors of that length. A length of at most WHOLE vectors,
+and any beyond the MOST_FORESTS commonest, has no forest: its queries are compared with all of its vectors, in blocks.
+So are queries that find fewer than k in the leaves they visit.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from .shared import save
 
 #: Vectors the trees are fitted on at most, trees, and vectors a leaf has about.
 SAMPLE, TREES, LEAF = 20_000, 6, 40
-#: Sampled queries of the calibration, and leaves that it lets one of them visit at most.
+#: Sampled queries of each length's calibration, and leaves that it lets one of them visit at most.
 QUERIES, MOST_VISITS = 100, 50_000
+#: Vectors of a length that is searched whole, and of a block where that is dealt; lengths that have forests at most; sampled vectors of each at least.
+WHOLE, MOST_FORESTS, LEAST = 4096, 16, 2000
 
 
 @dataclass
@@ -201,19 +205,20 @@ def _nearest_of_all(entries: DataFrame, asked: dict[int, np.ndarray], k: int) ->
     return {d: [np.array(v).reshape(-1, d) for v in rows] for d, rows in out.items()}
 
 
-def build(entries: DataFrame, n: int, k: int, recall: float, seed: int = 9) -> dict[int, Forest]:
-    """A calibrated forest for each vector length of the sample."""
-    sample = entries.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vec").collect()  # at most SAMPLE rows
-    groups = {d: unit(x) for d, _, x in by_length(pa.array([bytes(r["vec"]) for r in sample], pa.binary()))}
+def build(entries: DataFrame, lengths: dict[int, int], k: int, recall: float, seed: int = 9) -> dict[int, Forest]:
+    """A calibrated forest for each length in `lengths` (length: vectors); its sample follows its share, LEAST at least."""
+    total, rng = sum(lengths.values()), np.random.default_rng(seed)
     forests, asked = {}, {}
-    rng = np.random.default_rng(seed)
-    for d, x in groups.items():
-        deep = max(0, math.ceil(math.log2(max(1, n / SAMPLE))))
-        forests[d] = fit(x, LEAF if n > SAMPLE else min(LEAF, max(4, len(x) // 16)), deep)
-        asked[d] = x[rng.choice(len(x), max(1, min(len(x), QUERIES * len(x) // len(sample))), replace=False)]
-    true = _nearest_of_all(entries, asked, k)
-    for d, forest in forests.items():
-        forest.visits = calibrate(forest, asked[d], true[d], recall)
+    for d, n in lengths.items():
+        size = min(n, max(LEAST, SAMPLE * n // total))
+        rows = entries.where(F.length("vec") == 8 * d).orderBy(F.xxhash64("class"), "class").limit(size).select("vec").collect()  # at most SAMPLE rows
+        x = unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float64).reshape(-1, d))
+        forests[d] = fit(x, LEAF if n > SAMPLE else min(LEAF, max(4, len(x) // 16)), max(0, math.ceil(math.log2(n / len(x)))))
+        asked[d] = x[rng.choice(len(x), min(len(x), QUERIES), replace=False)]
+    if forests:
+        true = _nearest_of_all(entries, asked, k)
+        for d, forest in forests.items():
+            forest.visits = calibrate(forest, asked[d], true[d], recall)
     return forests
 
 
@@ -236,39 +241,49 @@ def nearest(table: DataFrame, query_every: int = 50, k: int = 5, recall: float =
     n = entries.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(build(entries, n, k, recall))  # bounded by SAMPLE, TREES and the log of n
+    # a number for each length of more than WHOLE vectors
+    large = {r["d"]: r["n"] for r in entries.groupBy((F.length("vec") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).collect()}
+    common = dict(sorted(large.items(), key=lambda x: (-x[1], x[0]))[:MOST_FORESTS])
+    shared = spark.sparkContext.broadcast(build(entries, common, k, recall))  # bounded by SAMPLE, LEAST, MOST_FORESTS, TREES and the log of n
+    parts = {d: -(-m // WHOLE) for d, m in large.items()}
     blocks = max(24, n * TREES // 20_000)
 
     def name(d: int, leaf: np.ndarray) -> np.ndarray:
-        """A number for the leaf of an index; a length that no sampled vector has is one leaf."""
+        """A number for the leaf of an index."""
         return tb.mix(tb.mix(leaf.astype(np.uint64)) + np.uint64(d)).view(np.int64)
 
-    def leaves_of(d: int, u: np.ndarray) -> np.ndarray:
+    def leaves_of(d: int, u: np.ndarray, cls: np.ndarray) -> np.ndarray:
         forest = shared.value.get(d)
-        return forest.leaves(u) if forest else np.zeros((len(u), 1), np.int64)
+        return forest.leaves(u) if forest else whole_of(d, cls)
+
+    def whole_of(d: int, cls: np.ndarray) -> np.ndarray:
+        """The part of a length's vectors that a class is in, where all are searched."""
+        return (tb.mix(cls.view(np.uint64)) % np.uint64(parts.get(d, 1))).astype(np.int64)[:, None]
 
     block_of = lambda leaf: (leaf.view(np.uint64) % np.uint64(blocks)).astype(np.int32)
 
-    def index(batches):
+    def index(batches, exact=False):
         for batch in batches:
+            cls = batch.column(0).to_numpy()
             for d, rows, x in by_length(batch.column(1)):
-                leaf = name(d, leaves_of(d, unit(x)))
+                leaf = name(d, whole_of(d, cls[rows]) if exact else leaves_of(d, unit(x), cls[rows]))
                 row = np.repeat(np.arange(len(x)), leaf.shape[1])
                 take = pa.array(rows[row])
                 yield pa.RecordBatch.from_arrays([pa.array(block_of(leaf.ravel())), pa.array(leaf.ravel()), *(batch.column(i).take(take) for i in range(3))], ["block", "leaf", "class", "vec", "ids"])
 
-    indexed = entries.select("class", "vec", "ids").mapInArrow(index, "block int, leaf long, class long, vec binary, ids array<long>")
+    places = "block int, leaf long, class long, vec binary, ids array<long>"
+    indexed = entries.select("class", "vec", "ids").mapInArrow(index, places)
     queries = vectors.where(F.col("vec_id") % query_every == 0).select("vec_id", "vec")
 
-    def search(batches):
+    def search(batches, exact=False):
         for batch in batches:
             out: list[list] = [[], [], []]
             for d, rows, x in by_length(batch.column(1)):
-                forest, u = shared.value.get(d), unit(x)
+                forest, u = None if exact else shared.value.get(d), unit(x)
                 for lo in range(0, len(u), 256):
                     margins = forest.margins(u[lo : lo + 256]) if forest else None
                     for i in range(lo, min(lo + 256, len(u))):
-                        codes = [leaf for _, leaf in zip(range(forest.visits), forest.queue(u[i], margins[i - lo]), strict=False)] if forest else [0]
+                        codes = [leaf for _, leaf in zip(range(forest.visits), forest.queue(u[i], margins[i - lo]), strict=False)] if forest else range(parts.get(d, 1))
                         leaves = name(d, np.array(codes, np.int64))
                         block = block_of(leaves)
                         by = np.argsort(block, kind="stable")
@@ -280,7 +295,8 @@ def nearest(table: DataFrame, query_every: int = 50, k: int = 5, recall: float =
             take = pa.array(out[1], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(out[2], pa.binary())], ["block", "query_id", "q", "leaves"])
 
-    asked = queries.mapInArrow(search, "block int, query_id long, q binary, leaves binary")
+    visits = "block int, query_id long, q binary, leaves binary"
+    asked = queries.mapInArrow(search, visits)
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         leaf = right.column("leaf").to_numpy()
@@ -316,7 +332,15 @@ def nearest(table: DataFrame, query_every: int = 50, k: int = 5, recall: float =
             found[2].extend(s for _, s in top)
         return pa.table({"query_id": left.column("query_id").take(pa.array(found[0], pa.int64())), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    found = asked.groupBy("block").cogroup(indexed.groupBy("block")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    one = found.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    scores = "query_id long, vec_id long, score double"
+    found = save(asked.groupBy("block").cogroup(indexed.groupBy("block")).applyInArrow(rank, scores).where("vec_id <> query_id"), "found")
+    # queries of the lengths with forests that found fewer than k are compared with all
+    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = save(queries.where((F.length("vec") / 8).isin(*common)).join(full, "vec_id", "left_anti").select("vec_id", "vec"), "short") if common else None
+    if short is not None and not short.isEmpty():
+        again = short.mapInArrow(lambda batches: search(batches, True), visits)
+        everything = entries.select("class", "vec", "ids").mapInArrow(lambda batches: index(batches, True), places)
+        found = found.union(again.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(rank, scores).where("vec_id <> query_id"))
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return one.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -690,3 +690,29 @@ def test_pipeline(spark):
         assert not re.search("[0-9a-f]{16}", t)
         assert had or t == seen[3][d] or secrets.ASSIGN.search(seen[3][d])
     assert docs.where(F.col("n_chars") != F.length("text")).isEmpty()
+
+
+@pytest.mark.parametrize("limits", [{"WHOLE": 100}, {"WHOLE": 100, "MOST_FORESTS": 1, "SAMPLE": 500, "LEAST": 60}, {}])
+def test_nearest_of_each_length(spark, monkeypatch, limits):
+    """Recall of 0.9 for each length by itself, with forests, without, and where all vectors are searched in blocks; no query is short."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ann_forest, name, value)
+    rng = np.random.default_rng(31)
+    rows = []
+    for d, n in ((16, 2500), (24, 300), (8, 60), (5, 3)):
+        rows += [(len(rows) + i, rng.normal(size=d).tolist()) for i in range(n)]
+    rows = [(10 * i, v) for i, v in rows]
+    got = {}
+    for r in ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for d in (16, 24, 8, 5):
+        own = [(i, np.array(v)) for i, v in rows if len(v) == d]
+        x = np.array([v for _, v in own])
+        hit = total = 0
+        for i, v in own:
+            if i % 50 == 0:
+                s = ann_forest.exact_scores(x, v)
+                want = [own[j][0] for j in np.argsort(-s, kind="stable") if own[j][0] != i][:5]
+                assert len(got[i]) == len(want)
+                hit, total = hit + len(got[i] & set(want)), total + len(want)
+        assert hit >= (0.9 if limits.get("WHOLE") and len(own) > 100 else 1) * total, d
