@@ -148,17 +148,49 @@ def layer_rows(layers: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return rows.groupBy("id").pivot("layer", list(layers)).agg(F.min("cell"))
 
 
-def minimal_sets(sets: DataFrame) -> DataFrame:
+#: Sets that one node of the search tree holds before it is parted.
+NODE = 10_000
+
+
+def minimal_sets(sets: DataFrame, node_size: int = NODE) -> DataFrame:
     """Rows (id, elems, size) that contain no other row's set of a smaller size.
 
-    A contained set holds its rarest element, so rows meet on that alone: each
-    row's elements join the rarest elements of the others.
+    A set that is contained holds its own rarest elements, so the sets are the leaves of a tree of their elements, the rarest
+    first: a node of more than node_size sets is parted by their next element, and so on, and a row goes down only where it holds
+    the element. At a node it meets that node's sets, by a 64-bit signature of the elements first; whole sets are
+    fetched only for pairs that pass. So an element that is in every set makes no large node, unless sets consist of such alone. A null or empty set takes no part, and stays.
     """
-    flat = sets.select("id", F.explode("elems").alias("e"))
-    freq = flat.groupBy("e").count()
-    order = Window.partitionBy("id").orderBy("count", "e")
-    rarest = flat.join(freq, "e").withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("id").alias("inner_id"), "e")
-    inner = rarest.join(sets.select(F.col("id").alias("inner_id"), F.col("elems").alias("inner_elems"), F.col("size").alias("inner_size")), "inner_id")
-    outer = flat.join(sets, "id")
-    beaten = outer.join(inner, "e").where("inner_size < size").where(F.size(F.array_except("inner_elems", "elems")) == 0).select("id").distinct()
-    return sets.join(beaten, "id", "left_anti")
+    rows = sets.select("id", "elems", "size")
+    flat = rows.select("id", F.explode(F.array_distinct("elems")).alias("e"))
+    freq = flat.groupBy("e").agg(F.count("*").alias("freq"))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(e), 64) as int))")
+    named = flat.join(freq, "e").select("id", F.struct("freq", "e").alias("at"), bit.alias("bit"))
+    lists = named.groupBy("id").agg(F.array_sort(F.collect_list("at")).alias("path"), F.bit_or("bit").alias("sig"))
+    lists = save_table(lists.join(rows.select("id", "size"), "id"), "paths")
+    outer = lists.select("id", "size", "sig", F.transform("path", lambda p: p["e"]).alias("elems"))
+    # a node is the path of elements that leads to it; its sets have these as their rarest
+    inner = lists.select(F.col("id").alias("inner_id"), F.col("size").alias("inner_size"), F.col("sig").alias("inner_sig"), F.transform("path", lambda p: p["e"]).alias("way"))
+    there = outer.select("id", "size", "sig", "elems", F.posexplode("elems").alias("i", "e")).select("id", "size", "sig", "elems", "i", F.array("e").alias("node"))
+    beaten, depth = None, 1
+    while True:
+        placed = save_table(inner.withColumn("node", F.slice("way", 1, depth)), "nodes")
+        large = save_table(placed.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.size("way") > depth).alias("more")).where((F.col("n") > node_size) & (F.col("more") > 0)).select("node"), "large")
+        split = not large.isEmpty()
+        # sets that end at their node, or whose node is small, are met here
+        here = placed.where(F.size("way") == depth).union(placed.where(F.size("way") > depth).join(large, "node", "left_anti").select(*placed.columns)) if split else placed
+        # of the sets that are the node's path itself only the smallest matters
+        ends = here.where(F.size("way") == depth).groupBy("node").agg(F.min(F.struct("inner_size", "inner_id", "inner_sig")).alias("m")).select("node", "m.inner_id", "m.inner_size", "m.inner_sig")
+        met = there.select("id", "size", "sig", "node").join(here.where(F.size("way") > depth).select("node", "inner_id", "inner_size", "inner_sig").union(ends.select("node", "inner_id", "inner_size", "inner_sig")), "node")
+        pairs = met.where("inner_size < size and (inner_sig & ~sig) = 0").select("id", "inner_id")
+        beaten = pairs if beaten is None else beaten.union(pairs)
+        if not split:
+            break
+        inner = placed.where(F.size("way") > depth).join(large, "node", "left_semi").select(*inner.columns)
+        down = there.join(large, "node", "left_semi")
+        nexts = F.filter(F.transform("elems", lambda x, k: F.struct(k.alias("k"), x.alias("e"))), lambda s: s["k"] > F.col("i"))
+        there = save_table(down.select("id", "size", "sig", "elems", "node", F.explode(nexts).alias("s")).select("id", "size", "sig", "elems", F.col("s.k").alias("i"), F.concat("node", F.array("s.e")).alias("node")), "down")
+        depth += 1
+    whole = rows.select("id", "elems")
+    tested = beaten.join(whole, "id").join(whole.select(F.col("id").alias("inner_id"), F.col("elems").alias("inner_elems")), "inner_id")
+    lost = tested.where(F.size(F.array_except("inner_elems", "elems")) == 0).select("id").distinct()
+    return rows.join(lost, "id", "left_anti")

@@ -574,11 +574,15 @@ _RIGHT = "r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE
 _REC = f"{_RIGHT}, j AS (SELECT l.o_orderkey, r.o_orderkey AS k, l.o_orderstatus IS DISTINCT FROM r.o_orderstatus AS a, l.o_orderpriority IS DISTINCT FROM r.o_orderpriority AS b FROM orders l LEFT JOIN r USING (o_orderkey)), m AS (SELECT o_orderkey, 'missing_right' AS status, '' AS col FROM j WHERE k IS NULL UNION ALL SELECT o_orderkey, 'mismatch', 'o_orderstatus' FROM j WHERE k IS NOT NULL AND a UNION ALL SELECT o_orderkey, 'mismatch', 'o_orderpriority' FROM j WHERE k IS NOT NULL AND b)"
 
 
-def _reconciled(t) -> DataFrame:
+def reconciled_tables(t) -> tuple[DataFrame, DataFrame]:
     o = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     k = F.col("o_orderkey")
     right = o.where(k % 17 != 0).select("o_orderkey", F.when(k % 11 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 13 == 0, "X").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
-    return registry.reconcile(o, right, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+    return o, right
+
+
+def _reconciled(t) -> DataFrame:
+    return registry.reconcile(*reconciled_tables(t), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
 @query(f"WITH {_REC} SELECT o_orderkey, status, col FROM m")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphmine.functions import composite_id
-from graphmine.operators import clean, evaluation, patterns, registry, sampling, tasks
-from graphmine.plans.catalogue import C, DRAWN_D, H, SEED, _NOTATION, _candidate_distances, _notation, _scored, edges_of, hash_sql, hub_pairs, query, r6, uniform_sql
+from graphmine.operators import clean, digests, evaluation, patterns, quantiles, registry, sampling, tasks
+from graphmine.plans.catalogue import _REC as REC
+from graphmine.plans.catalogue import C, DRAWN_D, H, SEED, _NOTATION, _candidate_distances, _notation, _scored, edges_of, hash_sql, hub_pairs, query, r6, reconciled_tables, uniform_sql
 from graphmine.sources import workspace
 
 _SLOT = "('0x' || substr({0}, 1, 12))::BIGINT"
@@ -243,6 +244,33 @@ def dataset_stats(t):
     return tasks.dataset_stats(t("part").select(*_COLS)).withColumn("position", F.col("position").cast("int"))
 
 
+# digests and quantiles --------------------------------------------------
+
+
+_BY_KEY = " UNION ALL ".join(f"SELECT {n} AS level, count(DISTINCT substr(md5('=' || o_orderkey), 1, {n})) AS ranges FROM m" for n in range(5))
+
+
+@query(f"WITH {REC} SELECT o_orderkey, status, col FROM m")
+def reconcile_ranges(t):
+    left, right = reconciled_tables(t)
+    return digests.reconcile_ranges(left, right, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "status", F.col("column").alias("col"))
+
+
+@query(f"WITH {REC} {_BY_KEY}")
+def changed_ranges(t):
+    """Ranges of each level that differ between the two tables."""
+    left, right = reconciled_tables(t)
+    trees = [digests.digest_tree(x, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"]) for x in (left, right)]
+    return digests.differing_ranges(*trees).groupBy("level").agg(F.count("*").alias("ranges"))
+
+
+@query("SELECT l_returnflag, share, round(CASE share WHEN 0.1 THEN quantile_cont(l_extendedprice, 0.1) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.9) END, 6) AS quantile FROM lineitem, (SELECT unnest([0.1::DOUBLE, 0.5, 0.9]) AS share) GROUP BY l_returnflag, share")
+def exact_quantiles(t):
+    """Quantiles of three groups that hold the whole table, by brackets of at most 500 distinct values."""
+    out = quantiles.quantiles(t("lineitem"), "l_returnflag", "l_extendedprice", [0.1, 0.5, 0.9], 500)
+    return out.select("l_returnflag", "share", r6(F.col("quantile"), "quantile"))
+
+
 # workspaces and statistics ----------------------------------------------
 
 

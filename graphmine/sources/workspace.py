@@ -73,7 +73,7 @@ def rebuild_registry(spark: SparkSession, root: str, glob: str = "*.json") -> di
 
 
 def row_counts(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(name, rows): the records of each CSV file of a folder; blank lines are none, and a quoted cell may hold line breaks."""
+    """(name, rows): the records of each CSV file of a folder; blank lines are none, and a quoted cell may hold line breaks; a file of no bytes has no row."""
     rows = spark.read.csv(path, header=False, multiLine=True, schema="_c string", mode="PERMISSIVE", escape='"').select(F.col("_metadata.file_name").alias("name"))
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"))
     counts = rows.groupBy("name").agg(F.count("*").alias("n"))
