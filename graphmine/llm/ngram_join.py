@@ -386,7 +386,7 @@ def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFram
     packed = _prefixes(named, percent, spark.sparkContext.broadcast(_levels(profile, total)), buckets)
     lists = save(packed.groupBy("ord", "bucket").applyInArrow(lambda t: _released(_live(t)), "ord int, list long, nodes array<long>"), "lists")
     sweep(spark)
-    live = save(lists.dropDuplicates(["ord", "list"]).select("ord", "list", F.explode("nodes").alias("node")), "live")
+    live = save(lists.dropDuplicates(["ord", "list"]).select("ord", "list", F.array_min("nodes").alias("head"), F.explode("nodes").alias("node")), "live")
     discard(lists)
     # a class with no such shingle under one of the orders has no partner
     both = live.groupBy("node").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("node")
@@ -404,10 +404,15 @@ def _clusters(sets: DataFrame, links: DataFrame, percent: int, profile: DataFram
 
 
 def _met(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) that span the candidates of lists (list, node) of one order. Each class goes once to a place, however many of its lists do."""
-    lists = save(lists.select("list", "node"), "meet")
+    """Edges (x, y) that span the candidates of lists (list, head, node) of one order. Each class goes once to a place, however many of its lists do.
+
+    Lists are dealt by their least class: near copies share most of their lists, and so few places. The lists of one
+    head are dealt to more places where they have many rows.
+    """
+    lists = save(lists.select("list", "head", "node"), "meet")
     places = max(12, lists.count() // MEET_ROWS)
-    met = lists.withColumn("place", F.pmod(F.xxhash64("list"), F.lit(places)))
+    parts = lists.groupBy("head").agg(F.ceil(F.count("*") / MEET_ROWS).alias("parts"))
+    met = lists.join(parts, "head").select("list", "node", F.pmod(F.xxhash64("head", F.pmod("list", "parts")), F.lit(places)).alias("place"))
     there = met.select(F.col("place").alias("there"), F.col("node").alias("class")).distinct().join(info.withColumnRenamed("node", "class"), "class")
     found = save(met.groupBy("place").cogroup(there.groupBy("there")).applyInArrow(lambda a, b: _released(_near(a, b, percent)), "x long, y long"), "found")
     discard(lists)
