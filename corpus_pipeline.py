@@ -7,6 +7,8 @@ documents; where a stage changes a text, n_chars follows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,24 @@ from graphmine.llm import ngram_join, packing, secrets, shared, suffix_dedup, to
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Rows of an Arrow batch between Spark and Python, in all stages: whole texts stand in a task's batches several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage):
+    """The stage with Arrow batches of at most BATCH_ROWS rows in its session."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a toxicity score below 0.5, trained on the given labels.
 
@@ -25,6 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component of near copies, one with the smallest id there.
 
@@ -34,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return ngram_join.keep_one_each(docs)
 
 
+@small_batches
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut all but the first occurrence of passages of 50 words or more; no row goes.
 
@@ -44,12 +65,14 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+@small_batches
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark; no row goes, each is treated by its text alone, a null text stays null. n_chars follows the text."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into training sequences of at most 1024 tokens.
 
