@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphmine.functions import blank_to_null, strip_layer
+from graphmine.sources.text_tables import ENCODINGS, bad_lines, good_rows, tolerant_tables
 
 
 def resolve(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
@@ -24,23 +24,13 @@ def resolve(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
 
 
 def source_rows(spark: SparkSession, paths: list[str], key: str = "cid", text: str = "isosmiles", limit: int | None = None) -> DataFrame:
-    """Rows of CSV files as text: key, text, source_file, row_index.
+    """Rows of CSV files as text: key, text, source_file, row_index, in one scan of all files.
 
     Headers are trimmed and freed of a byte order mark; a file without both columns is skipped
-    whole; blank texts are dropped; a missing key becomes unknown_{row_index}.
+    whole, as are lines that can't be read (`text_tables.bad_lines` reports both); blank texts are dropped; a missing key becomes unknown_{row_index}.
     """
-    out = None
-    for path in paths:
-        df = spark.read.csv(path, header=True, inferSchema=False)
-        have = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
-        if key not in have or text not in have:
-            continue
-        df = df.select(F.col(f"`{have[key]}`").alias("k"), F.col(f"`{have[text]}`").alias("t"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        return spark.createDataFrame([], f"{key} string, {text} string, source_file string, row_index long")
-    rows = out.withColumn("row_index", F.row_number().over(Window.partitionBy("source_file").orderBy("b", "m")).cast("long") - 1)
-    rows = named_rows(rows, "k", "t", "row_index").select(F.col("k").alias(key), F.col("t").alias(text), "source_file", "row_index")
+    rows = good_rows(tolerant_tables(spark, paths, {key: [], text: []}))
+    rows = named_rows(rows, key, text, "row_index").select(key, text, "source_file", "row_index")
     return rows if limit is None else rows.orderBy("source_file", "row_index").limit(limit)
 
 
@@ -54,9 +44,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
 
 
-def delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV or TSV file by its suffix, as text, malformed lines dropped."""
-    return spark.read.csv(path, header=True, sep="\t" if path.endswith((".tsv", ".tab")) else ",", encoding=encoding, escape="\\", mode="DROPMALFORMED")
+def delimited(spark: SparkSession, path: str, wanted: dict[str, list[str]], encodings: tuple[str, ...] = ENCODINGS) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines) of CSV or TSV files by their suffix, encodings tried in order."""
+    df = tolerant_tables(spark, path, wanted, encodings)
+    return good_rows(df), bad_lines(df)
+
+
+def first_filled(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Add a column with the first value of some columns that isn't blank; columns that the table lacks are passed over."""
+    have = [blank_to_null(F.col(c)) for c in columns if c in df.columns]
+    return df.withColumn(name, F.coalesce(*have) if have else F.lit(None).cast("string"))
 
 
 def hub_items(spark: SparkSession, path: str) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import base64
 import io
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from graphmine.functions import blank_to_null, run_of_path
-from graphmine.sources import resolve
+from graphmine.functions import run_of_path
 from graphmine.sources.tables import save_table
 
 
@@ -29,29 +29,67 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return marked.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + place + 1).drop("_m", "_p", "_s")
 
 
-def load_task_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(spec, candidates, positives) of a folder with task.json, candidates.csv and positives.csv.
+@dataclass
+class TaskBundle:
+    """spec: task_id, hub, embedding, notes and the text of task.json; candidates, positives, negatives: (row_id, smiles, did, name, source)."""
+
+    spec: dict[str, str]
+    candidates: DataFrame
+    positives: DataFrame
+    negatives: DataFrame
+
+
+_TASK_ROWS = "row_id string, smiles string, did string, name string, source string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
 
-    Rows without text and id are dropped; a missing row id becomes the row's number. A bundle
-    without spec, candidates or positives is an error.
-    """
-    spec = spark.read.json(f"{folder}/task.json", multiLine=True)
 
-    def rows(name: str) -> DataFrame:
-        raw = spark.read.csv(f"{folder}/{name}.csv", header=True)
-        have = {c.strip().lower() for c in raw.columns}
-        wanted = {k: a for k, a in {"row_id": ["id"], "smiles": ["text"], "did": ["item"]}.items() if {k, *a} & have}
-        df = resolve(raw, wanted)
-        for c in ("row_id", "smiles", "did"):
-            df = df.withColumn(c, blank_to_null(F.col(c)) if c in wanted else F.lit(None).cast("string"))
-        numbered = with_ordinal(df).where(F.col("smiles").isNotNull() | F.col("did").isNotNull())
-        return numbered.select(F.coalesce("row_id", F.col("ordinal").cast("string")).alias("row_id"), "smiles", "did")
+def _task_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    have = {c.strip().lstrip("\ufeff").lower(): c for c in raw.columns}
 
-    candidates, positives = rows("candidates"), rows("positives")
-    for name, df in (("task.json", spec), ("candidates.csv", candidates), ("positives.csv", positives)):
-        if df.isEmpty():
-            raise ValueError(f"{folder}/{name} has no row")
-    return spec, candidates, positives
+    def cell(name: str) -> Column:
+        return blank(F.col(f"`{have[name]}`")) if name in have else F.lit(None).cast("string")
+
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    numbered = with_ordinal(raw, "_number").withColumn("_number", (F.col("_number") - 1).cast("string"))
+    row_id = F.coalesce(cell(f"{kind}_id"), cell("id"), F.col("_number"))
+    rows = numbered.select(row_id.alias("row_id"), *[cell(c).alias(c) for c in ("smiles", "did", "name", "source")])
+    return rows.where("smiles is not null or did is not null")
+
+
+def load_task_bundle(spark: SparkSession, folder: str, embeddings: tuple[str, ...] = ("ecfp",)) -> TaskBundle:
+    """A task folder: task.json, and the files it names (candidate_file, positive_file, negative_file; by default candidates.csv, positives.csv, negatives.csv).
+
+    Columns are found by name in any case: candidate_id, positive_id or negative_id (or id), smiles, did, name, source. A missing row id becomes
+    the row's number from 0, dropped rows counted; rows with neither smiles nor did are dropped. The task id is the folder's name if the document has none. A missing document, candidate or
+    positive file, a document without metal or with an unknown embedding, and files without a row are errors; negatives may be absent.
+    """
+    if not _exists(spark, f"{folder}/task.json"):
+        raise FileNotFoundError(f"{folder}/task.json")
+    text = spark.read.text(f"{folder}/task.json", wholetext=True).first()["value"]  # one small document
+    got = spark.createDataFrame([(text,)], "value string").select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in ("task_id", "metal", "embedding", "candidate_file", "positive_file", "negative_file", "notes")]).first().asDict()
+    spec = {"task_id": got["task_id"] or folder.rstrip("/").rsplit("/", 1)[-1], "hub": (got["metal"] or "").strip(), "embedding": (got["embedding"] or embeddings[0]).strip().lower(), "notes": got["notes"] or "", "document": text}
+    if not spec["hub"]:
+        raise ValueError("task.json names no metal")
+    if spec["embedding"] not in embeddings:
+        raise ValueError(f"unknown embedding {spec['embedding']}")
+    tables = {}
+    for kind in ("candidate", "positive", "negative"):
+        path = f"{folder}/{got[f'{kind}_file'] or f'{kind}s.csv'}"
+        if _exists(spark, path):
+            tables[kind] = _task_rows(spark, path, kind)
+        elif kind == "negative":
+            tables[kind] = spark.createDataFrame([], _TASK_ROWS)
+        else:
+            raise FileNotFoundError(path)
+        if kind != "negative" and tables[kind].isEmpty():
+            raise ValueError(f"{path} has no row with smiles or did")
+    return TaskBundle(spec, tables["candidate"], tables["positive"], tables["negative"])
 
 
 def rebuild_registry(spark: SparkSession, root: str, glob: str = "*.json") -> dict[str, DataFrame]:
@@ -107,10 +145,8 @@ def write_parts(df: DataFrame, parts: dict[str, Column], folder: str) -> None:
 
 
 def precomputed_or(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at a path if it can be read, else the built one."""
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where) else build()
+    """The table at a path if it is there, else the built one."""
+    return spark.read.parquet(path) if _exists(spark, path) else build()
 
 
 def node_rows(df: DataFrame, id_col: str, layer: str, **properties: str) -> DataFrame:

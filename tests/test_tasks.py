@@ -14,16 +14,22 @@ def write(path, text):
 
 
 def test_bundle(spark, tmp_path):
-    write(tmp_path / "task.json", '{"name": "t", "hubs": ["Zn"]}')
-    write(tmp_path / "candidates.csv", "Id,SMILES,did\n,CC,\nr2,,D7\n,nan,\n ,OO,D9\n")
-    write(tmp_path / "positives.csv", "smiles,did\nCC,D1\n")
-    spec, candidates, positives = workspace.load_task_bundle(spark, str(tmp_path))
-    assert spec.first()["name"] == "t"
-    assert [tuple(r) for r in candidates.orderBy("row_id").collect()] == [("1", "CC", None), ("4", "OO", "D9"), ("r2", None, "D7")]
-    assert [tuple(r) for r in positives.collect()] == [("1", "CC", "D1")]
-    write(tmp_path / "positives.csv", "smiles,did\n,\n")
-    with pytest.raises(ValueError):
-        workspace.load_task_bundle(spark, str(tmp_path))
+    folder = tmp_path / "zn_task"
+    write(folder / "task.json", '{"metal": " Zn ", "candidate_file": "pool.csv", "notes": "n"}')
+    write(folder / "pool.csv", '\ufeffcandidate_id,SMILES,did,name,source\nC7,CC,,"two\nlines",s1\n,,,lost,\n,OO,D9,,\nC9, ,D7, x ,s2\n')
+    write(folder / "positives.csv", "positive_id,smiles,did\n,CC,D1\nP3,,D2\n")
+    write(folder / "negatives.csv", "negative_id,smiles,did\nN1,C,\n")
+    bundle = workspace.load_task_bundle(spark, str(folder))
+    assert {k: v for k, v in bundle.spec.items() if k != "document"} == {"task_id": "zn_task", "hub": "Zn", "embedding": "ecfp", "notes": "n"}
+    assert sorted(tuple(r) for r in bundle.candidates.collect()) == [("2", "OO", "D9", None, None), ("C7", "CC", None, "two\nlines", "s1"), ("C9", None, "D7", "x", "s2")]
+    assert sorted(tuple(r)[:3] for r in bundle.positives.collect()) == [("0", "CC", "D1"), ("P3", None, "D2")]
+    assert [tuple(r)[:3] for r in bundle.negatives.collect()] == [("N1", "C", None)]
+    (folder / "negatives.csv").unlink()
+    assert workspace.load_task_bundle(spark, str(folder)).negatives.count() == 0
+    for name, text, error in (("positives.csv", "smiles,did\n,\n", ValueError), ("task.json", "{}", ValueError), ("task.json", '{"metal": "Zn", "embedding": "other"}', ValueError), ("task.json", '{"metal": "Zn"}', FileNotFoundError)):
+        write(folder / name, text)
+        with pytest.raises(error):
+            workspace.load_task_bundle(spark, str(folder))
 
 
 def test_ordinals_over_partitions(spark):
