@@ -59,14 +59,14 @@ def _lines(text: str, sep: str, wanted: dict[str, list[str]]) -> Iterator[tuple]
         index += 1
 
 
-def tolerant_tables(spark: SparkSession, paths: list[str] | str, wanted: dict[str, list[str]], encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+def tolerant_tables(spark: SparkSession, paths: list[str] | str, wanted: dict[str, list[str]], encodings: tuple[str, ...] = ENCODINGS, file_path: bool = False) -> DataFrame:
     """(wanted columns.., source_file, row_index, encoding, error, raw) of CSV and TSV files, all cells as text, in one scan however many files there are.
 
     wanted: each column with the other names it may have, compared without case. A file is decoded by the
     first encoding that reads all of it, its separator follows its suffix (.tsv and .tab: a tab), a backslash escapes. row_index counts a file's
     records from 0. A record of more cells than the header, one that can't be parsed, a file without a wanted column and one that no
     encoding reads are rows with an error (the last two one row, without index); missing cells at a
-    record's end and blank ones are null. A file is read whole by one task (2 GB at most), by any file system that Spark reads.
+    record's end and blank ones are null. source_file is a file's name, or with file_path its whole path. A file is read whole by one task (2 GB at most), by any file system that Spark reads.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     names = [*wanted, "source_file", "row_index", "encoding", "error", "raw"]
@@ -76,7 +76,7 @@ def tolerant_tables(spark: SparkSession, paths: list[str] | str, wanted: dict[st
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = _decoded(content.as_py(), encodings)
-                name = path.rsplit("/", 1)[-1]
+                name = path if file_path else path.rsplit("/", 1)[-1]
                 rows: list[tuple] = []
                 if got is None:
                     rows.append((*[None] * len(wanted), name, None, None, "no encoding reads the file", None))

@@ -64,3 +64,44 @@ def test_npz_round_trip(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         writer.write(iter([{"id": "x", "text": "y", "vector": None}]))
     writer.abort([])
+
+
+def test_registry_of_a_workspace(spark, tmp_path):
+    from graphmine.sources import registry_scan
+
+    def write(path, text):
+        path = tmp_path / path
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+    run = "projects/p1/runs/r1/manifests"
+    write("projects/p1/project.json", '{"name": "One", "notes": 5}')
+    write(f"{run}/run.json", '{"status": "done", "created_at": "2026"}')
+    write(f"{run}/ga_binding.json", '{"ga_set_id": "d9", "ga_version_id": "v001", "num_ga": 3}')
+    write(f"{run}/step1.json", '{"step_id": "step1", "status": "done", "duration_seconds": 1.5, "exit_code": 0, "inputs": [{"path": "tmp/in.csv"}, "odd"], "outputs": [{"path": "/x/projects/p1/runs/r1/tmp/out.csv"}]}')
+    write(f"{run}/pipeline_core.json", '{"step_id": "no step"}')
+    write(f"{run}/list.json", "[1, 2]")
+    write(f"{run}/broken.json", "{")
+    write("projects/p1/runs/r1/tmp/out.csv", "a\n1\n")
+    write("projects/p1/runs/r2/manifests/step4_5.json", '{"step_id": "step4_5", "inputs": {"a": 1}}')
+    write("projects/p2/runs/r3/log.txt", "x")
+    write("ga_sets/d1/ga_set.json", '{"description": "d", "tags": ["a", "b"]}')
+    write("ga_sets/d1/versions/v002/ga_version.json", '{"parent_version_id": "v001", "num_ga": 7}')
+    write("model_after_tasks/t1/task.json", '{"metal": "Zn", "negative_file": "n.csv"}')
+    write("model_after_results/t1/b1/model_selection_summary.csv", "model_id,status,mrr,selection_score,rank_among_models,hit_at_5,hit_at_10,hit_at_20,hit_at_50\nm2,success,0.5,0.5,1,,,,\nm1,success,0.5,0.5,2,,,,\nm3,failed,,,,,,,\nm4,a,b,c,d,e,f,g,h,i\n")
+    write("jobs/j1.json", '{"job_type": "run", "status": "ok"}')
+    write("hyperparameter_sets/h1/hp_set.json", '{"name": "H"}')
+    first, again = (registry_scan.rebuild(spark, str(tmp_path)) for _ in range(2))
+    rows = {name: sorted((r.asDict() for r in df.collect()), key=str) for name, df in first.items()}
+    assert rows == {name: sorted((r.asDict() for r in df.collect()), key=str) for name, df in again.items()}
+    assert [(r["project"], r["name"], r["notes"]) for r in rows["projects"]] == [("p1", "One", "5"), ("p2", "p2", None)]
+    assert [(r["run"], r["files"], r["status"]) for r in rows["runs"]] == [("r1", 7, "done"), ("r2", 1, None), ("r3", 1, None)]
+    assert [(r["run"], r["status"], r["dictionary"], r["n_rows"]) for r in rows["bindings"]] == [("r1", "bound", "d9", 3), ("r2", "legacy_auto", None, None), ("r3", "missing", None, None)]
+    assert [(r["run"], r["step"], r["seconds"], r["exit_code"]) for r in rows["steps"]] == [("r1", "step1", 1.5, 0), ("r2", "step4_5", None, None)]
+    assert {(r["role"], r["path"], r["exists"], r["bytes"]) for r in rows["artifacts"]} == {("input", "tmp/in.csv", False, None), ("output", "/x/projects/p1/runs/r1/tmp/out.csv", True, 4)}
+    assert [(r["dictionary"], r["status"], r["tags"]) for r in rows["dictionaries"]] == [("d1", "ok", '["a","b"]'), ("d9", "stub", None)]
+    assert [(r["version"], r["parent"], r["n_rows"]) for r in rows["versions"]] == [("v002", "v001", 7)]
+    assert [(r["task"], r["hub"], r["candidate_file"], r["negative_file"]) for r in rows["tasks"]] == [("t1", "Zn", "candidates.csv", "n.csv")]
+    assert [(r["batch"], r["n_models"], r["n_success"], r["best_model"]) for r in rows["batches"]] == [("b1", 3, 2, "m1")]
+    assert len(rows["results"]) == 3 and len(rows["jobs"]) == len(rows["parameter_sets"]) == 1
+    assert {(r["path"].rsplit("/", 1)[-1], r["error"]) for r in rows["errors"]} == {("list.json", "not an object"), ("broken.json", "not JSON"), ("model_selection_summary.csv", "10 cells, 9 in the header")}
