@@ -23,16 +23,47 @@ def fingerprints(df: DataFrame, text: str, bits: int = 2048) -> DataFrame:
     return rows.select(content_id(F.col("text")).alias("did"), "text", F.array_sort(F.array_distinct(bit)).alias("bits")).withColumn("ones", F.size("bits"))
 
 
-def embed_items(df: DataFrame, id_col: str, text: str, fn, dim: int) -> DataFrame:
-    """(id, vector) by a batched function from a list of texts to a list of vectors or None; rows that give none are left out."""
+def packed_bits(bits: Column, width: int = 2048) -> Column:
+    """Sorted set bits as base64 text of their packed bytes, the first bit the highest of its byte."""
+    byte = lambda i: F.aggregate(F.filter(bits, lambda b: F.floor(b / 8) == i), F.lit(0).cast("long"), lambda s, b: s + F.element_at(F.array(*[F.lit(1 << (7 - k)).cast("long") for k in range(8)]), (b % 8 + 1).cast("int")))
+    text = F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width // 8 - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")))
+    return F.regexp_replace(text, "\\s", "")  # base64 breaks its lines
+
+
+def embed_report(df: DataFrame, id_col: str, text: str, fn, dim: int) -> DataFrame:
+    """(id, vector, error) of every row, by a batched function from a list of texts to a list of vectors or None.
+
+    The error tells why a row has no vector: no text, none returned, another length than dim, or what the function raised. A
+    batch that raises is tried text by text, so that one bad text costs no other.
+    """
+
+    def one(x: str):
+        try:
+            return fn([x])[0], None
+        except Exception as e:  # a plug-in's failure is a row of the report
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
         for pdf in batches:
-            got = fn(pdf["text"].tolist())
-            keep = [v is not None and len(v) == dim for v in got]
-            yield pd.DataFrame({"id": pdf["id"][keep], "vector": [list(map(float, v)) for v, k in zip(got, keep, strict=True) if k]})
+            texts = pdf["text"].tolist()
+            some = [i for i, t in enumerate(texts) if t is not None]
+            try:
+                got = [(v, None) for v in fn([texts[i] for i in some])] if some else []
+            except Exception:
+                got = [one(texts[i]) for i in some]
+            vectors, errors = [None] * len(texts), ["no text"] * len(texts)
+            for i, (v, error) in zip(some, got, strict=True):
+                sound = v is not None and len(v) == dim
+                vectors[i] = list(map(float, v)) if sound else None
+                errors[i] = None if sound else error or ("no vector" if v is None else f"{len(v)} numbers")
+            yield pd.DataFrame({"id": pdf["id"], "vector": vectors, "error": errors})
+
+    return df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, vector array<float>, error string")
+
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, vector array<float>")
+def embed_items(df: DataFrame, id_col: str, text: str, fn, dim: int) -> DataFrame:
+    """(id, vector) of the rows that `embed_report` has without an error."""
+    return embed_report(df, id_col, text, fn, dim).where("error is null").select("id", "vector")
 
 
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:

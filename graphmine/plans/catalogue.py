@@ -469,6 +469,26 @@ def fingerprint_index(t):
     return vectors.fingerprints(t("benchmark"), "text").select("did", F.col("ones").cast("long").alias("ones"))
 
 
+@query(
+    "WITH b AS (SELECT text, list_distinct([('0x' || substr(md5(substr(text, i, 3)), 1, 8))::BIGINT % 2048 FOR i IN range(1, greatest(length(text) - 2, 1) + 1)]) AS bits FROM (SELECT DISTINCT text FROM benchmark WHERE text IS NOT NULL)) "
+    "SELECT 'D' || lpad((('0x' || substr(sha256(text), 1, 12))::BIGINT)::VARCHAR, 15, '0') AS did, to_base64(unhex(array_to_string(list_transform(range(0, 256), lambda i: printf('%02x', coalesce(list_sum(list_transform(list_filter(bits, lambda b: b // 8 = i), lambda b: 1 << (7 - b % 8))), 0)::BIGINT)), ''))) AS packed FROM b"
+)
+def fingerprint_texts(t):
+    return vectors.fingerprints(t("benchmark"), "text").select("did", vectors.packed_bits(F.col("bits")).alias("packed"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN text IS NULL THEN 'no text' WHEN len(text) % 11 = 0 THEN 'no vector' WHEN len(text) % 7 = 0 THEN 'ValueError: odd text' END AS error FROM documents")
+def embed_report(t):
+    """The report of a vectoriser that returns nothing for some texts and raises on others."""
+
+    def lengths(texts):
+        if any(len(x) % 7 == 0 and len(x) % 11 for x in texts):
+            raise ValueError("odd text")
+        return [[float(len(x))] if len(x) % 11 else None for x in texts]
+
+    return vectors.embed_report(t("documents"), "doc_id", "text", lengths, 1).select("id", "error")
+
+
 @query("SELECT label, i - 1 AS position, round(avg(embedding[i]), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i")
 def mean_pool(t):
     return vectors.mean_pool(t("embeddings"), "label", "embedding").select("label", F.col("position").cast("long").alias("position"), r6(F.col("mean"), "mean"))

@@ -1,7 +1,9 @@
 """Hand-made cases with known answers, and invariants."""
 
+import base64
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,11 @@ def test_vectors(spark):
     assert vectors.fingerprints(df, "text").count() == 1
     got = vectors.embed_items(df, "id", "text", lambda xs: [[float(len(x)), 1.0] for x in xs], 2).collect()
     assert sorted(r["id"] for r in got) == [1, 3]
+    failing = vectors.embed_report(df.union(df.selectExpr("id + 10", "concat(text, 'e')")), "id", "text", lambda xs: [[1.0] if "e" in x else 1 / 0 for x in xs], 1)
+    assert {r["id"]: r["error"] for r in failing.collect()} == {1: "ZeroDivisionError: division by zero", 2: "no text", 3: "ZeroDivisionError: division by zero", 11: None, 12: "no text", 13: None}
+    bits = df.limit(1).selectExpr("array(0, 9, 2047) as b", "cast(array() as array<int>) as none").select(vectors.packed_bits(F.col("b")).alias("p"), vectors.packed_bits(F.col("none"), 16).alias("q")).first()
+    raw = base64.b64decode(bits["p"], validate=True)
+    assert np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).tolist() == [0, 9, 2047] and bits["q"] == "AAA="
 
 
 def test_scores_of_all_contexts(spark):
