@@ -12,9 +12,9 @@ The jobs:
    class, of which one copy goes on), the classes' sets as packed 40-bit hashes, and a
    count table of fixed size for the levels.
 2. `_stars` merges what is plainly alike: classes with the same lowest shingle under one of
-   a few random orders are compared with one of them. The links found make components;
-   what follows looks only for links between these, so a group of near copies
-   makes no pair for each two of its members.
+   a few random orders are compared with one of them, by their parity sketches and then, where
+   these allow the similarity, by the whole sets. The links found make components; what follows
+   looks only for links between these, so a group of near copies makes no pair for each two of its members.
 3. `_prefixes` deals the prefix shingles of each order to buckets, as packed arrays, and
    `_live` keeps the lists of classes of different components that share one, each list once.
 4. `_clusters` meets the classes of each list and order. Two are candidates if their sizes
@@ -438,7 +438,7 @@ def _compare_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> Dat
     places = max(24, -(-5 * (clusters.agg(F.sum(F.col("n").cast("long"))).first()[0]) // BUCKET_BYTES))
     meeting = F.xxhash64("cluster", "meet.a", "meet.b")
     home = save(dealt.select("node", "comp", "main", meeting.alias("meeting"), F.pmod(meeting, F.lit(places)).cast("int").alias("home")), "home")
-    mine = _wanted_sets(sets, home).join(home, "node")
+    mine = _wanted(sets, "set", home).join(home, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         meeting = table.column("meeting").to_numpy()
@@ -499,8 +499,8 @@ def _released(table: pa.Table) -> pa.Table:
     return table
 
 
-def _wanted_sets(sets: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node, set) of the classes in `ends`, and a few others: the join that follows drops them."""
+def _wanted(sets: DataFrame, column: str, ends: DataFrame) -> DataFrame:
+    """(node, column) of the classes in `ends`, and a few others: the join that follows drops them."""
     wanted = IdFilter.of(ends, "node", ends.count())
 
     def choose(batches):
@@ -509,41 +509,64 @@ def _wanted_sets(sets: DataFrame, ends: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return sets.select("node", "set").mapInArrow(tidy(choose), "node long, set binary")
+    return sets.select("node", column).mapInArrow(tidy(choose), f"node long, {column} binary")
+
+
+_PAIRS = "x long, y long, nx int, ny int"
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are as similar as asked.
+    """The pairs (x, y) whose whole sets are as similar as asked. Sets are sent only for pairs whose sketches, a fraction of their size, allow it."""
+
+    def allowed(a: np.ndarray, b: np.ndarray, sizes: int) -> bool:
+        return (100 + percent) * _apart(a, b) <= (100 - percent) * sizes
+
+    def similar(a: np.ndarray, b: np.ndarray, sizes: int) -> bool:
+        return _similar(_unpack(a), _unpack(b), percent)
+
+    # a sketch has at most two bits for each shingle, but eight bytes at least
+    possible = _tested(sets, "sketch", lambda n: F.greatest(n / 4, F.lit(8)), pairs, allowed)
+    return _tested(sets, "set", lambda n: 5 * n, possible, similar).select("x", "y")
+
 
-    The pairs of a class x are dealt to places, at most about FAN of them to one, and the sets
+def _tested(sets: DataFrame, column: str, size, pairs: DataFrame, test) -> DataFrame:
+    """The pairs that pass a test of the column's bytes of both classes; size gives the bytes of a class of n shingles, about.
+
+    The pairs of a class x are dealt to places, at most about FAN of them to one, and the bytes
     of a place's classes are sent there once each.
     """
     pairs = save(pairs, "pairs")
-    size, = pairs.agg(F.sum((F.col("nx") + F.col("ny")).cast("long"))).first()
-    if not size:
-        return pairs.select("x", "y")
-    places = max(24, -(-5 * size // BUCKET_BYTES))
+    total, = pairs.agg(F.sum((size(F.col("nx")) + size(F.col("ny"))).cast("long"))).first()
+    if not total:
+        return pairs
+    places = max(24, -(-total // BUCKET_BYTES))
     degree = pairs.groupBy("x").agg(F.ceil(F.count("*") / FAN).alias("parts"))
     place = F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(places)).cast("int")
-    dealt = save(pairs.join(degree, "x").select("x", "y", place.alias("place")), "dealt")
-    # a table of known size: a small one is broadcast, so that the sets are shuffled once
+    dealt = save(pairs.join(degree, "x").select("x", "y", "nx", "ny", place.alias("place")), "dealt")
+    # a table of known size: a small one is broadcast, so that the bytes are shuffled once
     ends = save(dealt.select(F.col("x").alias("node"), F.col("place").alias("home")).union(dealt.select(F.col("y").alias("node"), F.col("place").alias("home"))).distinct(), "ends")
-    mine = _wanted_sets(sets, ends).join(ends, "node")
+    mine = _wanted(sets, column, ends).join(ends, "node")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = dict(zip(right.column("node").to_pylist(), right.column("set"), strict=True))
+        own = dict(zip(right.column("node").to_pylist(), right.column(column), strict=True))
         x, y = left.column("x").to_pylist(), left.column("y").to_pylist()
-        keep = np.zeros(len(x), bool)
-        last, a = None, None
-        for i in sorted(range(len(x)), key=lambda i: x[i]):
-            if x[i] != last:
-                last, a = x[i], _unpack(np.frombuffer(own[x[i]].as_buffer(), np.uint8))
-            keep[i] = _similar(a, _unpack(np.frombuffer(own[y[i]].as_buffer(), np.uint8)), percent)
-        return _released(left.select(["x", "y"]).filter(pa.array(keep)))
-
-    links = save(dealt.groupBy("place").cogroup(mine.groupBy("home")).applyInArrow(compare, "x long, y long"), "links")
+        sizes = (left.column("nx").to_numpy().astype(np.int64) + left.column("ny").to_numpy()).tolist()
+        bytes_of = lambda node: np.frombuffer(own[node].as_buffer(), np.uint8)
+        keep = [test(bytes_of(a), bytes_of(b), n) for a, b, n in zip(x, y, sizes, strict=True)]
+        return _released(left.select(["x", "y", "nx", "ny"]).filter(pa.array(keep, pa.bool_())))
+
+    found = save(dealt.groupBy("place").cogroup(mine.groupBy("home")).applyInArrow(compare, _PAIRS), "found")
     discard(pairs, dealt, ends)
-    return links
+    return found
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits that differ in two sketches, the wider one folded to the other's width."""
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

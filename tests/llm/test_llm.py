@@ -643,6 +643,20 @@ def test_embedding_links_of_all_lengths(spark):
     assert got == sorted(want, key=str)
 
 
+def test_sketches_rule_out_no_similar_sets():
+    """The bits in which two sketches differ, of any two widths, are no more than the shingles that only one set has; their parity is the same."""
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (40, 63), (64, 65), (70, 900), (3000, 40), (5000, 5100)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, m).astype(np.uint64)]))
+        bits, at = ngram_join._sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        only = len(np.setxor1d(a, b))
+        for p, q in (((0, 1), (1, 2)), ((1, 2), (0, 1))):
+            apart = ngram_join._apart(bits[at[p[0]] : at[p[1]]], bits[at[q[0]] : at[q[1]]])
+            assert apart <= only and (only - apart) % 2 == 0
+        assert ngram_join._apart(bits[: at[1]], bits[: at[1]]) == 0
+
+
 def test_near_copies_go_by_row(spark, docs, empty):
     """One row of each component stays: other texts under the same id don't go with it, exact repeats do."""
     import corpus_pipeline
