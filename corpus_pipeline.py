@@ -18,16 +18,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Rows of an Arrow batch between Spark and Python, in all stages: whole texts stand in a task's batches several times.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch from Spark to Python; the next row of more bytes ends a batch.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(stage):
-    """The stage with Arrow batches of at most BATCH_ROWS rows in its session."""
+    """The stage with Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes in its session."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
             spark.conf.set(key, str(BATCH_ROWS))
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if not (size := spark.conf.get(key)).isdigit() or int(size) > BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
     return run

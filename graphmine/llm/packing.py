@@ -129,7 +129,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: i
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), (a + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array((length - (start == 0)) * batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False)[doc]), pa.array(crc, pa.int64()), pa.array(n[doc])], ["doc_id", "start", "length", "n_loss", "ids_crc32", "doc_tokens"])
 
-    return docs.mapInArrow(tidy(scan), "doc_id long, start long, length long, n_loss long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(tidy(scan, keep=True), "doc_id long, start long, length long, n_loss long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, max_tokens: int = 1024, max_segments: int = 256) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
+from .shared import KEPT
 from .wordcode import WordTable, gather
 
 BLANK = "▁"
@@ -169,6 +170,7 @@ def _repaired(text: bytes) -> bytes:
 
 
 _coders: dict[str, PieceBpe] = {}
+KEPT.append(_coders)
 
 
 def piece_bpe(path: str) -> PieceBpe:

@@ -87,16 +87,40 @@ def release() -> None:
         pass
 
 
-def tidy(scan):
-    """A function of batches that releases its memory at its end."""
+#: What modules keep in a Python worker from task to task, as dicts: each coder holds some 70 MB.
+KEPT: list[dict] = []
+
+
+def tidy(scan, keep: bool = False):
+    """A function of batches that releases its memory at its end, and unless `keep` what other operators have left in its worker."""
 
     def run(batches):
+        if not keep:
+            for left in KEPT:
+                left.clear()
         yield from scan(batches)
         release()
 
     return run
 
 
+def released(table: pa.Table) -> pa.Table:
+    """The result of a group, after the memory of the work on it is released."""
+    release()
+    return table
+
+
+#: Bytes of packed arrays that go to Spark in one batch.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES):
+    """The rows of a batch in batches of about `size` bytes; a larger row is a batch alone."""
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

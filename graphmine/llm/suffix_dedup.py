@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .shared import IdFilter, discard, save, tidy
+from .shared import IdFilter, discard, pieces, released, save, tidy
 
 K = 10
+#: Words of the table for each bucket of windows: a group, and what a task packs for it, stay small.
+BUCKET_WORDS = 2_000_000
 #: Words and windows that a task holds before it hands them on.
 HOLD = 600_000
 _ROOT = 0xD1342543DE82EF95
@@ -130,10 +132,10 @@ def _seeds(docs: DataFrame, min_words: int, k: int, buckets: int) -> DataFrame:
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array(_uids(batch.column(0).slice(lo, hi - lo), data, offs)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], ["doc_id", "uid", "n_words", "bucket", "one", "more"])
                 if size >= HOLD:
-                    yield flush()
+                    yield from pieces(flush())
                     size = 0
         if held:
-            yield flush()
+            yield from pieces(flush())
 
     return save(docs.mapInArrow(tidy(scan), "doc_id long, uid long, n_words long, bucket int, one binary, more binary"), "seeds")
 
@@ -175,13 +177,13 @@ def _windows(docs: DataFrame, min_words: int, k: int, wanted: IdFilter, buckets:
             again = np.zeros(len(key), np.uint8)
             again[:-1] = first[:-1] & ~first[1:]
             if (out := _pack(0, (key[first] % np.uint64(buckets)).astype(np.int64), buckets, [doc[first], uid[first], at[first], key[first], again[first]])) is not None:
-                yield out
+                yield from pieces(out)
             # a repeat of a window of the same task isn't the first occurrence, except in an equal row
             late = ~first
             head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             later = ~((uid == uid[head]) & (at == at[head]))
             if (out := _pack(1, _home(uid[late], buckets), buckets, [doc[late], uid[late], at[late], key[late], later[late].astype(np.uint8)])) is not None:
-                yield out
+                yield from pieces(out)
 
         size = 0
         for batch in batches:
@@ -278,14 +280,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = K, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = _seeds(docs, min_words, k, max(48, docs.count() // 10_000))
     rows = profile.where("bucket is null").select("doc_id", "uid", "n_words")
-    seeds = save(profile.where("bucket is not null").groupBy("bucket").applyInArrow(_repeated, "seed long"), "repeated")
+    seeds = save(profile.where("bucket is not null").groupBy("bucket").applyInArrow(lambda t: released(_repeated(t)), "seed long"), "repeated")
     total = rows.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(12, -(-total // 8_000_000))
+    buckets = max(12, -(-total // BUCKET_WORDS))
     wanted = IdFilter.of(seeds, "seed", seeds.count())
     discard(seeds)
     found = _windows(docs, min_words, k, wanted, buckets)
-    compared = found.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: _compare(t, buckets), _HIT)
-    spans = found.where("kind = 1").union(compared).groupBy("bucket").applyInArrow(lambda t: _spans(t, min_words), _SPANS)
+    compared = found.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: released(_compare(t, buckets)), _HIT)
+    spans = found.where("kind = 1").union(compared).groupBy("bucket").applyInArrow(lambda t: released(_spans(t, min_words)), _SPANS)
     spans = save(spans, "spans")
     discard(found)
     return rows, spans

@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 from . import textbuf as tb
+from .shared import KEPT
 
 
 def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +193,7 @@ class ByteBpe:
 
 
 _coders: dict[str, ByteBpe] = {}
+KEPT.append(_coders)
 
 
 def byte_bpe(path: str) -> ByteBpe:

@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphmine.llm import ann_forest, embedding_dedup, html_extract, ngram_join, packing, piece_bpe, secrets, suffix_dedup, token_ids, toxicity, wordcode
+from graphmine.llm import ann_forest, embedding_dedup, html_extract, ngram_join, packing, piece_bpe, secrets, shared, suffix_dedup, token_ids, toxicity, wordcode
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, node string, n int"
@@ -670,6 +671,37 @@ def test_near_copies_go_by_row(spark, docs, empty):
     assert corpus_pipeline.drop_near_copies(spark, table.limit(0), "").count() == 0
 
 
+def test_stages_hold_little(spark, docs):
+    """A worker that has packed lets its coder go in another stage, packed arrays travel in parts, and batches are small in bytes."""
+    import corpus_pipeline
+
+    wordcode.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(shared.tidy(iter, keep=True)([1, 2])) == [1, 2] and wordcode._coders
+    assert list(shared.tidy(iter)([1, 2])) == [1, 2] and not wordcode._coders
+
+    batch = pa.RecordBatch.from_pydict({"bucket": list(range(12)), "doc": [bytes([i]) * 1_000_000 for i in range(12)]})
+    parts = list(shared.pieces(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.nbytes for p in parts) <= shared.PIECE_BYTES
+    assert list(shared.pieces(batch.slice(0, 0))) == [] and len(list(shared.pieces(batch, 10))) == 12
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", docs.withColumn("n_chars", F.lit(1).cast("long"))
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.cut_secrets(spark, docs, "")
+        assert int(spark.conf.get(key)) == corpus_pipeline.BATCH_BYTES
+        spark.conf.set(key, "1000")
+        corpus_pipeline.cut_secrets(spark, docs, "")
+        assert spark.conf.get(key) == "1000"
+        # groups and texts that take many batches give the same passages
+        a = words(400, 77, 10**6)
+        table = spark.createDataFrame([(i, f"{words(30, 500 + i, 10**6)} {a}", "k", 1) for i in range(30)], DOCS)
+        got = {r["doc_id"]: (r["n_repeated"], r["n_removed"]) for r in suffix_dedup.passage_report(table).collect()}
+        assert got == {i: (400, 400 * (i > 0)) for i in range(30)}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what it was given."""
     import corpus_pipeline
