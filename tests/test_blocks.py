@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphmine.operators import blocks, graph
+from graphmine.operators import blocks, graph, sampling
 
 D, K, SEED = 4, 5, 11
 
@@ -77,3 +77,46 @@ def test_narrow_ids_and_no_edges(spark):
     out = graph.candidates_drawn(few, sizes, D, K, SEED)
     assert out.dtypes == [("target", "int"), ("item", "int")] and out.count() == graph.candidates_drawn(df, sizes, D, K, SEED).count()
     assert graph.pairs_of(graph.pair_blocks(df.limit(0), D, sizes, K, SEED)).count() == 0
+
+
+@pytest.mark.parametrize(("size", "hot"), [(25, 6), (10_000, 4096)])
+def test_candidates_in_a_targets_own_order(spark, monkeypatch, size, hot):
+    edges, df, sizes, size_df = made(spark, 5)
+    monkeypatch.setattr(blocks, "EDGES", size)
+    monkeypatch.setattr(blocks, "HOT", hot)
+    items = {}
+    for i, f in edges:
+        items.setdefault(f, []).append(i)
+    want = plain(edges, sizes)[1]
+    for f, v in items.items():
+        if len(v) >= D:
+            for a in v:
+                want |= {(a, b) for b in sorted((b for b in v if b != a and sizes[b] <= K), key=lambda b: (key(a, f, b), b))[:D]}
+    got = graph.candidates(df, size_df, D, K, SEED)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [40, 500_000])
+def test_unrelated_draws(spark, monkeypatch, size):
+    edges, df, _, _ = made(spark, 6)
+    monkeypatch.setattr(sampling, "DRAWING", size)
+    ids = list(range(0, 180, 2))  # some without edges, and some edges' items aren't among them
+    items = spark.createDataFrame([*((i,) for i in ids), (4,), (None,)], "item long")
+    own = {}
+    for i, f in edges:
+        own.setdefault(i, set()).add(f)
+    slots = {}
+    for i in ids:
+        slots.setdefault(int(key(i)[:12], 16) % len(ids), []).append(i)
+    want = set()
+    for a in ids:
+        first = {}
+        for j in range(1, 13):
+            for b in slots.get(int(key(a, j)[:12], 16) % len(ids), []):
+                first.setdefault(b, j)
+        free = sorted((j, b) for b, j in first.items() if b != a and not own.get(a, set()) & own.get(b, set()))
+        want |= {(a, b) for _, b in free[:5]}
+    got = sampling.unrelated_drawn(items, df, SEED, 5, 12)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
